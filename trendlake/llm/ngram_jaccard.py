@@ -46,8 +46,8 @@ def _profile(batches, k):
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 5 + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n", "node", "r1", "r2", "block", "cells"])
 
 
-def _postings(batches, k, rank, heavy):
-    """(key, node, pos, heavy) of each prefix shingle, rarest first. A set seen before in this task is left out."""
+def _postings(batches, k, rank):
+    """(key, node, pos) of each prefix shingle, rarest first. A set seen before in this task is left out."""
     seen: set[int] = set()
     for batch in batches:
         for part, raw, off in slices(batch):
@@ -66,11 +66,11 @@ def _postings(batches, k, rank, heavy):
                 pos.append(np.arange(p, dtype=np.int32))
             if keys:
                 key = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(pos)), pa.array((key >> U(56)) >= heavy)], names=["key", "node", "pos", "heavy"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(pos))], names=["key", "node", "pos"])
 
 
-def _repeated(batches):
-    """Of rows sorted by key and node, those whose key has several nodes, each (key, node) once. Holds one row back, so a long list needs no memory."""
+def _repeated(batches, heavy):
+    """Of rows sorted by key and node, those whose key has several nodes or is heavy, each (key, node) once. Holds one row back, so a long list needs no memory."""
     names, held = ["key", "node", "pos"], None  # the last row, and whether its key has had another node
     for batch in batches:
         if not batch.num_rows:
@@ -85,6 +85,7 @@ def _repeated(batches):
         same = rows[0][1:] == rows[0][:-1]
         several[1:] |= same
         several[:-1] |= same
+        several |= rows[0].view(np.uint64) >> U(56) >= U(heavy)
         held = [x[-1:] for x in rows], several[-1:]
         keep = several.copy()
         keep[-1] = False
@@ -97,9 +98,6 @@ def _possible(na, nb, pa_, pb, ra, rb, sa, sb):
     """Length, positional and suffix filters for sets of na and nb shingles that share the one at pa_ and pb. 7 * overlap >= 3 * (na + nb) is what similarity 0.75 takes."""
     need = 3 * (na + nb)
     ok = (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * (1 + np.minimum(na - pa_ - 1, nb - pb - 1) + np.minimum(pa_, pb)) >= need)
-    for x, y in ((ra, rb), (sa, sb)):
-        if not ok.any():
-            return ok
     differ = np.zeros(len(na), np.int64)
     for x, y in ((ra, rb), (sa, sb)):
         a, b = (np.ascontiguousarray(v).view(np.uint16).reshape(-1, 4).astype(np.int64) for v in (x, y))
@@ -109,6 +107,14 @@ def _possible(na, nb, pa_, pb, ra, rb, sa, sb):
     return ok & (~counted | (7 * (na + nb - differ) >= 2 * need))
 
 
+def _likely(batches):
+    """The pairs that pass the filters, larger node first."""
+    for batch in batches:
+        c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
+        ok = _possible(c["n"], c["l_n"], c["pos"], c["l_pos"], c["r1"], c["l_r1"], c["r2"], c["l_r2"])
+        yield pa.RecordBatch.from_arrays([pa.array(c["node"][ok]), pa.array(c["l_node"][ok])], names=["a", "b"])
+
+
 def _pairs(batches):
     """Candidate pairs of each (key, bi, bj) list of rows sorted by list and size, with different labels. A list has at most about 2 * LIST rows."""
 
@@ -228,32 +234,28 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     ground = float(np.median(counts))
     heavy = min(256, int(np.ceil(8 * np.log2(ground + 8 * np.sqrt(ground) + HEAVY))) + 1)
     ranks = spark.sparkContext.broadcast(rank)
-    posted = docs.select("text").mapInArrow(lambda it: _postings(it, k, ranks.value, heavy), "key long, node long, pos int, heavy boolean")
-    if heavy <= int(rank.max()):
-        posted = scratch.keep(posted)
-        often = posted.where("heavy").select("key", "node", "pos").dropDuplicates(["key", "node"])
-        posted = posted.where("not heavy")
-    else:
-        often = None
-    lists = posted.select("key", "node", "pos").repartition(partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_repeated, "key long, node long, pos int")
-    lists = scratch.keep(lists if often is None else lists.unionByName(often))
+    posted = docs.select("text").mapInArrow(lambda it: _postings(it, k, ranks.value), "key long, node long, pos int")
+    # the rows of a heavy key go to many tasks
+    salt = F.when(F.shiftrightunsigned("key", 56) >= heavy, F.pmod(F.xxhash64("node"), F.lit(64))).otherwise(0)
+    lists = posted.repartition(partitions(spark), "key", salt).sortWithinPartitions("key", "node").mapInArrow(lambda it: _repeated(it, heavy), "key long, node long, pos int")
+    lists = scratch.keep(lists)
     nodes = profiles.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("r1").alias("r1"), F.min("r2").alias("r2"))
+    rows = scratch.keep(lists.join(nodes, "node"))
+    scratch.drop(lists)
 
     # every set with the smallest of its list
-    low = lists.groupBy("key").agg(F.min("node").alias("b"))
-    stars = lists.select("key", F.col("node").alias("a")).join(low, "key").where("a <> b").select("a", "b").distinct()
-    tried = scratch.keep(stars)
+    low = rows.groupBy("key").agg(F.min(F.struct("node", "n", "pos", "r1", "r2")).alias("l"))
+    stars = rows.join(low, "key").where("node <> l.node").select("node", "n", "pos", "r1", "r2", *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("node", "n", "pos", "r1", "r2")))
+    tried = scratch.keep(stars.where("4 * least(n, l_n) >= 3 * greatest(n, l_n)").mapInArrow(_likely, "a long, b long").distinct())
     links = _verify(scratch, docs, tried, k)
     labels = components(scratch, links)
 
     # all pairs that are still apart
-    known = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = scratch.keep(lists.join(known, "node"))
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", F.ceil(F.col("c") / LIST).cast("int").alias("nb"))
     cut = rows.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     cut = cut.withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o")).select("key", "bi", "bj", "blk", "node", "n", "pos", "label", "r1", "r2")
     pairs = cut.repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n", "node").mapInArrow(_pairs, "a long, b long").distinct()
-    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = _verify(scratch, docs, scratch.keep(pairs.join(tried, ["a", "b"], "left_anti")), k)
     labels = components(scratch, links.unionByName(more))
 
