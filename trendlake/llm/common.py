@@ -146,10 +146,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) ->
         i = j
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word [^\\x20\\x09-\\x0D]+, A-Z lower-cased."""
+def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, first byte and end of every word [^\\x20\\x09-\\x0D]+, A-Z lower-cased."""
+    none = np.zeros(0, np.int64)
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     solid = ~SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True
@@ -160,19 +161,19 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     after[-1], after[:-1] = False, solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     lens = ends - starts
     first = np.concatenate([[0], np.cumsum(lens)[:-1]])
     at = np.flatnonzero(solid)
     with np.errstate(over="ignore"):
         value = _BYTE[raw[at]] * powers(int(lens.max()))[at - np.repeat(starts, lens)]
         h = mix(np.add.reduceat(value, first) + lens.astype(np.uint64))
-    return h, np.searchsorted(off, starts, "right") - 1
+    return h, np.searchsorted(off, starts, "right") - 1, starts, ends
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:
     """Per row, the sorted distinct hashes of its k-word shingles; a row of 1 to k - 1 words has one shingle, of all its words."""
-    h, row = word_hashes(raw, off)
+    h, row, _, _ = word_spans(raw, off)
     bounds = np.searchsorted(row, np.arange(len(off)))
     with np.errstate(over="ignore"):
         runs = np.zeros(max(0, len(h) - k + 1), np.uint64)

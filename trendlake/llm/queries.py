@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixing, sentence_spans, vector_join
 from .common import table
 from .ngram_jaccard import jaccard_components
 
@@ -16,3 +17,24 @@ def query(f):
 @query
 def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_source_mixing(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_source_mixing"] = mixing.ORACLE
+
+
+@query
+def op7_embedding_range_join(spark, sf_dir):
+    return vector_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op7_embedding_range_join"] = vector_join.ORACLE
+
+
+@query
+def op10_sentence_span_dedup(spark, sf_dir):
+    return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
