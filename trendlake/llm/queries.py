@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, sentence_spans, vector_join
+from pyspark.sql import functions as F
+
+from . import langid, mixing, ogg, sentence_spans, vector_join
 from .common import table
 from .ngram_jaccard import jaccard_components
 
@@ -38,3 +40,19 @@ ORACLES["op7_embedding_range_join"] = vector_join.ORACLE
 @query
 def op10_sentence_span_dedup(spark, sf_dir):
     return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def _held_out(parts: int, rest: int):
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == rest, F.lit(False))
+
+
+@query
+def op6_language_bitmask_filters(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.train(docs.where(~_held_out(5, 0)).select("doc_id", "text", "lang"))
+    return langid.predict(docs, filters).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_ogg_media_columns(spark, sf_dir):
+    return ogg.digest(ogg.media_column(table(spark, sf_dir, "documents")))
