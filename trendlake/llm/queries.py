@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, ogg, sentence_spans, vector_join
+from . import langid, mixing, ogg, sentence_spans, toxicity, vector_join
 from .common import table
 from .ngram_jaccard import jaccard_components
 
@@ -56,3 +56,11 @@ def op6_language_bitmask_filters(spark, sf_dir):
 @query
 def op8_ogg_media_columns(spark, sf_dir):
     return ogg.digest(ogg.media_column(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_subsequence_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = docs.where(~_held_out(3, 1)).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    scores = toxicity.score(docs, toxicity.train(learned))
+    return scores.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
