@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, ogg, sentence_spans, toxicity, vector_join
+from . import langid, mixing, ogg, sentence_spans, sentencepiece_trie, toxicity, vector_join
 from .common import table
 from .ngram_jaccard import jaccard_components
 
@@ -64,3 +64,10 @@ def op3_subsequence_toxicity(spark, sf_dir):
     learned = docs.where(~_held_out(3, 1)).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
     scores = toxicity.score(docs, toxicity.train(learned))
     return scores.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op9_sentencepiece_trie(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("was", F.col("text"))
+    rows = sentencepiece_trie.decode(sentencepiece_trie.encode(docs, sentencepiece_trie.MODEL, "was"))
+    return rows.select("doc_id", "n_words", F.size("tokens").alias("n_tokens"), "tokens", F.col("text").eqNullSafe(F.col("was")).alias("round_trip"))
