@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, ogg, sentence_spans, sentencepiece_trie, toxicity, vector_join
+from . import langid, mixing, ogg, pii, sentence_spans, sentencepiece_trie, toxicity, vector_join
 from .common import table
 from .ngram_jaccard import jaccard_components
 
@@ -71,3 +71,9 @@ def op9_sentencepiece_trie(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("was", F.col("text"))
     rows = sentencepiece_trie.decode(sentencepiece_trie.encode(docs, sentencepiece_trie.MODEL, "was"))
     return rows.select("doc_id", "n_words", F.size("tokens").alias("n_tokens"), "tokens", F.col("text").eqNullSafe(F.col("was")).alias("round_trip"))
+
+
+@query
+def op2_pii_surrogates(spark, sf_dir):
+    rows = pii.surrogates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "text", F.col("pii.n").cast("long").alias("n_replaced"), F.array_join("pii.kinds", ",").alias("kinds"))
