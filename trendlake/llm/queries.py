@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, ogg, pii, sentence_spans, sentencepiece_trie, toxicity, vector_join
+from . import html_crf, langid, mixing, ogg, pii, sentence_spans, sentencepiece_trie, toxicity, vector_join
 from .common import table
 from .ngram_jaccard import jaccard_components
 
@@ -77,3 +77,8 @@ def op9_sentencepiece_trie(spark, sf_dir):
 def op2_pii_surrogates(spark, sf_dir):
     rows = pii.surrogates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "text", F.col("pii.n").cast("long").alias("n_replaced"), F.array_join("pii.kinds", ",").alias("kinds"))
+
+
+@query
+def op4_html_block_crf(spark, sf_dir):
+    return html_crf.extract(table(spark, sf_dir, "pages"))
