@@ -61,16 +61,14 @@ def op8_ogg_media_columns(spark, sf_dir):
 @query
 def op3_subsequence_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    learned = docs.where(~_held_out(3, 1)).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    scores = toxicity.score(docs, toxicity.train(learned))
+    scores = toxicity.score(docs, toxicity.train(docs, labels.where(~_held_out(3, 1))))
     return scores.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 @query
 def op9_sentencepiece_trie(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("was", F.col("text"))
-    rows = sentencepiece_trie.decode(sentencepiece_trie.encode(docs, sentencepiece_trie.MODEL, "was"))
-    return rows.select("doc_id", "n_words", F.size("tokens").alias("n_tokens"), "tokens", F.col("text").eqNullSafe(F.col("was")).alias("round_trip"))
+    rows = sentencepiece_trie.encode(table(spark, sf_dir, "documents"), check=True)
+    return rows.select("doc_id", "n_words", F.size("tokens").alias("n_tokens"), "tokens", "round_trip")
 
 
 @query

@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Scratch, slices
 
 #: The kernel: subsequences of three symbols that span WIDTH symbols at most, each weighing DECAY to the power of its span less one.
-WIDTH, DECAY = 6, 0.6
+WIDTH, DECAY = 6, 0.5
 #: Labelled documents of either class that training reads (about, chosen by hash), windows that start it, landmarks, and rounds.
-PER_CLASS, WINDOWS, LANDMARKS, ROUNDS = 3_000, 6_000, 128, 3
+PER_CLASS, WINDOWS, LANDMARKS, ROUNDS = 3_000, 6_000, 192, 3
+#: How far, in standard deviations, a word's share of toxic documents exceeds chance to start training.
+SURE = 4.2
 #: Windows shorter than this many letters have no score.
 LETTERS = 3
 
@@ -139,7 +141,7 @@ def _dense(words: list[bytes]) -> np.ndarray:
 
 def _spread(words: list[bytes], n: int) -> list[bytes]:
     """n of the words, each in turn the farthest from those before in the kernel's metric."""
-    x = _dense(words[:1500])
+    x = _dense(words[:400])
     chosen, far = [0], np.full(len(x), np.inf)
     while len(chosen) < min(n, len(x)):
         far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
@@ -149,10 +151,11 @@ def _spread(words: list[bytes], n: int) -> list[bytes]:
     return [words[i] for i in chosen]
 
 
-def fit(bad: dict[bytes, float], good: dict[bytes, float], c: float = 20.0) -> Model:
-    """The SVM (squared hinge, classes of equal weight in all) from weighted windows of either class."""
+def fit(bad: dict[bytes, float], good: dict[bytes, float], hard: dict[bytes, float], c: float = 200.0) -> Model:
+    """The SVM (squared hinge, classes of equal weight in all) from weighted windows of either class, among the good those that are hard to tell. Landmarks come from either class, half of the good ones from the hard."""
     top = lambda d: sorted(d, key=lambda w: (-d[w], w))
-    marks = _spread(top(bad), LANDMARKS // 2) + _spread(top(good), LANDMARKS // 2)
+    marks = _spread(top(bad), LANDMARKS // 2) + _spread(top(hard)[:200] + top(good)[:200], LANDMARKS // 2)
+    good = {w: v for w, v in (good | hard).items() if w not in bad}
     phi = _dense(marks)
     value, vector = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     keep = value > 1e-6 * value.max()
@@ -164,7 +167,7 @@ def fit(bad: dict[bytes, float], good: dict[bytes, float], c: float = 20.0) -> M
         x[r, :-1] = weights @ project[codes]
     x[:, -1] = 1
     y = np.array([1.0] * len(bad) + [-1.0] * len(good))
-    weight = np.sqrt(np.array([*bad.values(), *good.values()]))
+    weight = np.sqrt(np.array([*bad.values(), *(min(v, 4.0) if w not in hard else v for w, v in good.items())]))
     weight[y > 0] /= weight[y > 0].sum()
     weight[y < 0] /= weight[y < 0].sum()
     weight *= c * 100
@@ -199,77 +202,82 @@ def _platt(best: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 
+def _parts(batches):
+    for batch in batches:
+        rows = [(x.strip(), toxic) for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()) for x in _SENTENCE.findall(text)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["sentence", "toxic"])
+
+
 def _words(batches):
-    """(window, documents of either class) of each batch."""
+    """(window, sentences of either class) of each batch."""
     for batch in batches:
         count: dict[bytes, list[int]] = {}
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+        for text, toxic in zip(batch.column("sentence").to_pylist(), batch.column("toxic").to_pylist()):
             for w in set(windows(text)):
                 count.setdefault(w, [0, 0])[toxic] += 1
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in count], pa.string()), pa.array([v[1] for v in count.values()], pa.int64()), pa.array([v[0] for v in count.values()], pa.int64())], names=["w", "bad", "good"])
 
 
 def _sentences(batches, model: Model, most: int = 5):
-    """Of each document, its best score, and best window and score of its best sentences."""
+    """Of each document, best window and score of its best sentences. A batch's distinct windows are scored at once."""
     for batch in batches:
+        docs = [[windows(x) for x in _SENTENCE.findall(t)] for t in batch.column("text").to_pylist()]
+        words = sorted({w for d in docs for x in d for w in x})
+        off = np.cumsum([0] + [len(w) for w in words])
+        score = dict(zip(words, model.best(np.frombuffer(b"".join(words), np.uint8), off).tolist()))
         rows = []
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            found = {}
-            for sentence in _SENTENCE.findall(text):
-                if own := windows(sentence):
-                    raw = b" ".join(own)
-                    off = np.cumsum([0] + [len(w) + 1 for w in own])
-                    off[-1] -= 1
-                    score = model.best(np.frombuffer(raw, np.uint8), off)
-                    k = int(score.argmax())
-                    found[own[k]] = float(score[k])
-            top = sorted(found, key=lambda w: (-found[w], w))[:most]
-            rows += [(toxic, n, w.decode(), found[w]) for n, w in enumerate(top)] or [(toxic, 0, "", -4.0)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.float64()))] if rows else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.string(), pa.float64())], names=["toxic", "place", "w", "score"])
-
-
-def train(labelled: DataFrame) -> Model | None:
-    """A model from labelled(doc_id, text string, toxic 0/1): about PER_CLASS documents of either class, by a hash of id and text. Rows with null text or label don't count; None unless both classes are there.
-
-    Labels are those of documents, and training labels their sentences: all of a clean document are clean, and of a toxic one the best is toxic, as is any other that scores like it. A sentence's score is that of its best window (a word). The first model learns from the words that toxic documents hold oftener than chance allows; each round then takes the sentences as the last model ranks them. Only WINDOWS words of either class and five sentences a document reach the driver.
+        for d, toxic in zip(docs, batch.column("toxic").to_pylist()):
+            best = {max(x, key=lambda w: (score[w], w)) for x in d if x}
+            top = sorted(best, key=lambda w: (-score[w], w))[:most]
+            rows += [(toxic, n, w.decode(), score[w]) for n, w in enumerate(top)] or [(toxic, 0, "", -4.0)]
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["toxic", "place", "w", "score"])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """A model from docs(doc_id, text string) and labels(doc_id, toxic 0/1): about PER_CLASS labelled documents of either class, by a hash of the id. Only these few labels meet the documents, in a broadcast of that bounded size, so texts are read once and not shuffled. Rows with null text, id or label don't count; None unless both classes are there.
+
+    Labels are those of documents, and training labels their sentences: all of a clean document are clean, and of a toxic one the best is toxic if it scores above 0, and others above 0.5. A sentence's score is that of its best window (a word). The first model learns from the words that distinct sentences of toxic documents hold oftener than chance allows; each round then takes the sentences as the last model ranks them. Only WINDOWS words of either class and five sentences a document reach the driver.
     """
-    rows = labelled.where("text is not null and toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0).alias("u"))
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    labels = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0).alias("u"))
+    sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    rows = rows.where(F.col("u") < F.when(F.col("toxic") == 1, min(1.0, PER_CLASS / sizes[1])).otherwise(min(1.0, PER_CLASS / sizes[0]))).select("text", "toxic")
-    rows = rows.repartition(max(1, min(8, (sizes[0] + sizes[1]) // 100)))
-    rows = rows.persist()
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    some = labels.where(F.col("u") < F.when(F.col("toxic") == 1, min(1.0, PER_CLASS / sizes[1])).otherwise(min(1.0, PER_CLASS / sizes[0]))).select("doc_id", "toxic")
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.keep(rows.repartition(max(1, min(12, sum(sizes.values()) // 100))))
+    # each sentence once: near copies would make a text's words look like many documents'
+    sentences = scratch.keep(rows.mapInArrow(_parts, "sentence string, toxic int").groupBy("sentence").agg(F.min("toxic").alias("toxic")))
+    n = {r["toxic"]: r["count"] for r in sentences.groupBy("toxic").count().collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
-    words = rows.mapInArrow(_words, "w string, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = sentences.mapInArrow(_words, "w string, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     both = F.col("bad") + F.col("good")
-    words = words.withColumn("z", (F.col("bad") - both * share) / F.sqrt(both * share * (1 - share) + 0.5)).persist()
+    words = words.withColumn("z", (F.col("bad") - both * share) / F.sqrt(both * share * (1 - share) + 0.5))
+    words = scratch.keep(words)
     first = words.where("bad > 1 and z > 2").orderBy(F.desc("z"), "w").limit(WINDOWS).collect()
     clean = words.where("good > 0 and z < 1").orderBy(F.desc("good"), "w").limit(WINDOWS // 2).collect() + words.where("good > 0 and z < 1").orderBy(F.xxhash64("w")).limit(WINDOWS // 2).collect()
-    words.unpersist()
     if not first or not clean:
-        rows.unpersist()
         return None
     top = first[0]["z"]
-    bad = {r["w"].encode(): float(r["z"]) for r in first if r["z"] >= 0.25 * top}
+    bad = {r["w"].encode(): float(r["z"]) for r in first if r["z"] >= min(top, max(SURE, 0.15 * top))}
     good = {r["w"].encode(): float(r["good"]) for r in clean}
-    model, best = fit(bad, good), []
+    extra: dict[bytes, float] = {}
+    model = fit(bad, good, {})
     for _ in range(ROUNDS):
         got = rows.mapInArrow(lambda it, m=model: _sentences(it, m), "toxic int, place int, w string, score double").collect()
-        hard = {r["w"].encode() for r in got if not r["toxic"] and r["w"]}
-        bad, extra = {}, {}
+        clear = {r["w"].encode() for r in got if not r["toxic"] and r["w"]}
+        bad = {}
         for r in got:
             w = r["w"].encode()
-            if r["toxic"] and w and (r["place"] == 0 or r["score"] > 0.5) and w not in hard:
+            if r["toxic"] and w and r["score"] > (0.5 if r["place"] else 0.0) and w not in clear:
                 bad[w] = bad.get(w, 0.0) + 1
             elif not r["toxic"] and w:
-                extra[w] = extra.get(w, 0.0) + 3
+                extra[w] = extra.get(w, 0.0) + 10
         if not bad:
             break
-        model = fit(bad, good | extra)
+        model = fit(bad, good, extra)
     got = rows.mapInArrow(lambda it, m=model: _sentences(it, m, 1), "toxic int, place int, w string, score double").collect()
-    rows.unpersist()
     model.slope, model.offset = _platt(np.array([r["score"] for r in got]), np.array([r["toxic"] for r in got]))
     return model
 
