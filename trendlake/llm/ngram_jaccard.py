@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, U, components, merge_sketch, mix, partitions, shingles, sketch_rows, slices
@@ -15,6 +15,13 @@ from .common import Scratch, U, components, merge_sketch, mix, partitions, shing
 CELLS, WANTED = 1 << 20, 1 << 21
 #: Estimated document frequency from which a shingle surely occurs twice, and rows of a posting list that one task pairs up.
 HEAVY, LIST = 20_000, 20_000
+#: Marks a set's last posted shingle, in the column of positions.
+LAST = 1 << 30
+
+
+def _prefix(n):
+    """Shingles that a set of n posts: a set that shares none of them has a similarity below 0.75."""
+    return n - (3 * n + 3) // 4 + 1
 
 
 def _node(s: np.ndarray) -> int:
@@ -23,27 +30,28 @@ def _node(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + U(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _ranges(s: np.ndarray) -> tuple[int, int]:
-    """Set members in each of eight ranges of hash values, 16 bits each; (0, 0) for sets too large for that."""
-    if len(s) > 65535:
-        return 0, 0
-    c = np.bincount((s >> U(61)).astype(np.int64), minlength=8).astype(np.uint16)
-    a, b = c.view(np.int64)
-    return int(a), int(b)
+def _ranges(s: np.ndarray) -> bytes | None:
+    """Set members in each of 128 ranges of hash values; null for sets too large for a byte each."""
+    c = np.bincount((s >> U(57)).astype(np.int64), minlength=128)
+    return c.astype(np.uint8).tobytes() if c.max() < 256 else None
+
+
+_PROFILE = ["doc_id", "n", "node", "ranges", "block", "cells"]
 
 
 def _profile(batches, k):
+    """A row for each document, then this task's part of the frequency sketch."""
     cells = np.zeros(CELLS, np.uint32)
     for batch in batches:
         for part, raw, off in slices(batch):
             sets = list(shingles(raw, off, k))
             cells += np.bincount((np.concatenate(sets) >> U(20)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.uint32)
-            out = [(doc, len(s), _node(s) if len(s) else None, *_ranges(s)) for doc, s in zip(part.column("doc_id").to_pylist(), sets)]
+            out = [(doc, len(s), _node(s) if len(s) else None, _ranges(s)) for doc, s in zip(part.column("doc_id").to_pylist(), sets)]
             cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=["doc_id", "n", "node", "r1", "r2", "block", "cells"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=_PROFILE)
     if rows := list(sketch_rows(cells, lambda x: zlib.compress(x, 1))):
         n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 5 + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n", "node", "r1", "r2", "block", "cells"])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=_PROFILE)
 
 
 def _postings(batches, k, rank):
@@ -58,19 +66,26 @@ def _postings(batches, k, rank):
                 if len(seen) < 200_000:
                     seen.add(node)
                 n = len(s)
-                p = n - (3 * n + 3) // 4 + 1
+                p = _prefix(n)
                 key = (rank[(s >> U(20)).astype(np.int64) % CELLS].astype(np.uint64) << U(56)) | (s >> U(8))
                 key = np.sort(np.partition(key, p - 1)[:p]) if p < n else np.sort(key)
                 keys.append(key)
                 nodes.append(np.full(p, node, np.int64))
-                pos.append(np.arange(p, dtype=np.int32))
+                at = np.arange(p, dtype=np.int32)
+                at[-1] |= LAST
+                pos.append(at)
             if keys:
                 key = np.concatenate(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(pos))], names=["key", "node", "pos"])
 
 
 def _repeated(batches, heavy):
-    """Of rows sorted by key and node, those whose key has several nodes or is heavy, each (key, node) once. Holds one row back, so a long list needs no memory."""
+    """Rows sorted by key and node, each (key, node) once, as far as their key has several nodes or is heavy (live), or they are the last of their set. Holds one row back, so a long list needs no memory."""
+
+    def told(rows, live):
+        keep = live | ((rows[2] & LAST) != 0)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*rows, live)], names=[*names, "live"])
+
     names, held = ["key", "node", "pos"], None  # the last row, and whether its key has had another node
     for batch in batches:
         if not batch.num_rows:
@@ -87,36 +102,61 @@ def _repeated(batches, heavy):
         several[:-1] |= same
         several |= rows[0].view(np.uint64) >> U(56) >= U(heavy)
         held = [x[-1:] for x in rows], several[-1:]
-        keep = several.copy()
-        keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], names=names)
-    if held and held[1][0]:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=names)
+        yield told([x[:-1] for x in rows], several[:-1])
+    if held:
+        yield told(*held)
 
 
-def _possible(na, nb, pa_, pb, ra, rb, sa, sb):
-    """Length, positional and suffix filters for sets of na and nb shingles that share the one at pa_ and pb. 7 * overlap >= 3 * (na + nb) is what similarity 0.75 takes."""
-    need = 3 * (na + nb)
-    ok = (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * (1 + np.minimum(na - pa_ - 1, nb - pb - 1) + np.minimum(pa_, pb)) >= need)
-    differ = np.zeros(len(na), np.int64)
-    for x, y in ((ra, rb), (sa, sb)):
-        a, b = (np.ascontiguousarray(v).view(np.uint16).reshape(-1, 4).astype(np.int64) for v in (x, y))
-        differ += np.abs(a - b).sum(1)
-    # overlap <= (na + nb - differ) / 2
-    counted = ((ra != 0) | (sa != 0)) & ((rb != 0) | (sb != 0))
-    return ok & (~counted | (7 * (na + nb - differ) >= 2 * need))
+#: What the filters need to know of a set: members, live shingles among those posted, the last one posted (in signed order), and in the last stage members by range.
+_SET = ["node", "n", "alive", "bar"]
+#: Earlier live shingles of its set that a row names.
+BEFORE = 4
+#: Lists of a set, those of its rarest live shingles, in which the first stage pairs it with the next set.
+NEAR = 16
 
 
-def _likely(batches):
-    """The pairs that pass the filters, larger node first."""
-    for batch in batches:
-        c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
-        ok = _possible(c["n"], c["l_n"], c["pos"], c["l_pos"], c["r1"], c["l_r1"], c["r2"], c["l_r2"])
-        yield pa.RecordBatch.from_arrays([pa.array(c["node"][ok]), pa.array(c["l_node"][ok])], names=["a", "b"])
+_MORE = ["ranges", *(f"p{k}" for k in range(1, BEFORE + 1))]
 
 
-def _pairs(batches):
-    """Candidate pairs of each (key, bi, bj) list of rows sorted by list and size, with different labels. A list has at most about 2 * LIST rows."""
+def _columns(batch, names):
+    """Columns as arrays, ranges as a matrix with a first column of 1 where they are known."""
+    out = {}
+    for k in names:
+        x = batch.column(k)
+        if k.endswith("ranges"):
+            none = bytes(128)
+            m = np.frombuffer(b"".join(none if v is None else v for v in x.to_pylist()), np.uint8).reshape(-1, 128)
+            out[k] = np.concatenate([np.array(x.is_valid(), np.uint8)[:, None], m], 1)
+        else:
+            out[k] = x.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _possible(c, a, b):
+    """Length, positional, prefix and suffix filters for pairs of sets, at a and b, that share the shingle of these rows. 7 * overlap >= 3 * (n + m) is what similarity 0.75 takes."""
+    (na, pa_, la, wa), (nb, pb, lb, wb) = ([c[k][i] for k in ("n", "pos", "alive", "bar")] for i in (a, b))
+    need = 3 * (na + nb)
+    ok = (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * (1 + np.minimum(na - pa_ - 1, nb - pb - 1) + np.minimum(pa_, pb)) >= need)
+    # what the set whose prefix ends first shares of it is in the other's prefix too, so it is live there
+    rest = np.where(wa <= wb, na - _prefix(na), nb - _prefix(nb))
+    ok &= 7 * (np.minimum(la, lb) + rest) >= need
+    # ranges in which the sets differ: overlap <= (na + nb - differ) / 2
+    if "ranges" not in c:
+        return ok
+    left = np.flatnonzero(ok)
+    for k in np.array_split(left, len(left) // 20_000 + 1):
+        x, y = c["ranges"][a[k]], c["ranges"][b[k]]
+        differ = np.abs(x[:, 1:].astype(np.int16) - y[:, 1:]).sum(1, dtype=np.int64)
+        ok[k] = ((x[:, 0] & y[:, 0]) == 0) | (7 * (na[k] + nb[k] - differ) >= 2 * need[k])
+    # a pair with an earlier shingle in common is found there
+    left = np.flatnonzero(ok)
+    x, y = ([c[f"p{k}"][i[left]] for k in range(1, BEFORE + 1)] for i in (a, b))
+    ok[left] = ~np.any([(u == v) & (u != 0) for u in x for v in y], axis=0)
+    return ok
+
+
+def _pairs(batches, near):
+    """Candidate pairs with different labels of each (key, bi, bj) list of rows sorted by list and size; with `near`, for each row only the first that passes. A list has at most about 2 * LIST rows."""
 
     def emit(c):
         alive = np.arange(len(c["key"]) - 1)
@@ -128,10 +168,11 @@ def _pairs(batches):
             alive, j = alive[same], j[same]
             go = (c["label"][alive] != c["label"][j]) & ((c["bi"][alive] == c["bj"][alive]) | (c["blk"][alive] != c["blk"][j]))
             a, b = alive[go], j[go]
-            if len(a):
-                ok = _possible(c["n"][a], c["n"][b], c["pos"][a], c["pos"][b], c["r1"][a], c["r1"][b], c["r2"][a], c["r2"][b])
-                if ok.any():
-                    found.append((c["node"][a[ok]], c["node"][b[ok]]))
+            ok = _possible(c, a, b)
+            if ok.any():
+                found.append((c["node"][a[ok]], c["node"][b[ok]]))
+                if near:
+                    alive = np.setdiff1d(alive, a[ok], assume_unique=True)
             d += 1
             if sum(len(x[0]) for x in found) > 500_000:
                 yield found
@@ -144,10 +185,10 @@ def _pairs(batches):
         p = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-    names = ["key", "bi", "bj", "blk", "node", "n", "pos", "label", "r1", "r2"]
+    names = ["key", "bi", "bj", "blk", "pos", "label", *_SET, *([] if near else _MORE)]
     rest = None
     for batch in batches:
-        c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+        c = _columns(batch, names)
         if rest is not None:
             c = {k: np.concatenate([rest[k], c[k]]) for k in names}
         if not len(c["key"]):
@@ -206,6 +247,14 @@ def _linked(batches):
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
 
+def _fits(n, i, la, wa, m, j, lb, wb):
+    """_possible() but for its last filters, as an expression over columns' names."""
+    n, i, la, wa, m, j, lb, wb = map(F.col, (n, i, la, wa, m, j, lb, wb))
+    need = 3 * (n + m)
+    rest = F.when(wa <= wb, F.floor((3 * n + 3) / 4)).otherwise(F.floor((3 * m + 3) / 4)) - 1
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * (1 + F.least(n - i - 1, m - j - 1) + F.least(i, j)) >= need) & (7 * (F.least(la, lb) + rest) >= need)
+
+
 def _verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) of nodes that are similar, from their whole sets. Only sets named by a pair move; text does not."""
     spark = docs.sparkSession
@@ -217,6 +266,20 @@ def _verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, k: int) -> Data
     return scratch.keep(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"))
 
 
+def _apart(rows: DataFrame, labels: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (a, b) of rows that share a key: without labels, each row with the next that passes; with labels (node, label), all whose labels differ. Lists with one label are never gathered, and long ones are cut into blocks, each pair of which is a task's work."""
+    n, near = partitions(rows.sparkSession), labels is None
+    label = F.col("node") if near else F.coalesce("label", "node")
+    slim = rows.select("key", "node") if near else rows.select("key", "node").join(labels, "node", "left")
+    mixed = slim.groupBy("key").agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", F.ceil(F.col("c") / LIST).cast("int").alias("nb"))
+    cut = rows.join(mixed, "key")
+    if not near:
+        cut = cut.join(labels, "node", "left").join(ranges, "node")
+    cut = cut.withColumn("label", label).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cut = cut.withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o")).select("key", "bi", "bj", "blk", "pos", "label", *_SET, *([] if near else _MORE))
+    return cut.repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n", "node").mapInArrow(lambda it: _pairs(it, near), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id long, text string, ...).
 
@@ -226,8 +289,8 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = scratch.keep(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n long, node long, r1 long, r2 long, block int, cells binary"))
-    profiles = made.where("block is null").select("doc_id", "n", "node", "r1", "r2")
+    made = scratch.keep(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n long, node long, ranges binary, block int, cells binary"))
+    profiles = made.where("block is null").select("doc_id", "n", "node", "ranges")
     counts = merge_sketch(made.where("block is not null").select("block", "cells"), CELLS, "uint32", "add")
     # one byte a cell: eight steps for each doubling
     rank = np.minimum(255, np.round(8 * np.log2(counts.astype(np.float64) + 1))).astype(np.uint8)
@@ -237,28 +300,32 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     posted = docs.select("text").mapInArrow(lambda it: _postings(it, k, ranks.value), "key long, node long, pos int")
     # the rows of a heavy key go to many tasks
     salt = F.when(F.shiftrightunsigned("key", 56) >= heavy, F.pmod(F.xxhash64("node"), F.lit(64))).otherwise(0)
-    lists = posted.repartition(partitions(spark), "key", salt).sortWithinPartitions("key", "node").mapInArrow(lambda it: _repeated(it, heavy), "key long, node long, pos int")
+    lists = posted.repartition(partitions(spark), "key", salt).sortWithinPartitions("key", "node").mapInArrow(lambda it: _repeated(it, heavy), "key long, node long, pos int, live boolean")
     lists = scratch.keep(lists)
-    nodes = profiles.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("r1").alias("r1"), F.min("r2").alias("r2"))
-    rows = scratch.keep(lists.join(nodes, "node"))
+    nodes = profiles.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("ranges").alias("ranges"))
+    posts = lists.groupBy("node").agg(F.count_if("live").alias("alive"), F.max(F.when(F.col("pos").bitwiseAND(LAST) != 0, F.col("key").bitwiseXOR(F.lit(-(1 << 63))))).alias("bar"))
+    own = Window.partitionBy("node").orderBy("pos")
+    rows = lists.where("live").select("key", "node", F.col("pos").bitwiseAND(LAST - 1).alias("pos")).join(nodes.select("node", "n").join(posts, "node"), "node")
+    rows = rows.select("key", "pos", *_SET, F.row_number().over(own).alias("turn"), *(F.coalesce(F.lag("key", k).over(own), F.lit(0)).alias(f"p{k}") for k in range(1, BEFORE + 1)))
+    rows = scratch.keep(rows)
     scratch.drop(lists)
 
-    # every set with the smallest of its list
-    low = rows.groupBy("key").agg(F.min(F.struct("node", "n", "pos", "r1", "r2")).alias("l"))
-    stars = rows.join(low, "key").where("node <> l.node").select("node", "n", "pos", "r1", "r2", *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("node", "n", "pos", "r1", "r2")))
-    tried = scratch.keep(stars.where("4 * least(n, l_n) >= 3 * greatest(n, l_n)").mapInArrow(_likely, "a long, b long").distinct())
+    # every set with the smallest of its list, and with the next of about its size in the lists of its rarest shingles
+    low = rows.groupBy("key").agg(F.min(F.struct("node", "pos", *_SET[1:])).alias("l"))
+    stars = rows.join(low, "key").where("node <> l.node").where(_fits("n", "pos", "alive", "bar", "l.n", "l.pos", "l.alive", "l.bar")).select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b"))
+    nexts = _apart(rows.where(F.col("turn") <= NEAR))
+    tried = scratch.keep(stars.unionByName(nexts).distinct())
     links = _verify(scratch, docs, tried, k)
     labels = components(scratch, links)
 
-    # all pairs that are still apart
-    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", F.ceil(F.col("c") / LIST).cast("int").alias("nb"))
-    cut = rows.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    cut = cut.withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o")).select("key", "bi", "bj", "blk", "node", "n", "pos", "label", "r1", "r2")
-    pairs = cut.repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n", "node").mapInArrow(_pairs, "a long, b long").distinct()
-    more = _verify(scratch, docs, scratch.keep(pairs.join(tried, ["a", "b"], "left_anti")), k)
-    labels = components(scratch, links.unionByName(more))
+    # all pairs that are still apart; their links join components
+    pairs = _apart(rows, labels, nodes.select("node", "ranges")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = _verify(scratch, docs, scratch.keep(pairs), k)
+    for c in ("a", "b"):
+        of = labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+        more = more.join(of, c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
+    whole = components(scratch, more).select(F.col("node").alias("label"), F.col("label").alias("top"))
 
-    placed = profiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = profiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(whole, "label", "left").withColumn("label", F.coalesce("top", "label"))
     first = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("first"))
     return placed.join(first, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
