@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from .common import slices
 #: Where the model is, unless told otherwise.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Distinct words that a worker keeps coded.
+REMEMBERED = 400_000
 
 
 class Pieces:
@@ -37,6 +41,11 @@ class Pieces:
                 self.scores[piece] = sp.get_score(i)
         byte = {i: bytes([b]) for b, i in self.bytes.items()}
         self.stands_for = [byte.get(i, b"" if i in self.control else self.text[i].encode()) for i in range(sp.get_piece_size())]
+        # the same as arrays, a mark as a space
+        spoken = [b.replace(MARK.encode(), b" ") for b in self.stands_for]
+        self.width = np.array([len(b) for b in spoken], np.int64)
+        self.place = np.cumsum(self.width) - self.width
+        self.bytes_of = np.frombuffer(b"".join(spoken), np.uint8)
         self.merges = _is_bpe(model)
         # pieces by their characters from the last on; None holds the piece that ends there
         self.ends: dict = {}
@@ -45,14 +54,18 @@ class Pieces:
             for ch in reversed(piece):
                 node = node.setdefault(ch, {})
             node[None] = i
-        self._stay: dict[int, bool] = {}
-
-    def stays(self, left: int, right: int) -> bool:
-        """Whether BPE leaves the border between two pieces that stand alone: merging their characters, best score first, gives just the two. (left < 0: whether it makes `right` at all.) A sequence is what BPE makes of its text if and only if this holds for all neighbours."""
-        if len(self._stay) > 3_000_000:
-            self._stay.clear()
-        want = [self.text[left], self.text[right]] if left >= 0 else [self.text[right]]
-        out = self._stay[left << 20 | right] = merged("".join(want), self.scores) == want
+        self.known: dict[int, bool] = {}
+
+    def follows(self, left: int, right: int) -> bool:
+        """Whether BPE can end a text with `right` when the text before ends with `left` (negative: nothing, or a character without a piece, that no merge reaches over): it makes `right` of its characters, and leaves the border, for merging the characters of both, best score first, gives just the two. A sequence is what BPE makes of its text if and only if this holds all along."""
+        if len(self.known) > 3_000_000:
+            self.known.clear()
+        want = [self.text[right]]
+        out = merged(want[0], self.scores) == want
+        if out and left >= 0:
+            want.insert(0, self.text[left])
+            out = merged("".join(want), self.scores) == want
+        self.known[left << 20 | right] = out
         return out
 
 
@@ -107,16 +120,21 @@ def merged(text: str, scores: dict[str, float]) -> list[str]:
 
 
 def marked_words(text: str) -> list[str]:
-    """The text, spaces as marks and one in front, cut before each mark that follows another character: no piece has a mark after one, so words are coded on their own."""
-    words = (MARK + text.replace(" ", MARK)).split(MARK)[1:]
-    # split() leaves '' between neighbouring marks: such marks lead the next word
+    """The text, spaces as marks and one in front, cut before each mark that follows another character: no piece has a mark after one, so words are coded on their own. Each word's first mark is left out here."""
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    words = text.split(" ")
+    if "" not in words:
+        return words
+    # split() leaves '' between neighbouring spaces: such marks lead the next word
     out, lead = [], ""
     for w in words:
-        lead += MARK
         if w:
             out.append(lead + w)
             lead = ""
-    return out + [lead] if lead else out
+        else:
+            lead += MARK
+    return out + [lead[1:]] if lead else out
 
 
 class Search:
@@ -137,9 +155,11 @@ class Search:
         self.word = word
         self.reused += shared
         self.made += len(word) - shared
-        step = self._merge_step if self.p.merges else self._score_step
-        for end in range(shared + 1, len(word) + 1):
-            step(word, end)
+        if self.p.merges:
+            self._merge_steps(word, shared)
+        else:
+            for end in range(shared + 1, len(word) + 1):
+                self._score_step(word, end)
         out, at = [], len(word)
         while at:
             out.append(last[at])
@@ -147,30 +167,29 @@ class Search:
         out.reverse()
         return out
 
-    def _merge_step(self, word: str, end: int) -> None:
+    def _merge_steps(self, word: str, shared: int) -> None:
         """One path alone survives, that which BPE takes: its last piece stays beside the last one of the prefix before it."""
-        node, stay, at = self.p.ends, self.p._stay, end
-        while at and (node := node.get(word[at - 1])) is not None:
-            at -= 1
-            piece = node.get(None)
-            if piece is not None:
-                before = self.last[at]
-                if before < -1:  # no merge reaches over a character without a piece
-                    before = -1
-                for left in (-1, before) if before >= 0 else (-1,):
-                    ok = stay.get(left << 20 | piece)
+        ends, known, last, start = self.p.ends, self.p.known, self.last, self.start
+        for end in range(shared, len(word)):
+            node, at = ends, end
+            while (node := node.get(word[at])) is not None:
+                piece = node.get(None)
+                if piece is not None:
+                    before = last[at]
+                    ok = known.get(before << 20 | piece)
                     if ok is None:
-                        ok = self.p.stays(left, piece)
-                    if not ok:
+                        ok = self.p.follows(before, piece)
+                    if ok:
                         break
-                else:
-                    self.last.append(piece)
-                    self.start.append(at)
-                    self.score.append(0.0)
-                    return
-        self.last.append(-2 - ord(word[end - 1]))
-        self.start.append(end - 1)
-        self.score.append(0.0)
+                at -= 1
+                if at < 0:
+                    node = None
+                    break
+            if node is None:
+                piece, at = -2 - ord(word[end]), end
+            last.append(piece)
+            start.append(at)
+        self.score = [0.0] * len(last)
 
     def _score_step(self, word: str, end: int) -> None:
         """Viterbi's step: the best of all pieces that end here."""
@@ -186,17 +205,27 @@ class Search:
         self.score.append(best)
 
 
-def encode_words(words: set[str], pieces: Pieces) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Distinct marked words: each one's number, and where its ids begin in the array of all ids (one more offset at the end). A character without a piece gives its bytes' pieces, or the unknown one."""
-    search, number, flat, off = Search(pieces), {}, [], [0]
-    for w in sorted(words):
-        ids = search.encode(w)
-        if min(ids, default=0) < 0:
-            ids = [y for x in ids for y in ([x] if x >= 0 else [pieces.bytes[b] for b in chr(-2 - x).encode()] if pieces.bytes else [pieces.unknown])]
-        number[w] = len(off) - 1
-        flat += ids
-        off.append(len(flat))
-    return number, np.array(flat, np.int32), np.array(off, np.int64)
+class Coded:
+    """Distinct words coded so far, at most about `most`: each one's number, and where its ids begin in one array of ids."""
+
+    def __init__(self, pieces: Pieces, most: int = REMEMBERED):
+        self.p, self.most, self.search = pieces, most, Search(pieces)
+        self.number: dict[str, int] = {}
+        self.flat, self.off = array("i"), array("q", [0])
+
+    def add(self, words: set[str]) -> None:
+        """Codes words, given without the first mark, that are new. A character without a piece gives its bytes' pieces, or the unknown one."""
+        p, number, flat, off = self.p, self.number, self.flat, self.off
+        if len(number) + len(words) > self.most:
+            number.clear()
+            del flat[:], off[1:]
+        for w in sorted(words - number.keys()):
+            ids = self.search.encode(MARK + w)
+            if min(ids) < 0:
+                ids = [y for x in ids for y in ([x] if x >= 0 else [p.bytes[b] for b in chr(-2 - x).encode()] if p.bytes else [p.unknown])]
+            number[w] = len(off) - 1
+            flat.extend(ids)
+            off.append(len(flat))
 
 
 def decode_ids(ids, pieces: Pieces) -> str:
@@ -214,25 +243,40 @@ def _pieces(model: bytes) -> Pieces:
     return _loaded[model]
 
 
-def _encoded(batches, model: bytes) -> Iterator[pa.RecordBatch]:
+def _encoded(batches, model: bytes, check: bool) -> Iterator[pa.RecordBatch]:
     pieces = _pieces(model)
+    coded = Coded(pieces)
     for batch in batches:
         rest = [c for c in batch.schema.names if c != "text"]
-        for part, _, _ in slices(batch, most=1 << 25):
-            texts = part.column("text").to_pylist()
-            docs = [None if t is None else marked_words(t) if t else [] for t in texts]
-            number, flat, off = encode_words({w for d in docs if d for w in d}, pieces)
-            for i in range(0, len(docs), 1000):
-                some = docs[i : i + 1000]
-                at = np.array([number[w] for d in some for w in d or ()], np.int64)
-                size = off[at + 1] - off[at]
-                ends = np.cumsum(size)
-                ids = flat[np.repeat(off[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-                bounds = np.concatenate([[0], np.cumsum([len(d or ()) for d in some])])
-                offsets = np.concatenate([[0], ends])[bounds].astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([d is None for d in some] + [False])), pa.array(ids, pa.int32()))
-                words = pa.array([None if d is None else len(d) for d in some], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).slice(i, 1000) for c in rest), words, tokens], names=[*rest, "n_words", "tokens"])
+        for part, raw, at_byte in slices(batch, most=1 << 22):
+            docs = [None if t is None else marked_words(t) if t else [] for t in part.column("text").to_pylist()]
+            coded.add(set().union(*(d for d in docs if d)))
+            flat, off = np.array(coded.flat, np.int32), np.array(coded.off, np.int64)
+            at = np.fromiter(map(coded.number.__getitem__, chain.from_iterable(d for d in docs if d)), np.int64)
+            size = off[at + 1] - off[at]
+            ends = np.cumsum(size)
+            ids = flat[np.repeat(off[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+            bounds = np.concatenate([[0], np.cumsum([len(d or ()) for d in docs])])
+            offsets = np.concatenate([[0], ends])[bounds].astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.array([d is None for d in docs] + [False])), pa.array(ids, pa.int32()))
+            words = pa.array([None if d is None else len(d) for d in docs], pa.int64())
+            more = [pa.array(_same(ids, offsets, raw, at_byte, pieces))] if check else []
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), words, tokens, *more], names=[*rest, "n_words", "tokens", *(["round_trip"] if check else [])])
+
+
+def _same(ids: np.ndarray, offsets: np.ndarray, raw: np.ndarray, at: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Whether each row's tokens stand for its text."""
+    size = pieces.width[ids]
+    ends = np.cumsum(size)
+    said = pieces.bytes_of[np.repeat(pieces.place[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    cut = np.concatenate([[0], ends])[offsets]
+    # one space leads each text that isn't empty
+    lead = (np.diff(at) > 0).astype(np.int64)
+    fits = np.diff(cut) == np.diff(at) + lead
+    same = np.zeros(len(fits), bool)
+    for i in np.flatnonzero(fits):
+        same[i] = np.array_equal(said[cut[i] + lead[i] : cut[i + 1]], raw[at[i] : at[i + 1]])
+    return same
 
 
 def _model(docs: DataFrame, path: str):
@@ -244,15 +288,15 @@ def _model(docs: DataFrame, path: str):
     return spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(path).first()["content"]))
 
 
-def encode(docs: DataFrame, path: str = MODEL, *also: str) -> DataFrame:
-    """(doc_id, also, n_words, tokens array<int>) for every row of docs(doc_id long, text string, ...), as the model's own encoder gives them: no normalization, a mark in front, bytes where no piece fits.
+def encode(docs: DataFrame, path: str = MODEL, *also: str, check: bool = False) -> DataFrame:
+    """(doc_id, also, n_words, tokens array<int>, with `check` also round_trip: whether the tokens, decoded, give the text) for every row of docs(doc_id long, text string, ...), as the model's own encoder gives them: no normalization, a mark in front, bytes where no piece fits.
 
-    The text's marked words are coded once each, in sorted order, for every 32 MB of text or so. For unigram models the search is Viterbi's, by scores. For BPE models its transitions are limited to borders that merging leaves, which leaves one path, the merges' own. Null text: null. Empty text: no tokens. Repeated rows stay; other columns are ignored; an empty table gives no rows.
+    The text's marked words are coded once each, in sorted order, for every 4 MB of text or so; words coded before are remembered, up to REMEMBERED of them. For unigram models the search is Viterbi's, by scores. For BPE models its transitions are limited to borders that merging leaves, which leaves one path, the merges' own. Null text: null. Empty text: no tokens. Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
     model = _model(docs, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    return rows.mapInArrow(lambda it: _encoded(it, model.value), f"doc_id long{fields}, n_words long, tokens array<int>")
+    return rows.mapInArrow(lambda it: _encoded(it, model.value, check), f"doc_id long{fields}, n_words long, tokens array<int>{', round_trip boolean' if check else ''}")
 
 
 def _decoded(batches, model: bytes, column: str):
