@@ -1,4 +1,6 @@
 """Every registered query, with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans.oracles import ORACLES
+from .plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
