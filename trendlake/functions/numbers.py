@@ -9,7 +9,8 @@ from ..constants import WINDOWS
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    """x within bounds; null stays null, which greatest() and least() alone would not give."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
 def capped_log(v: Column, cap: float, most: float) -> Column:

@@ -22,10 +22,15 @@ _N = {
 }
 
 
+_TEXTS = ("title", "url", "type", "dead", "deleted", "arxivId", "objectId", "tweetId", "text", "word", "fullName", "modelId", "publishedAt")
+_NUMBERS = ("score", "descendants", "points", "numComments", "stargazersCount", "forksCount", "watchersCount", "openIssuesCount", "downloads", "likes", "num", "rank", "totalCount", "likeCount", "retweetCount", "viewCount", "replyCount", "quoteCount", "authorsCount", "categoriesCount")
+
+
 def normalize(raw: DataFrame) -> DataFrame:
     """raw (id, source_type, external_id, raw_payload JSON, fetched_at) to items; records without a required field are dropped, as are news posts that are no stories, are dead or deleted."""
-    j = lambda p: F.get_json_object("raw_payload", f"$.{p}")
-    n = lambda p: F.coalesce(F.try_to_number(j(p), F.lit("S999999999999999")).cast("long"), F.lit(0).cast("long"))
+    raw = raw.withColumn("p", F.from_json("raw_payload", ", ".join(f"{c} string" for c in (*_TEXTS, *_NUMBERS))))
+    raw = raw.select("id", "source_type", "external_id", "fetched_at", *(F.col(f"p.{c}").alias(c) for c in _TEXTS), *(F.coalesce(F.col(f"p.{c}").try_cast("long"), F.lit(0).cast("long")).alias(c) for c in _NUMBERS))
+    j = n = F.col
     cases: dict[str, Column] = {}
 
     def add(name: str, source: str, value: Column) -> None:

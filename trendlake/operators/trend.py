@@ -41,7 +41,7 @@ def momentum(deltas: list[Column], rank: Column) -> Column:
 
 
 def velocity(deltas: list[Column], rank: Column) -> Column:
-    return 0.25 * reduce(lambda a, b: a + b, deltas) + F.coalesce(F.greatest(F.lit(-20), F.least(F.lit(20), rank)).cast("double"), F.lit(0.0))
+    return 0.25 * reduce(lambda a, b: a + b, deltas) + F.coalesce(clamp(rank.cast("double"), -20, 20), F.lit(0.0))
 
 
 def _rank(now: Column, then: Column) -> Column:
@@ -59,7 +59,7 @@ def raw_deltas(source: Column, now: Column, then: Column) -> Column:
             parts.append(
                 F.when(
                     a.isNotNull() | b.isNotNull(),
-                    F.struct(F.lit(name).alias("metric"), a.alias("previous"), b.alias("current"), delta.alias("delta"), F.when(a > 0, F.greatest(F.lit(-1.0), delta / a)).alias("growth"), F.lit(kind).alias("kind"), F.coalesce((F.lit(kind) == "MONO") & (delta < 0), F.lit(False)).alias("anomaly")),
+                    F.struct(F.lit(name).alias("metric"), a.alias("previous"), b.alias("current"), delta.alias("delta"), F.when((a > 0) & delta.isNotNull(), F.greatest(F.lit(-1.0), delta / a)).alias("growth"), F.lit(kind).alias("kind"), F.coalesce((F.lit(kind) == "MONO") & (delta < 0), F.lit(False)).alias("anomaly")),
                 )
             )
         out = F.when((source == s) & now.isNotNull() & then.isNotNull(), F.array_compact(F.array(*parts))).otherwise(out)
@@ -75,7 +75,7 @@ def growth_rate(raw: Column) -> Column:
 
 
 def _confidence(off: Column, high: Column, medium: Column) -> Column:
-    return F.when(off <= high * 1_000_000, "HIGH").when(off <= medium * 1_000_000, "MEDIUM").otherwise("LOW")
+    return F.when(off <= high.cast("long") * 1_000_000, "HIGH").when(off <= medium.cast("long") * 1_000_000, "MEDIUM").otherwise("LOW")
 
 
 def trends(snapshots: DataFrame, windows: tuple = WINDOWS) -> DataFrame:
@@ -138,7 +138,7 @@ def cluster_trends(members: DataFrame, trends: DataFrame, windows: tuple = WINDO
     some = rows.where(ok).groupBy("hot_cluster_id", "window").agg(
         F.count("*").alias("contributing"),
         clamp(F.sum(F.coalesce("momentum", F.lit(0.0))) / F.count("*"), 0, 100).alias("momentum"),
-        F.greatest(F.lit(-1.0), F.avg("growth_rate")).alias("growth_rate"),
+        F.when(F.count("growth_rate") > 0, F.greatest(F.lit(-1.0), F.avg("growth_rate"))).alias("growth_rate"),
         F.avg("acceleration").alias("acceleration"),
         F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.max(level).cast("int")).alias("confidence"),
         *(F.sum(F.coalesce(f"{d}_delta", F.lit(0.0))).alias(f"{d}_delta") for d in DIMENSIONS),

@@ -1 +1,246 @@
+"""DuckDB SQL for the queries of queries.py, over the driver's tables."""
+
+from __future__ import annotations
+
+from ..constants import EVENT_TYPES, METRICS, ROLES, SOURCES, STOP_WORDS
+
+_SOURCES = ", ".join(f"'{s}'" for s in SOURCES)
+_ROLE = "CASE source_type " + " ".join(f"WHEN '{s}' THEN '{r}'" for s, r in ROLES.items()) + " ELSE 'PRIMARY' END"
+
+ITEMS = f"""
+items AS (
+  SELECT doc_id AS hot_item_id, list_extract([{_SOURCES}], CAST(doc_id % 10 + 1 AS INT)) AS source_type, CAST(doc_id AS VARCHAR) AS external_id,
+    substring(text, 1, 100) AS title, substring(text, 1, 2000) AS summary,
+    CASE doc_id % 6 WHEN 0 THEN 'https://arxiv.org/abs/2401.' || lpad(CAST(doc_id % 500 AS VARCHAR), 5, '0')
+      WHEN 1 THEN 'https://github.com/org' || (doc_id % 20) || '/repo' || (doc_id % 50) WHEN 2 THEN 'https://huggingface.co/org' || (doc_id % 20) || '/model' || (doc_id % 50)
+      WHEN 3 THEN 'https://news.ycombinator.com/item?id=' || (doc_id % 300) WHEN 4 THEN 'https://twitter.com/u' || (doc_id % 30) || '/status/' || (doc_id % 400)
+      ELSE 'HTTPS://Example.COM:443/p/' || (doc_id % 100) || '?utm_source=x&b=2&a=1#frag' END AS source_url,
+    source AS author, n_chars % 700 AS points, doc_id % 250 AS comments_count, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(10 * doc_id) AS published_at
+  FROM documents),
+membership AS (
+  SELECT hot_item_id // 4 AS hot_cluster_id, hot_item_id, hot_item_id % 4 = 0 AS is_primary, published_at AS assigned_at, CASE WHEN hot_item_id % 7 = 6 THEN published_at END AS removed_at FROM items),
+clusters AS (
+  SELECT hot_item_id // 4 AS hot_cluster_id, arg_min(title, hot_item_id) AS title, arg_min(summary, hot_item_id) AS summary, min(published_at) AS first_seen_at, max(published_at) AS last_seen_at,
+    CASE WHEN (hot_item_id // 4) % 11 = 10 THEN 'ARCHIVED' ELSE 'ACTIVE' END AS status FROM items GROUP BY hot_item_id // 4),
+members AS (SELECT m.hot_cluster_id, m.is_primary, m.assigned_at, i.* FROM membership m JOIN items i USING (hot_item_id) WHERE m.removed_at IS NULL)"""
+
+V1 = """
+agg AS (SELECT hot_cluster_id, max(points) AS points, max(comments_count) AS comments, max(published_at) AS newest, count(*) AS n FROM members GROUP BY hot_cluster_id),
+parts AS (
+  SELECT hot_cluster_id, ln(1 + least(500.0, greatest(0, points))) / ln(501.0) * 35 AS points_score, ln(1 + least(200.0, greatest(0, comments))) / ln(201.0) * 20 AS comments_score,
+    greatest(0.0, 1 - floor(greatest(0, epoch_us(TIMESTAMP '2024-03-15 00:00:00') - epoch_us(newest)) / 3600000000.0) / 72.0) * 30.0 AS freshness_score, CAST(4.0 AS DOUBLE) AS keyword_score, least(5.0, 2.5 * (n - 1)) AS evidence_score FROM agg),
+scores AS (SELECT *, round(points_score + comments_score + freshness_score + keyword_score + evidence_score, 4) AS total_score FROM parts)"""
+
+_W = "WITH " + ITEMS.lstrip()
 ORACLES: dict[str, str] = {}
+
+ORACLES["score_v1_ranking"] = f"""{_W}, {V1}
+SELECT s.hot_cluster_id, s.total_score, round(points_score, 6) AS points_score, round(comments_score, 6) AS comments_score, round(freshness_score, 6) AS freshness_score, keyword_score, CAST(evidence_score AS DOUBLE) AS evidence_score
+FROM scores s JOIN clusters c USING (hot_cluster_id) ORDER BY total_score DESC, last_seen_at DESC, hot_cluster_id DESC LIMIT 50"""
+ORACLES["score_v1_all"] = f"{_W}, {V1} SELECT hot_cluster_id, total_score FROM scores"
+
+ORACLES["url_functions"] = r"""
+WITH p AS (SELECT page_id, trim(url) AS url, regexp_extract(trim(url), '^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$', ['scheme', 'host', 'path', 'query', 'frag']) AS u FROM pages),
+q AS (SELECT *, list_filter(string_split(substring(u.query, 2), '&'), lambda x: x <> '') AS parts FROM p),
+k AS (SELECT *, array_to_string(list_sort(list_filter(parts, lambda x: NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ('ref', 'source', 'fbclid', 'gclid'))), '&') AS kept,
+  array_to_string(list_filter(parts, lambda x: lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'msclkid', 'ref')), '&') AS safe FROM q)
+SELECT page_id, lower(u.scheme) || '://' || lower(u.host) || CASE WHEN u.path = '' THEN '/' ELSE u.path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical,
+  regexp_replace(lower(u.host), '^www\.', '') AS host, u.host AS loose_host, regexp_extract(url, '(?:https?://)?(?:www\.)?([^/]+)', 1) AS domain,
+  u.scheme || '://' || u.host || u.path || CASE WHEN safe <> '' THEN '?' || safe ELSE '' END || u.frag AS sanitized FROM k"""
+
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+_EVENT = "CASE WHEN hay = '' THEN 'UNKNOWN' " + " ".join("WHEN " + " OR ".join(f"contains(hay, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in EVENT_TYPES) + " ELSE 'UNKNOWN' END"
+_NAMES = {"claude": "claude", "llama": "llama", "gemini": "gemini", "midjourney": "midjourney", "meta": "meta", "google": "google", "mistral": "mistral", "apple": "apple", "amazon": "amazon", "openai": "openai", "nvidia": "nvidia", "microsoft": "microsoft", "anthropic": "anthropic", "deepmind": "deepmind", "deepseek": "deepseek"}
+_HITS = ", ".join(f"CASE WHEN contains(flat, ' {a} ') THEN '{v}' END" for v, a in sorted(_NAMES.items()))
+ORACLES["text_features"] = rf"""{_W},
+t AS (SELECT hot_item_id, title, summary, trim(regexp_replace(lower(regexp_replace(trim(title), '(?i)^(breaking|announcement|news|update|update\s*\d*|hot|exclusive|\[\s*[a-z\s_-]+\s*\]|\(\s*[a-z\s_-]+\s*\))\s*[:\-]\s*', '')), '[^a-z0-9]+', ' ', 'g')) AS normalized_title FROM items),
+h AS (SELECT *, lower(CASE WHEN normalized_title <> '' THEN ' ' || normalized_title ELSE '' END || CASE WHEN trim(summary) <> '' THEN ' ' || trim(summary) ELSE '' END) AS hay, ' ' || trim(regexp_replace(lower(title || ' ' || summary), '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM t)
+SELECT hot_item_id, normalized_title, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title || ' ' || summary), '[^a-z0-9]+'), lambda w: len(w) >= 3 AND w NOT IN ({_STOP})))), ' ') AS keywords,
+  {_EVENT} AS event_type, array_to_string(list_filter([{_HITS}], lambda x: x IS NOT NULL), ',') AS entities, sha256(trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS title_hash FROM h"""
+
+ORACLES["external_id_extraction"] = rf"""{_W}
+SELECT hot_item_id, nullif(regexp_extract(source_url, '^https://arxiv\.org/abs/(.*)$', 1), '') AS arxiv, nullif(regexp_extract(source_url, '^https://github\.com/(.*)$', 1), '') AS github,
+  nullif(regexp_extract(source_url, '^https://huggingface\.co/(.*)$', 1), '') AS hf_model, nullif(regexp_extract(source_url, '^https://news\.ycombinator\.com/item\?id=(.*)$', 1), '') AS hn_item,
+  nullif(regexp_extract(source_url, '^https://twitter\.com/[^/]*/status/(.*)$', 1), '') AS tweet, external_id AS external FROM items"""
+
+_L = "ln(1 + least({cap}.0, greatest(0, {v}))) / ln(1.0 + {cap}) * 100"
+_log = lambda v, cap: _L.format(v=v, cap=cap)
+ORACLES["normalized_items"] = rf"""{_W},
+n AS (SELECT *, trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS said, comments_count % 20 + 1 AS rank, points AS p, comments_count AS c FROM items)
+SELECT hot_item_id AS id, source_type, CASE source_type WHEN 'ARXIV' THEN 'PAPER' WHEN 'GITHUB' THEN 'REPOSITORY' WHEN 'HUGGING_FACE' THEN 'MODEL' WHEN 'HACKER_NEWS' THEN 'POST' WHEN 'HACKER_NEWS_SEARCH' THEN 'ARTICLE' WHEN 'WEIBO_HOT_SEARCH' THEN 'TREND' WHEN 'TWITTER' THEN 'POST' WHEN 'SOGOU_SEARCH' THEN 'SEARCH_RESULT' ELSE 'WEB_PAGE' END AS item_type,
+  CASE source_type WHEN 'GITHUB' THEN 'o/r' || external_id WHEN 'HUGGING_FACE' THEN 'o/m' || external_id ELSE said END AS title,
+  CAST(CASE source_type WHEN 'ARXIV' THEN 0 WHEN 'TWITTER' THEN p + 3 * c + p * 10 // 100 WHEN 'BING_SEARCH' THEN 21 - rank WHEN 'DUCKDUCKGO_SEARCH' THEN 21 - rank WHEN 'SOGOU_SEARCH' THEN 21 - rank ELSE p END AS BIGINT) AS points,
+  CAST(CASE WHEN source_type IN ('GITHUB', 'HUGGING_FACE', 'HACKER_NEWS', 'HACKER_NEWS_SEARCH') THEN c WHEN source_type = 'TWITTER' THEN c + 1 ELSE 0 END AS BIGINT) AS comments_count,
+  round(CASE source_type WHEN 'GITHUB' THEN {_log("p + p", 5000)} WHEN 'HUGGING_FACE' THEN {_log("c", 500)} WHEN 'HACKER_NEWS' THEN {_log("p", 500)} WHEN 'HACKER_NEWS_SEARCH' THEN {_log("p", 500)} WHEN 'TWITTER' THEN {_log("p * 10 + p", 100000)} WHEN 'WEIBO_HOT_SEARCH' THEN {_log("p", 1000000)} ELSE 0.0 END, 6) AS attention,
+  round(CASE source_type WHEN 'GITHUB' THEN {_log("c", 500)} WHEN 'HACKER_NEWS' THEN {_log("c", 200)} WHEN 'HACKER_NEWS_SEARCH' THEN {_log("c", 200)} WHEN 'TWITTER' THEN {_log("c + 1", 10000)} WHEN 'WEIBO_HOT_SEARCH' THEN greatest(0.0, 100.0 - 2 * (rank - 1)) ELSE 0.0 END, 6) AS discussion,
+  round(CASE source_type WHEN 'ARXIV' THEN 3 / 20.0 * 100 * 0.6 + 2 / 10.0 * 100 * 0.4 WHEN 'GITHUB' THEN {_log("p + 2 * c + p", 10000)} WHEN 'HUGGING_FACE' THEN {_log("p", 50000)} WHEN 'TWITTER' THEN {_log("p + 3 * c", 25000)} ELSE 0.0 END, 6) AS adoption,
+  round(CASE WHEN source_type IN ('BING_SEARCH', 'DUCKDUCKGO_SEARCH', 'SOGOU_SEARCH') THEN greatest(1, rank - least(20, rank) + 1) / rank::DOUBLE * 100.0 ELSE 0.0 END, 6) AS relevance,
+  CAST(CASE WHEN source_type IN ('BING_SEARCH', 'DUCKDUCKGO_SEARCH', 'SOGOU_SEARCH') THEN rank END AS INT) AS rank
+FROM n WHERE said <> '' OR source_type IN ('GITHUB', 'HUGGING_FACE')"""
+
+ORACLES["item_upsert"] = """
+SELECT event_type AS source_type, user_id AS external_id, arg_max(event_id, (ts, event_id)) AS id, round(arg_max(value, (ts, event_id)), 6) AS value, CAST(floor(epoch_us(min(ts)) / 1000000.0) AS BIGINT) AS first_seen, CAST(floor(epoch_us(max(ts)) / 1000000.0) AS BIGINT) AS last_seen
+FROM events GROUP BY event_type, user_id"""
+
+SNAPSHOTS = """
+snap AS (
+  SELECT event_id AS id, user_id AS hot_item_id, ts AS observed_at, event_type AS t, CASE event_type WHEN 'view' THEN 'BING_SEARCH' WHEN 'click' THEN 'HACKER_NEWS' WHEN 'purchase' THEN 'GITHUB' WHEN 'signup' THEN 'HUGGING_FACE' ELSE 'TWITTER' END AS source_type,
+    least(abs(value), 100.0) AS v, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
+snapshots AS (
+  SELECT id, hot_item_id, observed_at, source_type, CASE WHEN t IN ('click', 'signup', 'error') THEN v ELSE 0.0 END AS attention, CASE WHEN t IN ('click', 'error') THEN v / 2 ELSE 0.0 END AS discussion, CASE WHEN t IN ('purchase', 'signup') THEN v ELSE 0.0 END AS adoption,
+    CASE WHEN t = 'view' THEN v ELSE 0.0 END AS relevance, CASE WHEN t = 'view' THEN id % 20 + 1 END AS rank,
+    CASE t WHEN 'view' THEN ['rank'] WHEN 'click' THEN ['commentsCount', 'points'] WHEN 'purchase' THEN ['openIssuesCount', 'stargazersCount'] WHEN 'signup' THEN ['downloads'] ELSE ['likeCount'] END AS names,
+    CASE t WHEN 'view' THEN [k] WHEN 'click' THEN [k + 1, k] WHEN 'purchase' THEN [k * 2, k] WHEN 'signup' THEN [k] ELSE [k] END AS vals FROM snap),
+last AS (SELECT *, row_number() OVER (PARTITION BY hot_item_id ORDER BY observed_at DESC, id DESC) AS turn FROM snapshots)"""
+ORACLES["latest_snapshot"] = f"WITH {SNAPSHOTS} SELECT hot_item_id, id, CAST(turn AS BIGINT) AS turn FROM last WHERE turn <= 3"
+
+_DIM = ("attention", "discussion", "adoption", "relevance")
+_kinds = " UNION ALL ".join(f"SELECT '{s}' AS source_type, '{m}' AS metric, '{k}' AS kind, {dict(MONO=1.0, VOLATILE=0.6, RANK=0.3, RELEVANCE=0.0)[k]} AS weight" for s, ms in METRICS.items() for m, k in ms.items())
+_mom = lambda a, b: f"least(100.0, greatest(0.0, 0.25 * ({' + '.join(f'greatest(0.0, {a}.{d} - {b}.{d})' for d in _DIM)}) + CASE WHEN {b}.rank - {a}.rank > 0 THEN least({b}.rank - {a}.rank, 20) ELSE 0 END))"
+TRENDS = f"""{SNAPSHOTS},
+w AS (SELECT * FROM (VALUES ('1h', 3600::BIGINT, 900::BIGINT, 300::BIGINT, 600::BIGINT), ('6h', 21600, 3600, 1200, 2400), ('24h', 86400, 10800, 1800, 5400), ('3d', 259200, 43200, 10800, 21600)) AS w(code, target_s, most_s, high_s, medium_s)),
+cur AS (SELECT l.*, w.*, l.observed_at - to_seconds(w.target_s) AS target FROM last l CROSS JOIN w WHERE l.turn = 1),
+h1 AS (SELECT c.hot_item_id, c.code, s.id AS sid, s.observed_at AS at, row_number() OVER (PARTITION BY c.hot_item_id, c.code ORDER BY abs(epoch_us(s.observed_at) - epoch_us(c.target)), s.observed_at, s.id) AS n
+  FROM cur c JOIN snapshots s ON s.hot_item_id = c.hot_item_id AND s.observed_at BETWEEN c.target - to_seconds(c.most_s) AND c.target + to_seconds(c.most_s)),
+h AS (SELECT h1.code, s.* FROM h1 JOIN snapshots s ON s.id = h1.sid WHERE n = 1),
+p1 AS (SELECT c.hot_item_id, c.code, s.id AS sid, row_number() OVER (PARTITION BY c.hot_item_id, c.code ORDER BY abs(epoch_us(s.observed_at) - epoch_us(h.observed_at - to_seconds(c.target_s))), s.observed_at, s.id) AS n
+  FROM cur c JOIN h ON h.hot_item_id = c.hot_item_id AND h.code = c.code JOIN snapshots s ON s.hot_item_id = c.hot_item_id AND s.observed_at BETWEEN h.observed_at - to_seconds(c.target_s) - to_seconds(c.most_s) AND h.observed_at - to_seconds(c.target_s) + to_seconds(c.most_s)),
+p AS (SELECT p1.code, s.* FROM p1 JOIN snapshots s ON s.id = p1.sid WHERE n = 1),
+kinds AS ({_kinds}),
+cu AS (SELECT hot_item_id, code, source_type, unnest(names) AS metric, unnest(vals) AS x FROM cur),
+hu AS (SELECT h.hot_item_id, h.code, unnest(h.names) AS metric, unnest(h.vals) AS x FROM h),
+rawd AS (
+  SELECT k.hot_item_id, k.code AS "window", k.metric, k.kind, k.weight, hu.x AS previous, cu.x AS current, cu.x - hu.x AS delta, CASE WHEN hu.x > 0 AND cu.x IS NOT NULL THEN greatest(-1.0, (cu.x - hu.x) / hu.x) END AS growth, coalesce(k.kind = 'MONO' AND cu.x - hu.x < 0, false) AS anomaly
+  FROM (SELECT c.hot_item_id, c.code, kinds.* FROM cur c JOIN h USING (hot_item_id, code) JOIN kinds ON kinds.source_type = c.source_type) k
+  LEFT JOIN cu ON cu.hot_item_id = k.hot_item_id AND cu.code = k.code AND cu.metric = k.metric LEFT JOIN hu ON hu.hot_item_id = k.hot_item_id AND hu.code = k.code AND hu.metric = k.metric
+  WHERE cu.x IS NOT NULL OR hu.x IS NOT NULL),
+ra AS (SELECT hot_item_id, "window", bool_or(anomaly) AS reset, CASE WHEN count(CASE WHEN weight > 0 THEN growth END) > 0 THEN greatest(-1.0, sum(CASE WHEN weight > 0 AND growth IS NOT NULL THEN growth * weight END) / sum(CASE WHEN weight > 0 AND growth IS NOT NULL THEN weight END)) END AS growth_rate FROM rawd GROUP BY 1, 2),
+trends AS (
+  SELECT c.hot_item_id, c.code AS "window", {", ".join(f"c.{d} - h.{d} AS {d}_delta" for d in _DIM)}, CAST(h.rank - c.rank AS INT) AS rank_delta, CASE WHEN h.id IS NOT NULL THEN {_mom("c", "h")} END AS momentum,
+    0.25 * ({" + ".join(f"(c.{d} - h.{d})" for d in _DIM)}) + CASE WHEN h.rank - c.rank IS NOT NULL THEN greatest(-20, least(20, h.rank - c.rank)) ELSE 0 END AS velocity,
+    CASE WHEN abs(epoch_us(h.observed_at) - epoch_us(c.target)) <= c.high_s * 1000000 THEN 'HIGH' WHEN abs(epoch_us(h.observed_at) - epoch_us(c.target)) <= c.medium_s * 1000000 THEN 'MEDIUM' ELSE 'LOW' END AS level,
+    h.id IS NOT NULL AS known, ra.reset, ra.growth_rate, CASE WHEN p.id IS NOT NULL THEN {_mom("c", "h")} - {_mom("h", "p")} END AS acceleration
+  FROM cur c LEFT JOIN h ON h.hot_item_id = c.hot_item_id AND h.code = c.code LEFT JOIN p ON p.hot_item_id = c.hot_item_id AND p.code = c.code LEFT JOIN ra ON ra.hot_item_id = c.hot_item_id AND ra."window" = c.code),
+tr AS (SELECT *, CASE WHEN NOT known THEN 'UNKNOWN' WHEN reset THEN 'METRIC_RESET' ELSE level END AS confidence FROM trends)"""
+ORACLES["item_trends"] = f"""WITH {TRENDS} SELECT hot_item_id, "window", {", ".join(f"round({d}_delta, 6) AS {d}_delta" for d in _DIM)}, rank_delta, round(momentum, 6) AS momentum, CASE WHEN known THEN round(velocity, 6) END AS velocity, confidence, round(growth_rate, 6) AS growth_rate, round(acceleration, 6) AS acceleration FROM tr"""
+ORACLES["growth_24h"] = f"""WITH {TRENDS} SELECT hot_item_id, {", ".join(f"round({d}_delta, 6) AS {d}_delta" for d in _DIM)}, round(momentum, 6) AS momentum,
+  CASE WHEN NOT known THEN 'UNKNOWN' WHEN {" OR ".join(f"{d}_delta < 0" for d in _DIM)} THEN 'METRIC_RESET' ELSE level END AS confidence FROM tr WHERE "window" = '24h'"""
+CLUSTER = f"""{TRENDS},
+em AS (SELECT hot_item_id % 40 AS hot_cluster_id, hot_item_id, {_ROLE} AS role, 'https://x.example/' || (hot_item_id % 3) AS url, rank, attention, discussion, adoption, relevance, observed_at AS published_at FROM last WHERE turn = 1),
+one AS (SELECT *, row_number() OVER (PARTITION BY hot_cluster_id, url ORDER BY rank NULLS LAST, hot_item_id) AS n FROM em WHERE role = 'DISCOVERY'),
+kept AS (SELECT hot_cluster_id, hot_item_id FROM one WHERE n = 1 UNION ALL SELECT hot_cluster_id, hot_item_id FROM em WHERE role <> 'DISCOVERY'),
+ct AS (
+  SELECT hot_cluster_id, "window", count(*) AS contributing, least(100.0, greatest(0.0, sum(momentum) / count(*))) AS momentum, CASE WHEN count(growth_rate) > 0 THEN greatest(-1.0, avg(growth_rate)) END AS growth_rate, avg(acceleration) AS acceleration,
+    max(CASE confidence WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END) AS level, sum(attention_delta) + sum(discussion_delta) + sum(adoption_delta) + sum(relevance_delta) AS total
+  FROM kept JOIN tr USING (hot_item_id) WHERE confidence <> 'UNKNOWN' GROUP BY 1, 2),
+cte AS (
+  SELECT e.hot_cluster_id, e.code AS "window", ct.contributing, ct.momentum, ct.growth_rate, ct.acceleration, CASE ct.level WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LOW' WHEN 4 THEN 'METRIC_RESET' ELSE 'UNKNOWN' END AS confidence,
+    CASE WHEN ct.contributing IS NULL THEN 'NEW' WHEN total > 5 THEN CASE WHEN ct.acceleration < 0 THEN 'PEAKING' ELSE 'RISING' END WHEN total < -5 THEN 'COOLING' ELSE 'STABLE' END AS state
+  FROM (SELECT DISTINCT em.hot_cluster_id, w.code FROM em CROSS JOIN w) e LEFT JOIN ct ON ct.hot_cluster_id = e.hot_cluster_id AND ct."window" = e.code)"""
+ORACLES["cluster_trends"] = f"""WITH {CLUSTER} SELECT hot_cluster_id, "window", contributing, round(momentum, 6) AS momentum, round(growth_rate, 6) AS growth_rate, round(acceleration, 6) AS acceleration, confidence, state FROM cte"""
+ORACLES["cluster_raw_deltas"] = f"""WITH {CLUSTER}
+SELECT hot_cluster_id, r."window", metric, round(sum(delta), 6) AS delta, round(avg(growth), 6) AS growth, round(arg_max_null(previous, hot_item_id), 6) AS previous, round(arg_max_null(current, hot_item_id), 6) AS current, bool_or(anomaly) AS anomaly
+FROM kept JOIN rawd r USING (hot_item_id) GROUP BY 1, 2, 3"""
+ORACLES["score_v2"] = f"""WITH {CLUSTER},
+m AS (
+  SELECT hot_cluster_id, min(published_at) AS first_seen_at, max(CASE WHEN role = 'ADOPTION' THEN adoption END) AS ad_max, avg(CASE WHEN role = 'ADOPTION' THEN adoption END) AS ad_avg, max(CASE WHEN role = 'COMMUNITY' THEN discussion END) AS di_max, avg(CASE WHEN role = 'COMMUNITY' THEN discussion END) AS di_avg,
+    max(CASE WHEN role = 'DISCOVERY' THEN relevance END) AS re_max, avg(CASE WHEN role = 'DISCOVERY' THEN relevance END) AS re_avg, max(CASE role WHEN 'PRIMARY' THEN 85.0 WHEN 'ADOPTION' THEN 60.0 WHEN 'COMMUNITY' THEN 45.0 WHEN 'DISCOVERY' THEN 25.0 END) AS authority,
+    count(DISTINCT CASE WHEN role <> 'DISCOVERY' THEN role END) AS roles, count(CASE WHEN role = 'DISCOVERY' THEN 1 END) AS urls, min(CASE WHEN role <> 'DISCOVERY' THEN published_at END) AS event_at FROM em GROUP BY 1),
+c AS (
+  SELECT m.hot_cluster_id, CASE WHEN d.momentum IS NOT NULL THEN least(100.0, greatest(0.0, d.momentum * CASE d.confidence WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.85 WHEN 'LOW' THEN 0.6 ELSE 0.3 END)) ELSE 10.0 END AS c_momentum,
+    CASE WHEN ad_max IS NOT NULL THEN least(100.0, greatest(0.0, ad_max + 0.15 * ad_avg)) ELSE 0.0 END AS c_adoption, 100.0 * greatest(0.0, 1 - floor(greatest(0, epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(coalesce(event_at, first_seen_at))) / 3600000000.0) / 72.0) AS c_freshness,
+    CASE WHEN re_max IS NOT NULL THEN least(100.0, greatest(0.0, re_max + 0.10 * re_avg)) ELSE 50.0 END AS c_relevance, CAST(coalesce(authority, 20.0) AS DOUBLE) AS c_authority, CASE WHEN di_max IS NOT NULL THEN least(100.0, greatest(0.0, di_max + 0.15 * di_avg)) ELSE 0.0 END AS c_discussion,
+    CAST(least(100.0, 25.0 * (roles + CASE WHEN urls > 0 THEN 1 ELSE 0 END)) AS DOUBLE) AS c_evidencediversity
+  FROM m LEFT JOIN cte d ON d.hot_cluster_id = m.hot_cluster_id AND d."window" = '24h')
+SELECT hot_cluster_id, round(least(100.0, greatest(0.0, c_adoption * 0.15 + c_authority * 0.10 + c_discussion * 0.10 + c_evidencediversity * 0.10 + c_freshness * 0.15 + c_momentum * 0.25 + c_relevance * 0.15)), 4) AS total_score,
+  round(c_momentum, 6) AS c_momentum, round(c_adoption, 6) AS c_adoption, round(c_freshness, 6) AS c_freshness, round(c_relevance, 6) AS c_relevance, c_authority, round(c_discussion, 6) AS c_discussion, c_evidencediversity FROM c"""
+
+HISTORY = """
+sc AS (SELECT o_orderkey AS id, o_custkey AS hot_cluster_id, CASE WHEN o_orderkey % 3 = 0 THEN 'cross-source-score-v2' ELSE 'hn-score-v1' END AS scoring_version, o_totalprice AS total_score, o_orderdate AS calculated_at FROM orders),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hot_cluster_id, scoring_version ORDER BY calculated_at DESC, id DESC) AS n FROM sc) WHERE n = 1)"""
+ORACLES["latest_scores"] = f"WITH {HISTORY} SELECT hot_cluster_id, scoring_version, id, total_score FROM latest"
+ORACLES["resolved_scores"] = f"WITH {HISTORY} SELECT hot_cluster_id, total_score, scoring_version FROM (SELECT *, row_number() OVER (PARTITION BY hot_cluster_id ORDER BY scoring_version = 'cross-source-score-v2' DESC) AS k FROM latest) WHERE k = 1"
+ORACLES["top_difference"] = f"""WITH {HISTORY},
+a AS (SELECT hot_cluster_id FROM latest WHERE scoring_version = 'hn-score-v1' ORDER BY total_score DESC, hot_cluster_id LIMIT 20), b AS (SELECT hot_cluster_id FROM latest WHERE scoring_version <> 'hn-score-v1' ORDER BY total_score DESC, hot_cluster_id LIMIT 20)
+SELECT count(*) AS difference FROM a FULL JOIN b USING (hot_cluster_id) WHERE a.hot_cluster_id IS NULL OR b.hot_cluster_id IS NULL"""
+
+ORACLES["clusters_v1"] = f"""{_W} SELECT hot_item_id, min(hot_item_id) OVER (PARTITION BY source_url) AS hot_cluster_id, CASE WHEN min(hot_item_id) OVER (PARTITION BY source_url) = hot_item_id THEN 'SINGLETON' ELSE 'CANONICAL_URL' END AS match_method FROM items"""
+ORACLES["primary_items"] = f"""{_W} SELECT hot_cluster_id, hot_item_id AS primary_item_id FROM (SELECT *, row_number() OVER (PARTITION BY hot_cluster_id ORDER BY CASE {_ROLE} WHEN 'PRIMARY' THEN 5 WHEN 'ADOPTION' THEN 4 WHEN 'COMMUNITY' THEN 2 ELSE 1 END DESC, hot_item_id) AS n FROM members) WHERE n = 1"""
+
+RULES = """rules AS (SELECT * FROM (VALUES (1, ['the', 'license'], CAST([] AS VARCHAR[]), 10.0, 24), (2, ['und'], ['GITHUB', 'ARXIV'], 0.0, 6), (4, ['zzzz'], CAST([] AS VARCHAR[]), 0.0, 24)) AS r(rule_id, keywords, sources, least_score, hours))"""
+ALERTS = f"""{_W}, {V1}, {RULES},
+said AS (
+  SELECT c.hot_cluster_id, lower(coalesce(c.title, '') || chr(10) || coalesce(c.summary, '')) || chr(10) || coalesce(string_agg(lower(concat_ws(chr(10), m.title, m.summary, m.source_url)), chr(10)), '') AS hay, list(DISTINCT m.source_type) AS srcs
+  FROM clusters c LEFT JOIN members m USING (hot_cluster_id) WHERE c.status = 'ACTIVE' GROUP BY c.hot_cluster_id, c.title, c.summary),
+found AS (
+  SELECT r.rule_id, s.hot_cluster_id, list_filter(r.keywords, lambda k: contains(s.hay, k)) AS hits, r.hours FROM said s CROSS JOIN rules r LEFT JOIN scores x ON x.hot_cluster_id = s.hot_cluster_id
+  WHERE (len(r.sources) = 0 OR list_has_any(r.sources, s.srcs)) AND coalesce(x.total_score, 0) >= r.least_score)"""
+ORACLES["alert_matching"] = f"""{ALERTS}
+SELECT CAST(rule_id AS BIGINT) AS rule_id, hot_cluster_id, replace(array_to_string(hits, ','), 'license', 'LICENSE') AS matched, sha256(rule_id || ':' || hot_cluster_id || ':' || CAST(floor(epoch(TIMESTAMP '2024-03-15 00:00:00') / (hours * 3600)) AS BIGINT)) AS suppression_key, true AS created FROM found WHERE len(hits) > 0"""
+ORACLES["alert_counters"] = f"""{ALERTS} SELECT count(*) AS matched, count(*) AS created, CAST(0 AS BIGINT) AS suppressed, (SELECT count(*) FROM clusters WHERE status = 'ACTIVE') AS scanned FROM found WHERE len(hits) > 0"""
+
+_PLACED = """
+ev AS (SELECT hot_cluster_id, hot_item_id, source_type, row_number() OVER (PARTITION BY hot_cluster_id ORDER BY NOT is_primary, assigned_at, hot_item_id) AS place FROM members),
+fs AS (SELECT hot_cluster_id, source_type, min(place) AS place FROM ev GROUP BY 1, 2),
+srcs AS (SELECT hot_cluster_id, string_agg(source_type, ',' ORDER BY place) AS sources FROM fs GROUP BY 1),
+cnt AS (SELECT hot_cluster_id, count(*) AS item_count FROM ev GROUP BY 1)"""
+ORACLES["cluster_evidence"] = f"{_W}, {_PLACED} SELECT hot_cluster_id, hot_item_id, place, source_type FROM ev"
+ORACLES["cluster_timeline"] = f"{_W} SELECT hot_cluster_id, hot_item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY hot_cluster_id ORDER BY published_at, hot_item_id) AS place FROM members) WHERE place <= 2"
+ORACLES["cluster_page"] = f"""{_W}, {V1}, {_PLACED}
+SELECT c.hot_cluster_id, s.total_score, cnt.item_count, srcs.sources FROM (SELECT * FROM clusters WHERE status = 'ACTIVE' AND hot_cluster_id IN (SELECT hot_cluster_id FROM members WHERE source_type = 'GITHUB')) c
+LEFT JOIN scores s USING (hot_cluster_id) LEFT JOIN srcs USING (hot_cluster_id) LEFT JOIN cnt USING (hot_cluster_id) ORDER BY coalesce(s.total_score, 0) DESC, c.last_seen_at DESC, c.hot_cluster_id DESC LIMIT 25 OFFSET 25"""
+ORACLES["daily_reports"] = f"""{_W}, {V1}, {_PLACED},
+r AS (SELECT c.hot_cluster_id, c.title, CAST(c.last_seen_at AS DATE) AS d, row_number() OVER (PARTITION BY CAST(c.last_seen_at AS DATE) ORDER BY coalesce(s.total_score, 0) DESC, c.last_seen_at DESC, c.hot_cluster_id DESC) AS place FROM clusters c LEFT JOIN scores s USING (hot_cluster_id) WHERE status = 'ACTIVE'),
+n AS (SELECT d, count(*) AS cluster_count FROM r GROUP BY d),
+x AS (SELECT r.d, fs.source_type, min(r.place * 1000 + fs.place) AS o FROM r JOIN fs USING (hot_cluster_id) WHERE r.place <= 10 GROUP BY 1, 2),
+cov AS (SELECT d, string_agg(source_type, ', ' ORDER BY o) AS covered FROM x GROUP BY d)
+SELECT CAST(r.d AS VARCHAR) AS report_date, any_value(n.cluster_count) AS cluster_count, string_agg(CAST(r.hot_cluster_id AS VARCHAR), ',' ORDER BY r.place) AS top_cluster_ids, 'AI Radar Daily Report for ' || r.d AS title,
+  'Tracked ' || any_value(n.cluster_count) || ' active clusters on ' || r.d || '. Top cluster: ' || arg_min(r.title, r.place) || '. Sources covered: ' || any_value(cov.covered) || '.' AS summary
+FROM r JOIN n USING (d) JOIN cov USING (d) WHERE r.place <= 10 GROUP BY r.d"""
+ORACLES["page_summary"] = f"""{_W}, {V1} SELECT round(avg(total_score), 2) AS mean_score, max(total_score) AS max_score, count(*) FILTER (epoch(last_seen_at) >= epoch(TIMESTAMP '2024-03-15 00:00:00') - 86400) AS fresh, count(*) AS n FROM clusters JOIN scores USING (hot_cluster_id) WHERE contains(lower(title), 'the') AND total_score >= 5"""
+ORACLES["cluster_analysis"] = f"""{_W},
+a AS (SELECT hot_cluster_id, count(*) AS n, count(DISTINCT source_type) AS s, arg_max(source_type, (published_at, hot_item_id)) AS latest, string_agg(CAST(hot_item_id AS VARCHAR), ',' ORDER BY hot_item_id) AS ids FROM members GROUP BY 1)
+SELECT hot_cluster_id, CASE WHEN s >= 2 AND n >= 2 THEN 'HIGH' WHEN n >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, 'The cluster currently aggregates ' || n || ' evidence item(s).' AS first_signal, 'Latest evidence came from ' || latest || '.' AS last_signal,
+  CASE WHEN s > 1 AND n >= 3 THEN 'Cross-source clustering should still be spot-checked against raw evidence.' ELSE concat_ws(' ', CASE WHEN s <= 1 THEN 'This signal still depends on a single source family.' END, CASE WHEN n < 3 THEN 'Evidence density is still light, so the narrative may shift after the next crawl.' END) END AS risks, sha256(ids) AS input_hash FROM a"""
+ORACLES["due_sources"] = """
+WITH l AS (SELECT o_custkey AS source_id, max(o_orderdate) AS last, bool_or(o_orderkey % 50 = 0) AS busy FROM orders GROUP BY 1),
+d AS (SELECT c_custkey AS source_id, (c_custkey % 7) * 36000 AS every, CASE WHEN c_custkey % 9 = 0 OR c_custkey % 7 = 0 THEN 'DISABLED' WHEN l.busy THEN 'IN_FLIGHT' WHEN epoch(l.last) + (c_custkey % 7) * 36000 > epoch(TIMESTAMP '1998-08-01 00:00:00') THEN 'NOT_YET_DUE' ELSE 'RUN' END AS decision FROM customer LEFT JOIN l ON l.source_id = c_custkey)
+SELECT source_id, decision, CASE WHEN decision = 'RUN' THEN 'scheduled:' || source_id || ':' || CAST(floor(epoch(TIMESTAMP '1998-08-01 00:00:00') / every) AS BIGINT) END AS idempotency_key FROM d"""
+ORACLES["pair_evaluation"] = f"""{_W},
+spot AS (SELECT hot_item_id, hot_cluster_id AS c FROM members),
+p AS (SELECT CASE WHEN quality = 1 THEN 'OTHER' ELSE 'MODEL_RELEASE' END AS category, doc_id % 2 = 0 AS must, a.c AS ca, b.c AS cb FROM labels LEFT JOIN spot a ON a.hot_item_id = doc_id LEFT JOIN spot b ON b.hot_item_id = doc_id + 1),
+g AS (SELECT category, count(*) FILTER (must AND ca = cb) AS tp, count(*) FILTER (NOT must AND ca = cb) AS fp, count(*) FILTER (NOT must AND ca <> cb) AS tn, count(*) FILTER (must AND ca <> cb) AS fn, count(*) FILTER (ca IS NULL OR cb IS NULL) AS missing FROM p GROUP BY ROLLUP (category)),
+r AS (SELECT *, tp / nullif(tp + fp, 0)::DOUBLE AS p, tp / nullif(tp + fn, 0)::DOUBLE AS r FROM g)
+SELECT category, tp, fp, tn, fn, missing, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 6) AS f1, round(fp / nullif(fp + tn, 0)::DOUBLE, 6) AS false_merge, round(fn / nullif(tp + fn, 0)::DOUBLE, 6) AS false_split FROM r"""
+ORACLES["ranking_evaluation"] = f"""{_W}, {V1},
+l AS (SELECT doc_id // 4 AS hot_cluster_id, doc_id % 5 AS window_start, CASE WHEN quality = 1 AND toxic = 0 THEN 3 WHEN quality = 1 THEN 2 WHEN toxic = 0 THEN 1 ELSE 0 END AS gain, doc_id % 13 = 0 AS is_major, doc_id AS pos FROM labels),
+j AS (SELECT l.*, s.total_score FROM l LEFT JOIN scores s USING (hot_cluster_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY total_score DESC, pos) AS rank, row_number() OVER (PARTITION BY window_start ORDER BY gain DESC, pos) AS best FROM j WHERE total_score IS NOT NULL),
+m AS (SELECT window_start, sum(CASE WHEN rank <= 10 THEN (pow(2, gain) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN best <= 10 THEN (pow(2, gain) - 1) / log2(best + 1) ELSE 0 END) AS idcg, count(*) FILTER (rank <= 10 AND gain >= 2) AS rel, count(*) FILTER (rank <= 10 AND gain = 0) AS noise, least(10, count(*)) AS shown, count(*) FILTER (is_major AND rank > 10) AS missed FROM k GROUP BY 1),
+x AS (SELECT window_start, count(*) FILTER (total_score IS NULL) AS missing, count(*) FILTER (is_major) AS major, count(*) FILTER (is_major AND total_score IS NULL) AS lost FROM j GROUP BY 1)
+SELECT x.window_start, missing, round(dcg / nullif(idcg, 0), 6) AS ndcg, round(rel / nullif(shown, 0)::DOUBLE, 6) AS precision_at_n, round(noise / nullif(shown, 0)::DOUBLE, 6) AS noise_at_n, round((coalesce(missed, 0) + lost) / nullif(major, 0)::DOUBLE, 6) AS major_miss_rate FROM x LEFT JOIN m USING (window_start)"""
+ORACLES["evaluation_run"] = f"""{_W}, {V1},
+a AS (SELECT 'SCORE_THRESHOLD' AS case_type, CASE WHEN s.total_score IS NULL THEN 'ERROR' WHEN s.total_score >= 8.0 THEN 'PASSED' ELSE 'FAILED' END AS status FROM labels l LEFT JOIN scores s ON s.hot_cluster_id = l.doc_id // 4),
+b AS (SELECT 'CLUSTER_MEMBERSHIP' AS case_type, CASE WHEN x.hot_cluster_id IS NULL OR y.hot_cluster_id IS NULL THEN 'ERROR' WHEN x.hot_cluster_id = y.hot_cluster_id THEN 'PASSED' ELSE 'FAILED' END AS status FROM labels l LEFT JOIN members x ON x.hot_item_id = l.doc_id LEFT JOIN members y ON y.hot_item_id = l.doc_id + 1)
+SELECT case_type, count(*) FILTER (status = 'PASSED') AS passed, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'ERROR') AS errors, count(*) AS total, round(count(*) FILTER (status = 'PASSED') / count(*)::DOUBLE, 4) AS pass_rate FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ROLLUP (case_type)"""
+ORACLES["label_pairs"] = f"""{_W},
+spot AS (SELECT hot_item_id, hot_cluster_id AS c, regexp_extract(CASE WHEN hot_item_id % 6 = 5 THEN 'https://example.com/' ELSE source_url END, '(?:https?://)?(?:www\\.)?([^/]+)', 1) AS d FROM members WHERE hot_item_id % 6 > 3),
+u AS (SELECT a.hot_item_id AS a, b.hot_item_id AS b, 'same_cluster' AS reason FROM spot a JOIN spot b ON a.c = b.c AND b.hot_item_id > a.hot_item_id UNION SELECT a.hot_item_id, b.hot_item_id, 'same_domain' FROM spot a JOIN spot b ON a.d = b.d AND b.hot_item_id > a.hot_item_id AND a.c IS DISTINCT FROM b.c)
+SELECT reason, count(*) AS n, CAST(sum(a) AS BIGINT) AS sum_a, CAST(sum(b) AS BIGINT) AS sum_b FROM u GROUP BY reason"""
+ORACLES["review_queue"] = "SELECT l_orderkey * 10 + l_linenumber AS cluster_match_decision_id, 'OPEN' AS status FROM lineitem WHERE l_returnflag = 'R' AND (l_orderkey * 10 + l_linenumber) % 3 <> 0"
+ORACLES["moved_items"] = f"""{_W},
+n AS (SELECT hot_cluster_id, count(*) AS k FROM members GROUP BY 1)
+SELECT hot_cluster_id, CASE WHEN hot_cluster_id % 5 = 0 AND n.k > 0 THEN 'MERGED' ELSE status END AS status, CASE WHEN hot_cluster_id % 5 = 0 AND n.k > 0 THEN hot_cluster_id + 1 END AS merged_into_cluster_id FROM clusters LEFT JOIN n USING (hot_cluster_id)"""
+ORACLES["page_checks"] = "SELECT page_id, " + " OR ".join(f"contains(lower(html), '{w}')" for w in ("captcha", "cf-challenge", "cloudflare", "access denied", "enable javascript")) + " AS blocked, contains(lower(html), 'did not match') AS empty, contains(lower(html), '<noscript') AND contains(lower(html), 'javascript') AS javascript FROM pages"
+ORACLES["alternate_titles"] = "SELECT conv_id AS rank FROM conversations WHERE turn = 0 AND (contains(lower(text), 'the') OR contains(lower(role), 'the'))"
+ORACLES["traffic"] = """SELECT o_orderkey, CAST(o_orderkey % 100 AS BIGINT) AS bucket, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS day,
+  CASE WHEN o_orderdate IS NULL THEN '-' ELSE CAST(floor((epoch(TIMESTAMP '2010-01-01 00:00:00') - epoch(o_orderdate)) / 86400) AS BIGINT) || 'd ago' END AS age FROM orders"""
+
+MATCHES = f"""{_W},
+found AS (
+  SELECT a.hot_item_id, b.hot_item_id AS other_id, b.hot_cluster_id FROM items a JOIN members b ON a.source_url = b.source_url AND a.hot_item_id <> b.hot_item_id AND b.published_at >= a.published_at - INTERVAL 72 HOUR)"""
+ORACLES["match_candidates"] = f"{MATCHES} SELECT hot_item_id, other_id, 'CANONICAL_URL' AS signal, hot_cluster_id, 'L1' AS layer, CAST(0.97 AS DOUBLE) AS score, 'ACCEPTED' AS decision FROM found"
+ORACLES["best_candidates"] = f"{MATCHES} SELECT hot_item_id, min(other_id) AS other_id, CAST(0.97 AS DOUBLE) AS score, 'ACCEPTED' AS decision FROM found GROUP BY hot_item_id"
+ORACLES["online_gate"] = f"""{MATCHES}
+SELECT i.hot_item_id, CASE WHEN i.hot_item_id % 100 >= 60 THEN 'TRAFFIC_NOT_SELECTED' WHEN f.o IS NULL THEN 'NO_BEST_CANDIDATE' WHEN f.c = i.hot_item_id // 4 THEN 'TARGET_EQUALS_SOURCE' END AS skip_reason
+FROM items i LEFT JOIN (SELECT hot_item_id, min(other_id) AS o, arg_min(hot_cluster_id, other_id) AS c FROM found GROUP BY 1) f USING (hot_item_id)"""

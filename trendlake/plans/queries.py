@@ -149,7 +149,7 @@ def score_v2(spark, sf_dir):
 def _scores(spark, sf_dir):
     """Two runs of either version from orders: a history of scores."""
     o = D.read(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("hot_cluster_id"), F.when(F.pmod("o_orderkey", F.lit(3)) == 0, S.V2).otherwise(S.V1).alias("scoring_version"), F.round(F.col("o_totalprice") / 10000, 4).alias("total_score"), F.col("o_orderdate").cast("timestamp").alias("calculated_at"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("hot_cluster_id"), F.when(F.pmod("o_orderkey", F.lit(3)) == 0, S.V2).otherwise(S.V1).alias("scoring_version"), F.col("o_totalprice").alias("total_score"), F.col("o_orderdate").cast("timestamp").alias("calculated_at"))
 
 
 @query
@@ -174,7 +174,7 @@ def primary_items(spark, sf_dir):
 
 def _decisions(spark, sf_dir, most=None):
     items = D.items(spark, sf_dir)
-    feats = M.features(items.withColumn("summary", F.lit("")).withColumn("author", F.lit(None).cast("string")))
+    feats = M.features(items.withColumn("summary", F.lit("")).withColumn("author", F.lit(None).cast("string"))).persist()
     pairs = M.candidates(feats.withColumn("keywords", F.array().cast("array<string>")), D.memberships(items), most=most)
     return M.decide(pairs, feats)
 
@@ -333,6 +333,6 @@ def alternate_titles(spark, sf_dir):
 @query
 def traffic(spark, sf_dir):
     o = F.col("o_orderkey").cast("long")
-    return D.read(spark, sf_dir, "orders").select("o_orderkey", N.traffic_bucket(o).cast("long").alias("bucket"), N.bucket(F.col("o_orderdate").cast("timestamp"), 86400).alias("day"), T.relative_time(F.col("o_orderdate").cast("timestamp"), F.lit("1998-08-02 00:00:00").cast("timestamp")).alias("age"))
+    return D.read(spark, sf_dir, "orders").select("o_orderkey", N.traffic_bucket(o).cast("long").alias("bucket"), N.bucket(F.col("o_orderdate").cast("timestamp"), 86400).alias("day"), T.relative_time(F.col("o_orderdate").cast("timestamp"), F.lit("2010-01-01 00:00:00").cast("timestamp")).alias("age"))
 
 
