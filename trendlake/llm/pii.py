@@ -199,5 +199,6 @@ def surrogates(docs: DataFrame, key: str = "trendlake") -> DataFrame:
     put = F.transform("es", lambda e: F.element_at(F.col("m"), e)["new"])
     new = F.array_join(F.flatten(F.zip_with("gaps", F.concat(put, F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
     kinds = F.transform("es", lambda e: F.element_at(F.col("m"), e)["k"])
-    rows = rows.select(*(new.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names), F.struct(F.size("es").alias("n"), kinds.alias("kinds")).alias("pii"))
+    rows = rows.select("row", F.struct(new.alias("text"), F.size("es").alias("n"), kinds.alias("kinds")).alias("done"))
+    rows = rows.select(*(F.col("done.text") if c == "text" else F.col("row")[c].alias(c) for c in names), F.struct("done.n", "done.kinds").alias("pii"))
     return rest.unionByName(rows)
