@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_crf, langid, mixing, ogg, pii, sentence_spans, sentencepiece_trie, toxicity, vector_join
+from . import html_crf, langid, mixing, ngram_jaccard, ogg, pii, sentence_spans, sentencepiece_trie, toxicity, vector_join
 from .common import table
-from .ngram_jaccard import jaccard_components
 
 QUERIES, ORACLES = {}, {}
 
@@ -18,7 +17,10 @@ def query(f):
 
 @query
 def op1_ngram_jaccard_join(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_ngram_jaccard_join"] = ngram_jaccard.ORACLE
 
 
 @query
