@@ -111,3 +111,8 @@ def match_or_top(topics: DataFrame, needle: str, n: int = 5) -> DataFrame:
 
 def tweet_query(words: Column, since: Column, likes: int) -> Column:
     return F.concat_ws(" ", words, F.lit("-filter:retweets -filter:replies"), F.concat(F.lit("since:"), F.date_format(since, "yyyy-MM-dd")), F.when(F.lit(likes) > 0, F.lit(f"min_faves:{likes}")))
+
+
+def top_tweets(tweets: DataFrame, n: int) -> DataFrame:
+    """The n tweets with the best score; equal ones by id."""
+    return tweets.orderBy(tweet_score(F.col("like_count"), F.col("retweet_count"), F.col("view_count")).desc(), "tweet_id").limit(n)

@@ -244,3 +244,23 @@ ORACLES["best_candidates"] = f"{MATCHES} SELECT hot_item_id, min(other_id) AS ot
 ORACLES["online_gate"] = f"""{MATCHES}
 SELECT i.hot_item_id, CASE WHEN i.hot_item_id % 100 >= 60 THEN 'TRAFFIC_NOT_SELECTED' WHEN f.o IS NULL THEN 'NO_BEST_CANDIDATE' WHEN f.c = i.hot_item_id // 4 THEN 'TARGET_EQUALS_SOURCE' END AS skip_reason
 FROM items i LEFT JOIN (SELECT hot_item_id, min(other_id) AS o, arg_min(hot_cluster_id, other_id) AS c FROM found GROUP BY 1) f USING (hot_item_id)"""
+
+ORACLES["title_overlap_pairs"] = f"""{_W} SELECT a.hot_item_id AS a, count(*) AS n, CAST(sum(b.hot_item_id) AS BIGINT) AS sum_b FROM items a JOIN items b ON a.hot_item_id < b.hot_item_id AND len(b.title) >= 8 AND contains(lower(a.title), lower(substring(b.title, 1, 8))) GROUP BY 1"""
+BATCH = rf"""{_W},
+n AS (SELECT *, trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS said, comments_count % 20 + 1 AS rank, CASE WHEN hot_item_id % 6 = 5 THEN 'https://example.com/p/' || (hot_item_id % 100) || '?a=1&b=2' ELSE source_url END AS url FROM items),
+m AS (
+  SELECT hot_item_id, min(hot_item_id) OVER (PARTITION BY url) AS cl, published_at,
+    CASE source_type WHEN 'ARXIV' THEN 0 WHEN 'TWITTER' THEN points + 3 * comments_count + points * 10 // 100 WHEN 'BING_SEARCH' THEN 21 - rank WHEN 'DUCKDUCKGO_SEARCH' THEN 21 - rank WHEN 'SOGOU_SEARCH' THEN 21 - rank ELSE points END AS p,
+    CASE WHEN source_type IN ('GITHUB', 'HUGGING_FACE', 'HACKER_NEWS', 'HACKER_NEWS_SEARCH') THEN comments_count WHEN source_type = 'TWITTER' THEN comments_count + 1 ELSE 0 END AS c
+  FROM n WHERE said <> '' OR source_type IN ('GITHUB', 'HUGGING_FACE'))"""
+ORACLES["ingest_batch"] = f"""{BATCH},
+g AS (SELECT cl, max(p) AS p, max(c) AS c, count(*) AS n FROM m GROUP BY cl)
+SELECT cl AS hot_cluster_id, round(ln(1 + least(500.0, p)) / ln(501.0) * 35 + ln(1 + least(200.0, c)) / ln(201.0) * 20 + 30.0 + least(5.0, 2.5 * (n - 1)), 4) AS total_score FROM g"""
+ORACLES["ingest_counts"] = f"{BATCH} SELECT (SELECT count(*) FROM items) AS fetched, count(*) AS matched, count(*) AS persisted, (SELECT count(*) FROM items) - count(*) AS filtered FROM m"
+ORACLES["score_versions"] = f"""SELECT hot_cluster_id, total_score, 'hn-score-v1' AS scoring_version FROM ({ORACLES["score_v1_all"]}) UNION ALL SELECT hot_cluster_id, total_score, 'cross-source-score-v2' FROM ({ORACLES["score_v2"]})"""
+ORACLES["tweet_top"] = """
+WITH t AS (SELECT o_orderkey AS tweet_id, o_orderkey % 97 AS l, o_orderkey % 31 AS r, CAST(floor(o_totalprice / 10) AS BIGINT) AS v, o_custkey % 500 AS f, o_orderkey % 4 = 0 AS ok FROM orders)
+SELECT tweet_id, l AS like_count FROM t WHERE l >= CASE WHEN ok THEN 10 ELSE 20 END AND r >= CASE WHEN ok THEN 4 ELSE 9 END AND v >= CASE WHEN ok THEN 2500 ELSE 5000 END AND f >= CASE WHEN ok THEN 50 ELSE 101 END ORDER BY l + 3 * r + v // 100 DESC, tweet_id LIMIT 30"""
+ORACLES["payload_validation"] = "SELECT doc_id AS case_code, CASE WHEN doc_id % 11 = 0 THEN 'NOT_JSON,ITEM_MISSING,EXPECTATION' ELSE concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'ITEM_MISSING' END, CASE WHEN doc_id % 3 = 2 THEN 'EXPECTATION' END) END AS errors FROM labels"
+ORACLES["source_roles"] = f"""{_W}, r AS (SELECT CAST(CAST(published_at AS DATE) AS VARCHAR) AS day, {_ROLE} AS role, count(*) AS n FROM items GROUP BY 1, 2) SELECT day, role, n, round(n / sum(n) OVER (PARTITION BY day), 6) AS share FROM r"""
+ORACLES["activity_windows"] = f"WITH {SNAPSHOTS} SELECT CAST(floor(epoch(observed_at) / 86400) * 86400 AS BIGINT) AS start, source_type, count(*) AS n, round(avg(attention), 6) AS attention FROM snapshots GROUP BY 1, 2"

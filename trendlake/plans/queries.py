@@ -17,6 +17,7 @@ from ..operators import signals as G
 from ..operators import trend as R
 from ..sources import payloads as P
 from ..sources import tables as D
+from . import batch as B
 
 QUERIES: dict = {}
 
@@ -336,3 +337,59 @@ def traffic(spark, sf_dir):
     return D.read(spark, sf_dir, "orders").select("o_orderkey", N.traffic_bucket(o).cast("long").alias("bucket"), N.bucket(F.col("o_orderdate").cast("timestamp"), 86400).alias("day"), T.relative_time(F.col("o_orderdate").cast("timestamp"), F.lit("2010-01-01 00:00:00").cast("timestamp")).alias("age"))
 
 
+
+
+@query
+def title_overlap_pairs(spark, sf_dir):
+    """By item, how many later titles start with a run of eight characters of its own."""
+    return E.title_pairs(D.items(spark, sf_dir)).groupBy("a").agg(F.count("*").alias("n"), F.sum("b").alias("sum_b"))
+
+
+@query
+def ingest_batch(spark, sf_dir):
+    return B.run(_raw(spark, sf_dir), D.now())["scores"].select("hot_cluster_id", "total_score")
+
+
+@query
+def ingest_counts(spark, sf_dir):
+    return B.run(_raw(spark, sf_dir), D.now())["counts"]
+
+
+@query
+def score_versions(spark, sf_dir):
+    members = _event_members(spark, sf_dir)
+    clusters = members.groupBy("hot_cluster_id").agg(F.min("published_at").alias("first_seen_at"))
+    two = S.v2_scores(clusters, members, _cluster_trends(spark, sf_dir).where("window = '24h'"), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    return B.both_versions(_v1(_active(spark, sf_dir)[3]), two)
+
+
+@query
+def tweet_top(spark, sf_dir):
+    """Orders as tweets: those that reach the thresholds, the best 30."""
+    o = D.read(spark, sf_dir, "orders")
+    t = o.select(F.col("o_orderkey").alias("tweet_id"), F.pmod("o_orderkey", F.lit(97)).alias("like_count"), F.pmod("o_orderkey", F.lit(31)).alias("retweet_count"), F.floor(F.col("o_totalprice") / 10).alias("view_count"), F.pmod("o_custkey", F.lit(500)).alias("followers"), (F.pmod("o_orderkey", F.lit(4)) == 0).alias("verified"))
+    return I.top_tweets(I.good_tweets(t, 20, 9, 5000, 101), 30).select("tweet_id", "like_count")
+
+
+@query
+def payload_validation(spark, sf_dir):
+    """Labels as payloads, some of them broken."""
+    l = D.read(spark, sf_dir, "labels")
+    kind = F.element_at(F.array(*map(F.lit, ("MUST_MERGE", "MUST_NOT_MERGE", "OTHER"))), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    text = F.when(F.pmod("doc_id", F.lit(11)) == 0, "{").otherwise(F.to_json(F.struct(F.col("doc_id").alias("itemA"), F.when(F.pmod("doc_id", F.lit(5)) > 0, F.col("doc_id") + 1).alias("itemB"), kind.alias("expectation"))))
+    return E.invalid_pairs(l.select(F.col("doc_id").alias("case_code"), text.alias("payload")))
+
+
+@query
+def source_roles(spark, sf_dir):
+    """Items by role and day, and the share of each role of all items of its day."""
+    rows = D.items(spark, sf_dir).groupBy(F.to_date("published_at").cast("string").alias("day"), D.role(F.col("source_type")).alias("role")).agg(F.count("*").alias("n"))
+    day = rows.groupBy("day").agg(F.sum("n").alias("total"))
+    return rows.join(day, "day").select("day", "role", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+@query
+def activity_windows(spark, sf_dir):
+    """The tumbling windows that the streaming form emits, over the stored snapshots."""
+    s = D.snapshots(spark, sf_dir)
+    return s.groupBy(F.window("observed_at", "24 hours").alias("w"), "source_type").agg(F.count("*").alias("n"), F.round(F.avg("signal.attention"), 6).alias("attention")).select(F.unix_seconds("w.start").alias("start"), "source_type", "n", "attention")

@@ -41,3 +41,14 @@ class PayloadSource(DataSource):
 
     def reader(self, schema):
         return _Reader(self.options)
+
+
+def tc3_signature(secret: str, service: str, day: str, to_sign: str) -> str:
+    """The TC3-HMAC-SHA256 signature of a text: keys derived from day and service, in hexadecimal."""
+    import hashlib
+    import hmac
+
+    key = ("TC3" + secret).encode()
+    for part in (day, service, "tc3_request"):
+        key = hmac.new(key, part.encode(), hashlib.sha256).digest()
+    return hmac.new(key, to_sign.encode(), hashlib.sha256).hexdigest()
