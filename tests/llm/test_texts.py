@@ -44,6 +44,15 @@ def test_surrogates(spark):
     assert out[1, True].pii.n == 400 and len(set(out[1, True].text.split())) == 1
 
 
+def test_phone_formats(spark):
+    forms = ["(283) 555-6500", "283-555-6500", "283.555.6500", "283 555 6500", "+1 (283) 555-6500", "+49 30 1234567", "+44 20 7946 0958", "+33.1.42.68.53.00", "+4930123456"]
+    got = pii.surrogates(docs(spark, [(i, f"call {f} now, 12 times") for i, f in enumerate(forms)])).collect()
+    for r in got:
+        new = r.text[5 : -len(" now, 12 times")]
+        assert r.pii.kinds == ["phone"] and new != forms[r.doc_id] and "".join("9" if c.isdigit() else c for c in new) == "".join("9" if c.isdigit() else c for c in forms[r.doc_id])
+    assert len({"".join(c for c in r.text if c.isdigit())[-12:] for r in got[:4]}) == 1
+
+
 def test_surrogates_stay_distinct(spark):
     """Short names have few replacements: clashes are found and settled."""
     mails = [f"{c}{d}@x.example" for c in "abcdefghijklmnopqrstuvwxyz" for d in range(10)]

@@ -29,7 +29,7 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!\d)(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\d)",
-    "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|\+\d{1,3}([ .\-])\d{2,4}(?:\1\d{2,4}){1,4}(?!\d)|\+\d{8,15}(?!\d)|(?<![\d\-.])\d{3}([\-.])\d{3}\2\d{4}(?!\d)",
+    "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|\+\d{1,3}([ .\-])\d{1,4}(?:\1\d{2,8}){1,4}(?!\d)|\+\d{8,15}(?!\d)|(?<![\d\-.])\d{3}([ \-.])\d{3}\2\d{4}(?!\d)",
     "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
