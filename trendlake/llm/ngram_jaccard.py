@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, U, components, merge_sketch, mix, partitions, shingles, sketch_rows, slices
 
-#: Cells of the frequency sketch (1 MB after rounding) and of the filter of wanted sets (2 MB): fixed, whatever the input.
+#: Cells of the frequency sketch (4 MB after rounding) and of the filter of wanted sets (2 MB): fixed, whatever the input.
 CELLS, WANTED = 1 << 22, 1 << 21
 #: Estimated document frequency from which a shingle surely occurs twice, and rows of a posting list that one task pairs up.
 HEAVY, LIST = 20_000, 20_000
