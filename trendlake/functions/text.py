@@ -73,9 +73,9 @@ def sql_domain(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"(?:https?://)?(?:www\.)?([^/]+)", 1), F.lit(""))
 
 
-def external_ids(url: Column, external_id: Column, title: Column, summary: Column) -> Column:
-    """A map of the ids that a URL tells (the first kind that fits), an arXiv number in the text, and the source's own id."""
-    u = canonical_url(url)
+def external_ids(url: Column, external_id: Column, title: Column, summary: Column, canonical: bool = False) -> Column:
+    """A map of the ids that a URL tells (the first kind that fits), an arXiv number in the text, and the source's own id. `canonical`: the URL is so already."""
+    u = url if canonical else canonical_url(url)
     arxiv = F.regexp_extract(u, r"^https?://arxiv\.org/(?:abs|pdf)/([^/?#\s]+?)(?:\.pdf)?(?:[/?#].*)?$", 1)
     github = r"^https?://github\.com/([^/\s]+)/([^/?#\s]+)(?:[/?#].*)?$"
     model = r"^https?://huggingface\.co/([^/\s]+)/([^/?#\s]+?)(?:[/?#].*)?$"
