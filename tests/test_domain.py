@@ -164,7 +164,9 @@ def test_pair_evaluation(spark):
     assert (got["MODEL_RELEASE"].tp, got["MODEL_RELEASE"].fn, got["OTHER"].tn, got["OTHER"].fp) == (1, 1, 1, 1)
 
 
-def test_alerts_are_suppressed(spark):
+@pytest.mark.parametrize("block", [5_000, 1])
+def test_alerts_are_suppressed(spark, monkeypatch, block):
+    monkeypatch.setattr(V, "RULES", block)
     clusters = spark.createDataFrame([(1, "ACTIVE", "GPT news", ""), (2, "ARCHIVED", "GPT", ""), (3, "ACTIVE", "x", None)], "hot_cluster_id long, status string, title string, summary string")
     members = spark.createDataFrame([(1, "GITHUB", "t", "s", "u"), (3, "TWITTER", "gpt!", None, None)], "hot_cluster_id long, source_type string, title string, summary string, source_url string")
     scores = spark.createDataFrame([(1, 50.0)], "hot_cluster_id long, total_score double")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import bucket
 
+#: Rules that are broadcast at once, about.
+RULES = 5_000
+
 
 def check_page(page: int, size: int, most: int = 100) -> None:
     if page < 1 or not 1 <= size <= most:
@@ -73,12 +78,15 @@ def page_summary(rows: DataFrame, needle: str | None, least: float | None, now:
 def alerts(clusters: DataFrame, members: DataFrame, scores: DataFrame, rules: DataFrame, existing: DataFrame, now: Column) -> DataFrame:
     """Matches of active clusters and enabled rules: some keyword in the cluster's title or summary or an item's title, summary or URL, a source in common if the rule names any, and the least score. `created` is false where the suppression key is there already.
 
-    Rules are few and are broadcast; clusters and texts are not multiplied by anything else.
+    Keywords match anywhere in a text, so rules are held against all clusters: in blocks of about RULES rules, each broadcast, so that what is broadcast is bounded however many there are.
     """
     said = F.lower(F.concat_ws("\n", "title", "summary", "source_url"))
     texts = members.groupBy("hot_cluster_id").agg(F.collect_list(said).alias("texts"), F.collect_set("source_type").alias("sources"))
     rows = clusters.where("status = 'ACTIVE'").select("hot_cluster_id", F.lower(F.concat_ws("\n", "title", "summary")).alias("own")).join(texts, "hot_cluster_id", "left").join(scores.select("hot_cluster_id", "total_score"), "hot_cluster_id", "left")
-    rows = rows.crossJoin(F.broadcast(rules.where("enabled")))
+    rules = rules.where("enabled")
+    blocks = max(1, -(-rules.count() // RULES))
+    block = F.pmod(F.xxhash64("rule_id"), F.lit(blocks))
+    rows = reduce(lambda a, b: a.unionByName(b), (rows.crossJoin(F.broadcast(rules.where(block == k))) for k in range(blocks)))
     hits = F.filter("keywords", lambda k: F.col("own").contains(F.lower(k)) | F.exists(F.coalesce("texts", F.array().cast("array<string>")), lambda t: t.contains(F.lower(k))))
     rows = rows.withColumn("hits", hits).where((F.size("hits") > 0) & ((F.size("source_types") == 0) | F.coalesce(F.arrays_overlap("source_types", "sources"), F.lit(False))) & (F.coalesce("total_score", F.lit(0.0)) >= F.coalesce("min_score", F.lit(0.0))))
     key = F.sha2(F.concat_ws(":", "rule_id", "hot_cluster_id", bucket(now, F.col("suppress_window_hours") * 3600)).cast("binary"), 256)
