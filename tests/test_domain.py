@@ -151,6 +151,29 @@ def test_clustering_fixture(spark, tmp_path):
     decisions = keep(M.decide(M.candidates(feats, own, most=None), feats))
     v2 = E.fixture_metrics(groups, apart, C.greedy_assign(decisions, items, keep)).first()
     assert v2.recall >= 0.8 and v2.precision >= 0.8
+    assert E.fixture_metrics(groups, apart, C.merge_accepted(decisions, items, keep)).first().recall >= v2.recall
+
+
+def test_greedy_assignment(spark, tmp_path):
+    """Against the same done one item after the other."""
+    import random
+
+    r = random.Random(6)
+    pairs = [(a, b, round(r.random(), 1), r.choice(["ACCEPTED", "ACCEPTED", "REJECTED"])) for a in range(60) for b in r.sample(range(60), 2) if a != b] + [(100 + i, 99 + i, 0.9, "ACCEPTED") for i in range(50)]
+    ids = [*range(60), *range(99, 150)]
+    cluster = {}
+    for a in ids:
+        best = max(((s, -b) for x, b, s, d in pairs if x == a and b < a and d == "ACCEPTED"), default=None)
+        cluster[a] = cluster[-best[1]] if best else a
+    n = iter(range(1000))
+
+    def keep(df):
+        path = str(tmp_path / str(next(n)))
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    got = C.greedy_assign(spark.createDataFrame(pairs, "hot_item_id long, other_id long, score double, decision string"), spark.createDataFrame([(i,) for i in ids], "hot_item_id long"), keep)
+    assert {x.hot_item_id: x.hot_cluster_id for x in got.collect()} == cluster
 
 
 def test_pair_evaluation(spark):
