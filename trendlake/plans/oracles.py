@@ -264,3 +264,12 @@ SELECT tweet_id, l AS like_count FROM t WHERE l >= CASE WHEN ok THEN 10 ELSE 20
 ORACLES["payload_validation"] = "SELECT doc_id AS case_code, CASE WHEN doc_id % 11 = 0 THEN 'NOT_JSON,ITEM_MISSING,EXPECTATION' ELSE concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'ITEM_MISSING' END, CASE WHEN doc_id % 3 = 2 THEN 'EXPECTATION' END) END AS errors FROM labels"
 ORACLES["source_roles"] = f"""{_W}, r AS (SELECT CAST(CAST(published_at AS DATE) AS VARCHAR) AS day, {_ROLE} AS role, count(*) AS n FROM items GROUP BY 1, 2) SELECT day, role, n, round(n / sum(n) OVER (PARTITION BY day), 6) AS share FROM r"""
 ORACLES["activity_windows"] = f"WITH {SNAPSHOTS} SELECT CAST(floor(epoch(observed_at) / 86400) * 86400 AS BIGINT) AS start, source_type, count(*) AS n, round(avg(attention), 6) AS attention FROM snapshots GROUP BY 1, 2"
+_R = MATCHES.replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLES["clusters_v2"] = f"""{_R},
+p AS (SELECT hot_item_id, min(other_id) AS o FROM found WHERE other_id < hot_item_id GROUP BY 1),
+c AS (SELECT hot_item_id, o FROM p UNION ALL SELECT c.hot_item_id, p.o FROM c JOIN p ON c.o = p.hot_item_id)
+SELECT i.hot_item_id, coalesce(min(c.o), i.hot_item_id) AS hot_cluster_id FROM items i LEFT JOIN c USING (hot_item_id) GROUP BY i.hot_item_id"""
+ORACLES["clusters_merged"] = f"""{_R},
+e AS (SELECT hot_item_id AS a, other_id AS b FROM found UNION SELECT other_id, hot_item_id FROM found),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+SELECT i.hot_item_id, least(i.hot_item_id, coalesce(min(c.b), i.hot_item_id)) AS hot_cluster_id FROM items i LEFT JOIN c ON c.a = i.hot_item_id GROUP BY i.hot_item_id"""

@@ -16,6 +16,7 @@ from ..operators import serving as V
 from ..operators import signals as G
 from ..operators import trend as R
 from ..sources import payloads as P
+from ..sources import sinks
 from ..sources import tables as D
 from . import batch as B
 
@@ -393,3 +394,13 @@ def activity_windows(spark, sf_dir):
     """The tumbling windows that the streaming form emits, over the stored snapshots."""
     s = D.snapshots(spark, sf_dir)
     return s.groupBy(F.window("observed_at", "24 hours").alias("w"), "source_type").agg(F.count("*").alias("n"), F.round(F.avg("signal.attention"), 6).alias("attention")).select(F.unix_seconds("w.start").alias("start"), "source_type", "n", "attention")
+
+
+@query
+def clusters_v2(spark, sf_dir):
+    return C.greedy_assign(_decisions(spark, sf_dir), D.items(spark, sf_dir), sinks.stored)
+
+
+@query
+def clusters_merged(spark, sf_dir):
+    return C.merge_accepted(_decisions(spark, sf_dir), D.items(spark, sf_dir), sinks.stored)

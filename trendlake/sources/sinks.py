@@ -29,3 +29,16 @@ def report_markdown(metrics: dict) -> str:
     for k, v in metrics.items():
         lines.append(f"| {k} | {'-' if v is None or v != v else round(v, 4) if isinstance(v, float) else v} |")
     return "\n".join(lines) + "\n"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and cut from its lineage: a checkpoint in the folder that spark.checkpoint.dir names. Only a local session without one gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        set_to = sc.getConf().get("spark.checkpoint.dir", None)
+        if not set_to and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="trendlake-"))
+    return df.checkpoint()
