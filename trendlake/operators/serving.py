@@ -112,7 +112,7 @@ def daily_reports(clusters: DataFrame, membership: DataFrame, items: DataFrame,
     day = F.col("report_date").cast("string")
     covered = F.array_join(F.array_distinct(F.filter(F.flatten(F.transform("t", lambda s: F.split(s["sources"], ","))), lambda x: x != "")), ", ")
     summary = F.concat(F.lit("Tracked "), F.col("cluster_count").cast("string"), F.lit(" active clusters on "), day, F.lit(". Top cluster: "), F.col("t")[0]["title"], F.lit(". Sources covered: "), covered, F.lit("."))
-    return counts.join(told, "report_date").select("report_date", "cluster_count", F.array_join(F.transform("t", lambda s: s["hot_cluster_id"].cast("string")), ",").alias("top_cluster_ids"), F.concat(F.lit("AI Radar Daily Report for "), day).alias("title"), summary.alias("summary"))
+    return counts.join(told, "report_date").select("report_date", "cluster_count", F.array_join(F.transform("t", lambda s: s["hot_cluster_id"].cast("string")), ",").alias("top_cluster_ids"), F.concat(F.lit("Daily Report for "), day).alias("title"), summary.alias("summary"))
 
 
 def analyses(members: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ r AS (SELECT c.hot_cluster_id, c.title, CAST(c.last_seen_at AS DATE) AS d, row_n
 n AS (SELECT d, count(*) AS cluster_count FROM r GROUP BY d),
 x AS (SELECT r.d, fs.source_type, min(r.place * 1000 + fs.place) AS o FROM r JOIN fs USING (hot_cluster_id) WHERE r.place <= 10 GROUP BY 1, 2),
 cov AS (SELECT d, string_agg(source_type, ', ' ORDER BY o) AS covered FROM x GROUP BY d)
-SELECT CAST(r.d AS VARCHAR) AS report_date, any_value(n.cluster_count) AS cluster_count, string_agg(CAST(r.hot_cluster_id AS VARCHAR), ',' ORDER BY r.place) AS top_cluster_ids, 'AI Radar Daily Report for ' || r.d AS title,
+SELECT CAST(r.d AS VARCHAR) AS report_date, any_value(n.cluster_count) AS cluster_count, string_agg(CAST(r.hot_cluster_id AS VARCHAR), ',' ORDER BY r.place) AS top_cluster_ids, 'Daily Report for ' || r.d AS title,
   'Tracked ' || any_value(n.cluster_count) || ' active clusters on ' || r.d || '. Top cluster: ' || arg_min(r.title, r.place) || '. Sources covered: ' || any_value(cov.covered) || '.' AS summary
 FROM r JOIN n USING (d) JOIN cov USING (d) WHERE r.place <= 10 GROUP BY r.d"""
 ORACLES["page_summary"] = f"""{_W}, {V1} SELECT round(avg(total_score), 2) AS mean_score, max(total_score) AS max_score, count(*) FILTER (epoch(last_seen_at) >= epoch(TIMESTAMP '2024-03-15 00:00:00') - 86400) AS fresh, count(*) AS n FROM clusters JOIN scores USING (hot_cluster_id) WHERE contains(lower(title), 'the') AND total_score >= 5"""
