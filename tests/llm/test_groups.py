@@ -132,6 +132,20 @@ def brute_spans(rows):
     return out
 
 
+def test_repeated_rows_of_several_batches_keep_the_first(spark):
+    text = lambda k: " ".join(f"W{k}x{i}." for i in range(60))
+    rows = [(1, text(1)), (None, text(2)), (3, text(3)), (4, text(3))] * 6
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    try:
+        for batch in ("1", "5", "1000"):
+            spark.conf.set(size, batch)
+            got = sentence_spans.remove_repeats(docs(spark, rows).repartition(5)).collect()
+            assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, text(1)), (0, text(2)), (3, text(3)), (4, "")] * 6), batch
+    finally:
+        spark.conf.set(size, old)
+
+
 def test_spans(spark):
     sentence = lambda: " ".join(RND.choice(WORDS) for _ in range(RND.randrange(2, 30))).capitalize() + "."
     shared = " ".join(sentence() for _ in range(6))

@@ -104,23 +104,23 @@ def _emit(batches, words, least):
 
 
 def _not_first(batches):
-    """Of rows sorted by span and place, those that are not the first of their span, and the marked ones. Holds one row back."""
+    """Of rows sorted by span and place, those that differ from the first of their span, and the marked ones. Holds that first row across batches: rows equal to it are one document that is there several times, wherever batches end."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        span, doc, crc, s, e, later = (batch.column(c).to_numpy(zero_copy_only=False) for c in _NAMES)
+        *place, later = (batch.column(c).to_numpy(zero_copy_only=False) for c in _NAMES)
         plain = np.flatnonzero(~later)
         repeat = later.copy()
         if len(plain):
-            before = np.concatenate([[held if held is not None else span[plain[0]]], span[plain[:-1]]])
-            same = span[plain] == before
-            if held is None:
-                same[0] = False
-            repeat[plain] = same
-            held = span[plain[-1]]
+            keys = [x[plain] if held is None else np.append(held[k], x[plain]) for k, x in enumerate(place)]
+            new = np.append(True, keys[0][1:] != keys[0][:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            other = np.any([x != x[first] for x in keys[1:]], axis=0)
+            repeat[plain] = other[len(other) - len(plain) :]
+            held = [x[first[-1]] for x in keys]
         if repeat.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[repeat]) for x in (doc, crc, s, e)], names=["doc_id", "crc", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[repeat]) for x in place[1:]], names=_NAMES[1:5])
 
 
 def _union(batches):
