@@ -53,6 +53,23 @@ def test_phone_formats(spark):
     assert len({"".join(c for c in r.text if c.isdigit())[-12:] for r in got[:4]}) == 1
 
 
+def test_surrogates_of_keywords_in_any_case(spark):
+    rows = list(enumerate(("PASSWORD: correcthorse", "Token = abcdefghij", "Api_Key=abcdefghij", "SECRET: abcdefghij")))
+    assert all(r.pii.n == 1 and "correcthorse" not in r.text and "abcdefghij" not in r.text for r in pii.surrogates(docs(spark, rows)).collect())
+
+
+def test_surrogates_of_unlisted_given_names_stay_distinct(spark):
+    """More of them than a list has names, and listed ones among them."""
+    words = ["B" + a + b + "o" for a in "aeiou" for b in "klmnrst"] + ["James", "John"]
+    rows = [(i, f"{title} {w} Smith") for title, n in (("Mr", 0), ("Ms", 100)) for i, w in enumerate(words, n)] + [(300, "Mr BAKO Smith"), (301, "Mr Bako Jones"), (302, "госпожа Забава Иванова")]
+    got = {r.doc_id: r.text for r in pii.surrogates(docs(spark, rows)).collect()}
+    for n in (0, 100):
+        names = [got[n + i].split(" ")[1] for i in range(len(words))]
+        assert len(set(names)) == len(words) and not set(names) & set(words[:-2])
+    assert got[300].split(" ")[1] == got[0].split(" ")[1].upper() and got[301].split(" ")[1] == got[0].split(" ")[1]
+    assert got[302].startswith("госпожа ") and got[302].split(" ")[1].endswith("а") and "Забава" not in got[302]
+
+
 def test_surrogates_stay_distinct(spark):
     """Short names have few replacements: clashes are found and settled."""
     mails = [f"{c}{d}@x.example" for c in "abcdefghijklmnopqrstuvwxyz" for d in range(10)]

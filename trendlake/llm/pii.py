@@ -34,7 +34,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Characters of a text that can't be part of anything above need no look at it.
-_HINT = r"[@\d]|password|passwd|pwd|secret|token|api|AKIA|(?<!\p{L})(?:" + "|".join(TITLES) + "|" + _ALL_GIVEN + ")"
+_HINT = r"[@\d]|(?i:password|passwd|pwd|secret|token|api)|AKIA|(?<!\p{L})(?:" + "|".join(TITLES) + "|" + _ALL_GIVEN + ")"
 
 _HEX = "0123456789abcdef"
 _LETTERS = "bcdfghjkmnpqrstv"
@@ -42,6 +42,8 @@ _DIGITS = "0123456789012345"
 _ONSETS = "bdfgklmnprstvzhj"
 _CYRILLIC = ("бвгдзклмнпрстфхш", "аеиоуыаеиоуыаеио")
 _ROUNDS = 40
+#: Kinds of given names that no list has, by gender.
+_OTHER_GIVEN = ("given_m", "given_f")
 
 
 def kind(e: Column) -> Column:
@@ -107,11 +109,15 @@ def surrogate(k: Column, c: Column, attempt: Column, key: str) -> Column:
     cyrillic = F.concat(*(pair(i, *_CYRILLIC) for i in (1, 3)), F.translate(F.substring(h, 5, 1), _HEX, _CYRILLIC[0]), F.lit("ов"))
     longer = F.when(attempt >= 3, pair(20, _ONSETS, "aeiouaeiouaeioua")).otherwise("")
     name = F.when(c.rlike(r"\p{IsCyrillic}"), F.concat(F.when(attempt >= 3, pair(20, *_CYRILLIC)).otherwise(""), cyrillic)).otherwise(F.concat(longer, latin))
+    # these end in a consonant, or in an a of a lady's, and have the form of no listed name
+    short = F.concat(F.when(attempt >= 3, pair(20, *_CYRILLIC)).otherwise(""), *(pair(i, *_CYRILLIC) for i in (1, 3)), F.translate(F.substring(h, 5, 1), _HEX, _CYRILLIC[0]))
+    given_m = F.when(c.rlike(r"\p{IsCyrillic}"), short).otherwise(F.concat(longer, latin))
+    given_f = F.concat(given_m, F.when(c.rlike(r"\p{IsCyrillic}"), "а").otherwise("a"))
     secret = F.when(c.rlike("^[0-9a-f]+$"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(h, F.pmod(i - 1, F.lit(128)) + 1, F.lit(1))), "")).otherwise(_reshaped(c, h))
     access = F.concat(F.lit("AKIA"), _reshaped(F.substring(c, 5, 16), h))
     iban = F.concat(F.substring(c, 1, 2), _reshaped(F.substr(c, F.lit(3)), h))
     out = secret
-    for name_of, value in (("email", email), ("ip", ip), ("card", card), ("phone", phone), ("ssn", ssn), ("name", name), ("access", access), ("iban", iban)):
+    for name_of, value in (("email", email), ("ip", ip), ("card", card), ("phone", phone), ("ssn", ssn), ("name", name), ("access", access), ("iban", iban), ("given_m", given_m), ("given_f", given_f)):
         out = F.when(k == name_of, value).otherwise(out)
     return out
 
@@ -127,8 +133,21 @@ def _given(word: Column, key: str) -> Column:
     return out
 
 
-def render(e: Column, k: Column, s: Column, key: str) -> Column:
-    """The surrogate in the format of this occurrence: its separators, case, title and gender."""
+def _titled(words: Column) -> Column:
+    return F.element_at(words, 1).rlike(rf"^(?:{'|'.join(TITLES)})\.?$")
+
+
+def other_given(e: Column, k: Column) -> Column:
+    """(k, c) of the given name between title and surname, as an entity of its own, where no list has it; else null."""
+    words = F.split(e, " ")
+    word = F.try_element_at(words, F.lit(2))
+    lady = F.element_at(words, 1).rlike(r"^(?:Mrs|Ms|Frau|Madame|Señora|госпожа)\.?$")
+    listed = word.isin(*(n for names in GIVEN.values() for n in names))
+    return F.when((k == "name") & _titled(words) & (F.size(words) == 3) & ~listed, F.struct(F.when(lady, _OTHER_GIVEN[1]).otherwise(_OTHER_GIVEN[0]).alias("k"), F.lower(word).alias("c")))
+
+
+def render(e: Column, k: Column, s: Column, given: Column, key: str) -> Column:
+    """The surrogate in the format of this occurrence: its separators, case, title and gender. `given`: that of other_given(), or null."""
     chars = F.split(e, "")
     zero = F.struct(F.lit("").alias("t"), F.lit(1).alias("i"))
     digits = F.aggregate(chars, zero, lambda a, c: F.when(c.rlike(r"\d"), F.struct(F.concat(a["t"], F.substr(s, a["i"], F.lit(1))).alias("t"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["t"], c).alias("t"), a["i"].alias("i"))))["t"]
@@ -137,21 +156,9 @@ def render(e: Column, k: Column, s: Column, key: str) -> Column:
     words = F.split(e, " ")
     last = F.when(_surname(e).rlike("(?:ова|ева|ина)$") & s.endswith("ов"), F.concat(s, F.lit("а"))).otherwise(s)
     last = F.when(_surname(e) == F.upper(_surname(e)), F.upper(last)).otherwise(F.concat(F.upper(F.substring(last, 1, 1)), F.substr(last, F.lit(2))))
-    # a name between title and surname that no list has turns into one of a list
-    titled = F.element_at(words, 1).rlike(rf"^(?:{'|'.join(TITLES)})\.?$")
-    lady = F.element_at(words, 1).rlike(r"^(?:Mrs|Ms|Frau|Madame|Señora|госпожа)\.?$")
-
-    def unknown(w):
-        out = F.lit(None)
-        for script in ("latin", "cyrillic"):
-            for gender in ("m", "f"):
-                names = GIVEN[script, gender]
-                pick = F.element_at(F.array(*map(F.lit, names)), F.pmod(F.xxhash64(F.lit(key), w), F.lit(len(names))).cast("int") + 1)
-                fits = w.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~w.rlike(r"\p{IsCyrillic}")
-                out = F.when(fits & (lady if gender == "f" else ~lady), pick).otherwise(out)
-        return out
-
-    front = F.transform(F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - 1)), lambda w, i: F.when(titled & (i == 0), w).otherwise(F.coalesce(_given(w, key), unknown(w))))
+    titled = _titled(words)
+    other = lambda w: F.when(w == F.upper(w), F.upper(given)).otherwise(F.concat(F.upper(F.substring(given, 1, 1)), F.substr(given, F.lit(2))))
+    front = F.transform(F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - 1)), lambda w, i: F.when(titled & (i == 0), w).otherwise(F.coalesce(_given(w, key), other(w))))
     name = F.concat(F.array_join(front, " "), F.when(F.size(words) > 1, " ").otherwise(""), last)
     return F.when(k.isin("ssn", "card", "phone"), digits).when(k == "iban", spaced).when(k == "email", cased).when(k == "name", name).otherwise(s)
 
@@ -165,7 +172,9 @@ def assign(scratch: Scratch, found: DataFrame, key: str) -> DataFrame:
     mine = scratch.keep(found.distinct().withColumn("attempt", F.lit(0)).withColumn("s", surrogate(F.col("k"), F.col("c"), F.lit(0), key)))
     for _ in range(_ROUNDS):
         owner = mine.groupBy("k", "s").agg(F.min(F.struct("attempt", "c")).alias("o"), F.count("*").alias("n")).where("n > 1").select("k", "s", F.col("o.c").alias("owner"))
-        real = mine.select("k", F.col("c").alias("s"), F.lit(True).alias("real"))
+        # a given name is there for either gender
+        kinds = F.when(F.col("k").isin(*_OTHER_GIVEN), F.array(*map(F.lit, _OTHER_GIVEN))).otherwise(F.array("k"))
+        real = mine.select(F.explode(kinds).alias("k"), F.col("c").alias("s"), F.lit(True).alias("real")).distinct()
         clash = mine.join(owner, ["k", "s"], "left").join(real, ["k", "s"], "left").where("real or (owner is not null and owner <> c)").select("k", "c")
         clash = scratch.keep(clash)
         if clash.isEmpty():
@@ -191,9 +200,12 @@ def surrogates(docs: DataFrame, key: str = "trendlake") -> DataFrame:
     own = docs.where(hit).select(F.struct(*names).alias("row"), F.concat_ws(":", F.xxhash64("text").cast("string"), F.crc32(text.cast("binary")).cast("string")).alias("uid"))
     seen = docs.where(hit).select(F.concat_ws(":", F.xxhash64("text").cast("string"), F.crc32(text.cast("binary")).cast("string")).alias("uid"), F.explode(F.array_distinct(_entities(text))).alias("e"))
     seen = seen.withColumn("k", kind(F.col("e"))).withColumn("c", canonical(F.col("e"), F.col("k"))).select("uid", "e", "k", "c").distinct()
-    seen = scratch.keep(seen)
-    known = assign(scratch, seen.select("k", "c"), key)
-    told = seen.join(known.select("k", "c", "s"), ["k", "c"]).withColumn("new", render(F.col("e"), F.col("k"), F.col("s"), key))
+    seen = scratch.keep(seen.withColumn("other", other_given(F.col("e"), F.col("k"))))
+    known = assign(scratch, seen.select("k", "c").unionByName(seen.where("other is not null").select("other.*")), key).select("k", "c", "s")
+    told = seen.join(known, ["k", "c"])
+    given = known.where(F.col("k").isin(*_OTHER_GIVEN)).select(F.struct("k", "c").alias("other"), F.col("s").alias("given"))
+    told = told.where("other is null").withColumn("given", F.lit(None).cast("string")).unionByName(told.where("other is not null").join(given, "other"))
+    told = told.withColumn("new", render(F.col("e"), F.col("k"), F.col("s"), F.col("given"), key))
     by_text = told.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("e", F.struct("new", "k")))).alias("m"))
     rows = own.join(by_text, "uid").withColumn("es", _entities(F.col("row.text"))).withColumn("gaps", F.split(F.col("row.text"), PATTERN, -1))
     put = F.transform("es", lambda e: F.element_at(F.col("m"), e)["new"])
