@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,32 @@ def test_clustering_fixture(spark, tmp_path):
     assert E.fixture_metrics(groups, apart, C.merge_accepted(decisions, items, keep)).first().recall >= v2.recall
 
 
+FEATURES = "hot_item_id long, event_time timestamp, canonical_url string, external_ids map<string,string>, entities array<struct<type:string,value:string>>, keywords array<string>"
+
+
+def test_candidates_by_common_values(spark):
+    """A word of more than a thousand items, and small blocks against brute force."""
+    n = 1010
+    feats = spark.createDataFrame([(i, T0, "", {}, [], ["x"]) for i in range(n)], FEATURES)
+    own = feats.select("hot_item_id", F.col("hot_item_id").alias("hot_cluster_id"), F.lit(None).cast("timestamp").alias("removed_at"))
+    got = M.candidates(feats, own)
+    assert got.groupBy("hot_item_id").agg(F.count("*").alias("n"), F.max("other_id").alias("top")).where("n = 50 and top <= 50").count() == n
+    assert M.candidates(feats, own, most=None).count() == n * (n - 1)
+
+    rnd = random.Random(2)
+    rows = [(i, T0 + rnd.randrange(120) * HOUR, rnd.choice(["", "u1", "u2"]), {"arxiv": str(rnd.randrange(9))}, [("ORG", rnd.choice("abc")), ("PRODUCT", rnd.choice("abc"))], ["x", rnd.choice("yz")]) for i in range(60)]
+    feats = spark.createDataFrame(rows, FEATURES)
+    own = feats.select("hot_item_id", F.col("hot_item_id").alias("hot_cluster_id"), F.when(F.col("hot_item_id") % 5 == 0, F.lit(T0)).alias("removed_at"))
+    values = lambda r: [{r[2]} - {""}, set(r[3].values()), {v for _, v in r[4]}, set(r[5])]
+    for most in (None, 3):
+        want = set()
+        for a in rows:
+            near = [b for b in rows if b[0] != a[0] and b[0] % 5 and b[1] >= a[1] - 72 * HOUR]
+            found = sorted((next(p for p, (x, y) in enumerate(zip(values(a), values(b))) if x & y), b[0]) for b in near)
+            want |= {(a[0], o, M.SIGNALS[p]) for p, o in found[:most]}
+        assert {(r.hot_item_id, r.other_id, r.signal) for r in M.candidates(feats, own, most=most, block=7).collect()} == want
+
+
 def test_greedy_assignment(spark, tmp_path):
     """Against the same done one item after the other."""
     import random
