@@ -181,6 +181,17 @@ def test_candidates_by_common_values(spark):
         assert {(r.hot_item_id, r.other_id, r.signal) for r in M.candidates(feats, own, most=most, block=7).collect()} == want
 
 
+def test_title_pairs_either_way(spark):
+    """The earlier title's start in the later one, the later one's in the earlier one, and both."""
+    items = spark.createDataFrame([(1, "Big News today"), (2, "we read BIG NEWS tonight"), (3, "so we read big books"), (4, "we read big cats"), (5, "short"), (6, None)], "hot_item_id long, title string")
+    low = {r.hot_item_id: r.title.lower() for r in items.collect() if r.title and len(r.title) >= 8}
+    want = sorted((a, b) for a in low for b in low if a < b and (low[b][:8] in low[a] or low[a][:8] in low[b]))
+    assert sorted(map(tuple, E.title_pairs(items).collect())) == want == [(1, 2), (2, 3), (2, 4), (3, 4)]
+    none = spark.createDataFrame([(i, i, None) for i in range(1, 7)], "hot_item_id long, hot_cluster_id long, removed_at timestamp")
+    got = E.export_pairs(none, items, F.lit(None).cast("string")).collect()
+    assert sorted(map(tuple, got)) == [(*p, "title_overlap") for p in want]
+
+
 def test_greedy_assignment(spark, tmp_path):
     """Against the same done one item after the other."""
     import random
