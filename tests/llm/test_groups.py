@@ -94,41 +94,29 @@ def test_repeated_rows_and_null_ids(spark):
 
 
 def units(t):
-    b = (t or "").encode()
-    out = []
-    at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+    """Sentences of a text whose sentences are short, as lists of (start, end) of words."""
+    out, at = [], [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
     for k, (s, e) in enumerate(at):
-        w = b[s:e]
-        new = k == 0 or b[at[k - 1][1] - 1] in b".!?" or b"\n" in b[at[k - 1][1] : s] or 65 <= w[0] <= 90 or (w[0] == 0xC3 and len(w) > 1 and 0x80 <= w[1] <= 0x9E)
-        if new or len(out[-1]) >= sentence_spans.WORDS:
+        if k == 0 or re.search(r"[.!?\u2026][\"')\u201d]{0,2}$", t[at[k - 1][0] : at[k - 1][1]]) or "\n" in t[at[k - 1][1] : s]:
             out.append([])
         out[-1].append((s, e))
-    return b, out
-
-
-def brute_spans(rows):
-    seen, cover, parsed = set(), {}, {}
-    for d, t in sorted(rows, key=lambda r: r[0]):
-        b, u = parsed[d] = units(t)
-        spans = set()
-        for i in range(len(u)):
-            for run in (range(i, len(u)), range(i, -1, -1)):
-                n = 0
-                for j in run:
-                    n += len(u[j])
-                    if abs(j - i) >= 1 and n >= sentence_spans.WORDS:
-                        spans.add((min(i, j), max(i, j) + 1))
-                        break
-        cover[d] = set()
-        for s, e in sorted(spans):
-            key = tuple(b[x:y].lower() for k in range(s, e) for x, y in u[k])
-            if key in seen:
-                cover[d] |= set(range(s, e))
-            seen.add(key)
-    out = {}
-    for d, (b, u) in parsed.items():
-        at = [x[0][0] for x in u] + [len(b)]
-        out[d] = (b[: at[0]] + b"".join(b[at[k] : at[k + 1]] for k in range(len(u)) if k not in cover[d])).decode()
+    return out
+
+
+def brute_spans(rows, least_words):
+    """By all runs of several sentences, of every length."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        u, cover = units(t), set()
+        for s in range(len(u)):
+            for e in range(s + 2, len(u) + 1):
+                key = tuple(t[x:y].lower() for k in range(s, e) for x, y in u[k])
+                if len(key) >= least_words:
+                    if key in seen:
+                        cover |= set(range(s, e))
+                    seen.add(key)
+        at = [x[0][0] for x in u] + [len(t)]
+        out[d] = t[: at[0]] + "".join(t[at[k] : at[k + 1]] for k in range(len(u)) if k not in cover)
     return out
 
 
@@ -147,20 +135,46 @@ def test_repeated_rows_of_several_batches_keep_the_first(spark):
 
 
 def test_spans(spark):
-    sentence = lambda: " ".join(RND.choice(WORDS) for _ in range(RND.randrange(2, 30))).capitalize() + "."
-    shared = " ".join(sentence() for _ in range(6))
+    sentence = lambda: " ".join(RND.choice(WORDS) for _ in range(RND.randrange(2, 17))).capitalize() + RND.choice([".", "!", '."', "\u2026"])
+    shared = " ".join(sentence() for _ in range(9))
     rows = []
     for i in range(40):
         t = " ".join(sentence() for _ in range(RND.randrange(1, 8)))
         if i % 3 == 0:
             t += RND.choice([" ", "\n"]) + shared + " " + sentence()
         rows.append((i, t))
-    rows += [(100, None), (101, ""), (102, "  \n"), (103, rows[0][1]), (104, "É. " * 500), (105, "x " * 5000)]
+    rows += [(100, None), (101, ""), (102, "  \n"), (103, rows[0][1]), (104, "É. " * 60), (105, "A b. C d. " * 9), (106, "Zz yy. A b. C d. Xx ww.")]
+    texts = [r for r in rows if r[1] is not None]
+    for words in (sentence_spans.WORDS, 1):
+        got = {r.doc_id: r for r in sentence_spans.remove_repeats(docs(spark, rows), words).collect()}
+        assert {d: r.text for d, r in got.items()} == brute_spans(texts, words) | {100: None}
+        # a passage of over 50 words stays once
+        assert sum(shared in r.text for r in got.values() if r.text) == 1 and got[103].text == ""
+        assert {d: r.n_sentences for d, r in got.items()} == {d: len(units(t)) for d, t in texts} | {100: 0}
+
+
+def test_spans_without_marks(spark):
+    """A passage that no mark divides is found at any offset, in any script; German nouns divide nothing."""
+    plain = lambda n: " ".join(RND.choice(WORDS) for _ in range(n))
+    passage, greek = plain(70), " ".join("".join(RND.choice("αβγδεζηθ") for _ in range(5)) for _ in range(70))
+    han = lambda n: "".join(chr(0x4E00 + RND.randrange(3000)) for _ in range(n))
+    said = "".join(han(12) + "。" for _ in range(6))
+    rows = [(i, f"{plain(3 + 5 * i)} {passage if i % 2 else greek} {plain(9)}") for i in range(12)] + [(20 + i, han(15) + "。" + said + han(9)) for i in range(3)]
+    rows += [(30, "Die Katze sah den Hund im Garten. Der Hund sah nichts. Alle gingen Heim."), (31, "x " * 5000)]
     got = {r.doc_id: r for r in sentence_spans.remove_repeats(docs(spark, rows)).collect()}
-    want = brute_spans([r for r in rows if r[1] is not None])
-    assert {d: r.text for d, r in got.items()} == want | {100: None}
-    # a passage of over 50 words stays once
-    assert sum(shared in r.text for r in got.values() if r.text) == 1 and got[103].text == ""
+    assert [got[i].n_removed > 0 for i in range(12)] == [False, False] + [True] * 10
+    assert all(got[i].text.startswith(rows[i][1].split(" ")[0]) and len(got[i].text) < len(rows[i][1]) - 100 for i in range(2, 12))
+    assert got[20].n_removed == 0 and all(said not in got[i].text and got[i].text for i in (21, 22))
+    assert got[30].n_sentences == 3 and got[30].text == rows[-2][1]
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    """Texts with one CRC-32 and no id."""
+    texts = ["plumless " + "a b c. d e f. " * 10, "buckeroo " + "a b c. d e f. " * 10]
+    got = sentence_spans.remove_repeats(docs(spark, [(None, t) for t in texts] + [(None, "plumless"), (None, "buckeroo")])).collect()
+    assert sorted(len(r.text) for r in got)[:2] == [8, 8] and len({sentence_spans._sha(t.encode()) for t in ("plumless", "buckeroo")}) == 2
+    t = spark.createDataFrame([("é",)], "t string").select(F.conv(F.substring(F.sha2(F.col("t").cast("binary"), 256), 1, 15), 16, 10).cast("long").alias("h")).first().h
+    assert t == sentence_spans._sha("é".encode())
 
 
 def test_vectors(spark):

@@ -146,14 +146,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) ->
         i = j
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, first byte and end of every word [^\\x20\\x09-\\x0D]+, A-Z lower-cased."""
+def word_spans(raw: np.ndarray, off: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, first byte and end of every word [^\\x20\\x09-\\x0D]+, A-Z lower-cased. `cuts`: bytes before which a word ends in any case."""
     none = np.zeros(0, np.int64)
     if not len(raw):
         return np.zeros(0, np.uint64), none, none, none
     solid = ~SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True
+    if cuts is not None:
+        edge[cuts] = True
     before = np.empty(len(raw), bool)
     before[0], before[1:] = False, solid[:-1]
     starts = np.flatnonzero(solid & (~before | edge[:-1]))

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _STEP, SPACE, U, mix, partitions, powers, slices, word_spans
+from .common import _STEP, U, mix, partitions, powers, slices, word_spans
 
-#: A span is the shortest run of at least this many sentences with at least this many words; a longer sentence counts as several.
-SENTENCES, WORDS = 2, 25
+#: Sentences and words that a span has at least; words of a sentence beyond which it counts as several; words to either side that decide where it is cut; pieces longer than LONG times MOST are cut by count.
+SENTENCES, WORDS, MOST, SIDE, LONG = 2, 25, 16, 3, 4
 _STEP_INVERSE = pow(int(_STEP), -1, 1 << 64)
-_END = np.zeros(256, bool)
-_END[[33, 46, 63]] = True
+#: UTF-8 forms of marks that end a sentence, and of those that may follow them.
+_STOPS = [x.encode() for x in ".!?\u2026\u3002\uff01\uff1f\uff0e\u061f\u06d4\u0964\u0589"]
+_CLOSERS = [x.encode() for x in "\"')]}\u00bb\u2019\u201d\u300d\u300f\uff09"]
 
 
 def _inverse_powers(n: int, cache=[np.ones(1, np.uint64)]) -> np.ndarray:
@@ -25,25 +26,53 @@ def _inverse_powers(n: int, cache=[np.ones(1, np.uint64)]) -> np.ndarray:
     return cache[0]
 
 
-def sentences(raw: np.ndarray, off: np.ndarray, words: int = WORDS):
+def _ends_in(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """Bytes of the one of `marks` that each word ends in, 0 where there is none."""
+    out = np.zeros(len(ends), np.int64)
+    for mark in marks:
+        n = len(mark)
+        hit = ends - starts >= n
+        for k in range(n):
+            hit &= raw[np.maximum(ends - n + k, 0)] == mark[k]
+        out[hit] = n
+    return out
+
+
+def _chosen(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Words whose hash, with that of the word before, is the least among SIDE words to either side (the first of equal ones). It depends on these words alone, so a passage is cut alike wherever it stands."""
+    with np.errstate(over="ignore"):
+        g = mix(h + np.append(U(0), h[:-1] * _STEP) * np.append(False, row[1:] == row[:-1]).astype(np.uint64))
+    out = np.ones(len(h), bool)
+    for d in range(1, min(SIDE, len(h) - 1) + 1):
+        same = row[d:] == row[:-d]
+        out[d:] &= ~same | (g[d:] < g[:-d])
+        out[:-d] &= ~same | (g[:-d] <= g[d:])
+    return out
+
+
+def sentences(raw: np.ndarray, off: np.ndarray):
     """(hash of each word, first word of each sentence, row of each sentence, first byte of each sentence).
 
-    A sentence starts a row, follows a line break or a word that ends in . ! or ?, or starts with an upper-case letter (text pasted into the middle of a sentence starts so); after `words` words, another one starts.
+    A sentence starts a row, follows a line break or a word that ends in a full stop, exclamation or question mark of any script (and closing quotes or brackets). One of more than MOST words counts as several, cut at words that _chosen() finds; what is still longer than LONG * MOST words is cut by count. Ideographs and kana count as words.
     """
-    h, row, starts, ends = word_spans(raw, off)
+    wide = np.flatnonzero((raw >= 0xE3) & (raw <= 0xE9))
+    # no character takes more than three bytes there; a mark that follows an ideograph is its own word
+    h, row, starts, ends = word_spans(raw, off, np.concatenate([wide, np.minimum(wide + 3, len(raw))]) if len(wide) else None)
     if not len(h):
         return h, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     lines = np.concatenate([[0], np.cumsum(raw == 10)])
+    tail = ends.copy()
+    for _ in range(2):
+        tail -= _ends_in(raw, starts, tail, _CLOSERS)
     new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | _END[raw[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
-    lead = raw[starts]
-    tail = raw[np.minimum(starts + 1, len(raw) - 1)]
-    new |= ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (tail >= 0x80) & (tail <= 0x9E))
+    new[1:] = (row[1:] != row[:-1]) | (_ends_in(raw, starts, tail, _STOPS)[:-1] > 0) | (lines[starts[1:]] > lines[ends[:-1]])
+    for most, also in ((MOST, _chosen(h, row)), (LONG * MOST, None)):
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(h)))
+        if (size > most).any():
+            at = np.repeat(size > most, size)
+            new |= at & (also if also is not None else (np.arange(len(h)) - np.repeat(first, size)) % MOST == 0)
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(h)))
-    if (size > words).any():
-        part = np.arange(len(h)) - np.repeat(first, size)
-        first = np.flatnonzero(part % words == 0)
     return h, first, row[first], starts[first]
 
 
@@ -67,12 +96,13 @@ def _spans(h, first, row, words: int, least: int):
     return s, e, value
 
 
-_NAMES = ["span", "doc_id", "crc", "s", "e", "later"]
-_SCHEMA = "span long, doc_id long, crc int, s int, e int, later boolean"
+_NAMES = ["span", "doc_id", "sha", "s", "e", "later"]
+_SCHEMA = "span long, doc_id long, sha long, s int, e int, later boolean"
 
 
-def _crc(text) -> int:
-    return zlib.crc32((text or "").encode()) - (1 << 31)
+def _sha(raw: bytes) -> int:
+    """60 bits of the text's SHA-256, which tell rows of one doc_id (or none) apart."""
+    return int(hashlib.sha256(raw).hexdigest()[:15], 16)
 
 
 def _emit(batches, words, least):
@@ -80,27 +110,27 @@ def _emit(batches, words, least):
     for batch in batches:
         parts = []
         for part, raw, off in slices(batch):
-            h, first, row, _ = sentences(raw, off, words)
+            h, first, row, _ = sentences(raw, off)
             s, e, value = _spans(h, first, row, words, least)
             doc = np.array([-(1 << 63) if d is None else d for d in part.column("doc_id").to_pylist()], np.int64)
-            crc = np.array([_crc(t) for t in part.column("text").to_pylist()], np.int32)
+            sha = np.array([_sha(raw[off[k] : off[k + 1]].tobytes()) for k in range(part.num_rows)], np.int64)
             if not len(s):
                 continue
             r = row[s]
             base = np.searchsorted(row, r, "left")
-            parts.append((value, doc[r], crc[r], (s - base).astype(np.int32), (e - base).astype(np.int32)))
+            parts.append((value, doc[r], sha[r], (s - base).astype(np.int32), (e - base).astype(np.int32)))
         if not parts:
             continue
-        value, doc, crc, s, e = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((e, s, crc, doc, value))
-        value, doc, crc, s, e = (x[order] for x in (value, doc, crc, s, e))
+        value, doc, sha, s, e = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((e, s, sha, doc, value))
+        value, doc, sha, s, e = (x[order] for x in (value, doc, sha, s, e))
         later = np.zeros(len(value), bool)
         later[1:] = value[1:] == value[:-1]
         again = later.copy()
-        again[1:] &= (doc[1:] == doc[:-1]) & (crc[1:] == crc[:-1]) & (s[1:] == s[:-1]) & (e[1:] == e[:-1])  # the same row once more
+        again[1:] &= (doc[1:] == doc[:-1]) & (sha[1:] == sha[:-1]) & (s[1:] == s[:-1]) & (e[1:] == e[:-1])  # the same row once more
         value[later] = mix(value[later] + np.flatnonzero(later).astype(np.uint64))
         keep = ~again
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (value.view(np.int64), doc, crc, s, e, later)], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (value.view(np.int64), doc, sha, s, e, later)], names=_NAMES)
 
 
 def _not_first(batches):
@@ -124,10 +154,10 @@ def _not_first(batches):
 
 
 def _union(batches):
-    """Joins overlapping ranges of sorted rows, for one (doc_id, crc) after the other."""
+    """Joins overlapping ranges of sorted rows, for one (doc_id, sha) after the other."""
     held, out = None, []
     for batch in batches:
-        for d, c, s, e in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "crc", "s", "e"))):
+        for d, c, s, e in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "sha", "s", "e"))):
             if held and held[:2] == [d, c] and s <= held[3]:
                 held[3] = max(held[3], e)
                 continue
@@ -135,18 +165,18 @@ def _union(batches):
                 out.append(held)
             held = [d, c, s, e]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "crc", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "sha", "s", "e"])
             out = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([held[k]], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "crc", "s", "e"])
+        yield pa.RecordBatch.from_arrays([pa.array([held[k]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "sha", "s", "e"])
 
 
-def _rest(batches, words, schema):
+def _rest(batches, schema):
     """Texts without the sentences in `cut`, a list of alternating starts and ends."""
     for batch in batches:
         texts, total, gone = [], [], []
         for part, raw, off in slices(batch):
-            _, first, row, at = sentences(raw, off, words)
+            _, first, row, at = sentences(raw, off)
             bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
             for k, (text, cut) in enumerate(zip(part.column("text").to_pylist(), part.column("cut").to_pylist())):
                 n = int(bounds[k + 1] - bounds[k])
@@ -163,7 +193,7 @@ def _rest(batches, words, schema):
                 kept.append(data[last:])
                 texts.append(b"".join(kept).decode())
                 gone.append(sum(c["e"] - c["s"] for c in cut))
-        cols = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "cut", "crc")}
+        cols = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "cut", "sha")}
         cols |= {"text": pa.array(texts, pa.string()), "n_sentences": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
         yield pa.RecordBatch.from_arrays([cols[c] for c in schema], names=schema)
 
@@ -171,18 +201,18 @@ def _rest(batches, words, schema):
 def remove_repeats(docs: DataFrame, words: int = WORDS, least: int = SENTENCES) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed) for every row of docs(doc_id long, text string, ...).
 
-    Every run of `least` or more consecutive sentences that reaches `words` words is hashed, from each sentence on and up to each sentence. Of all runs with the same words (A-Z lower-cased, white space apart), the one with the smallest doc_id, then place, stays; sentences covered by any other one go, with the white space after them, so a text repeated as a whole leaves nothing. What a batch repeats within itself is settled there, and only the first goes to the shuffle: a passage in a third of all rows sends a row for each batch. After that, sorted rows stream by, one held back.
+    Of all runs of `least` or more consecutive sentences with `words` words or more that have the same words (A-Z lower-cased, white space apart), the one with the smallest doc_id, then place, stays; sentences covered by any other one go, with the white space after them, so a text repeated as a whole leaves nothing. It is enough to hash the shortest such run from each sentence on and up to each sentence: every longer run is a union of these, and where it is repeated, so are they, in the same documents. words=1 takes runs of any words. What a batch repeats within itself is settled there, and only the first goes to the shuffle: a passage in a third of all rows sends a row for each batch. After that, sorted rows stream by, one held back.
 
-    Null text: stays null, no sentences. Empty or blank text: as it is. A null doc_id counts as the smallest. Rows equal in doc_id and text count as one document (each keeps the first's sentences); rows with equal doc_id and other text are told apart by the text's CRC-32. Other columns are ignored. An empty table gives no rows.
+    Null text: stays null, no sentences. Empty or blank text: as it is. A null doc_id counts as the smallest. Rows equal in doc_id and text count as one document (each keeps the first's sentences); rows with equal doc_id and other text are told apart by 60 bits of the text's SHA-256. n_sentences and n_removed count an over-long sentence as several, see sentences(). Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = docs.mapInArrow(lambda it: _emit(it, words, least), _SCHEMA)
     n = partitions(spark)
-    later = spans.repartition(n, "span").sortWithinPartitions("span", "doc_id", "crc", "s", "e").mapInArrow(_not_first, "doc_id long, crc int, s int, e int")
-    ranges = later.repartition(n, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "s").mapInArrow(_union, "doc_id long, crc int, s int, e int")
-    cuts = ranges.groupBy(F.col("doc_id").alias("d"), F.col("crc").alias("c")).agg(F.collect_list(F.struct("s", "e")).alias("cut"))
-    keyed = docs.withColumn("crc", (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int"))
-    at = (F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")) == F.col("d")) & (F.col("crc") == F.col("c"))
+    later = spans.repartition(n, "span").sortWithinPartitions("span", "doc_id", "sha", "s", "e").mapInArrow(_not_first, "doc_id long, sha long, s int, e int")
+    ranges = later.repartition(n, "doc_id", "sha").sortWithinPartitions("doc_id", "sha", "s").mapInArrow(_union, "doc_id long, sha long, s int, e int")
+    cuts = ranges.groupBy(F.col("doc_id").alias("d"), F.col("sha").alias("c")).agg(F.collect_list(F.struct("s", "e")).alias("cut"))
+    keyed = docs.withColumn("sha", F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 15), 16, 10).cast("long"))
+    at = (F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")) == F.col("d")) & (F.col("sha") == F.col("c"))
     names = ["doc_id", "text", "n_sentences", "n_removed"]
-    return keyed.join(cuts, at, "left").select("doc_id", "text", "cut").mapInArrow(lambda it: _rest(it, words, names), "doc_id long, text string, n_sentences long, n_removed long")
+    return keyed.join(cuts, at, "left").select("doc_id", "text", "cut").mapInArrow(lambda it: _rest(it, names), "doc_id long, text string, n_sentences long, n_removed long")
