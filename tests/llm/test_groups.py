@@ -204,18 +204,28 @@ def test_vectors(spark):
     assert vector_join.near_duplicates(df.where("false")).count() == 0
 
 
-def test_vectors_in_many_cells_and_tiles(spark, monkeypatch):
-    monkeypatch.setattr(vector_join, "TILE", 16)
-    monkeypatch.setattr(vector_join, "PIVOTS", (8,))
+@pytest.mark.parametrize("size, tile", [(10, 16), (60, 1024)])
+def test_vectors_in_many_cells_and_blocks(spark, monkeypatch, size, tile):
+    """Clusters, some of which touch, in cells of their own: the same links, fewer comparisons, few copies."""
+    monkeypatch.setattr(vector_join, "TILE", tile)
     g = np.random.default_rng(4)
-    x = np.repeat(g.normal(size=(10, 8)), 20, 0) + g.normal(size=(200, 8)) * 0.08
+    base = g.normal(size=(size, 8))
+    base[1] = base[0] + g.normal(size=8) * 0.1
+    x = np.repeat(base, 600 // size, 0) + g.normal(size=(600, 8)) * 0.08
     u = x / np.linalg.norm(x, axis=1)[:, None]
     hit = u @ u.T >= 0.98
     np.fill_diagonal(hit, False)
     df = spark.createDataFrame([(i, [float(y) for y in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r for r in vector_join.near_duplicates(df).collect()}
-    top = closure(range(200), [(int(a), int(b)) for a, b in zip(*np.nonzero(hit))])
-    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(hit[i].sum()), top[i]) for i in range(200)}
+    top = closure(range(600), [(int(a), int(b)) for a, b in zip(*np.nonzero(hit))])
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(hit[i].sum()), top[i]) for i in range(600)}
+    groups = spark.createDataFrame([(i, 1, 1, v.tobytes()) for i, v in enumerate(u)], "gid long, label long, copies long, u binary")
+    members = vector_join.cells(groups, 0.98).toPandas()
+    assert members[members.home].gid.nunique() == 600 == members.home.sum() and len(members) < 2.5 * 600
+    homes, all_of = members[members.home].groupby("cell").size(), members.groupby("cell").size()
+    assert len(homes) >= 8 and sum(n * (n / 2 + all_of[c] - n) for c, n in homes.items()) < 600**2 / 2 * 0.6
+    blocks, pairs = vector_join.compared(vector_join.cells(groups, 0.98), 0.98)
+    assert blocks.count() == len(members) and pairs.count() < blocks.select("cell", "ring", "sub").distinct().count() ** 2 / 2
 
 
 def test_mixing(spark):
