@@ -18,8 +18,8 @@ WIDTH, DECAY = 6, 0.5
 PER_CLASS, WINDOWS, LANDMARKS, ROUNDS = 3_000, 6_000, 192, 3
 #: How far, in standard deviations, a word's share of toxic documents exceeds chance to start training.
 SURE = 4.2
-#: Windows shorter than this many letters have no score.
-LETTERS = 3
+#: Windows shorter than this many letters have no score; best windows of a document that its probability depends on.
+LETTERS, TOP = 3, 3
 
 _SYMBOLS = 29  # 1-26 letters, 27 and 28 either end of a window
 _PATTERNS = [(j, k) for k in range(2, WIDTH) for j in range(1, k)]
@@ -78,22 +78,25 @@ def _features(word: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """score(window) = table . features + bias; probability(document) = logistic(slope * best window + offset)."""
+    """score(window) = table . features + bias; probability(document) = logistic(curve . evidence(document))."""
 
     table: np.ndarray
     bias: float
-    slope: float = 1.0
-    offset: float = 0.0
+    curve: np.ndarray | None = None
 
     def best(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Score of the best window of each row, -4 where there is none."""
+        return self.top(raw, off)[0][:, 0]
+
+    def top(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the TOP best windows of each row, -4 where there are fewer, and the number of its windows."""
         parts = [letters(raw[off[i] : off[i + 1]].tobytes()) for i in range(len(off) - 1)]
         size = np.array([len(p) for p in parts])
         data = np.frombuffer(b"".join(parts), np.uint8)
-        out = np.full(len(parts), -4.0)
+        out, many = np.full((len(parts), TOP), -4.0), np.zeros(len(parts), np.int64)
         solid = data > 32
         if not solid.any():
-            return out
+            return out, many
         row = np.repeat(np.arange(len(parts)), size)
         start = solid.copy()
         start[1:] &= ~solid[:-1] | (row[1:] != row[:-1])
@@ -124,12 +127,22 @@ class Model:
             part[window[:-k] != window[k:]] = 0
             value[:-k] += part * np.float32(DECAY**k)
         score = np.add.reduceat(value, first) / _norms(int(total.max()))[total] + self.bias
-        score[n < LETTERS] = -4.0
-        np.maximum.at(out, row[at[head]], score)
-        return out
+        real = n >= LETTERS
+        score, owner = score[real], row[at[head]][real]
+        many = np.bincount(owner, minlength=len(parts))
+        order = np.lexsort((-score, owner))
+        place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        first = order[place < TOP]
+        out[owner[first], place[place < TOP]] = score[first]
+        return out, many
+
+    def probability(self, top: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence(top, many) @ self.curve, -40, 40)))
 
-    def probability(self, best: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -40, 40)))
+
+def evidence(top: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """What a document's probability is a function of: its best windows' scores, as far as they tell, and how many windows these are the best of."""
+    return np.concatenate([np.clip(top, -2, 3), np.log1p(many)[:, None], np.ones((len(top), 1))], 1)
 
 
 def _dense(words: list[bytes]) -> np.ndarray:
@@ -183,20 +196,20 @@ def fit(bad: dict[bytes, float], good: dict[bytes, float], hard: dict[bytes, flo
     return Model((project @ w[:-1]).astype(np.float32), float(w[-1]))
 
 
-def _platt(best: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve from scores to labels, with the usual smoothed targets and equal class weights."""
+def _logistic(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Coefficients of the logistic curve from evidence to labels, with smoothed targets and equal class weights."""
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     goal = np.where(toxic == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(toxic == 1, 0.5 / max(n1, 1), 0.5 / max(n0, 1)) * len(best)
-    x = np.stack([best, np.ones(len(best))], 1)
-    w = np.array([1.0, 0.0])
+    weight = np.where(toxic == 1, 0.5 / max(n1, 1), 0.5 / max(n0, 1)) * len(x)
+    small = np.diag([1e-2] * (x.shape[1] - 1) + [1e-6]) * len(x) * 0.01
+    w = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (weight * (p - goal)) + 1e-3 * w * np.array([1, 0]))
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + small, x.T @ (weight * (p - goal)) + small @ w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
@@ -237,7 +250,7 @@ def _sentences(batches, model: Model, most: int = 5):
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from docs(doc_id, text string) and labels(doc_id, toxic 0/1): about PER_CLASS labelled documents of either class, by a hash of the id. Only these few labels meet the documents, in a broadcast of that bounded size, so texts are read once and not shuffled. Rows with null text, id or label don't count; None unless both classes are there.
 
-    Labels are those of documents, and training labels their sentences: all of a clean document are clean, and of a toxic one the best is toxic if it scores above 0, and others above 0.5. A sentence's score is that of its best window (a word). The first model learns from the words that distinct sentences of toxic documents hold oftener than chance allows; each round then takes the sentences as the last model ranks them. Only WINDOWS words of either class and five sentences a document reach the driver.
+    Labels are those of documents, and training labels their sentences: all of a clean document are clean, and of a toxic one the best is toxic if it scores above 0, and others above 0.5. A sentence's score is that of its best window (a word). The first model learns from the words that distinct sentences of toxic documents hold oftener than chance allows; each round then takes the sentences as the last model ranks them, and those words. Only WINDOWS words of either class and five sentences a document reach the driver.
     """
     labels = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0).alias("u"))
     sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
@@ -263,11 +276,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     bad = {r["w"].encode(): float(r["z"]) for r in first if r["z"] >= min(top, max(SURE, 0.15 * top))}
     good = {r["w"].encode(): float(r["good"]) for r in clean}
     extra: dict[bytes, float] = {}
-    model = fit(bad, good, {})
+    start, model = list(bad), fit(bad, good, {})
     for _ in range(ROUNDS):
         got = rows.mapInArrow(lambda it, m=model: _sentences(it, m), "toxic int, place int, w string, score double").collect()
         clear = {r["w"].encode() for r in got if not r["toxic"] and r["w"]}
-        bad = {}
+        # words that chance doesn't explain stay examples, whatever the last model makes of them
+        bad = dict.fromkeys(start, 1.0)
         for r in got:
             w = r["w"].encode()
             if r["toxic"] and w and r["score"] > (0.5 if r["place"] else 0.0) and w not in clear:
@@ -277,20 +291,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         if not bad:
             break
         model = fit(bad, good, extra)
-    got = rows.mapInArrow(lambda it, m=model: _sentences(it, m, 1), "toxic int, place int, w string, score double").collect()
-    model.slope, model.offset = _platt(np.array([r["score"] for r in got]), np.array([r["toxic"] for r in got]))
+    got = rows.mapInArrow(lambda it, m=model: _evidence(it, m), "toxic int, top array<double>, many long").collect()
+    model.curve = _logistic(evidence(np.array([r["top"] for r in got]), np.array([r["many"] for r in got])), np.array([r["toxic"] for r in got]))
     return model
 
 
+def _evidence(batches, model):
+    for batch in batches:
+        for part, raw, off in slices(batch):
+            top, many = model.top(raw, off)
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(top.tolist(), pa.list_(pa.float64())), pa.array(many)], names=["toxic", "top", "many"])
+
+
 def _scored(batches, model):
     for batch in batches:
         for part, raw, off in slices(batch):
-            p = model.probability(model.best(raw, off)) if model else np.full(part.num_rows, 0.0)
+            p = model.probability(*model.top(raw, off)) if model else np.full(part.num_rows, 0.0)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(p)], names=[*part.schema.names, "score"])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score double) for every row of docs(doc_id, text, ...): how likely its whole text is toxic, by its best window. Null, empty and blank texts have no window and get the lowest score; so does every row without a model. Repeated rows stay, other columns are ignored, an empty table gives no rows."""
+    """(doc_id, score double) for every row of docs(doc_id, text, ...): how likely its whole text is toxic, by its TOP best windows and their number. Null, empty and blank texts have no window and get the lowest score; so does every row without a model. Repeated rows stay, other columns are ignored, an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: (b.select(["doc_id", "score"]) for b in _scored(it, held.value)), "doc_id long, score double")
 
