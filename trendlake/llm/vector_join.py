@@ -187,6 +187,9 @@ def _radius(least: float) -> float:
 def compared(members: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(members with a block each, the pairs of blocks to compare). A ring's vectors are dealt to blocks of about TILE; blocks are compared where some vector is at home and the distances of their rings from the pivot differ by the radius at most (the triangle inequality again)."""
     key = ["label", "width", "cell"]
+    # a small cell has fewer rings, of about TILE vectors
+    sizes = members.groupBy(*key).agg(F.least(F.lit(RINGS), F.ceil(F.count("*") / TILE)).cast("int").alias("nr"))
+    members = members.join(sizes, key).withColumn("ring", F.floor(F.col("ring") * F.col("nr") / RINGS).cast("int")).drop("nr")
     rings = members.groupBy(*key, "ring").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb"), F.count("*").alias("n"), F.bool_or("home").alias("homes"), F.min("far").alias("lo"), F.max("far").alias("hi"))
     blocks = rings.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     side = lambda x: blocks.select(*key, *(F.col(c).alias(f"{c}_{x}") for c in ("ring", "sub", "homes", "lo", "hi")))
