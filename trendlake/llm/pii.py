@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,16 @@ from .common import Scratch
 
 #: Given names that are recognised and stand in for each other, by script and gender.
 GIVEN = {
-    ("latin", "m"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Hans", "Klaus", "Pierre", "Jean", "Carlos", "Juan", "Miguel", "Pablo"),
-    ("latin", "f"): ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Anna", "Greta", "Ursula", "Marie", "Sophie", "Lucía", "Carmen", "Elena", "Isabel"),
-    ("cyrillic", "m"): ("Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай"),
-    ("cyrillic", "f"): ("Анна", "Мария", "Ольга", "Татьяна", "Наталья", "Елена"),
+    ("latin", "m"): tuple("James John Robert Michael William David Thomas Peter Richard Joseph Charles Daniel Matthew Anthony Mark Steven Andrew Paul Kevin Brian George Edward Ahmed Mohammed Omar Ali Wei Raj Hans Klaus Jürgen Stefan Wolfgang Pierre Jean Luc Marcel Carlos Juan Miguel Pablo José Javier Luis Antonio".split()),
+    ("latin", "f"): tuple("Mary Patricia Jennifer Linda Elizabeth Susan Sarah Barbara Jessica Karen Nancy Lisa Margaret Sandra Emily Michelle Laura Anna Alice Emma Julia Fatima Aisha Mei Priya Greta Ursula Monika Sabine Heike Marie Sophie Chloé Camille Claire Lucía Carmen Elena Isabel María Ana Rosa".split()),
+    ("cyrillic", "m"): tuple("Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Владимир Павел".split()),
+    ("cyrillic", "f"): tuple("Анна Мария Ольга Татьяна Наталья Елена Ирина Светлана Екатерина Юлия".split()),
 }
-#: Titles that lead a name.
-TITLES = ("Mr", "Mrs", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora", "господин", "госпожа")
+#: Titles that lead a name, and those of women among them.
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Sir", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Señora", "Señorita", "господин", "госпожа")
+LADIES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "госпожа")
+#: Words that end a street's name.
+STREETS = ("Street", "Road", "Avenue", "Lane", "Drive", "Boulevard", "Court", "Square")
 
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -26,6 +31,8 @@ PATTERNS = {
     "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
     "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "address": rf"(?<![\d.,]|\p{{L}})\d{{1,5}} (?:{_NAME} ){{1,3}}(?:{'|'.join(STREETS)})(?!\p{{L}})|(?<!\p{{L}})\p{{Lu}}\p{{L}}+(?:straße|strasse|gasse|platz) \d{{1,4}}(?!\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!\d)(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\d)",
@@ -50,7 +57,7 @@ def kind(e: Column) -> Column:
     """Type of a matched text."""
     full = lambda name: e.rlike(rf"^(?:{PATTERNS[name]})$")
     out = F.when(e.contains("@"), "email").when(e.rlike("^AKIA[0-9A-Z]{16}$"), "access")
-    for name in ("iban", "ip", "ssn", "card", "phone", "name"):
+    for name in ("iban", "ip6", "ip", "ssn", "card", "phone", "address", "name"):
         out = out.when(full(name), name)
     return out.otherwise("secret")
 
@@ -62,7 +69,7 @@ def _surname(e: Column) -> Column:
 def canonical(e: Column, k: Column) -> Column:
     """What all spellings of one entity share: case and separators don't count; of a name it is the surname, in its masculine form."""
     name = F.regexp_replace(F.lower(_surname(e)), "(ов|ев|ин)а$", "$1")
-    return F.when(k == "email", F.lower(e)).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(k.isin("ssn", "card", "phone"), F.regexp_replace(e, r"\D", "")).when(k == "name", name).otherwise(e)
+    return F.when(k.isin("email", "ip6", "address"), F.lower(e)).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(k.isin("ssn", "card", "phone"), F.regexp_replace(e, r"\D", "")).when(k == "name", name).otherwise(e)
 
 
 def _reshaped(v: Column, h: Column) -> Column:
@@ -76,6 +83,12 @@ def _reshaped(v: Column, h: Column) -> Column:
     return F.when(F.length(v) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(v))), one), "")).otherwise(v)
 
 
+def _hex(v: Column, h: Column) -> Column:
+    """v with each of its hexadecimal digits replaced by one of the hash."""
+    one = lambda i: F.when(F.substr(v, i, F.lit(1)) == ":", ":").otherwise(F.substr(h, F.pmod(i - 1, F.lit(96)) + 1, F.lit(1)))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(v))), one), "")
+
+
 def _luhn(digits: Column) -> Column:
     """The check digit that follows these digits."""
     n = F.length(digits)
@@ -98,7 +111,13 @@ def surrogate(k: Column, c: Column, attempt: Column, key: str) -> Column:
     hd = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain).cast("binary"), 512)
     email = F.concat(_reshaped(local, h), more, F.lit("@"), _reshaped(F.regexp_replace(domain, r"\.[^.]*$", ""), hd), F.lit(".example"))
     octet = lambda at, low, span: F.concat((F.pmod(F.conv(F.substring(h, at, 6), 16, 10).cast("long"), F.lit(span)) + low).cast("string"))
-    ip = F.concat_ws(".", octet(1, 1, 223), octet(9, 0, 256), octet(17, 0, 256), octet(25, 1, 254))
+    # 240.0.0.0/4 and fd00::/8 are nobody's on the network
+    ip = F.concat_ws(".", octet(1, 240, 15), octet(9, 0, 256), octet(17, 0, 256), octet(25, 1, 254))
+    ip6 = F.concat(F.lit("fd"), F.substring(h, 100, 2), F.regexp_replace(_hex(c, h), "^[0-9a-f]+", ""))
+    # the number, and what tells that it is a street, stay
+    kept = F.regexp_extract(c, rf"(?i)( (?:{'|'.join(STREETS)})|(?:straße|strasse|gasse|platz) \d+)$", 1)
+    front = F.regexp_extract(c, r"^(\d+ )?", 0)
+    address = F.concat(front, more, F.when(more != "", " ").otherwise(""), _reshaped(F.substr(c, F.length(front) + 1, F.length(c) - F.length(front) - F.length(kept)), h), kept)
     card = F.concat(F.substring(c, 1, 1), F.substr(digits, F.lit(1), F.length(c) - 2))
     card = F.concat(card, _luhn(card))
     # the country code of a number written with one stays
@@ -117,20 +136,18 @@ def surrogate(k: Column, c: Column, attempt: Column, key: str) -> Column:
     access = F.concat(F.lit("AKIA"), _reshaped(F.substring(c, 5, 16), h))
     iban = F.concat(F.substring(c, 1, 2), _reshaped(F.substr(c, F.lit(3)), h))
     out = secret
-    for name_of, value in (("email", email), ("ip", ip), ("card", card), ("phone", phone), ("ssn", ssn), ("name", name), ("access", access), ("iban", iban), ("given_m", given_m), ("given_f", given_f)):
+    for name_of, value in (("email", email), ("ip", ip), ("ip6", ip6), ("address", address), ("card", card), ("phone", phone), ("ssn", ssn), ("name", name), ("access", access), ("iban", iban), ("given_m", given_m), ("given_f", given_f)):
         out = F.when(k == name_of, value).otherwise(out)
     return out
 
 
 def _given(word: Column, key: str) -> Column:
-    """Another given name of the same script and gender: the list turned by a keyed step, so that different names stay different. Null for other words."""
-    out = F.lit(None).cast("string")
-    for (script, gender), names in GIVEN.items():
-        step = 1 + F.pmod(F.xxhash64(F.lit(key), F.lit(script), F.lit(gender)), F.lit(len(names) - 1)).cast("int")
-        here = F.array_position(F.array(*map(F.lit, names)), word).cast("int")
-        turned = F.element_at(F.array(*map(F.lit, names)), F.pmod(here - 1 + step, F.lit(len(names))) + 1)
-        out = F.when(here > 0, turned).otherwise(out)
-    return out
+    """Another given name of the same script and gender: the next one of the list in an order that only the key tells, so different names stay different and none stays itself. Null for other words."""
+    pairs = []
+    for names in GIVEN.values():
+        order = sorted(names, key=lambda n: hmac.new(key.encode(), n.encode(), "sha256").digest())
+        pairs += zip(order, order[1:] + order[:1])
+    return F.element_at(F.create_map(*(F.lit(x) for pair in pairs for x in pair)), word)
 
 
 def _titled(words: Column) -> Column:
@@ -141,7 +158,7 @@ def other_given(e: Column, k: Column) -> Column:
     """(k, c) of the given name between title and surname, as an entity of its own, where no list has it; else null."""
     words = F.split(e, " ")
     word = F.try_element_at(words, F.lit(2))
-    lady = F.element_at(words, 1).rlike(r"^(?:Mrs|Ms|Frau|Madame|Señora|госпожа)\.?$")
+    lady = F.element_at(words, 1).rlike(rf"^(?:{'|'.join(LADIES)})\.?$")
     listed = word.isin(*(n for names in GIVEN.values() for n in names))
     return F.when((k == "name") & _titled(words) & (F.size(words) == 3) & ~listed, F.struct(F.when(lady, _OTHER_GIVEN[1]).otherwise(_OTHER_GIVEN[0]).alias("k"), F.lower(word).alias("c")))
 
@@ -152,7 +169,7 @@ def render(e: Column, k: Column, s: Column, given: Column, key: str) -> Column:
     zero = F.struct(F.lit("").alias("t"), F.lit(1).alias("i"))
     digits = F.aggregate(chars, zero, lambda a, c: F.when(c.rlike(r"\d"), F.struct(F.concat(a["t"], F.substr(s, a["i"], F.lit(1))).alias("t"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["t"], c).alias("t"), a["i"].alias("i"))))["t"]
     spaced = F.aggregate(chars, zero, lambda a, c: F.when(c != " ", F.struct(F.concat(a["t"], F.substr(s, a["i"], F.lit(1))).alias("t"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["t"], c).alias("t"), a["i"].alias("i"))))["t"]
-    cased = F.when(e == F.upper(e), F.upper(s)).otherwise(s)
+    cased = F.when(e == F.upper(e), F.upper(s)).when((k == "address") & ~e.rlike(r"^\p{Lu}\p{L}+ \d"), F.initcap(s)).when(k == "address", F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))).otherwise(s)
     words = F.split(e, " ")
     last = F.when(_surname(e).rlike("(?:ова|ева|ина)$") & s.endswith("ов"), F.concat(s, F.lit("а"))).otherwise(s)
     last = F.when(_surname(e) == F.upper(_surname(e)), F.upper(last)).otherwise(F.concat(F.upper(F.substring(last, 1, 1)), F.substr(last, F.lit(2))))
@@ -160,7 +177,7 @@ def render(e: Column, k: Column, s: Column, given: Column, key: str) -> Column:
     other = lambda w: F.when(w == F.upper(w), F.upper(given)).otherwise(F.concat(F.upper(F.substring(given, 1, 1)), F.substr(given, F.lit(2))))
     front = F.transform(F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - 1)), lambda w, i: F.when(titled & (i == 0), w).otherwise(F.coalesce(_given(w, key), other(w))))
     name = F.concat(F.array_join(front, " "), F.when(F.size(words) > 1, " ").otherwise(""), last)
-    return F.when(k.isin("ssn", "card", "phone"), digits).when(k == "iban", spaced).when(k == "email", cased).when(k == "name", name).otherwise(s)
+    return F.when(k.isin("ssn", "card", "phone"), digits).when(k == "iban", spaced).when(k.isin("email", "ip6", "address"), cased).when(k == "name", name).otherwise(s)
 
 
 def _entities(text: Column) -> Column:
@@ -184,21 +201,38 @@ def assign(scratch: Scratch, found: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("surrogates keep clashing: a type has more entities than replacements")
 
 
-def surrogates(docs: DataFrame, key: str = "trendlake") -> DataFrame:
+#: The session's setting that holds the secret key of surrogates, and what queries take where it is unset, as in tests: then anyone can tell which surrogate stands for a guess.
+KEY_SETTING, TEST_KEY = "spark.trendlake.pii.key", "for tests only"
+
+
+def session_key(spark) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
+#: Stands around what is found; a text that holds it itself is searched twice instead.
+_MARK = "\x01\x02\x03"
+
+
+def _uid(text: Column) -> Column:
+    return F.concat_ws(":", F.xxhash64(text).cast("string"), F.crc32(text.cast("binary")).cast("string"))
+
+
+def surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     """The rows of docs(text string, ...) with all their columns, personal data in text replaced, and a struct `pii` (number of replacements `n`, types in order of place `kinds`).
 
-    An entity's replacement depends on `key`, its type and its canonical form alone, so it is the same in all documents; different entities of a type get different ones, and none equals an entity that is in the documents (see assign()). Replacements keep type, length, separators, case, a name's script, title and gender, a phone's country code, a card's first digit; cards have a valid check digit.
+    An entity's replacement depends on `key` (None: the session's, see KEY_SETTING), its type and its canonical form alone, so it is the same in all documents; different entities of a type get different ones, and none equals an entity that is in the documents (see assign()). Replacements keep type, length, separators, case, a name's script, title and gender, a phone's country code, a card's first digit; cards have a valid check digit, network addresses are in ranges that nobody has. A name is found by its title or a given name of the list; where a document has one, its surname alone counts as the same person there.
 
-    Only documents that hold something are shuffled, keyed by a hash of all their text; the others pass through. A document's own entities alone meet in one row. Null, empty and other texts without finds: unchanged, n = 0. Repeated rows: each one replaced. An empty table gives no rows. Any other columns pass through, except ones named `pii`.
+    Only documents that may hold something are shuffled, keyed by a hash of all their text; the others pass through. A document's own entities alone meet in one row. Null, empty and other texts without finds: unchanged, n = 0. Repeated rows: each one replaced. An empty table gives no rows. Any other columns pass through, except ones named `pii`.
     """
-    scratch = Scratch(docs.sparkSession, "pii")
+    scratch, key = Scratch(docs.sparkSession, "pii"), key or session_key(docs.sparkSession)
     docs = docs.drop("pii")
     names = docs.columns
     text = F.col("text")
-    hit = F.coalesce(text.rlike(_HINT) & text.rlike(PATTERN), F.lit(False))
-    rest = docs.where(~hit).select(*names, F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kinds")).alias("pii"))
-    own = docs.where(hit).select(F.struct(*names).alias("row"), F.concat_ws(":", F.xxhash64("text").cast("string"), F.crc32(text.cast("binary")).cast("string")).alias("uid"))
-    seen = docs.where(hit).select(F.concat_ws(":", F.xxhash64("text").cast("string"), F.crc32(text.cast("binary")).cast("string")).alias("uid"), F.explode(F.array_distinct(_entities(text))).alias("e"))
+    maybe = F.coalesce(text.rlike(_HINT), F.lit(False))
+    none = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kinds"))
+    rest = docs.where(~maybe).select(*names, none.alias("pii"))
+    own = docs.where(maybe).select(F.struct(*names).alias("row"), _uid(text).alias("uid"))
+    seen = docs.where(maybe).select(_uid(text).alias("uid"), F.explode(F.array_distinct(_entities(text))).alias("e"))
     seen = seen.withColumn("k", kind(F.col("e"))).withColumn("c", canonical(F.col("e"), F.col("k"))).select("uid", "e", "k", "c").distinct()
     seen = scratch.keep(seen.withColumn("other", other_given(F.col("e"), F.col("k"))))
     known = assign(scratch, seen.select("k", "c").unionByName(seen.where("other is not null").select("other.*")), key).select("k", "c", "s")
@@ -206,11 +240,19 @@ def surrogates(docs: DataFrame, key: str = "trendlake") -> DataFrame:
     given = known.where(F.col("k").isin(*_OTHER_GIVEN)).select(F.struct("k", "c").alias("other"), F.col("s").alias("given"))
     told = told.where("other is null").withColumn("given", F.lit(None).cast("string")).unionByName(told.where("other is not null").join(given, "other"))
     told = told.withColumn("new", render(F.col("e"), F.col("k"), F.col("s"), F.col("given"), key))
-    by_text = told.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("e", F.struct("new", "k")))).alias("m"))
-    rows = own.join(by_text, "uid").withColumn("es", _entities(F.col("row.text"))).withColumn("gaps", F.split(F.col("row.text"), PATTERN, -1))
-    put = F.transform("es", lambda e: F.element_at(F.col("m"), e)["new"])
-    new = F.array_join(F.flatten(F.zip_with("gaps", F.concat(put, F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
-    kinds = F.transform("es", lambda e: F.element_at(F.col("m"), e)["k"])
-    rows = rows.select("row", F.struct(new.alias("text"), F.size("es").alias("n"), kinds.alias("kinds")).alias("done"))
-    rows = rows.select(*(F.col("done.text") if c == "text" else F.col("row")[c].alias(c) for c in names), F.struct("done.n", "done.kinds").alias("pii"))
-    return rest.unionByName(rows)
+    # a surname that stands alone is the same person's
+    alone = F.when(F.col("k") == "name", F.struct(_surname(F.col("e")).alias("e"), F.struct(_surname(F.col("new")).alias("new"), F.col("k").alias("k")).alias("v")))
+    by_text = told.groupBy("uid").agg(F.collect_list(F.struct("e", F.struct("new", "k").alias("v"))).alias("m"), F.collect_set(alone).alias("bare"))
+    bare = F.filter("bare", lambda b: ~F.exists("m", lambda x: x["e"] == b["e"]))
+    # two spellings of a surname may differ in gender: the first one counts
+    by_text = by_text.select("uid", F.map_from_entries(F.concat("m", F.filter(F.array_sort(bare), lambda b, i: ~F.exists(F.slice(F.array_sort(bare), F.lit(1), i), lambda x: x["e"] == b["e"])))).alias("m"), F.array_join(F.array_sort(F.array_distinct(F.transform("bare", lambda b: b["e"]))), "|").alias("bare"))
+    text = F.col("row.text")
+    pattern = F.when(F.col("bare") == "", F.lit(PATTERN)).otherwise(F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), "bare", F.lit(r")(?![\p{L}'\u2019\-])")))
+    parts = F.split(F.regexp_replace(text, pattern, F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    twice = F.zip_with(F.split(text, pattern, -1), F.concat(F.regexp_extract_all(text, pattern, F.lit(0)), F.array(F.lit(None).cast("string"))), lambda g, e: F.array(g, e))
+    parts = F.when(text.contains(_MARK), F.filter(F.flatten(twice), lambda x: x.isNotNull())).otherwise(parts)
+    rows = own.join(by_text, "uid", "left").withColumn("parts", F.when(F.col("m").isNotNull(), parts))
+    put = F.transform("parts", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.coalesce(F.element_at(F.col("m"), x)["new"], x)))
+    kinds = F.transform(F.filter("parts", lambda x, i: i % 2 == 1), lambda e: F.element_at(F.col("m"), e)["k"])
+    rows = rows.select("row", F.coalesce(F.array_join(put, ""), text).alias("text"), F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"))
+    return rest.unionByName(rows.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names), F.struct(F.size("kinds").alias("n"), "kinds").alias("pii")))
