@@ -153,6 +153,30 @@ def test_blocks():
     assert html_crf.blocks("") == [] and [t for _, t, _ in html_crf.blocks("a < b &am")] == ["a < b &am"]
 
 
+def test_labels_by_enumeration():
+    import itertools
+
+    import numpy as np
+
+    r = random.Random(4)
+    for _ in range(60):
+        found = [((("div", ("a",)), (r.choice(["p", "li", "td"]), ()))[: r.randrange(1, 3)], r.choice(["one two", "A long text, with stops. And more.", "x"]), r.randrange(3)) for _ in range(r.randrange(1, 8))]
+        names = {f for k, (p, t, n) in enumerate(found) for f in [*html_crf.path_features(p), *html_crf.text_features(t, n, k / len(found))]}
+        model = html_crf.Field({f: r.gauss(0, 1) for f in names}, np.array([[[r.gauss(0, 1) for _ in "ab"] for _ in "ab"] for _ in "ab"]))
+        own = [model.emission(p, t, n, k / len(found)) for k, (p, t, n) in enumerate(found)]
+
+        def total(labels):
+            steps = sum(model.steps[int(found[k][0][:-1] == found[k - 1][0][:-1])][int(labels[k - 1])][int(labels[k])] for k in range(1, len(labels)))
+            return steps + sum(e for e, on in zip(own, labels) if on)
+
+        best = max(itertools.product([False, True], repeat=len(found)), key=total)
+        assert abs(total(model.decode(found)) - total(best)) < 1e-9
+
+
+def test_formulas_are_text():
+    assert [t for _, t, _ in html_crf.blocks("<p>so <math><mi>x</mi> = 2</math> holds</p><svg><text>A</text></svg><script>y</script>")] == ["so x = 2 holds", "A"]
+
+
 def test_held_out_pages():
     model = html_crf.train()
     right = wrong = missed = 0
@@ -194,6 +218,21 @@ def test_languages(spark):
     assert langid.predict(df.where("false"), filters).count() == 0
 
 
+def test_filters_against_exact_sets():
+    """Counts by bitmask equal those of exact sets, plus false positives, which the correction takes off on average."""
+    import numpy as np
+
+    g = np.random.default_rng(6)
+    sets = [np.unique(g.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (20_000, 5_000, 30_000)]
+    f = langid.Filters(["a", "b", "c"], sets)
+    probe = np.concatenate([*(s[:400] for s in sets), g.integers(0, 1 << 63, 40_000, dtype=np.uint64)])
+    hits, total = f.found([probe], [np.zeros(len(probe), np.int64)], 1)
+    exact = np.array([np.isin(probe, s).sum() for s in sets])
+    assert total[0] == len(probe) and np.all(np.abs(hits[0] - exact) < 6 * np.sqrt(len(probe) * f.wrong + 1) + 1)
+    few, _ = f.found([sets[1][:50]], [np.arange(50) % 2], 2)
+    assert np.all(few[:, 1] > 24) and few.shape == (2, 3)
+
+
 # ------------------------------------------------------------- media
 
 
@@ -241,6 +280,14 @@ def test_media_columns(spark):
     assert ogg.digest(ogg.media_column(docs(spark, []))).count() == 0
 
 
+def test_damaged_media(spark):
+    good = ogg.encode(bytes(64))
+    rows = [(1, 64, good), (2, 64, good[:40] + b"x" + good[41:]), (3, 64, None), (4, 64, b""), (5, 64, good[:-9]), (None, None, good)]
+    got = {r.doc_id: r for r in ogg.digest(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].payload_bytes == 64 == got[None].payload_bytes and got[3].media_bytes is None and got[2].media_bytes == len(good)
+    assert all(got[i].payload_sha256 is None and got[i].feature.startswith("error: ") for i in (2, 3, 4, 5))
+
+
 # ------------------------------------------------------------- tokens
 
 

@@ -71,6 +71,13 @@ def sketch_rows(cells: np.ndarray, compress) -> Iterator[tuple[int, bytes]]:
             yield k // BLOCK, compress(part.tobytes())
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum, at most what the type holds: counts never wrap around."""
+    out = a + b
+    out[out < a] = np.iinfo(a.dtype).max
+    return out
+
+
 def merge_sketch(rows: DataFrame, size: int, dtype: str, how: str) -> np.ndarray:
     """Adds or ORs the partial sketches (block, cells) of all tasks; each task streams over its blocks, and the driver gets the one merged sketch, of fixed size."""
     import zlib
@@ -82,7 +89,7 @@ def merge_sketch(rows: DataFrame, size: int, dtype: str, how: str) -> np.ndarray
         for b in batches:
             for k, raw in zip(b.column("block").to_pylist(), b.column("cells").to_pylist()):
                 x = np.frombuffer(zlib.decompress(raw), dtype=dtype)
-                held[k] = x.copy() if k not in held else (held[k] + x if how == "add" else held[k] | x)
+                held[k] = x.copy() if k not in held else (_added(held[k], x) if how == "add" else held[k] | x)
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(held), pa.int32()), "cells": pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())})
 
     out = np.zeros(size, dtype=dtype)
@@ -91,7 +98,7 @@ def merge_sketch(rows: DataFrame, size: int, dtype: str, how: str) -> np.ndarray
     for r in salted.repartition(min(blocks, partitions(rows.sparkSession)), "block").mapInArrow(merge, SKETCH_SCHEMA).collect():
         x = np.frombuffer(zlib.decompress(bytes(r["cells"])), dtype=dtype)
         part = out[r["block"] * BLOCK : r["block"] * BLOCK + len(x)]
-        part[:] = part + x if how == "add" else part | x
+        part[:] = _added(part, x) if how == "add" else part | x
     return out
 
 

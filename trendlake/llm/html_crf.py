@@ -23,7 +23,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of HTML: elements that break a line of text, have no end, hold no text to read, or whose start ends an open one.
 _BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style noscript template iframe textarea svg math object head title canvas".split())
+_SILENT = frozenset("script style noscript template iframe textarea canvas head title".split())
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th")}
 _FENCES = frozenset("ul ol dl table select".split())
 _CLOSES_P = _BLOCKS - {"br", "body", "html", "button", "option"}

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, mix, slices
@@ -116,7 +116,8 @@ def train(labelled: DataFrame) -> Filters:
     docs = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
     least = F.create_map(*(F.lit(x) for lang, n in docs.items() for x in (lang, SHARE * n)))
     counts = chosen.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= F.element_at(least, F.col("lang")))
-    got = counts.toArrow().to_pandas()
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    got = counts.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= GRAMS).select("lang", "gram", "n").toArrow().to_pandas()
     languages = sorted(docs)
     grams = []
     for lang in languages:

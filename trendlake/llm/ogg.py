@@ -166,7 +166,7 @@ def _packets(batches):
             try:
                 for serial, packets in decode(media or b"").items():
                     rows += [(doc, serial, k, len(p), page, g if g >= 0 else None, zlib.crc32(p)) for k, (p, g, page) in enumerate(packets)]
-            except ValueError as e:
+            except (ValueError, IndexError, struct.error) as e:
                 rows, error = [(doc, None, None, None, None, None, None)], str(e)
             cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(cols[k], pa.int64()) for k in range(7)] + [pa.array([error] * len(rows), pa.string())], names=["doc_id", "serial", "packet", "size", "page", "granule", "crc", "error"])
@@ -181,7 +181,11 @@ def _digested(batches):
     for batch in batches:
         rows = []
         for doc, n, media in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
-            payload, times = samples(media)
+            try:
+                payload, times = samples(media or b"")
+            except (ValueError, IndexError, struct.error) as e:
+                rows.append((doc, n, *[None] * 3, None if media is None else len(media), None if media is None else hashlib.sha256(media).hexdigest(), f"error: {e}"))
+                continue
             rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, times)))
         if rows:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -192,5 +196,5 @@ _DIGEST = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """Of each row of media_column(), what its media hold, read back: every page's checksum is verified, and a damaged file stops the job."""
+    """Of each row of media_column(), what its media hold, read back: every page's checksum is verified. Damaged and null media give their row, with what can't be read null and the error as feature."""
     return media.mapInArrow(_digested, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
