@@ -89,3 +89,13 @@ PRIMARY_RANK = {"PRIMARY": 5, "ADOPTION": 4, "MEDIA": 3, "COMMUNITY": 2, "DISCOV
 CONFIDENCE_FACTOR = {"HIGH": 1.0, "MEDIUM": 0.85, "LOW": 0.6}
 #: Confidence from strongest to weakest.
 CONFIDENCE = ("HIGH", "MEDIUM", "LOW", "METRIC_RESET", "DATA_ANOMALY", "UNKNOWN")
+#: What ids look like in URLs, and an arXiv number in a text; what an editorial lead of a title looks like.
+ID_PATTERNS = {
+    "arxiv": r"^https?://arxiv\.org/(?:abs|pdf)/([^/?#\s]+?)(?:\.pdf)?(?:[/?#].*)?$",
+    "github": r"^https?://github\.com/([^/\s]+)/([^/?#\s]+)(?:[/?#].*)?$",
+    "hf_model": r"^https?://huggingface\.co/([^/\s]+)/([^/?#\s]+?)(?:[/?#].*)?$",
+    "hn_item": r"^https?://news\.ycombinator\.com/item\?id=(\d+)$",
+    "tweet": r"^https?://(?:twitter|x)\.com/([^/\s]+)/status/(\d+)$",
+    "said": r"(?i)\b(?:arxiv[:\s]+)?(\d{4}\.\d{4,5})\b",
+}
+EDITORIAL = r"(?i)^(breaking|announcement|news|update|update\s*\d*|hot|exclusive|\[\s*[a-z\s_-]+\s*\]|\(\s*[a-z\s_-]+\s*\))\s*[:\-]\s*"

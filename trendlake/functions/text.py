@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import ENTITIES, EVENT_TYPES, SANITIZED, STOP_WORDS, TRACKING
+from ..constants import EDITORIAL, ENTITIES, EVENT_TYPES, ID_PATTERNS, SANITIZED, STOP_WORDS, TRACKING
 
 #: Scheme, user, host, port, path, query and fragment of a strict absolute URL.
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:([^\s/?#@]*)@)?([A-Za-z0-9.\-]+|\[[0-9A-Fa-f:.]+\])(?::(\d*))?(/[^\s?#\"<>\\^`{|}]*)?(\?[^\s#\"<>\\^`{|}]*)?(#[^\s\"<>\\^`{|}]*)?$"
@@ -33,6 +35,11 @@ def _parameters(query: Column, keep, order: bool, encode: bool) -> Column:
     return F.array_join(parts, "&")
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, no default port, '/' for an empty path, parameters without tracking ones, by name, re-encoded; no fragment. What isn't an absolute URL comes back trimmed, a blank as it is."""
     t = F.trim(url)
@@ -76,18 +83,16 @@ def sql_domain(url: Column) -> Column:
 def external_ids(url: Column, external_id: Column, title: Column, summary: Column, canonical: bool = False) -> Column:
     """A map of the ids that a URL tells (the first kind that fits), an arXiv number in the text, and the source's own id. `canonical`: the URL is so already."""
     u = url if canonical else canonical_url(url)
-    arxiv = F.regexp_extract(u, r"^https?://arxiv\.org/(?:abs|pdf)/([^/?#\s]+?)(?:\.pdf)?(?:[/?#].*)?$", 1)
-    github = r"^https?://github\.com/([^/\s]+)/([^/?#\s]+)(?:[/?#].*)?$"
-    model = r"^https?://huggingface\.co/([^/\s]+)/([^/?#\s]+?)(?:[/?#].*)?$"
-    item = F.regexp_extract(u, r"^https?://news\.ycombinator\.com/item\?id=(\d+)$", 1)
-    tweet = F.regexp_extract(u, r"^https?://(?:twitter|x)\.com/([^/\s]+)/status/(\d+)$", 2)
+    arxiv = F.regexp_extract(u, ID_PATTERNS["arxiv"], 1)
+    item = F.regexp_extract(u, ID_PATTERNS["hn_item"], 1)
+    tweet = F.regexp_extract(u, ID_PATTERNS["tweet"], 2)
     pair = lambda p: F.when(u.rlike(p), F.concat(F.regexp_extract(u, p, 1), F.lit("/"), F.regexp_extract(u, p, 2)))
-    said = F.regexp_extract(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit(""))), r"(?i)\b(?:arxiv[:\s]+)?(\d{4}\.\d{4,5})\b", 1)
+    said = F.regexp_extract(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit(""))), ID_PATTERNS["said"], 1)
     some = lambda x: F.when(x != "", x)
     entries = F.array(
         F.struct(F.lit("arxiv").alias("k"), F.coalesce(some(arxiv), some(said)).alias("v")),
-        F.struct(F.lit("github").alias("k"), pair(github).alias("v")),
-        F.struct(F.lit("hf_model").alias("k"), pair(model).alias("v")),
+        F.struct(F.lit("github").alias("k"), pair(ID_PATTERNS["github"]).alias("v")),
+        F.struct(F.lit("hf_model").alias("k"), pair(ID_PATTERNS["hf_model"]).alias("v")),
         F.struct(F.lit("hn_item").alias("k"), some(item).alias("v")),
         F.struct(F.lit("tweet").alias("k"), some(tweet).alias("v")),
         F.struct(F.lit("external").alias("k"), F.when(F.trim(external_id) != "", external_id).alias("v")),
@@ -97,8 +102,7 @@ def external_ids(url: Column, external_id: Column, title: Column, summary: Colum
 
 def normalized_title(title: Column) -> Column:
     """Without one editorial lead, lower-case, runs of other than a-z and 0-9 as one space."""
-    lead = r"(?i)^(breaking|announcement|news|update|update\s*\d*|hot|exclusive|\[\s*[a-z\s_-]+\s*\]|\(\s*[a-z\s_-]+\s*\))\s*[:\-]\s*"
-    return F.coalesce(F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.trim(title), lead, "")), "[^a-z0-9]+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.trim(title), EDITORIAL, "")), "[^a-z0-9]+", " ")), F.lit(""))
 
 
 def keywords(title: Column, summary: Column) -> Column:
@@ -115,26 +119,29 @@ def entities(title: Column, summary: Column) -> Column:
     """(type, value, display) of known names in a text, longest alias first, each once."""
     text = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", title, summary)), "[^a-z0-9]+", " ")), F.lit(" "))
     longest = sorted(((max(len(_plain(a)) for a in names), -i, kind, value, names) for i, (kind, value, names) in enumerate(ENTITIES)), reverse=True)
-    found = []
-    for _, _, kind, value, names in longest:
-        hit = F.lit(False)
-        for alias in dict.fromkeys(map(_plain, (*names, value))):
-            hit = hit | text.contains(f" {alias} ")
-        found.append(F.when(hit, F.struct(F.lit(kind).alias("type"), F.lit(value).alias("value"), F.lit(names[0]).alias("display"))))
-    return F.array_compact(F.array(*found))
+
+    def found(text):
+        out = []
+        for _, _, kind, value, names in longest:
+            hit = reduce(or_, (text.contains(f" {a} ") for a in dict.fromkeys(map(_plain, (*names, value)))))
+            out.append(F.when(hit, F.struct(F.lit(kind).alias("type"), F.lit(value).alias("value"), F.lit(names[0]).alias("display"))))
+        return F.array_compact(F.array(*out))
+
+    return bound(text, found)
 
 
 def event_type(normalized: Column, summary: Column) -> Column:
     """The first type one of whose substrings is in the text."""
     some = lambda x: F.when(F.trim(x) != "", F.concat(F.lit(" "), F.trim(x))).otherwise("")
     text = F.lower(F.concat(some(F.coalesce(normalized, F.lit(""))), some(F.coalesce(summary, F.lit("")))))
-    out = F.when(text == "", "UNKNOWN")
-    for name, parts in EVENT_TYPES:
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | text.contains(p)
-        out = out.when(hit, name)
-    return out.otherwise("UNKNOWN")
+
+    def told(text):
+        out = F.when(text == "", "UNKNOWN")
+        for name, parts in EVENT_TYPES:
+            out = out.when(reduce(or_, map(text.contains, parts)), name)
+        return out.otherwise("UNKNOWN")
+
+    return bound(text, told)
 
 
 def clean(text: Column) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from ..constants import EVENT_TYPES, METRICS, ROLES, SOURCES, STOP_WORDS
+import re
+
+from ..constants import ENTITIES, EVENT_TYPES, METRICS, ROLES, SOURCES, STOP_WORDS
 
 _SOURCES = ", ".join(f"'{s}'" for s in SOURCES)
 _ROLE = "CASE source_type " + " ".join(f"WHEN '{s}' THEN '{r}'" for s, r in ROLES.items()) + " ELSE 'PRIMARY' END"
 
-ITEMS = f"""
+_HEADS = ", ".join(f"'{h}'" for h in ("OpenAI launches GPT-5: ", "Anthropic ships Claude Code - ", "Breaking: Meta open-source Llama 3. ", "NVIDIA raises funding: ", "", "", "", "", ""))
+
+ITEMS = rf"""
 items AS (
   SELECT doc_id AS hot_item_id, list_extract([{_SOURCES}], CAST(doc_id % 10 + 1 AS INT)) AS source_type, CAST(doc_id AS VARCHAR) AS external_id,
-    substring(text, 1, 100) AS title, substring(text, 1, 2000) AS summary,
+    list_extract([{_HEADS}], CAST(doc_id % 9 + 1 AS INT)) || regexp_extract(text, '^[^.!?\n]*[.!?]?') AS title, text AS summary,
     CASE doc_id % 6 WHEN 0 THEN 'https://arxiv.org/abs/2401.' || lpad(CAST(doc_id % 500 AS VARCHAR), 5, '0')
       WHEN 1 THEN 'https://github.com/org' || (doc_id % 20) || '/repo' || (doc_id % 50) WHEN 2 THEN 'https://huggingface.co/org' || (doc_id % 20) || '/model' || (doc_id % 50)
       WHEN 3 THEN 'https://news.ycombinator.com/item?id=' || (doc_id % 300) WHEN 4 THEN 'https://twitter.com/u' || (doc_id % 30) || '/status/' || (doc_id % 400)
@@ -50,16 +54,17 @@ SELECT page_id, lower(u.scheme) || '://' || lower(u.host) || CASE WHEN u.path =
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
 _EVENT = "CASE WHEN hay = '' THEN 'UNKNOWN' " + " ".join("WHEN " + " OR ".join(f"contains(hay, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in EVENT_TYPES) + " ELSE 'UNKNOWN' END"
-_NAMES = {"claude": "claude", "llama": "llama", "gemini": "gemini", "midjourney": "midjourney", "meta": "meta", "google": "google", "mistral": "mistral", "apple": "apple", "amazon": "amazon", "openai": "openai", "nvidia": "nvidia", "microsoft": "microsoft", "anthropic": "anthropic", "deepmind": "deepmind", "deepseek": "deepseek"}
-_HITS = ", ".join(f"CASE WHEN contains(flat, ' {a} ') THEN '{v}' END" for v, a in sorted(_NAMES.items()))
-ORACLES["text_features"] = rf"""{_W},
-t AS (SELECT hot_item_id, title, summary, trim(regexp_replace(lower(regexp_replace(trim(title), '(?i)^(breaking|announcement|news|update|update\s*\d*|hot|exclusive|\[\s*[a-z\s_-]+\s*\]|\(\s*[a-z\s_-]+\s*\))\s*[:\-]\s*', '')), '[^a-z0-9]+', ' ', 'g')) AS normalized_title FROM items),
-h AS (SELECT *, lower(CASE WHEN normalized_title <> '' THEN ' ' || normalized_title ELSE '' END || CASE WHEN trim(summary) <> '' THEN ' ' || trim(summary) ELSE '' END) AS hay, ' ' || trim(regexp_replace(lower(title || ' ' || summary), '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM t)
+_FLAT = lambda name: re.sub("[^a-z0-9]+", " ", name.lower()).strip()
+_HITS = ", ".join("CASE WHEN " + " OR ".join(f"contains(flat, ' {a} ')" for a in dict.fromkeys(map(_FLAT, (*names, value)))) + f" THEN '{value}' END" for _, value, names in sorted(ENTITIES, key=lambda e: e[1]))
+_SAID = rf"""
+t AS (SELECT *, trim(regexp_replace(lower(regexp_replace(trim(title), '(?i)^(breaking|announcement|news|update|update\s*\d*|hot|exclusive|\[\s*[a-z\s_-]+\s*\]|\(\s*[a-z\s_-]+\s*\))\s*[:\-]\s*', '')), '[^a-z0-9]+', ' ', 'g')) AS normalized_title FROM items),
+h AS (SELECT *, lower(CASE WHEN normalized_title <> '' THEN ' ' || normalized_title ELSE '' END || CASE WHEN trim(summary) <> '' THEN ' ' || trim(summary) ELSE '' END) AS hay, ' ' || trim(regexp_replace(lower(title || ' ' || summary), '[^a-z0-9]+', ' ', 'g')) || ' ' AS flat FROM t)"""
+ORACLES["text_features"] = rf"""{_W}, {_SAID}
 SELECT hot_item_id, normalized_title, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title || ' ' || summary), '[^a-z0-9]+'), lambda w: len(w) >= 3 AND w NOT IN ({_STOP})))), ' ') AS keywords,
   {_EVENT} AS event_type, array_to_string(list_filter([{_HITS}], lambda x: x IS NOT NULL), ',') AS entities, sha256(trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS title_hash FROM h"""
 
 ORACLES["external_id_extraction"] = rf"""{_W}
-SELECT hot_item_id, nullif(regexp_extract(source_url, '^https://arxiv\.org/abs/(.*)$', 1), '') AS arxiv, nullif(regexp_extract(source_url, '^https://github\.com/(.*)$', 1), '') AS github,
+SELECT hot_item_id, coalesce(nullif(regexp_extract(source_url, '^https://arxiv\.org/abs/(.*)$', 1), ''), nullif(regexp_extract(title || ' ' || summary, '(?i)\b(?:arxiv[:\s]+)?(\d{{4}}\.\d{{4,5}})\b', 1), '')) AS arxiv, nullif(regexp_extract(source_url, '^https://github\.com/(.*)$', 1), '') AS github,
   nullif(regexp_extract(source_url, '^https://huggingface\.co/(.*)$', 1), '') AS hf_model, nullif(regexp_extract(source_url, '^https://news\.ycombinator\.com/item\?id=(.*)$', 1), '') AS hn_item,
   nullif(regexp_extract(source_url, '^https://twitter\.com/[^/]*/status/(.*)$', 1), '') AS tweet, external_id AS external FROM items"""
 
@@ -236,14 +241,45 @@ ORACLES["alternate_titles"] = "SELECT conv_id AS rank FROM conversations WHERE t
 ORACLES["traffic"] = """SELECT o_orderkey, CAST(o_orderkey % 100 AS BIGINT) AS bucket, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS day,
   CASE WHEN o_orderdate IS NULL THEN '-' ELSE CAST(floor((epoch(TIMESTAMP '2010-01-01 00:00:00') - epoch(o_orderdate)) / 86400) AS BIGINT) || 'd ago' END AS age FROM orders"""
 
-MATCHES = f"""{_W},
-found AS (
-  SELECT a.hot_item_id, b.hot_item_id AS other_id, b.hot_cluster_id FROM items a JOIN members b ON a.source_url = b.source_url AND a.hot_item_id <> b.hot_item_id AND b.published_at >= a.published_at - INTERVAL 72 HOUR)"""
-ORACLES["match_candidates"] = f"{MATCHES} SELECT hot_item_id, other_id, 'CANONICAL_URL' AS signal, hot_cluster_id, 'L1' AS layer, CAST(0.97 AS DOUBLE) AS score, 'ACCEPTED' AS decision FROM found"
-ORACLES["best_candidates"] = f"{MATCHES} SELECT hot_item_id, min(other_id) AS other_id, CAST(0.97 AS DOUBLE) AS score, 'ACCEPTED' AS decision FROM found GROUP BY hot_item_id"
+_LIST = lambda kind: ", ".join("CASE WHEN " + " OR ".join(f"contains(flat, ' {a} ')" for a in dict.fromkeys(map(_FLAT, (*names, value)))) + f" THEN '{value}' END" for k, value, names in ENTITIES if k == kind)
+_J = lambda c: f"CASE WHEN len(list_distinct(list_concat(a.{c}, b.{c}))) = 0 THEN 0.0 ELSE (len(a.{c}) + len(b.{c}) - len(list_distinct(list_concat(a.{c}, b.{c})))) / len(list_distinct(list_concat(a.{c}, b.{c})))::DOUBLE END"
+#: Every item against every active one, brute force.
+MATCHES = rf"""{_W}, {_SAID},
+f AS (
+  SELECT hot_item_id AS id, published_at AS t, CASE WHEN hot_item_id % 6 = 5 THEN 'https://example.com/p/' || (hot_item_id % 100) || '?a=1&b=2' ELSE source_url END AS url, hot_item_id % 6 AS kind, {_EVENT} AS etype,
+    coalesce(CASE WHEN hot_item_id % 6 = 0 THEN regexp_extract(source_url, '[0-9.]+$') END, nullif(regexp_extract(title || ' ' || summary, '(?i)\b(?:arxiv[:\s]+)?(\d{{4}}\.\d{{4,5}})\b', 1), '')) AS arxiv,
+    regexp_extract(CASE WHEN hot_item_id % 6 = 5 THEN 'https://example.com/' ELSE source_url END, '^https://([^/]+)', 1) AS publisher,
+    list_filter([{_LIST("PRODUCT")}], lambda x: x IS NOT NULL) AS products, list_filter([{_LIST("ORG")}], lambda x: x IS NOT NULL) AS orgs, list_distinct(list_filter(regexp_split_to_array(normalized_title, ' '), lambda x: x <> '')) AS title_words,
+    list_distinct(list_filter(regexp_split_to_array(lower(title || ' ' || summary), '[^a-z0-9]+'), lambda w: len(w) >= 3 AND w NOT IN ({_STOP}))) AS keywords FROM h),
+g AS (SELECT *, list_concat(products, orgs) AS entities FROM f),
+act AS (SELECT g.*, m.hot_cluster_id AS c FROM g JOIN members m ON m.hot_item_id = g.id),
+pr AS (
+  SELECT a.id AS x, b.id AS y, b.c, b.t AS bt, abs(epoch_us(a.t) - epoch_us(b.t)) / 3600000000.0 AS hours, a.etype = b.etype AS same_type, a.etype = 'UNKNOWN' OR b.etype = 'UNKNOWN' AS unknown, a.url = b.url AS same_url, a.arxiv = b.arxiv AS same_arxiv,
+    list_has_any(a.products, b.products) AND CASE WHEN len(a.orgs) > 0 AND len(b.orgs) > 0 THEN list_has_any(a.orgs, b.orgs) ELSE a.publisher = b.publisher END AS same_event, list_has_any(a.keywords, b.keywords) AS worded,
+    list_has_any(a.entities, b.entities) AS shared, len(a.entities) > 0 AS named, a.kind = b.kind AND a.kind IN (1, 2) AND a.url = b.url AS same_repo,
+    a.kind = b.kind AND a.kind IN (3, 4) AND regexp_extract(a.url, '[0-9]+$') = regexp_extract(b.url, '[0-9]+$') AS same_post
+  FROM g a JOIN act b ON a.id <> b.id AND b.t >= a.t - INTERVAL 72 HOUR),
+sg AS (SELECT *, row_number() OVER (PARTITION BY x, same_type ORDER BY bt DESC, y DESC) AS nth FROM pr),
+cand AS (
+  SELECT *, CASE WHEN same_url THEN 0 WHEN coalesce(same_arxiv, false) OR same_repo OR same_post THEN 1 WHEN shared THEN 2 WHEN worded THEN 3 WHEN same_type AND NOT unknown AND named AND nth <= 50 THEN 4 END AS p,
+    row_number() OVER (PARTITION BY x ORDER BY CASE WHEN same_url THEN 0 WHEN coalesce(same_arxiv, false) OR same_repo OR same_post THEN 1 WHEN shared THEN 2 WHEN worded THEN 3 WHEN same_type AND NOT unknown AND named AND nth <= 50 THEN 4 ELSE 9 END, bt DESC, y DESC) AS place FROM sg),
+near AS (SELECT cand.*, {_J("title_words")} AS jt, {_J("entities")} AS je, {_J("keywords")} AS jk FROM cand JOIN g a ON a.id = x JOIN g b ON b.id = y WHERE p IS NOT NULL AND (place <= 50 OR p <= 2)),
+judged AS (
+  SELECT x, y, c, p, place, CASE WHEN same_url OR coalesce(same_arxiv, false) OR same_repo THEN 'L1' WHEN same_event AND (same_type OR unknown) AND hours <= 48 THEN 'L2' ELSE 'L3' END AS layer,
+    CASE WHEN same_url THEN 0.97 WHEN coalesce(same_arxiv, false) OR same_repo THEN 0.98 WHEN same_event AND (same_type OR unknown) AND hours <= 48 THEN 0.85
+      ELSE round(round(jt * 0.30 + je * 0.35 + jk * 0.15 + CASE WHEN same_type THEN 1.0 WHEN unknown THEN 0.5 ELSE 0.0 END * 0.15 + CASE WHEN floor(hours * 60) <= 1440 THEN 1.0 WHEN floor(hours * 60) >= 4320 THEN 0.0 ELSE 1 - (floor(hours * 60) - 1440) / 2880.0 END * 0.05, 12), 6) END AS score
+  FROM near),
+said AS (SELECT *, CASE WHEN score >= 0.82 THEN 'ACCEPTED' WHEN score < 0.60 THEN 'REJECTED' ELSE 'REVIEW_REQUIRED' END AS decision FROM judged),
+kept AS (
+  SELECT x AS hot_item_id, y AS other_id, list_extract(['CANONICAL_URL', 'EXTERNAL_ID', 'ENTITY', 'KEYWORD', 'TIME'], p + 1) AS signal, p, c AS hot_cluster_id, layer, CAST(score AS DOUBLE) AS score, decision FROM said WHERE place <= 50
+  UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, CAST(1.0 AS DOUBLE), 'NO_CANDIDATE' FROM g WHERE id NOT IN (SELECT x FROM said)),
+top AS (SELECT *, row_number() OVER (PARTITION BY hot_item_id ORDER BY CASE decision WHEN 'ACCEPTED' THEN 3 WHEN 'REVIEW_REQUIRED' THEN 2 WHEN 'REJECTED' THEN 1 ELSE 0 END DESC, score DESC, p, other_id) AS n FROM kept)"""
+ORACLES["match_candidates"] = f"{MATCHES} SELECT hot_item_id, other_id, signal, hot_cluster_id, layer, score, decision FROM kept"
+ORACLES["match_layers"] = f"{MATCHES} SELECT signal, layer, decision, count(*) AS n, round(avg(score), 5) AS mean_score FROM kept GROUP BY ALL"
+ORACLES["best_candidates"] = f"{MATCHES} SELECT hot_item_id, other_id, score, decision FROM top WHERE n = 1"
 ORACLES["online_gate"] = f"""{MATCHES}
-SELECT i.hot_item_id, CASE WHEN i.hot_item_id % 100 >= 60 THEN 'TRAFFIC_NOT_SELECTED' WHEN f.o IS NULL THEN 'NO_BEST_CANDIDATE' WHEN f.c = i.hot_item_id // 4 THEN 'TARGET_EQUALS_SOURCE' END AS skip_reason
-FROM items i LEFT JOIN (SELECT hot_item_id, min(other_id) AS o, arg_min(hot_cluster_id, other_id) AS c FROM found GROUP BY 1) f USING (hot_item_id)"""
+SELECT i.hot_item_id, CASE WHEN i.hot_item_id % 100 >= 60 THEN 'TRAFFIC_NOT_SELECTED' WHEN b.decision = 'NO_CANDIDATE' THEN 'NO_BEST_CANDIDATE' WHEN b.decision <> 'ACCEPTED' THEN 'BEST_DECISION_' || b.decision WHEN b.layer = 'L3' THEN 'LAYER_L3_NOT_ALLOWED' WHEN b.hot_cluster_id = i.hot_item_id // 4 THEN 'TARGET_EQUALS_SOURCE' END AS skip_reason
+FROM items i JOIN top b ON b.hot_item_id = i.hot_item_id AND b.n = 1"""
 
 ORACLES["title_overlap_pairs"] = f"""{_W} SELECT a.hot_item_id AS a, count(*) AS n, CAST(sum(b.hot_item_id) AS BIGINT) AS sum_b FROM items a JOIN items b ON a.hot_item_id < b.hot_item_id AND len(b.title) >= 8 AND contains(lower(a.title), lower(substring(b.title, 1, 8))) GROUP BY 1"""
 BATCH = rf"""{_W},
@@ -264,12 +300,13 @@ SELECT tweet_id, l AS like_count FROM t WHERE l >= CASE WHEN ok THEN 10 ELSE 20
 ORACLES["payload_validation"] = "SELECT doc_id AS case_code, CASE WHEN doc_id % 11 = 0 THEN 'NOT_JSON,ITEM_MISSING,EXPECTATION' ELSE concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'ITEM_MISSING' END, CASE WHEN doc_id % 3 = 2 THEN 'EXPECTATION' END) END AS errors FROM labels"
 ORACLES["source_roles"] = f"""{_W}, r AS (SELECT CAST(CAST(published_at AS DATE) AS VARCHAR) AS day, {_ROLE} AS role, count(*) AS n FROM items GROUP BY 1, 2) SELECT day, role, n, round(n / sum(n) OVER (PARTITION BY day), 6) AS share FROM r"""
 ORACLES["activity_windows"] = f"WITH {SNAPSHOTS} SELECT CAST(floor(epoch(observed_at) / 86400) * 86400 AS BIGINT) AS start, source_type, count(*) AS n, round(avg(attention), 6) AS attention FROM snapshots GROUP BY 1, 2"
-_R = MATCHES.replace("WITH ", "WITH RECURSIVE ", 1)
+_R = MATCHES.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+yes AS (SELECT x AS hot_item_id, y AS other_id, score FROM said WHERE decision = 'ACCEPTED')"""
 ORACLES["clusters_v2"] = f"""{_R},
-p AS (SELECT hot_item_id, min(other_id) AS o FROM found WHERE other_id < hot_item_id GROUP BY 1),
+p AS (SELECT hot_item_id, arg_max(other_id, (score, -other_id)) AS o FROM yes WHERE other_id < hot_item_id GROUP BY 1),
 c AS (SELECT hot_item_id, o FROM p UNION ALL SELECT c.hot_item_id, p.o FROM c JOIN p ON c.o = p.hot_item_id)
 SELECT i.hot_item_id, coalesce(min(c.o), i.hot_item_id) AS hot_cluster_id FROM items i LEFT JOIN c USING (hot_item_id) GROUP BY i.hot_item_id"""
 ORACLES["clusters_merged"] = f"""{_R},
-e AS (SELECT hot_item_id AS a, other_id AS b FROM found UNION SELECT other_id, hot_item_id FROM found),
+e AS (SELECT hot_item_id AS a, other_id AS b FROM yes UNION SELECT other_id, hot_item_id FROM yes),
 c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
 SELECT i.hot_item_id, least(i.hot_item_id, coalesce(min(c.b), i.hot_item_id)) AS hot_cluster_id FROM items i LEFT JOIN c ON c.a = i.hot_item_id GROUP BY i.hot_item_id"""

@@ -68,7 +68,7 @@ def text_features(spark, sf_dir):
 
 @query
 def external_id_extraction(spark, sf_dir):
-    ids = T.external_ids(F.col("source_url"), F.col("external_id"), F.lit(""), F.lit(""))
+    ids = T.external_ids(F.col("source_url"), F.col("external_id"), F.col("title"), F.col("summary"))
     return D.items(spark, sf_dir).select("hot_item_id", *(F.try_element_at(ids, F.lit(k)).alias(k) for k in ("arxiv", "github", "hf_model", "hn_item", "tweet", "external")))
 
 
@@ -174,19 +174,28 @@ def primary_items(spark, sf_dir):
     return C.primaries(_active(spark, sf_dir)[3])
 
 
-def _decisions(spark, sf_dir, most=None):
-    items = D.items(spark, sf_dir)
-    feats = M.features(items.withColumn("summary", F.lit("")).withColumn("author", F.lit(None).cast("string"))).persist()
-    pairs = M.candidates(feats.withColumn("keywords", F.array().cast("array<string>")), D.memberships(items), most=most)
-    return M.decide(pairs, feats)
+def _features(spark, sf_dir):
+    """Features of all items, stored once."""
+    return sinks.stored(M.features(D.items(spark, sf_dir)))
+
+
+def _decisions(spark, sf_dir, **how):
+    feats = _features(spark, sf_dir)
+    return M.with_missing(M.decide(M.candidates(feats, D.memberships(D.items(spark, sf_dir)), **how), feats), feats)
 
 
 @query
 def match_candidates(spark, sf_dir):
-    """Candidates by URL, id and entity; those by keyword are left to the tests."""
+    """All items against all, by every signal, the first 50 candidates an item; what the layers say of each."""
     return _decisions(spark, sf_dir).select("hot_item_id", "other_id", "signal", "hot_cluster_id", "layer", "score", "decision")
 
 
+@query
+def match_layers(spark, sf_dir):
+    """How many pairs each signal, layer and decision has."""
+    return _decisions(spark, sf_dir).groupBy("signal", "layer", "decision").agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score"))
+
+
 @query
 def best_candidates(spark, sf_dir):
     return M.best(_decisions(spark, sf_dir)).select("hot_item_id", "other_id", "score", "decision")
@@ -195,7 +204,7 @@ def best_candidates(spark, sf_dir):
 @query
 def online_gate(spark, sf_dir):
     own = D.items(spark, sf_dir).select("hot_item_id", "source_type", F.floor(F.col("hot_item_id") / 4).alias("v1_cluster_id"))
-    return M.gate(M.best(_decisions(spark, sf_dir)), own, 60, layers=("L1",)).select("hot_item_id", "skip_reason")
+    return M.gate(M.best(_decisions(spark, sf_dir)), own, 60, layers=("L1", "L2")).select("hot_item_id", "skip_reason")
 
 
 def _rules(spark):
@@ -399,9 +408,9 @@ def activity_windows(spark, sf_dir):
 
 @query
 def clusters_v2(spark, sf_dir):
-    return C.greedy_assign(_decisions(spark, sf_dir), D.items(spark, sf_dir), sinks.stored)
+    return C.greedy_assign(_decisions(spark, sf_dir, most=None, signals=M.ACCEPTING), D.items(spark, sf_dir), sinks.stored)
 
 
 @query
 def clusters_merged(spark, sf_dir):
-    return C.merge_accepted(_decisions(spark, sf_dir), D.items(spark, sf_dir), sinks.stored)
+    return C.merge_accepted(_decisions(spark, sf_dir, most=None, signals=M.ACCEPTING), D.items(spark, sf_dir), sinks.stored)
