@@ -148,9 +148,9 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def clean_html(text: Column) -> Column:
-    """clean() without tags, and with the five basic character references decoded, the ampersand's last."""
-    out = F.regexp_replace(text, "<[^>]+>", "")
+def clean_html(text: Column, between: str = "") -> Column:
+    """clean() without tags (`between` in place of each), and with the five basic character references decoded, the ampersand's last."""
+    out = F.regexp_replace(text, "<[^>]+>", between)
     for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&#x2F;", "/"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(ch))
     return clean(out)

@@ -22,14 +22,60 @@ _N = {
 }
 
 
-_TEXTS = ("title", "url", "type", "dead", "deleted", "arxivId", "objectId", "tweetId", "text", "word", "fullName", "modelId", "publishedAt")
-_NUMBERS = ("score", "descendants", "points", "numComments", "stargazersCount", "forksCount", "watchersCount", "openIssuesCount", "downloads", "likes", "num", "rank", "totalCount", "likeCount", "retweetCount", "viewCount", "replyCount", "quoteCount", "authorsCount", "categoriesCount")
+_TEXTS = ("title", "url", "type", "dead", "deleted", "arxivId", "objectId", "tweetId", "text", "word", "fullName", "modelId", "publishedAt", "summary", "description", "language", "updatedAt", "ownerLogin", "author", "authorName", "authorUsername", "by", "storyText", "snippet", "passage", "content", "note", "category", "query", "market", "region", "site", "pipelineTag")
+_LISTS = ("categories", "authors", "topics", "tags")
+_NUMBERS = ("score", "descendants", "points", "numComments", "stargazersCount", "forksCount", "watchersCount", "openIssuesCount", "downloads", "likes", "num", "rank", "totalCount", "likeCount", "retweetCount", "viewCount", "replyCount", "quoteCount")
+
+
+def _told(source: str, j, n) -> tuple[Column, Column, Column]:
+    """(tags, summary, author) of a source's payload. Tags are clean, not blank, and each there once, whatever its case; summaries have a length at most; blank ones are null."""
+    clean = lambda c: F.coalesce(T.clean(j(c)), F.lit(""))
+    some = lambda x: F.when(x != "", x)
+    short = lambda x, most=2000: some(F.substring(x, 1, most))
+    list_of = lambda c: F.coalesce(F.transform(j(c), lambda x: F.coalesce(T.clean(x), F.lit(""))), F.array().cast("array<string>"))
+    words = lambda p: F.split(clean("query"), p)
+    host = F.coalesce(T.host_of(j("url")), F.lit(""))
+    label = lambda s: F.array(F.lit(s))
+    tags = {
+        "ARXIV": lambda: list_of("categories"), "HACKER_NEWS": lambda: F.col("matched"), "HACKER_NEWS_SEARCH": lambda: F.array(F.lit("hacker-news-search"), clean("query")), "GITHUB": lambda: F.array_append(list_of("topics"), clean("language")),
+        "HUGGING_FACE": lambda: F.array_append(list_of("tags"), clean("pipelineTag")), "BING_SEARCH": lambda: F.concat(label("bing-search"), words(r"\s+"), F.array(clean("market"), host)), "DUCKDUCKGO_SEARCH": lambda: F.concat(label("duckduckgo-search"), words(r"\s+"), F.array(clean("region"), host)),
+        "SOGOU_SEARCH": lambda: F.array_append(words(r"\s+OR\s+|\s+"), clean("site")), "WEIBO_HOT_SEARCH": lambda: F.array(F.lit("weibo-hot-search"), clean("query"), clean("category")), "TWITTER": lambda: F.concat(F.array(F.lit("twitter"), clean("query")), T.hashtags(clean("text"))),
+    }[source]()
+    tags = F.filter(tags, lambda t: t != "")
+    if source not in ("ARXIV", "HACKER_NEWS"):
+        tags = T.distinct_ignoring_case(tags)
+    model = F.concat_ws(" | ", F.concat(F.lit("Pipeline: "), some(clean("pipelineTag"))), F.concat(F.lit("Tags: "), some(F.array_join(F.slice(tags, 1, 6), ", "))))
+    heat = F.concat(F.lit("热度: "), n("num").cast("string"))
+    summary = {
+        "ARXIV": lambda: short(clean("summary")), "HACKER_NEWS": lambda: short(T.clean_html(j("text"), " "), 1000), "HACKER_NEWS_SEARCH": lambda: short(clean("storyText")), "GITHUB": lambda: short(clean("description")), "HUGGING_FACE": lambda: short(model),
+        "BING_SEARCH": lambda: short(clean("snippet")), "DUCKDUCKGO_SEARCH": lambda: short(clean("snippet")), "SOGOU_SEARCH": lambda: short(F.coalesce(some(clean("passage")), clean("content"))),
+        "WEIBO_HOT_SEARCH": lambda: short(F.coalesce(F.concat(some(clean("note")), F.lit(" ("), heat, F.lit(")")), heat), 500), "TWITTER": lambda: some(clean("text")),
+    }[source]()
+    author = {
+        "ARXIV": lambda: some(F.get(list_of("authors"), F.lit(0))), "HACKER_NEWS": lambda: j("by"), "HACKER_NEWS_SEARCH": lambda: some(clean("author")), "GITHUB": lambda: some(clean("ownerLogin")), "HUGGING_FACE": lambda: F.coalesce(some(clean("author")), F.when(F.instr(clean("modelId"), "/") > 1, F.substring_index(clean("modelId"), "/", 1))),
+        "BING_SEARCH": lambda: F.coalesce(some(host), F.lit("Bing Search")), "DUCKDUCKGO_SEARCH": lambda: F.coalesce(some(host), F.lit("DuckDuckGo Search")), "SOGOU_SEARCH": lambda: some(clean("site")), "WEIBO_HOT_SEARCH": lambda: F.lit("微博热搜"), "TWITTER": lambda: F.coalesce(some(clean("authorName")), some(clean("authorUsername"))),
+    }[source]()
+    return tags, summary, author
+
+
+def matched_keywords(text: Column, keywords: Column) -> Column:
+    """Those of a source's keywords that a text holds, whatever their case; empty for none."""
+    given = F.filter(F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: F.coalesce(k != "", F.lit(False)))
+    return T.bound(F.lower(text), lambda t: F.filter(given, lambda k: t.contains(F.lower(k))))
 
 
 def normalize(raw: DataFrame) -> DataFrame:
-    """raw (id, source_type, external_id, raw_payload JSON, fetched_at) to items; records without a required field are dropped, as are news posts that are no stories, are dead or deleted."""
-    raw = raw.withColumn("p", F.from_json("raw_payload", ", ".join(f"{c} string" for c in (*_TEXTS, *_NUMBERS))))
-    raw = raw.select("id", "source_type", "external_id", "fetched_at", *(F.col(f"p.{c}").alias(c) for c in _TEXTS), *(F.coalesce(F.col(f"p.{c}").try_cast("long"), F.lit(0).cast("long")).alias(c) for c in _NUMBERS))
+    """raw (id, source_type, external_id, raw_payload JSON, fetched_at, and for news posts keywords array<string>, as their source is configured) to items; records without a required field are dropped, as are news posts that are no stories, are dead or deleted, or hold none of the keywords."""
+    if "keywords" not in raw.columns:
+        raw = raw.withColumn("keywords", F.lit(None).cast("array<string>"))
+    raw = raw.withColumn("p", F.from_json("raw_payload", ", ".join([*(f"{c} string" for c in (*_TEXTS, *_NUMBERS)), *(f"{c} array<string>" for c in _LISTS)])))
+    raw = raw.select("id", "source_type", "external_id", "fetched_at", "keywords", *(F.col(f"p.{c}").alias(c) for c in (*_TEXTS, *_LISTS)), *(F.coalesce(F.col(f"p.{c}").try_cast("long"), F.lit(0).cast("long")).alias(c) for c in _NUMBERS))
+    counted = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long")
+    # an address that the source doesn't give follows from the record
+    url = F.when(F.col("source_type") == "TWITTER", F.concat(F.lit("https://twitter.com/i/web/status/"), F.trim("tweetId"))).when(F.col("source_type") == "WEIBO_HOT_SEARCH", F.concat(F.lit("https://s.weibo.com/weibo?q="), F.url_encode(T.clean(F.col("word"))))).otherwise(F.col("url"))
+    raw = raw.withColumns({"authorsCount": counted("authors"), "categoriesCount": counted("categories"), "url": url})
+    post = F.concat_ws(" ", F.coalesce(T.clean_html(F.col("title"), " "), F.lit("")), T.clean_html(F.col("text"), " "))
+    raw = raw.withColumn("matched", F.when(F.col("source_type") == "HACKER_NEWS", matched_keywords(post, F.col("keywords"))))
     j = n = F.col
     cases: dict[str, Column] = {}
 
@@ -38,15 +84,17 @@ def normalize(raw: DataFrame) -> DataFrame:
         cases[name] = cases[name].when(here, value) if name in cases else F.when(here, value)
 
     for s, (kind, title, needed, points, comments, hashed, metrics) in _N.items():
-        said = T.clean(j(title))
+        said = T.clean_html(j(title), " ") if s == "HACKER_NEWS" else T.clean(j(title))
         add("item_type", s, F.lit(kind))
         add("title", s, F.substring(said, 1, 100) if s == "TWITTER" else said)
         ok = F.lit(True)
         for p in needed:
             ok = ok & (F.coalesce(F.trim(j(p)), F.lit("")) != "")
         if s == "HACKER_NEWS":
-            ok = ok & (F.coalesce(j("type"), F.lit("")) == "story") & ~F.coalesce(j("dead") == "true", F.lit(False)) & ~F.coalesce(j("deleted") == "true", F.lit(False))
+            ok = ok & (F.coalesce(j("type"), F.lit("")) == "story") & ~F.coalesce(j("dead") == "true", F.lit(False)) & ~F.coalesce(j("deleted") == "true", F.lit(False)) & (F.size("matched") > 0)
         add("ok", s, ok)
+        for name, value in zip(("tags", "summary", "author"), _told(s, j, n)):
+            add(name, s, value)
         likes = n("likeCount") + 3 * n("retweetCount") + F.floor(n("viewCount") / 100)
         value = {"place": F.greatest(F.lit(1).cast("long"), n("totalCount") - n("rank") + 1), "tweet": likes, "replies": n("replyCount") + n("quoteCount"), "0": F.lit(0).cast("long")}
         add("points", s, value.get(points) if points in value else n(points))
@@ -55,7 +103,7 @@ def normalize(raw: DataFrame) -> DataFrame:
         add("content_hash", s, F.sha2(F.concat_ws("\n", *parts).cast("binary"), 256))
         pairs = [x for m in metrics for x in (F.lit(m), n(m).cast("double"))]
         add("metrics", s, F.map_concat(F.create_map(F.lit("points"), cases["points"].cast("double"), F.lit("commentsCount"), cases["comments_count"].cast("double")), F.create_map(*pairs)) if pairs and s not in ("HACKER_NEWS",) else F.create_map(F.lit("points"), cases["points"].cast("double"), F.lit("commentsCount"), cases["comments_count"].cast("double")))
-    rows = raw.select("id", "source_type", "external_id", *(v.alias(k) for k, v in cases.items()), T.canonical_url(j("url")).alias("source_url"), F.try_to_timestamp(j("publishedAt")).alias("published_at"), "fetched_at")
+    rows = raw.select("id", "source_type", "external_id", *(v.alias(k) for k, v in cases.items()), T.canonical_url(j("url")).alias("source_url"), F.when(F.col("source_type") == "GITHUB", F.nullif(T.clean(j("language")), F.lit(""))).alias("language"), F.try_to_timestamp(j("publishedAt")).alias("published_at"), "fetched_at")
     return rows.where(F.coalesce("ok", F.lit(False))).drop("ok")
 
 

@@ -14,11 +14,11 @@ from ..operators import signals as G
 
 
 def run(raw: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """items (one a source and id, with signals), membership, scores, and counts of the batch, all lazily from one table of raw records. A record that no normalizer takes is counted as filtered."""
+    """raw: see normalize(). items (one a source and id, with signals), membership, scores, and counts of the batch, all lazily from one table of raw records. A record that no normalizer takes is counted as filtered."""
     normal = I.normalize(raw)
     items = G.signals(I.upsert(normal)).withColumnRenamed("id", "hot_item_id")
     membership = C.v1_assign(items)
-    members = membership.join(items.withColumn("tags", F.array().cast("array<string>")), "hot_item_id")
+    members = membership.join(items, "hot_item_id")
     counts = raw.agg(F.count("*").alias("fetched")).crossJoin(normal.agg(F.count("*").alias("matched"))).crossJoin(items.agg(F.count("*").alias("persisted")))
     return {"items": items, "membership": membership, "scores": S.v1_scores(members, now), "counts": counts.withColumn("filtered", F.col("fetched") - F.col("matched"))}
 

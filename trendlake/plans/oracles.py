@@ -70,10 +70,12 @@ SELECT hot_item_id, coalesce(nullif(regexp_extract(source_url, '^https://arxiv\.
 
 _L = "ln(1 + least({cap}.0, greatest(0, {v}))) / ln(1.0 + {cap}) * 100"
 _log = lambda v, cap: _L.format(v=v, cap=cap)
+#: Which records normalizers take: the news source has three keywords.
+_GATE = "(said <> '' OR source_type IN ('GITHUB', 'HUGGING_FACE')) AND (source_type <> 'HACKER_NEWS' OR contains(lower(said || ' ' || said), 'gpt') OR contains(lower(said || ' ' || said), 'the') OR contains(lower(said || ' ' || said), 'de'))"
 ORACLES["normalized_items"] = rf"""{_W},
 n AS (SELECT *, trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS said, comments_count % 20 + 1 AS rank, points AS p, comments_count AS c FROM items)
 SELECT hot_item_id AS id, source_type, CASE source_type WHEN 'ARXIV' THEN 'PAPER' WHEN 'GITHUB' THEN 'REPOSITORY' WHEN 'HUGGING_FACE' THEN 'MODEL' WHEN 'HACKER_NEWS' THEN 'POST' WHEN 'HACKER_NEWS_SEARCH' THEN 'ARTICLE' WHEN 'WEIBO_HOT_SEARCH' THEN 'TREND' WHEN 'TWITTER' THEN 'POST' WHEN 'SOGOU_SEARCH' THEN 'SEARCH_RESULT' ELSE 'WEB_PAGE' END AS item_type,
-  CASE source_type WHEN 'GITHUB' THEN 'o/r' || external_id WHEN 'HUGGING_FACE' THEN 'o/m' || external_id ELSE said END AS title,
+  CASE source_type WHEN 'GITHUB' THEN 'o/r' || external_id WHEN 'HUGGING_FACE' THEN 'o/m' || external_id WHEN 'TWITTER' THEN substring(said, 1, 100) ELSE said END AS title,
   CAST(CASE source_type WHEN 'ARXIV' THEN 0 WHEN 'TWITTER' THEN p + 3 * c + p * 10 // 100 WHEN 'BING_SEARCH' THEN 21 - rank WHEN 'DUCKDUCKGO_SEARCH' THEN 21 - rank WHEN 'SOGOU_SEARCH' THEN 21 - rank ELSE p END AS BIGINT) AS points,
   CAST(CASE WHEN source_type IN ('GITHUB', 'HUGGING_FACE', 'HACKER_NEWS', 'HACKER_NEWS_SEARCH') THEN c WHEN source_type = 'TWITTER' THEN c + 1 ELSE 0 END AS BIGINT) AS comments_count,
   round(CASE source_type WHEN 'GITHUB' THEN {_log("p + p", 5000)} WHEN 'HUGGING_FACE' THEN {_log("c", 500)} WHEN 'HACKER_NEWS' THEN {_log("p", 500)} WHEN 'HACKER_NEWS_SEARCH' THEN {_log("p", 500)} WHEN 'TWITTER' THEN {_log("p * 10 + p", 100000)} WHEN 'WEIBO_HOT_SEARCH' THEN {_log("p", 1000000)} ELSE 0.0 END, 6) AS attention,
@@ -81,7 +83,19 @@ SELECT hot_item_id AS id, source_type, CASE source_type WHEN 'ARXIV' THEN 'PAPER
   round(CASE source_type WHEN 'ARXIV' THEN 3 / 20.0 * 100 * 0.6 + 2 / 10.0 * 100 * 0.4 WHEN 'GITHUB' THEN {_log("p + 2 * c + p", 10000)} WHEN 'HUGGING_FACE' THEN {_log("p", 50000)} WHEN 'TWITTER' THEN {_log("p + 3 * c", 25000)} ELSE 0.0 END, 6) AS adoption,
   round(CASE WHEN source_type IN ('BING_SEARCH', 'DUCKDUCKGO_SEARCH', 'SOGOU_SEARCH') THEN greatest(1, rank - least(20, rank) + 1) / rank::DOUBLE * 100.0 ELSE 0.0 END, 6) AS relevance,
   CAST(CASE WHEN source_type IN ('BING_SEARCH', 'DUCKDUCKGO_SEARCH', 'SOGOU_SEARCH') THEN rank END AS INT) AS rank
-FROM n WHERE said <> '' OR source_type IN ('GITHUB', 'HUGGING_FACE')"""
+FROM n WHERE {_GATE}"""
+_TAGGED = rf"""
+nt AS (SELECT *, trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS said, trim(regexp_replace(summary, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS body, CASE hot_item_id % 6 WHEN 0 THEN 'arxiv.org' WHEN 1 THEN 'github.com' WHEN 2 THEN 'huggingface.co' WHEN 3 THEN 'news.ycombinator.com' WHEN 4 THEN 'twitter.com' ELSE 'example.com' END AS host FROM items),
+x AS (
+  SELECT hot_item_id AS id, source_type, CASE source_type WHEN 'ARXIV' THEN 'cs.AI,' || author WHEN 'GITHUB' THEN 'Tools,' || author || ',Python' WHEN 'HUGGING_FACE' THEN 'nlp,' || author || ',text-generation' WHEN 'HACKER_NEWS_SEARCH' THEN 'hacker-news-search,AI agent OR ai' WHEN 'WEIBO_HOT_SEARCH' THEN 'weibo-hot-search,AI agent OR ai' || CASE WHEN hot_item_id % 2 = 0 THEN ',Tech' ELSE '' END
+      WHEN 'TWITTER' THEN 'twitter,AI agent OR ai' || coalesce(',' || nullif(array_to_string(list_distinct(regexp_extract_all(said, '#[a-zA-Z0-9_]+')), ','), ''), '') WHEN 'BING_SEARCH' THEN 'bing-search,AI,agent,OR,en-US,' || host WHEN 'DUCKDUCKGO_SEARCH' THEN 'duckduckgo-search,AI,agent,OR,us-en,' || host WHEN 'SOGOU_SEARCH' THEN 'AI,agent,site' || (hot_item_id % 3)
+      ELSE array_to_string(list_filter(['GPT', 'THE', 'de'], lambda k: contains(lower(said || ' ' || said), lower(k))), ',') END AS tags,
+    CASE WHEN source_type = 'HUGGING_FACE' THEN 'Pipeline: text-generation | Tags: nlp, ' || author || ', text-generation' WHEN source_type = 'WEIBO_HOT_SEARCH' THEN '热度: ' || points WHEN source_type = 'HACKER_NEWS' THEN substring(said, 1, 1000) WHEN source_type = 'TWITTER' THEN said ELSE nullif(substring(body, 1, 2000), '') END AS brief,
+    CASE WHEN source_type IN ('ARXIV', 'GITHUB', 'HACKER_NEWS', 'TWITTER') THEN author WHEN source_type = 'HUGGING_FACE' THEN 'o' WHEN source_type = 'HACKER_NEWS_SEARCH' THEN NULL WHEN source_type = 'SOGOU_SEARCH' THEN 'site' || (hot_item_id % 3) WHEN source_type = 'WEIBO_HOT_SEARCH' THEN '微博热搜' ELSE host END AS author, CASE WHEN source_type = 'GITHUB' THEN 'Python' END AS language
+  FROM nt WHERE {_GATE})"""
+ORACLES["item_texts"] = rf"""{_W}, {_TAGGED}
+SELECT id, tags, sha256(brief) AS summary_hash, CAST(len(brief) AS BIGINT) AS summary_chars, author, language FROM x"""
+
 
 ORACLES["item_upsert"] = """
 SELECT event_type AS source_type, user_id AS external_id, arg_max(event_id, (ts, event_id)) AS id, round(arg_max(value, (ts, event_id)), 6) AS value, CAST(floor(epoch_us(min(ts)) / 1000000.0) AS BIGINT) AS first_seen, CAST(floor(epoch_us(max(ts)) / 1000000.0) AS BIGINT) AS last_seen
@@ -282,16 +296,16 @@ SELECT i.hot_item_id, CASE WHEN i.hot_item_id % 100 >= 60 THEN 'TRAFFIC_NOT_SELE
 FROM items i JOIN top b ON b.hot_item_id = i.hot_item_id AND b.n = 1"""
 
 ORACLES["title_overlap_pairs"] = f"""{_W} SELECT a.hot_item_id AS a, count(*) AS n, CAST(sum(b.hot_item_id) AS BIGINT) AS sum_b FROM items a JOIN items b ON a.hot_item_id < b.hot_item_id AND len(b.title) >= 8 AND contains(lower(a.title), lower(substring(b.title, 1, 8))) GROUP BY 1"""
-BATCH = rf"""{_W},
-n AS (SELECT *, trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS said, comments_count % 20 + 1 AS rank, CASE WHEN hot_item_id % 6 = 5 THEN 'https://example.com/p/' || (hot_item_id % 100) || '?a=1&b=2' ELSE source_url END AS url FROM items),
+BATCH = rf"""{_W}, {_TAGGED},
+n AS (SELECT *, trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS said, comments_count % 20 + 1 AS rank, CASE WHEN source_type = 'TWITTER' THEN 'https://twitter.com/i/web/status/' || external_id WHEN source_type = 'WEIBO_HOT_SEARCH' THEN 'weibo ' || trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g')) WHEN hot_item_id % 6 = 5 THEN 'https://example.com/p/' || (hot_item_id % 100) || '?a=1&b=2' ELSE source_url END AS url FROM items),
 m AS (
   SELECT hot_item_id, min(hot_item_id) OVER (PARTITION BY url) AS cl, published_at,
     CASE source_type WHEN 'ARXIV' THEN 0 WHEN 'TWITTER' THEN points + 3 * comments_count + points * 10 // 100 WHEN 'BING_SEARCH' THEN 21 - rank WHEN 'DUCKDUCKGO_SEARCH' THEN 21 - rank WHEN 'SOGOU_SEARCH' THEN 21 - rank ELSE points END AS p,
     CASE WHEN source_type IN ('GITHUB', 'HUGGING_FACE', 'HACKER_NEWS', 'HACKER_NEWS_SEARCH') THEN comments_count WHEN source_type = 'TWITTER' THEN comments_count + 1 ELSE 0 END AS c
-  FROM n WHERE said <> '' OR source_type IN ('GITHUB', 'HUGGING_FACE'))"""
+  FROM n WHERE {_GATE})"""
 ORACLES["ingest_batch"] = f"""{BATCH},
-g AS (SELECT cl, max(p) AS p, max(c) AS c, count(*) AS n FROM m GROUP BY cl)
-SELECT cl AS hot_cluster_id, round(ln(1 + least(500.0, p)) / ln(501.0) * 35 + ln(1 + least(200.0, c)) / ln(201.0) * 20 + 30.0 + least(5.0, 2.5 * (n - 1)), 4) AS total_score FROM g"""
+g AS (SELECT cl, max(p) AS p, max(c) AS c, count(*) AS n, max(len(string_split(x.tags, ','))) AS tags FROM m JOIN x ON x.id = m.hot_item_id GROUP BY cl)
+SELECT cl AS hot_cluster_id, round(ln(1 + least(500.0, p)) / ln(501.0) * 35 + ln(1 + least(200.0, c)) / ln(201.0) * 20 + 30.0 + least(10.0, 2.0 * tags) + least(5.0, 2.5 * (n - 1)), 4) AS total_score FROM g"""
 ORACLES["ingest_counts"] = f"{BATCH} SELECT (SELECT count(*) FROM items) AS fetched, count(*) AS matched, count(*) AS persisted, (SELECT count(*) FROM items) - count(*) AS filtered FROM m"
 ORACLES["score_versions"] = f"""SELECT hot_cluster_id, total_score, 'hn-score-v1' AS scoring_version FROM ({ORACLES["score_v1_all"]}) UNION ALL SELECT hot_cluster_id, total_score, 'cross-source-score-v2' FROM ({ORACLES["score_v2"]})"""
 ORACLES["tweet_top"] = """

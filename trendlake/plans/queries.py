@@ -80,10 +80,12 @@ def _raw(spark, sf_dir):
         F.struct(
             F.col("title"), F.col("source_url").alias("url"), F.lit("story").alias("type"), F.col("external_id").alias("arxivId"), F.col("external_id").alias("objectId"), F.col("external_id").alias("tweetId"), F.col("title").alias("text"), F.col("title").alias("word"),
             F.concat(F.lit("o/r"), "external_id").alias("fullName"), F.concat(F.lit("o/m"), "external_id").alias("modelId"), p.alias("score"), c.alias("descendants"), p.alias("points"), c.alias("numComments"), p.alias("stargazersCount"), c.alias("forksCount"),
-            p.alias("watchersCount"), c.alias("openIssuesCount"), p.alias("downloads"), c.alias("likes"), p.alias("num"), (c % 20 + 1).alias("rank"), F.lit(20).alias("totalCount"), p.alias("likeCount"), c.alias("retweetCount"), (p * 10).alias("viewCount"), c.alias("replyCount"), F.lit(1).alias("quoteCount"), F.lit(3).alias("authorsCount"), F.lit(2).alias("categoriesCount"),
+            p.alias("watchersCount"), c.alias("openIssuesCount"), p.alias("downloads"), c.alias("likes"), p.alias("num"), (c % 20 + 1).alias("rank"), F.lit(20).alias("totalCount"), p.alias("likeCount"), c.alias("retweetCount"), (p * 10).alias("viewCount"), c.alias("replyCount"), F.lit(1).alias("quoteCount"), F.array(F.col("author"), F.lit("B. Two"), F.lit("C. Three")).alias("authors"), F.array(F.lit("cs.AI"), F.col("author")).alias("categories"),
+            F.col("summary"), F.col("summary").alias("description"), F.col("summary").alias("storyText"), F.col("summary").alias("snippet"), F.col("summary").alias("passage"), F.array(F.lit("Tools"), F.lit(" tools "), F.col("author")).alias("topics"), F.lit("Python").alias("language"), F.array(F.lit("nlp"), F.col("author")).alias("tags"),
+            F.lit("text-generation").alias("pipelineTag"), F.lit("AI agent OR ai").alias("query"), F.lit("en-US").alias("market"), F.lit("us-en").alias("region"), F.concat(F.lit("site"), F.pmod("hot_item_id", F.lit(3)).cast("string")).alias("site"), F.when(F.pmod("hot_item_id", F.lit(2)) == 0, "Tech").otherwise("").alias("category"), F.col("author").alias("by"), F.col("author").alias("ownerLogin"), F.lit(" ").alias("authorName"), F.col("author").alias("authorUsername"),
         )
     )
-    return items.select(F.col("hot_item_id").alias("id"), "source_type", "external_id", payload.alias("raw_payload"), F.col("published_at").alias("fetched_at"))
+    return items.select(F.col("hot_item_id").alias("id"), "source_type", "external_id", payload.alias("raw_payload"), F.col("published_at").alias("fetched_at"), F.array(F.lit("GPT"), F.lit(" THE "), F.lit(" de ")).alias("keywords"))
 
 
 @query
@@ -92,6 +94,12 @@ def normalized_items(spark, sf_dir):
     return rows.select("id", "source_type", "item_type", "title", "points", "comments_count", F.round("signal.attention", 6).alias("attention"), F.round("signal.discussion", 6).alias("discussion"), F.round("signal.adoption", 6).alias("adoption"), F.round("signal.relevance", 6).alias("relevance"), F.col("signal.rank").alias("rank"))
 
 
+@query
+def item_texts(spark, sf_dir):
+    """What normalizers make of tags, summary and author."""
+    return I.normalize(_raw(spark, sf_dir)).select("id", F.array_join("tags", ",").alias("tags"), F.sha2(F.col("summary").cast("binary"), 256).alias("summary_hash"), F.length("summary").cast("long").alias("summary_chars"), "author", "language")
+
+
 @query
 def item_upsert(spark, sf_dir):
     """Events as records that come again: one row for each user and type."""
