@@ -28,20 +28,20 @@ _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 #: What counts as personal data or a secret, the first that fits at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
-    "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip6": r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
-    "address": rf"(?<![\d.,]|\p{{L}})\d{{1,5}} (?:{_NAME} ){{1,3}}(?:{'|'.join(STREETS)})(?!\p{{L}})|(?<!\p{{L}})\p{{Lu}}\p{{L}}+(?:straße|strasse|gasse|platz) \d{{1,4}}(?!\d)",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
-    "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<!\d)(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\d)",
-    "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|\+\d{1,3}([ .\-])\d{1,4}(?:\1\d{2,8}){1,4}(?!\d)|\+\d{8,15}(?!\d)|(?<![\d\-.])\d{3}([ \-.])\d{3}\2\d{4}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})",
+    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9+/_\-]{8})(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
+    "access": r"(?=A)(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "iban": r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![0-9A-Za-z:])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "address": rf"(?=\d)(?<![\d.,]|\p{{L}})\d{{1,5}} (?:{_NAME} ){{1,3}}(?:{'|'.join(STREETS)})(?!\p{{L}})|(?=\p{{Lu}})(?<!\p{{L}})\p{{L}}+(?:straße|strasse|gasse|platz) \d{{1,4}}(?!\d)",
+    "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
+    "ssn": r"(?=\d{3}-)(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
+    "card": r"(?=\d{4})(?<!\d)(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\d)",
+    "phone": r"(?=[+(\d])(?:(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|\+\d{1,3}([ .\-])\d{1,4}(?:\1\d{2,8}){1,4}(?!\d)|\+\d{8,15}(?!\d)|(?<![\d\-.])\d{3}([ \-.])\d{3}\2\d{4}(?!\d))",
+    "name": rf"(?=[\p{{Lu}}г])(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Characters of a text that can't be part of anything above need no look at it.
-_HINT = r"[@\d]|(?i:password|passwd|pwd|secret|token|api)|AKIA|(?<!\p{L})(?:" + "|".join(TITLES) + "|" + _ALL_GIVEN + ")"
+_HINT = r"[@\d]|(?=[pPsStTaA])(?i:password|passwd|pwd|secret|token|api)|(?=[\p{Lu}г])(?<!\p{L})(?:AKIA|" + "|".join(TITLES) + "|" + _ALL_GIVEN + ")"
 
 _HEX = "0123456789abcdef"
 _LETTERS = "bcdfghjkmnpqrstv"
