@@ -155,30 +155,36 @@ def test_clustering_fixture(spark, tmp_path):
     assert E.fixture_metrics(groups, apart, C.merge_accepted(decisions, items, keep)).first().recall >= v2.recall
 
 
-FEATURES = "hot_item_id long, event_time timestamp, canonical_url string, external_ids map<string,string>, entities array<struct<type:string,value:string>>, keywords array<string>"
+FEATURES = "hot_item_id long, event_time timestamp, canonical_url string, external_ids map<string,string>, entities array<struct<type:string,value:string>>, keywords array<string>, event_type string"
 
 
 def test_candidates_by_common_values(spark):
     """A word of more than a thousand items, and small blocks against brute force."""
     n = 1010
-    feats = spark.createDataFrame([(i, T0, "", {}, [], ["x"]) for i in range(n)], FEATURES)
+    feats = spark.createDataFrame([(i, T0, "", {}, [], ["x"], "UNKNOWN") for i in range(n)], FEATURES)
     own = feats.select("hot_item_id", F.col("hot_item_id").alias("hot_cluster_id"), F.lit(None).cast("timestamp").alias("removed_at"))
     got = M.candidates(feats, own)
-    assert got.groupBy("hot_item_id").agg(F.count("*").alias("n"), F.max("other_id").alias("top")).where("n = 50 and top <= 50").count() == n
+    assert got.groupBy("hot_item_id").agg(F.count("*").alias("n"), F.min("other_id").alias("low"), F.max("other_id").alias("top")).where("n = 50 and low >= 959 and top >= 1008").count() == n
     assert M.candidates(feats, own, most=None).count() == n * (n - 1)
 
     rnd = random.Random(2)
-    rows = [(i, T0 + rnd.randrange(120) * HOUR, rnd.choice(["", "u1", "u2"]), {"arxiv": str(rnd.randrange(9))}, [("ORG", rnd.choice("abc")), ("PRODUCT", rnd.choice("abc"))], ["x", rnd.choice("yz")]) for i in range(60)]
+    rows = [(i, T0 + rnd.randrange(120) * HOUR, rnd.choice(["", "u1", "u2"]), {"arxiv": str(rnd.randrange(9))}, [("ORG", rnd.choice("abc")), ("PRODUCT", rnd.choice("abc"))], ["x"] if i % 3 == 0 else [rnd.choice("yz")], rnd.choice(["FUNDING", "POLICY", "UNKNOWN"])) for i in range(60)]
+    rows += [(60 + i, T0 + i * HOUR, "", {}, [("ORG", f"own{i}")] if i % 2 else [], [f"own{i}"], "FUNDING") for i in range(9)]
     feats = spark.createDataFrame(rows, FEATURES)
     own = feats.select("hot_item_id", F.col("hot_item_id").alias("hot_cluster_id"), F.when(F.col("hot_item_id") % 5 == 0, F.lit(T0)).alias("removed_at"))
     values = lambda r: [{r[2]} - {""}, set(r[3].values()), {v for _, v in r[4]}, set(r[5])]
-    for most in (None, 3):
+    for most in (None, 1, 3, 200):
         want = set()
         for a in rows:
             near = [b for b in rows if b[0] != a[0] and b[0] % 5 and b[1] >= a[1] - 72 * HOUR]
-            found = sorted((next(p for p, (x, y) in enumerate(zip(values(a), values(b))) if x & y), b[0]) for b in near)
-            want |= {(a[0], o, M.SIGNALS[p]) for p, o in found[:most]}
-        assert {(r.hot_item_id, r.other_id, r.signal) for r in M.candidates(feats, own, most=most, block=7).collect()} == want
+            latest = sorted(near, key=lambda b: (b[1], b[0]), reverse=True)
+            alike = [b for b in latest if a[6] == b[6] != "UNKNOWN" and a[4]]
+            found = [(p, b[0]) for p in range(4) for b in latest if values(a)[p] & values(b)[p]] + [(4, b[0]) for b in alike[:most]]
+            first = {}
+            for p, o in found:
+                first.setdefault(o, p)
+            want |= {(a[0], o, M.SIGNALS[p]) for o, p in list(first.items())[:most]}
+        assert {(r.hot_item_id, r.other_id, r.signal) for r in M.candidates(feats, own, most=most, block=7).collect()} == want, most
 
 
 def test_title_pairs_either_way(spark):
@@ -189,7 +195,67 @@ def test_title_pairs_either_way(spark):
     assert sorted(map(tuple, E.title_pairs(items).collect())) == want == [(1, 2), (2, 3), (2, 4), (3, 4)]
     none = spark.createDataFrame([(i, i, None) for i in range(1, 7)], "hot_item_id long, hot_cluster_id long, removed_at timestamp")
     got = E.export_pairs(none, items, F.lit(None).cast("string")).collect()
-    assert sorted(map(tuple, got)) == [(*p, "title_overlap") for p in want]
+    assert sorted(map(tuple, got)) == [(*p, "TITLE_OVERLAP") for p in want]
+
+
+def test_pair_counts(spark):
+    """Counts of groups against the pairs themselves."""
+    rnd = random.Random(3)
+    titles = ["Big News today", "we read BIG NEWS tonight", "so we read big books", "we read big cats", "short", None, "big news", "Big Newsy"]
+    rows = [(i, rnd.choice(titles), rnd.choice(["a.com", "b.com", None])) for i in range(40)]
+    items = spark.createDataFrame(rows, "hot_item_id long, title string, host string")
+    at = spark.createDataFrame([(i, rnd.randrange(6), T0 if i % 7 == 0 else None) for i in range(40) if i % 9], "hot_item_id long, hot_cluster_id long, removed_at timestamp")
+    pairs = E.export_pairs(at, items, F.col("host")).collect()
+    assert len(pairs) == len(set(pairs))
+    want = {r: (sum(p.reason == r for p in pairs), sum(p.hot_item_id_a + p.hot_item_id_b for p in pairs if p.reason == r)) for r in E.REASONS}
+    assert {r.reason: (r.pairs, r.ids) for r in E.pair_counts(at, items, F.col("host")).collect()} == want
+    by = {}
+    for a, b in E.title_pairs(items).collect():
+        by.setdefault(a, []).append(b)
+        by.setdefault(b, []).append(a)
+    assert {r.hot_item_id: (r.n, r.sum_other) for r in E.title_counts(items).collect()} == {a: (len(o), sum(o)) for a, o in by.items()}
+    more = items.withColumn("source_type", F.lit("X")).withColumn("external_id", F.lit("1")).withColumn("source_url", F.lit(None).cast("string"))
+    lines = E.labelled_lines(E.export_pairs(at, items, F.col("host")), more).collect()
+    assert len(lines) == len(pairs) and '"expectation":null' in lines[0].line and lines[0].line.startswith('{"pairKey":"SAME_CLUSTER-')
+
+
+def test_normalizers(spark):
+    import json
+
+    keep = {"GITHUB": {"fullName": "o/r", "url": "https://github.com/o/r", "topics": ["AI", " ai ", "ml"], "language": "Python", "description": "d" * 3000, "ownerLogin": "o"}, "HACKER_NEWS": {"title": "A <b>GPT</b> story", "type": "story", "by": "me", "score": 5}, "HUGGING_FACE": {"modelId": "org/m", "url": "https://huggingface.co/org/m", "tags": ["a", "b"], "pipelineTag": "p"}, "TWITTER": {"tweetId": "7", "text": "hi #One #one " + "x" * 200, "query": "q", "authorName": "", "authorUsername": "u"}, "SOGOU_SEARCH": {"title": "t", "url": "https://x.com/", "query": "a OR b c", "site": "s", "content": "body"}, "WEIBO_HOT_SEARCH": {"word": "w", "num": 9, "note": "n"}, "ARXIV": {"title": "t", "arxivId": "1", "url": "https://arxiv.org/abs/1", "categories": ["x", ""], "authors": ["A B", "C"]}}
+    rows = [(k, s, str(k), json.dumps(p), T0, ["gpt", " Story "]) for k, (s, p) in enumerate(keep.items())] + [(90, "HACKER_NEWS", "90", json.dumps({"title": "other", "type": "story"}), T0, ["gpt"]), (91, "HACKER_NEWS", "91", json.dumps({"title": "gpt", "type": "job"}), T0, ["gpt"]), (92, "HACKER_NEWS", "92", json.dumps({"title": "gpt", "type": "story"}), T0, None)]
+    got = {r.source_type: r for r in I.normalize(spark.createDataFrame(rows, "id long, source_type string, external_id string, raw_payload string, fetched_at timestamp, keywords array<string>")).collect()}
+    assert set(got) == set(keep)
+    assert got["GITHUB"].tags == ["AI", "ml", "Python"] and len(got["GITHUB"].summary) == 2000 and (got["GITHUB"].author, got["GITHUB"].language) == ("o", "Python")
+    assert got["HACKER_NEWS"].tags == ["gpt", "Story"] and got["HACKER_NEWS"].title == "A GPT story" and got["HACKER_NEWS"].author == "me"
+    assert got["HUGGING_FACE"].summary == "Pipeline: p | Tags: a, b, p" and got["HUGGING_FACE"].author == "org"
+    assert got["TWITTER"].tags == ["twitter", "q", "#One"] and len(got["TWITTER"].title) == 100 and got["TWITTER"].author == "u" and got["TWITTER"].source_url == "https://twitter.com/i/web/status/7"
+    assert got["SOGOU_SEARCH"].tags == ["a", "b", "c", "s"] and got["SOGOU_SEARCH"].summary == "body" and got["WEIBO_HOT_SEARCH"].summary == "n (热度: 9)"
+    assert got["ARXIV"].tags == ["x"] and got["ARXIV"].author == "A B" and got["ARXIV"].metrics["authorsCount"] == 2
+
+
+def test_source_configurations(spark):
+    wrong = [("BING_SEARCH", '{"query":"a","limit":30}', "limit"), ("HACKER_NEWS", '{"fetchLimit":500,"keywords":["a"]}', "fetchLimit"), ("SOGOU_SEARCH", '{"query":"a","cnt":7}', "cnt"), ("ARXIV", "{}", "searchQuery"), ("TWITTER", '{"query":"a","topDays":99}', "topDays"), ("HACKER_NEWS", '{"feed":"top"}', "keywords"), ("GITHUB", '{"query":"a","page":101,"perPage":10}', "reach"), ("X", "{}", "sourceType"), ("SOGOU_SEARCH", '{"query":"a","freshness":"w1"}', "freshness")]
+    right = [("BING_SEARCH", '{"query":"a","limit":20,"market":"zh-CN"}'), ("HACKER_NEWS", '{"keywords":["a"]}'), ("SOGOU_SEARCH", '{"query":"a","freshness":"d7"}'), ("GITHUB", '{"query":"a","sort":"STARS","order":""}')]
+    rows = [(f"{k}", s, c, 5) for k, (s, c, _) in enumerate(wrong)] + [(f"ok{k}", s, c, 5) for k, (s, c) in enumerate(right)]
+    got = {r.source_code: r.errors for r in P.config_errors(spark.createDataFrame(rows, "source_code string, source_type string, config_payload string, crawl_interval_minutes int")).collect()}
+    assert got == {f"{k}": e for k, (_, _, e) in enumerate(wrong)} | {f"ok{k}": "" for k in range(len(right))}
+
+
+def test_query_filters():
+    assert V.query_filters({}) == {"page": 1, "size": 20, "sort": "SCORE_DESC", "source": None, "since": None, "until": None, "needle": "", "least": 0}
+    got = V.query_filters({"page": ["2.7", "9"], "size": "-3", "sort": "LATEST", "sourceType": "GITHUB", "from": " ", "q": " a ", "minScore": "x"})
+    assert got == {"page": 2, "size": 20, "sort": "LATEST", "source": "GITHUB", "since": None, "until": None, "needle": "a", "least": 0}
+
+
+def test_score_explanations(spark):
+    signal = "signal struct<attention:double,discussion:double,adoption:double,relevance:double,rank:int>"
+    m = spark.createDataFrame([(1, "ADOPTION", (0.0, 0.0, 40.0, 0.0, None), "u", T0), (1, "DISCOVERY", (0.0, 0.0, 0.0, 30.0, 2), "v", T0), (1, "DISCOVERY", (0.0, 0.0, 0.0, 10.0, 5), "v", T0)], f"hot_cluster_id long, role string, {signal}, url string, published_at timestamp")
+    t = spark.createDataFrame([(1, 50.0, "MEDIUM", 3)], "hot_cluster_id long, momentum double, confidence string, contributing long")
+    r = S.v2_scores(spark.createDataFrame([(1, T0)], "hot_cluster_id long, first_seen_at timestamp"), m, t, F.lit(T0 + 5 * HOUR)).first().reasons
+    assert r["momentum"] == ["window=24h", "contributing_items=3", "raw_momentum=50.00", "confidence=MEDIUM*factor=0.85"] and r["adoption"] == ["adoption_sources=1", "max_adoption=40.00", "avg_adoption=40.00"]
+    assert r["discussion"] == ["no_community_source"] and r["relevance"] == ["discovery_sources=2", "max_relevance=30.00", "avg_relevance=20.00", "best_rank=2"] and r["authority"] == ["top_role=ADOPTION", "score=60.00"]
+    assert r["freshness"] == ["event_time=2024-01-10T12:00:00Z", "age_hours=5"] and r["evidenceDiversity"] == ["distinct_roles=1", "deduped_search_urls=1"]
 
 
 def test_greedy_assignment(spark, tmp_path):
@@ -253,6 +319,25 @@ def test_governance(spark):
         C.split(at, 2, [20, 21], 9, "all")
     with pytest.raises(ValueError):
         C.merge(clusters, at, 1, 1, "itself")
+    with pytest.raises(ValueError):
+        C.merge(C.merge(clusters, at, 1, 2, "x")[0], at, 1, 2, "merged already")
+    items = spark.createDataFrame([(10, "BING_SEARCH", "a", "", T0), (20, "GITHUB", "b", "", T0), (21, "ARXIV", "c", "", T0 + HOUR)], "hot_item_id long, source_type string, title string, summary string, published_at timestamp")
+    at = at.withColumn("is_primary", F.col("hot_item_id").isin(10, 20))
+    m = C.merge(clusters, at, 1, 2, "same event", items=items)[1]
+    assert {r.hot_item_id for r in m.where("is_primary").collect()} == {21}
+    new = C.seeded(items, [20, 21], 9).first()
+    assert (new.hot_cluster_id, new.title, new.first_seen_at, new.last_seen_at) == (9, "c", T0, T0 + HOUR)
+    decisions = spark.createDataFrame([(5, 21, 1, "REVIEW_REQUIRED")], "id long, hot_item_id long, hot_cluster_id long, decision string")
+    tasks = C.open_reviews(decisions, decisions.where("false").select(F.col("id").alias("cluster_match_decision_id"))).withColumn("resolution_reason", F.lit(None).cast("string")).withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    t, _, m, h = C.accept_review(tasks, decisions, clusters, at, 5, "same", F.lit(T0))
+    assert t.first().status == "ACCEPTED" and {(r.hot_item_id, r.hot_cluster_id) for r in m.collect()} == {(10, 1), (20, 2), (21, 1)} and h.first().action == "MOVE"
+    with pytest.raises(ValueError):
+        C.accept_review(t, decisions, clusters, at, 5, "again", F.lit(T0))
+    d, h = C.recluster(decisions, at, 2, [21], "look again")
+    assert d.count() == 1 and (h.first().action, h.first().to_cluster_id) == ("RECLUSTER", None)
+    with pytest.raises(ValueError):
+        C.recluster(decisions, at, 1, [21], "not there")
+    assert C.history_page(h.withColumn("created_at", F.lit(T0)).withColumn("id", F.lit(1)), 2).count() == 1
 
 
 def test_pages_and_filters(spark):
@@ -267,12 +352,12 @@ def test_pages_and_filters(spark):
     assert P.weibo(spark.createDataFrame([(1, weibo)], "id int, payload string")).first()["rank"] == 2
     tweets = spark.createDataFrame([(10, 5, 100, 50, False), (5, 2, 50, 25, True), (1, 0, 0, 0, True)], "like_count long, retweet_count long, view_count long, followers long, verified boolean")
     assert I.good_tweets(tweets, 10, 5, 100, 50).count() == 2
-    atom = "<feed><entry><id>http://arxiv.org/abs/2401.1</id><title>A\n B</title><published>2024-01-01T00:00:00Z</published><author><name>X</name></author><category term='x'/></entry><entry><id>bad</id></entry></feed>"
+    atom = "<feed><entry><id>http://arxiv.org/abs/2401.1</id><title>A\n B</title><published>2024-01-01T00:00:00Z</published><author><name> X &amp; Y</name></author><category term='cs.AI'/><category scheme=\"s\" term=\"x\"/></entry><entry><id>bad</id></entry></feed>"
     rows = P.arxiv(spark.createDataFrame([(1, atom)], "id int, payload string")).collect()
-    assert [(r.title, r.error) for r in rows] == [("A B", None), (None, "missing field")]
-    lines = spark.createDataFrame([(1, '{"case_code":"a"}'), (2, "x"), (3, ""), (4, '{"case_code":"a"}'), (5, '{"case_code":"b"}')], "line_number int, value string")
+    assert [(r.title, r.error) for r in rows] == [("A B", None), (None, "missing field")] and rows[0].authors == ["X & Y"] and rows[0].categories == ["cs.AI", "x"]
+    lines = spark.createDataFrame([(1, '{"case_code":"a"}'), (2, "x"), (3, ""), (4, '{"case_code":"a"}'), (5, '{"case_code":"b"}')], "line_number int, value string").union(spark.createDataFrame([(6, '{"case_code":"a","dataset":"d"}'), (7, '{"case_code":"z","case_type":"NO"}')], "line_number int, value string"))
     good, bad = P.annotations(lines, spark.createDataFrame([("b",)], "case_code string"))
-    assert [r.case_code for r in good.collect()] == ["a"] and [r.line_number for r in bad.collect()] == [2]
+    assert sorted((r.dataset, r.case_code) for r in good.collect()) == [("", "a"), ("d", "a")] and sorted((r.line_number, r.reason) for r in bad.collect()) == [(2, "not JSON"), (7, "unknown case_type")]
     assert P.blocked is not None and spark.range(1).select(P.blocked(F.lit("x"), F.lit("Please complete the SECURITY check CAPTCHA")).alias("x")).first().x
 
 

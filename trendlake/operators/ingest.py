@@ -147,12 +147,14 @@ def good_tweets(tweets: DataFrame, likes: int, retweets: int, views: int, follow
     return tweets.where(ok)
 
 
-def match_or_top(topics: DataFrame, needle: str, n: int = 5) -> DataFrame:
-    """Topics whose word, note or category holds the text; the first n where none does."""
+def match_or_top(topics: DataFrame, needle: str, n: int = 5, include_top: bool = False) -> DataFrame:
+    """Topics whose word, note or category holds the text; where none does, the first n with `include_top`, else none."""
     hit = F.lit(False)
     for c in ("word", "note", "category"):
         hit = hit | F.coalesce(F.lower(c).contains(needle.lower()), F.lit(False))
     found = topics.where(hit)
+    if not include_top:
+        return found
     none = found.agg((F.count("*") == 0).alias("none"))
     return found.unionByName(topics.orderBy("rank").limit(n).join(F.broadcast(none), F.col("none")).drop("none"))
 

@@ -36,6 +36,7 @@ def v2_scores(clusters: DataFrame, members: DataFrame, day_trends: DataFrame, no
     """
     has = F.col("signal").isNotNull()
     in_role = lambda r, x: F.when(has & (F.col("role") == r), x)
+    order = reduce(lambda c, kv: c.when(F.col("role") == kv[0], kv[1]), list(AUTHORITY.items())[1:], F.when(F.col("role") == "PRIMARY", AUTHORITY["PRIMARY"])).alias("order")
     url = F.when((F.col("role") == "DISCOVERY") & has & (F.trim("url") != ""), F.col("url"))
     m = members.groupBy("hot_cluster_id").agg(
         F.max(in_role("ADOPTION", F.col("signal.adoption"))).alias("ad_max"), F.avg(in_role("ADOPTION", F.col("signal.adoption"))).alias("ad_avg"),
@@ -45,8 +46,9 @@ def v2_scores(clusters: DataFrame, members: DataFrame, day_trends: DataFrame, no
         F.max(reduce(lambda c, kv: c.when(has & (F.col("role") == kv[0]), kv[1]), list(AUTHORITY.items())[1:], F.when(has & (F.col("role") == "PRIMARY"), AUTHORITY["PRIMARY"]))).alias("authority"),
         F.count_distinct(F.when(has & (F.col("role") != "DISCOVERY"), F.col("role"))).alias("roles"), F.count_distinct(url).alias("urls"),
         F.min(F.when(has & (F.col("role") != "DISCOVERY"), F.col("published_at"))).alias("event_at"),
+        *(F.count(in_role(r, F.lit(1))).alias(f"{p}_n") for p, r in (("ad", "ADOPTION"), ("di", "COMMUNITY"), ("re", "DISCOVERY"))), F.max(F.when(has, F.struct(order, "role")))["role"].alias("top_role"),
     )
-    rows = clusters.select("hot_cluster_id", "first_seen_at").join(m, "hot_cluster_id", "left").join(day_trends.select("hot_cluster_id", F.col("momentum").alias("t_momentum"), F.col("confidence").alias("t_confidence")), "hot_cluster_id", "left")
+    rows = clusters.select("hot_cluster_id", "first_seen_at").join(m, "hot_cluster_id", "left").join(day_trends.select("hot_cluster_id", F.col("momentum").alias("t_momentum"), F.col("confidence").alias("t_confidence"), (F.col("contributing") if "contributing" in day_trends.columns else F.lit(None).cast("long")).alias("t_contributing")), "hot_cluster_id", "left")
     factor = reduce(lambda c, kv: c.when(F.col("t_confidence") == kv[0], kv[1]), list(CONFIDENCE_FACTOR.items())[1:], F.when(F.col("t_confidence") == "HIGH", CONFIDENCE_FACTOR["HIGH"])).otherwise(0.3)
     event_at = F.coalesce("event_at", "first_seen_at")
     mixed = lambda p, share, none: F.when(F.col(f"{p}_max").isNotNull(), clamp(F.col(f"{p}_max") + share * F.col(f"{p}_avg"), 0, 100)).otherwise(none)
@@ -59,10 +61,32 @@ def v2_scores(clusters: DataFrame, members: DataFrame, day_trends: DataFrame, no
         "discussion": mixed("di", 0.15, 0.0),
         "evidenceDiversity": F.least(F.lit(100.0), 25.0 * (F.coalesce("roles", F.lit(0)) + (F.coalesce("urls", F.lit(0)) > 0).cast("int"))),
     }
-    rows = rows.select("hot_cluster_id", "t_momentum", "t_confidence", "best_rank", *(v.alias(f"c_{k}") for k, v in parts.items()))
+    rows = rows.withColumn("reasons", _reasons(rows, factor, event_at, now)).select("hot_cluster_id", "t_momentum", "t_confidence", "best_rank", "reasons", *(v.alias(f"c_{k}") for k, v in parts.items()))
     total = reduce(lambda a, b: a + b, (F.col(f"c_{k}") * w for k, w in sorted(SCORE_WEIGHTS.items())))
-    reasons = F.array(F.format_string("momentum=%.2f", F.coalesce("t_momentum", F.lit(0.0))), F.format_string("authority=%.2f", F.col("c_authority")), F.format_string("evidenceDiversity=%.2f", F.col("c_evidenceDiversity")))
-    return rows.withColumn("total_score", F.round(clamp(total, 0, 100), 4)).withColumn("scoring_version", F.lit(V2)).withColumn("reasons", reasons)
+    return rows.withColumn("total_score", F.round(clamp(total, 0, 100), 4)).withColumn("scoring_version", F.lit(V2))
+
+
+#: Names in explanations of components, in their order.
+_SAID = {
+    "adoption": ("ad", "adoption_sources", "max_adoption", "avg_adoption", "no_adoption_source"), "discussion": ("di", "community_sources", "max_discussion", "avg_discussion", "no_community_source"),
+    "relevance": ("re", "discovery_sources", "max_relevance", "avg_relevance", "no_discovery_source,fallback=50.00"),
+}
+
+
+def _reasons(rows: DataFrame, factor: Column, event_at: Column, now: Column) -> Column:
+    """By component, ordered explanations; numbers to two places."""
+    two = lambda name, c: F.concat(F.lit(f"{name}="), F.format_string("%.2f", c))
+    whole = lambda name, c: F.concat(F.lit(f"{name}="), c.cast("string"))
+    out = {
+        "momentum": F.when(F.col("t_momentum").isNull(), F.array(F.when(F.col("t_confidence").isNull(), "no_cluster_trend").otherwise("momentum_not_computed"))).otherwise(F.array(F.lit("window=24h"), whole("contributing_items", F.coalesce("t_contributing", F.lit(0))), two("raw_momentum", F.col("t_momentum")), F.concat(F.lit("confidence="), "t_confidence", F.lit("*factor="), F.format_string("%.2f", factor)))),
+        "authority": F.when(F.col("top_role").isNull(), F.array(F.lit("no_signals_in_cluster"))).otherwise(F.array(whole("top_role", F.col("top_role")), two("score", F.col("authority")))),
+        "freshness": F.when(event_at.isNull(), F.array(F.lit("no_credible_event_time"))).otherwise(F.array(F.concat(F.lit("event_time="), F.date_format(event_at, "yyyy-MM-dd'T'HH:mm:ss'Z'")), whole("age_hours", F.floor(age_hours(event_at, now))))),
+        "evidenceDiversity": F.array(whole("distinct_roles", F.coalesce("roles", F.lit(0))), whole("deduped_search_urls", F.coalesce("urls", F.lit(0)))),
+    }
+    for name, (p, count, most, mean, none) in _SAID.items():
+        rank = [F.concat(F.lit("best_rank="), F.coalesce(F.col("best_rank").cast("string"), F.lit("n/a")))] if name == "relevance" else []
+        out[name] = F.when(F.col(f"{p}_max").isNull(), F.array(F.lit(none))).otherwise(F.array(whole(count, F.col(f"{p}_n")), two(most, F.col(f"{p}_max")), two(mean, F.col(f"{p}_avg")), *rank))
+    return F.create_map(*(x for k, v in out.items() for x in (F.lit(k), v)))
 
 
 def latest_scores(scores: DataFrame, by_id_only: bool = False) -> DataFrame:

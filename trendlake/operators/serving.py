@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import SOURCES
 from ..functions.numbers import bucket
 
-#: Rules that are broadcast at once, about.
+#: Keywords of rules that are broadcast at once, about.
 RULES = 5_000
 
 
@@ -49,9 +50,10 @@ def cluster_page(clusters: DataFrame, membership: DataFrame, items: DataFrame, s
 
 
 def ordered_sources(active: DataFrame) -> DataFrame:
-    """Number of items and distinct sources of each cluster: the primary's first, then by time of assignment."""
-    order = F.array_sort(F.collect_list(F.struct((~F.col("is_primary")).alias("p"), "assigned_at", "hot_item_id", "source_type")))
-    return active.groupBy("hot_cluster_id").agg(F.count("*").alias("item_count"), F.array_join(F.array_distinct(F.transform(order, lambda s: s["source_type"])), ",").alias("sources"))
+    """Number of items and distinct sources of each cluster: the primary's first, then by time of assignment. Members are reduced to a row for each source before any are gathered."""
+    first = active.groupBy("hot_cluster_id", "source_type").agg(F.count("*").alias("n"), F.min(F.struct((~F.col("is_primary")).alias("p"), "assigned_at", "hot_item_id")).alias("o"))
+    order = F.array_sort(F.collect_list(F.struct("o", "source_type")))
+    return first.groupBy("hot_cluster_id").agg(F.sum("n").alias("item_count"), F.array_join(F.transform(order, lambda s: s["source_type"]), ",").alias("sources"))
 
 
 def evidence(membership: DataFrame, items: DataFrame) -> DataFrame:
@@ -78,19 +80,22 @@ def page_summary(rows: DataFrame, needle: str | None, least: float | None, now:
 def alerts(clusters: DataFrame, members: DataFrame, scores: DataFrame, rules: DataFrame, existing: DataFrame, now: Column) -> DataFrame:
     """Matches of active clusters and enabled rules: some keyword in the cluster's title or summary or an item's title, summary or URL, a source in common if the rule names any, and the least score. `created` is false where the suppression key is there already.
 
-    Keywords match anywhere in a text, so rules are held against all clusters: in blocks of about RULES rules, each broadcast, so that what is broadcast is bounded however many there are.
+    Each text, of a cluster or a member, is held against the rules' distinct keywords on its own, in blocks of about RULES keywords, each broadcast; what is then gathered is the distinct keywords that a cluster holds, and its sources, never its texts. Rules meet clusters by keyword.
     """
-    said = F.lower(F.concat_ws("\n", "title", "summary", "source_url"))
-    texts = members.groupBy("hot_cluster_id").agg(F.collect_list(said).alias("texts"), F.collect_set("source_type").alias("sources"))
-    rows = clusters.where("status = 'ACTIVE'").select("hot_cluster_id", F.lower(F.concat_ws("\n", "title", "summary")).alias("own")).join(texts, "hot_cluster_id", "left").join(scores.select("hot_cluster_id", "total_score"), "hot_cluster_id", "left")
     rules = rules.where("enabled")
-    blocks = max(1, -(-rules.count() // RULES))
-    block = F.pmod(F.xxhash64("rule_id"), F.lit(blocks))
-    rows = reduce(lambda a, b: a.unionByName(b), (rows.crossJoin(F.broadcast(rules.where(block == k))) for k in range(blocks)))
-    hits = F.filter("keywords", lambda k: F.col("own").contains(F.lower(k)) | F.exists(F.coalesce("texts", F.array().cast("array<string>")), lambda t: t.contains(F.lower(k))))
-    rows = rows.withColumn("hits", hits).where((F.size("hits") > 0) & ((F.size("source_types") == 0) | F.coalesce(F.arrays_overlap("source_types", "sources"), F.lit(False))) & (F.coalesce("total_score", F.lit(0.0)) >= F.coalesce("min_score", F.lit(0.0))))
+    words = rules.select(F.explode("keywords").alias("k")).where("k is not null").select(F.lower("k").alias("k")).distinct()
+    blocks = max(1, -(-words.count() // RULES))
+    block = F.pmod(F.xxhash64("k"), F.lit(blocks))
+    active = clusters.where("status = 'ACTIVE'")
+    texts = active.select("hot_cluster_id", F.lower(F.concat_ws("\n", "title", "summary")).alias("said")).unionByName(members.join(active.select("hot_cluster_id"), "hot_cluster_id", "left_semi").select("hot_cluster_id", F.lower(F.concat_ws("\n", "title", "summary", "source_url")).alias("said")))
+    held = reduce(DataFrame.unionByName, (texts.join(F.broadcast(words.where(block == b)), F.col("said").contains(F.col("k"))).select("hot_cluster_id", "k") for b in range(blocks))).distinct()
+    asked = rules.select("rule_id", F.col("min_score"), "source_types", "suppress_window_hours", F.posexplode("keywords").alias("place", "keyword"))
+    hits = held.join(asked.withColumn("k", F.lower("keyword")), "k").groupBy("hot_cluster_id", "rule_id").agg(F.array_sort(F.collect_list(F.struct("place", "keyword"))).alias("hits"), F.first("min_score").alias("min_score"), F.first("source_types").alias("source_types"), F.first("suppress_window_hours").alias("suppress_window_hours"))
+    sources = members.groupBy("hot_cluster_id").agg(F.collect_set("source_type").alias("sources"))
+    rows = hits.join(sources, "hot_cluster_id", "left").join(scores.select("hot_cluster_id", "total_score"), "hot_cluster_id", "left")
+    rows = rows.where(((F.coalesce(F.size("source_types"), F.lit(0)) <= 0) | F.coalesce(F.arrays_overlap("source_types", "sources"), F.lit(False))) & (F.coalesce("total_score", F.lit(0.0)) >= F.coalesce("min_score", F.lit(0.0))))
     key = F.sha2(F.concat_ws(":", "rule_id", "hot_cluster_id", bucket(now, F.col("suppress_window_hours") * 3600)).cast("binary"), 256)
-    rows = rows.select("rule_id", "hot_cluster_id", F.array_join("hits", ",").alias("matched"), key.alias("suppression_key")).dropDuplicates(["suppression_key"])
+    rows = rows.select("rule_id", "hot_cluster_id", F.array_join(F.transform("hits", lambda h: h["keyword"]), ",").alias("matched"), key.alias("suppression_key")).dropDuplicates(["suppression_key"])
     known = existing.select("suppression_key", F.lit(True).alias("known")).distinct()
     return rows.join(known, "suppression_key", "left").withColumn("created", F.col("known").isNull()).drop("known")
 
@@ -135,3 +140,48 @@ def due_sources(sources: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
     rows = sources.join(last, "source_id", "left")
     what = F.when(~F.col("enabled") | (F.col("crawl_interval_minutes") <= 0), "DISABLED").when(F.col("busy"), "IN_FLIGHT").when(F.unix_seconds("last") + every > F.unix_seconds(now), "NOT_YET_DUE").otherwise("RUN")
     return rows.select("source_id", what.alias("decision"), F.when(what == "RUN", F.concat_ws(":", F.lit("scheduled"), "source_id", bucket(now, every))).alias("idempotency_key"))
+
+
+def scheduled_counts(due: DataFrame) -> DataFrame:
+    """Candidates (sources that aren't disabled), and how many of them were started, skipped or failed."""
+    rows = due.where("decision <> 'DISABLED'")
+    return rows.agg(F.count("*").alias("candidates"), F.count_if(F.col("decision") == "RUN").alias("triggered"), F.count_if(~F.col("decision").isin("RUN", "ERROR")).alias("skipped"), F.count_if(F.col("decision") == "ERROR").alias("failed"))
+
+
+def latest_analyses(clusters: DataFrame, analyses: DataFrame) -> DataFrame:
+    """clusters with the last SUCCEEDED analysis of each, by created_at, then id; null where there is none."""
+    rest = [c for c in analyses.columns if c != "hot_cluster_id"]
+    last = analyses.where("status = 'SUCCEEDED'").groupBy("hot_cluster_id").agg(F.max_by(F.struct(*rest), F.struct("created_at", "id")).alias("analysis"))
+    return clusters.join(last, "hot_cluster_id", "left")
+
+
+def newest(rows: DataFrame, at: str, key: str = "id", page: int = 1, size: int = 20, most: int = 100, **equal) -> DataFrame:
+    """A page of reports, tasks, runs, reviews, history or a cluster's scores: newest first, of equal times the larger key. `equal`: see matching()."""
+    check_page(page, size, most)
+    return matching(rows, **equal).orderBy(F.desc(at), F.desc(key)).offset((page - 1) * size).limit(size)
+
+
+def reviews(tasks: DataFrame, decisions: DataFrame, status: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
+    """A page of review tasks with their decisions; tasks whose decision is gone stay. Up to 200 a page."""
+    rows = newest(tasks, "created_at", page=page, size=size, most=200, status=status)
+    told = decisions.select(F.col("id").alias("cluster_match_decision_id"), F.struct(*(c for c in decisions.columns if c != "id")).alias("match"))
+    return rows.join(told, "cluster_match_decision_id", "left").orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def query_filters(query: dict) -> dict:
+    """Filters of a cluster list from an address's parameters: wrong values count as missing. Of a list of values the first counts."""
+    one = {k: (v[0] if v else None) if isinstance(v, (list, tuple)) else v for k, v in query.items()}
+    text = lambda k: str(one[k]).strip() or None if one.get(k) is not None else None
+
+    def number(k: str, least: int, default: int) -> int:
+        try:
+            x = float(one[k])
+        except (KeyError, TypeError, ValueError):
+            return default
+        return int(x // 1) if x == x and abs(x) != float("inf") and (x > 0 or x == least) else default
+
+    source = one.get("sourceType")
+    return {
+        "page": number("page", 1, 1), "size": number("size", 1, 20), "sort": "LATEST" if one.get("sort") == "LATEST" else "SCORE_DESC", "source": source if source in SOURCES else None,
+        "since": text("from"), "until": text("to"), "needle": text("q") or "", "least": number("minScore", 0, 0),
+    }

@@ -225,6 +225,7 @@ ORACLES["due_sources"] = """
 WITH l AS (SELECT o_custkey AS source_id, max(o_orderdate) AS last, bool_or(o_orderkey % 50 = 0) AS busy FROM orders GROUP BY 1),
 d AS (SELECT c_custkey AS source_id, (c_custkey % 7) * 36000 AS every, CASE WHEN c_custkey % 9 = 0 OR c_custkey % 7 = 0 THEN 'DISABLED' WHEN l.busy THEN 'IN_FLIGHT' WHEN epoch(l.last) + (c_custkey % 7) * 36000 > epoch(TIMESTAMP '1998-08-01 00:00:00') THEN 'NOT_YET_DUE' ELSE 'RUN' END AS decision FROM customer LEFT JOIN l ON l.source_id = c_custkey)
 SELECT source_id, decision, CASE WHEN decision = 'RUN' THEN 'scheduled:' || source_id || ':' || CAST(floor(epoch(TIMESTAMP '1998-08-01 00:00:00') / every) AS BIGINT) END AS idempotency_key FROM d"""
+ORACLES["scheduled_run"] = f"SELECT count(*) AS candidates, count(*) FILTER (decision = 'RUN') AS triggered, count(*) FILTER (decision <> 'RUN') AS skipped, CAST(0 AS BIGINT) AS failed FROM ({ORACLES['due_sources']}) WHERE decision <> 'DISABLED'"
 ORACLES["pair_evaluation"] = f"""{_W},
 spot AS (SELECT hot_item_id, hot_cluster_id AS c FROM members),
 p AS (SELECT CASE WHEN quality = 1 THEN 'OTHER' ELSE 'MODEL_RELEASE' END AS category, doc_id % 2 = 0 AS must, a.c AS ca, b.c AS cb FROM labels LEFT JOIN spot a ON a.hot_item_id = doc_id LEFT JOIN spot b ON b.hot_item_id = doc_id + 1),
@@ -242,16 +243,39 @@ ORACLES["evaluation_run"] = f"""{_W}, {V1},
 a AS (SELECT 'SCORE_THRESHOLD' AS case_type, CASE WHEN s.total_score IS NULL THEN 'ERROR' WHEN s.total_score >= 8.0 THEN 'PASSED' ELSE 'FAILED' END AS status FROM labels l LEFT JOIN scores s ON s.hot_cluster_id = l.doc_id // 4),
 b AS (SELECT 'CLUSTER_MEMBERSHIP' AS case_type, CASE WHEN x.hot_cluster_id IS NULL OR y.hot_cluster_id IS NULL THEN 'ERROR' WHEN x.hot_cluster_id = y.hot_cluster_id THEN 'PASSED' ELSE 'FAILED' END AS status FROM labels l LEFT JOIN members x ON x.hot_item_id = l.doc_id LEFT JOIN members y ON y.hot_item_id = l.doc_id + 1)
 SELECT case_type, count(*) FILTER (status = 'PASSED') AS passed, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'ERROR') AS errors, count(*) AS total, round(count(*) FILTER (status = 'PASSED') / count(*)::DOUBLE, 4) AS pass_rate FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ROLLUP (case_type)"""
+_DOMAIN = "regexp_extract(CASE WHEN hot_item_id % 6 = 5 THEN 'https://example.com/' ELSE source_url END, '(?:https?://)?(?:www\\.)?([^/]+)', 1)"
 ORACLES["label_pairs"] = f"""{_W},
-spot AS (SELECT hot_item_id, hot_cluster_id AS c, regexp_extract(CASE WHEN hot_item_id % 6 = 5 THEN 'https://example.com/' ELSE source_url END, '(?:https?://)?(?:www\\.)?([^/]+)', 1) AS d FROM members WHERE hot_item_id % 6 > 3),
-u AS (SELECT a.hot_item_id AS a, b.hot_item_id AS b, 'same_cluster' AS reason FROM spot a JOIN spot b ON a.c = b.c AND b.hot_item_id > a.hot_item_id UNION SELECT a.hot_item_id, b.hot_item_id, 'same_domain' FROM spot a JOIN spot b ON a.d = b.d AND b.hot_item_id > a.hot_item_id AND a.c IS DISTINCT FROM b.c)
-SELECT reason, count(*) AS n, CAST(sum(a) AS BIGINT) AS sum_a, CAST(sum(b) AS BIGINT) AS sum_b FROM u GROUP BY reason"""
+spot AS (SELECT i.hot_item_id, i.title, m.hot_cluster_id AS c, regexp_extract(CASE WHEN i.hot_item_id % 6 = 5 THEN 'https://example.com/' ELSE i.source_url END, '(?:https?://)?(?:www\\.)?([^/]+)', 1) AS d FROM items i LEFT JOIN members m USING (hot_item_id)),
+u AS (
+  SELECT a.hot_item_id AS a, b.hot_item_id AS b, 'SAME_CLUSTER' AS reason FROM spot a JOIN spot b ON a.c = b.c AND b.hot_item_id > a.hot_item_id UNION SELECT a.hot_item_id, b.hot_item_id, 'SAME_DOMAIN_DIFFERENT_CLUSTER' FROM spot a JOIN spot b ON a.d = b.d AND b.hot_item_id > a.hot_item_id AND a.c IS DISTINCT FROM b.c
+  UNION SELECT a.hot_item_id, b.hot_item_id, 'TITLE_OVERLAP' FROM spot a JOIN spot b ON b.hot_item_id > a.hot_item_id AND len(a.title) >= 8 AND len(b.title) >= 8 AND (contains(lower(a.title), lower(substring(b.title, 1, 8))) OR contains(lower(b.title), lower(substring(a.title, 1, 8)))))
+SELECT reason, count(*) AS pairs, CAST(sum(a + b) AS BIGINT) AS ids FROM u GROUP BY reason"""
+ORACLES["cluster_samples"] = f"""{_W},
+s AS (SELECT o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS v, arg_max(o_totalprice, o_orderdate) AS total FROM orders GROUP BY 1, 2)
+SELECT i.hot_item_id, m.hot_cluster_id AS cluster_id, a.total AS score_v1, b.total AS score_v2 FROM items i LEFT JOIN members m USING (hot_item_id) LEFT JOIN s a ON a.c = m.hot_cluster_id AND a.v = 1 LEFT JOIN s b ON b.c = m.hot_cluster_id AND b.v = 2"""
+ORACLES["pair_lines"] = f"""{_W}
+SELECT 'SAME_CLUSTER' AS reason, a.hot_item_id AS hot_item_id_a, b.hot_item_id AS hot_item_id_b, 'SAME_CLUSTER-' || a.hot_item_id || '-' || b.hot_item_id AS pair_key, b.title AS title_b FROM members a JOIN members b ON a.hot_cluster_id = b.hot_cluster_id AND a.hot_item_id < b.hot_item_id"""
+ORACLES["config_validation"] = """
+WITH c AS (SELECT c_custkey AS i, c_custkey % 10 AS s, c_custkey % 40 AS k FROM customer)
+SELECT i AS source_code, concat_ws(',', CASE WHEN i % 13 = 0 THEN 'crawlIntervalMinutes' END,
+  CASE WHEN s = 3 AND k < 1 THEN 'fetchLimit' END, CASE WHEN s = 0 THEN 'searchQuery' END,
+  CASE WHEN s = 1 AND k < 1 THEN 'perPage' END, CASE WHEN s = 1 AND 2 * k < 1 THEN 'page' END, CASE WHEN s = 1 AND i % 2 <> 0 THEN 'sort' END, CASE WHEN s = 1 AND i % 3 = 0 THEN 'query' END,
+  CASE WHEN s = 2 AND k < 1 THEN 'limit' END, CASE WHEN s = 2 THEN 'sort' END, CASE WHEN s = 2 THEN 'search' END,
+  CASE WHEN s = 9 AND k NOT IN (10, 20, 30, 40, 50) THEN 'cnt' END, CASE WHEN s IN (9, 5) AND i % 3 = 0 THEN 'query' END,
+  CASE WHEN s = 4 AND k < 1 THEN 'limit' END, CASE WHEN s = 4 AND i % 3 = 0 THEN 'query' END,
+  CASE WHEN s = 6 AND k < 1 THEN 'limit' END, CASE WHEN s = 6 AND (k < 1 OR k > 30) THEN 'topDays' END, CASE WHEN s = 6 AND i % 3 = 0 THEN 'query' END,
+  CASE WHEN s IN (7, 8) AND (k < 1 OR k > 20) THEN 'limit' END, CASE WHEN s IN (7, 8) AND (k < 1 OR k > 30) THEN 'freshnessDays' END, CASE WHEN s = 7 AND i % 2 <> 0 THEN 'market' END, CASE WHEN s IN (7, 8) AND i % 3 = 0 THEN 'query' END,
+  CASE WHEN s = 3 AND i % 7 = 0 THEN 'keywords' END, CASE WHEN s = 1 AND (2 * k - 1) * k >= 1000 THEN 'reach' END) AS errors FROM c"""
+ORACLES["accepted_places"] = "SELECT l_orderkey AS hot_item_id, arg_max(l_suppkey, (l_shipdate, l_linenumber)) AS cluster FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber <> 3 GROUP BY 1"
+ORACLES["analysis_latest"] = "SELECT c_custkey AS hot_cluster_id, a.id AS analysis_id FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a ON o_custkey = c_custkey"
+ORACLES["task_list"] = "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 50"
+ORACLES["review_list"] = "SELECT o.id, l_suppkey AS hot_item_id FROM (SELECT o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200) o LEFT JOIN lineitem ON l_orderkey = o.id AND l_linenumber = 2"
 ORACLES["review_queue"] = "SELECT l_orderkey * 10 + l_linenumber AS cluster_match_decision_id, 'OPEN' AS status FROM lineitem WHERE l_returnflag = 'R' AND (l_orderkey * 10 + l_linenumber) % 3 <> 0"
 ORACLES["moved_items"] = f"""{_W},
 n AS (SELECT hot_cluster_id, count(*) AS k FROM members GROUP BY 1)
 SELECT hot_cluster_id, CASE WHEN hot_cluster_id % 5 = 0 AND n.k > 0 THEN 'MERGED' ELSE status END AS status, CASE WHEN hot_cluster_id % 5 = 0 AND n.k > 0 THEN hot_cluster_id + 1 END AS merged_into_cluster_id FROM clusters LEFT JOIN n USING (hot_cluster_id)"""
 ORACLES["page_checks"] = "SELECT page_id, " + " OR ".join(f"contains(lower(html), '{w}')" for w in ("captcha", "cf-challenge", "cloudflare", "access denied", "enable javascript")) + " AS blocked, contains(lower(html), 'did not match') AS empty, contains(lower(html), '<noscript') AND contains(lower(html), 'javascript') AS javascript FROM pages"
-ORACLES["alternate_titles"] = "SELECT conv_id AS rank FROM conversations WHERE turn = 0 AND (contains(lower(text), 'the') OR contains(lower(role), 'the'))"
+ORACLES["alternate_titles"] = "SELECT conv_id * 1000 + turn AS rank FROM conversations WHERE contains(lower(text), 'the') OR contains(lower(role), 'the')"
 ORACLES["traffic"] = """SELECT o_orderkey, CAST(o_orderkey % 100 AS BIGINT) AS bucket, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS day,
   CASE WHEN o_orderdate IS NULL THEN '-' ELSE CAST(floor((epoch(TIMESTAMP '2010-01-01 00:00:00') - epoch(o_orderdate)) / 86400) AS BIGINT) || 'd ago' END AS age FROM orders"""
 
@@ -295,7 +319,8 @@ ORACLES["online_gate"] = f"""{MATCHES}
 SELECT i.hot_item_id, CASE WHEN i.hot_item_id % 100 >= 60 THEN 'TRAFFIC_NOT_SELECTED' WHEN b.decision = 'NO_CANDIDATE' THEN 'NO_BEST_CANDIDATE' WHEN b.decision <> 'ACCEPTED' THEN 'BEST_DECISION_' || b.decision WHEN b.layer = 'L3' THEN 'LAYER_L3_NOT_ALLOWED' WHEN b.hot_cluster_id = i.hot_item_id // 4 THEN 'TARGET_EQUALS_SOURCE' END AS skip_reason
 FROM items i JOIN top b ON b.hot_item_id = i.hot_item_id AND b.n = 1"""
 
-ORACLES["title_overlap_pairs"] = f"""{_W} SELECT a.hot_item_id AS a, count(*) AS n, CAST(sum(b.hot_item_id) AS BIGINT) AS sum_b FROM items a JOIN items b ON a.hot_item_id < b.hot_item_id AND len(b.title) >= 8 AND contains(lower(a.title), lower(substring(b.title, 1, 8))) GROUP BY 1"""
+ORACLES["title_overlap_pairs"] = f"""{_W}
+SELECT a.hot_item_id, count(*) AS n, CAST(sum(b.hot_item_id) AS BIGINT) AS sum_other FROM items a JOIN items b ON a.hot_item_id <> b.hot_item_id AND len(a.title) >= 8 AND len(b.title) >= 8 AND (contains(lower(a.title), lower(substring(b.title, 1, 8))) OR contains(lower(b.title), lower(substring(a.title, 1, 8)))) GROUP BY 1"""
 BATCH = rf"""{_W}, {_TAGGED},
 n AS (SELECT *, trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS said, comments_count % 20 + 1 AS rank, CASE WHEN source_type = 'TWITTER' THEN 'https://twitter.com/i/web/status/' || external_id WHEN source_type = 'WEIBO_HOT_SEARCH' THEN 'weibo ' || trim(regexp_replace(title, '[ \t\n\x0b\f\r]+', ' ', 'g')) WHEN hot_item_id % 6 = 5 THEN 'https://example.com/p/' || (hot_item_id % 100) || '?a=1&b=2' ELSE source_url END AS url FROM items),
 m AS (
@@ -311,7 +336,8 @@ ORACLES["score_versions"] = f"""SELECT hot_cluster_id, total_score, 'hn-score-v1
 ORACLES["tweet_top"] = """
 WITH t AS (SELECT o_orderkey AS tweet_id, o_orderkey % 97 AS l, o_orderkey % 31 AS r, CAST(floor(o_totalprice / 10) AS BIGINT) AS v, o_custkey % 500 AS f, o_orderkey % 4 = 0 AS ok FROM orders)
 SELECT tweet_id, l AS like_count FROM t WHERE l >= CASE WHEN ok THEN 10 ELSE 20 END AND r >= CASE WHEN ok THEN 4 ELSE 9 END AND v >= CASE WHEN ok THEN 2500 ELSE 5000 END AND f >= CASE WHEN ok THEN 50 ELSE 101 END ORDER BY l + 3 * r + v // 100 DESC, tweet_id LIMIT 30"""
-ORACLES["payload_validation"] = "SELECT doc_id AS case_code, CASE WHEN doc_id % 11 = 0 THEN 'NOT_JSON,ITEM_MISSING,EXPECTATION' ELSE concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'ITEM_MISSING' END, CASE WHEN doc_id % 3 = 2 THEN 'EXPECTATION' END) END AS errors FROM labels"
+ORACLES["payload_validation"] = """
+SELECT doc_id AS case_code, CASE WHEN doc_id % 11 = 0 THEN 'NOT_JSON,PAIR_KEY,ITEM_A,TITLE_A,ITEM_B,TITLE_B,EXPECTATION,CATEGORY' ELSE concat_ws(',', CASE WHEN doc_id % 4 = 0 THEN 'PAIR_KEY' END, CASE WHEN doc_id = 0 THEN 'ITEM_A' END, CASE WHEN doc_id % 5 <> 1 THEN 'ITEM_B' END, CASE WHEN doc_id % 7 = 0 THEN 'TITLE_B' END, CASE WHEN doc_id % 3 = 2 THEN 'EXPECTATION' END, CASE WHEN doc_id % 2 <> 0 THEN 'CATEGORY' END) END AS errors FROM labels"""
 ORACLES["source_roles"] = f"""{_W}, r AS (SELECT CAST(CAST(published_at AS DATE) AS VARCHAR) AS day, {_ROLE} AS role, count(*) AS n FROM items GROUP BY 1, 2) SELECT day, role, n, round(n / sum(n) OVER (PARTITION BY day), 6) AS share FROM r"""
 ORACLES["activity_windows"] = f"WITH {SNAPSHOTS} SELECT CAST(floor(epoch(observed_at) / 86400) * 86400 AS BIGINT) AS start, source_type, count(*) AS n, round(avg(attention), 6) AS attention FROM snapshots GROUP BY 1, 2"
 _R = MATCHES.replace("WITH ", "WITH RECURSIVE ", 1) + """,

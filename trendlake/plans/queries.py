@@ -313,11 +313,32 @@ def top_difference(spark, sf_dir):
     return E.top_difference(s.where(F.col("scoring_version") == S.V1), s.where(F.col("scoring_version") == S.V2), 20)
 
 
+def _domain():
+    return T.sql_domain(T.canonical_url(F.col("source_url")))
+
+
 @query
 def label_pairs(spark, sf_dir):
-    """Pairs by cluster and domain of a third of the items, as the query's SQL has it; title pairs are left to the tests."""
+    """Pairs of all items to label, counted by reason."""
     items = D.items(spark, sf_dir)
-    return E.export_pairs(D.memberships(items), items.where(F.pmod("hot_item_id", F.lit(6)) > 3), T.sql_domain(T.canonical_url(F.col("source_url")))).where("reason <> 'title_overlap'").groupBy("reason").agg(F.count("*").alias("n"), F.sum("hot_item_id_a").alias("sum_a"), F.sum("hot_item_id_b").alias("sum_b"))
+    return E.pair_counts(D.memberships(items), items, _domain())
+
+
+@query
+def cluster_samples(spark, sf_dir):
+    """Items with their cluster and its last scores of both versions."""
+    items = D.items(spark, sf_dir)
+    rows = E.samples(items, D.memberships(items), _scores(spark, sf_dir), (S.V1, S.V2))
+    return rows.select("hot_item_id", "cluster_id", F.col("score_v1.total_score").alias("score_v1"), F.col("score_v2.total_score").alias("score_v2"))
+
+
+@query
+def pair_lines(spark, sf_dir):
+    """Same-cluster pairs as lines to fill in."""
+    items = D.items(spark, sf_dir).withColumn("source_url", F.col("hot_item_id").cast("string"))
+    at = D.memberships(items)
+    rows = E.labelled_lines(E.export_pairs(at, items, F.lit(None).cast("string")).where(F.col("reason") == E.REASONS[0]), items)
+    return rows.select("reason", "hot_item_id_a", "hot_item_id_b", F.get_json_object("line", "$.pairKey").alias("pair_key"), F.get_json_object("line", "$.itemB.title").alias("title_b"))
 
 
 @query
@@ -345,9 +366,9 @@ def page_checks(spark, sf_dir):
 
 @query
 def alternate_titles(spark, sf_dir):
-    """Conversations as topics: those that hold a word, else the first."""
-    c = D.read(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("rank"), F.col("text").alias("word"), F.lit(None).cast("string").alias("note"), F.col("role").alias("category"))
-    return I.match_or_top(c, "the").select("rank")
+    """Turns of conversations as topics: those that hold a word, else the first."""
+    c = D.read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("rank"), F.col("text").alias("word"), F.lit(None).cast("string").alias("note"), F.col("role").alias("category"))
+    return I.match_or_top(c, "the", include_top=True).select("rank")
 
 
 @query
@@ -360,8 +381,8 @@ def traffic(spark, sf_dir):
 
 @query
 def title_overlap_pairs(spark, sf_dir):
-    """By item, how many later titles start with a run of eight characters of its own."""
-    return E.later_title_starts(D.items(spark, sf_dir)).groupBy("a").agg(F.count("*").alias("n"), F.sum("b").alias("sum_b"))
+    """By item, how many titles hold the start of its own, or start with what it holds, and the sum of their ids."""
+    return E.title_counts(D.items(spark, sf_dir))
 
 
 @query
@@ -394,9 +415,59 @@ def tweet_top(spark, sf_dir):
 def payload_validation(spark, sf_dir):
     """Labels as payloads, some of them broken."""
     l = D.read(spark, sf_dir, "labels")
-    kind = F.element_at(F.array(*map(F.lit, ("MUST_MERGE", "MUST_NOT_MERGE", "OTHER"))), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
-    text = F.when(F.pmod("doc_id", F.lit(11)) == 0, "{").otherwise(F.to_json(F.struct(F.col("doc_id").alias("itemA"), F.when(F.pmod("doc_id", F.lit(5)) > 0, F.col("doc_id") + 1).alias("itemB"), kind.alias("expectation"))))
-    return E.invalid_pairs(l.select(F.col("doc_id").alias("case_code"), text.alias("payload")))
+    i = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("MUST_MERGE", "REVIEW_IF_AMBIGUOUS", "OTHER"))), (F.pmod(i, F.lit(3)) + 1).cast("int"))
+    item_a = F.struct(i.alias("hotItemId"), F.lit("a title").alias("title"))
+    item_b = F.struct(F.when(F.pmod(i, F.lit(5)) == 1, F.lit("GITHUB")).alias("sourceType"), F.lit("x1").alias("externalId"), F.when(F.pmod(i, F.lit(7)) > 0, "b").otherwise(" ").alias("title"))
+    body = F.to_json(F.struct(F.when(F.pmod(i, F.lit(4)) > 0, "key").alias("pairKey"), item_a.alias("itemA"), item_b.alias("itemB"), kind.alias("expectation"), F.when(F.pmod(i, F.lit(2)) == 0, "FUNDING").otherwise("FUN").alias("category")))
+    return E.invalid_pairs(l.select(i.alias("case_code"), F.when(F.pmod(i, F.lit(11)) == 0, "{").otherwise(body).alias("payload")))
+
+
+@query
+def config_validation(spark, sf_dir):
+    """Customers as configured sources."""
+    c, i = D.read(spark, sf_dir, "customer"), F.col("c_custkey")
+    k = F.pmod(i, F.lit(40)).cast("int")
+    config = F.to_json(F.struct(F.when(F.pmod(i, F.lit(3)) > 0, "ai").otherwise(" ").alias("query"), k.alias("limit"), k.alias("cnt"), k.alias("fetchLimit"), k.alias("perPage"), (k * 2).alias("page"), k.alias("topDays"), k.alias("freshnessDays"), F.when(F.pmod(i, F.lit(2)) == 0, "STARS").otherwise("en-us").alias("sort"), F.when(F.pmod(i, F.lit(2)) == 0, "en-US").otherwise("en-us").alias("market"), F.when(F.pmod(i, F.lit(7)) > 0, F.array(F.lit("ai"))).otherwise(F.array().cast("array<string>")).alias("keywords")))
+    kinds = F.element_at(F.array(*map(F.lit, D.SOURCES)), (F.pmod(i, F.lit(10)) + 1).cast("int"))
+    return P.config_errors(c.select(i.alias("source_code"), kinds.alias("source_type"), config.alias("config_payload"), F.pmod(i, F.lit(13)).alias("crawl_interval_minutes")))
+
+
+@query
+def accepted_places(spark, sf_dir):
+    """Line items as decisions: where the last accepted one puts an order."""
+    li = D.read(spark, sf_dir, "lineitem")
+    rows = li.select(F.col("l_orderkey").alias("hot_item_id"), F.when(F.col("l_returnflag") == "N", "ACCEPTED").otherwise("REJECTED").alias("decision"), F.when(F.col("l_linenumber") != 3, F.col("l_suppkey")).alias("hot_cluster_id"), F.col("l_shipdate").alias("decided_at"), F.col("l_linenumber").alias("id"))
+    return E.latest_accepted(rows)
+
+
+@query
+def analysis_latest(spark, sf_dir):
+    """Orders as analyses of customers: the last one that succeeded."""
+    c = D.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("hot_cluster_id"))
+    o = D.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("hot_cluster_id"), F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").otherwise("FAILED").alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("id"))
+    return V.latest_analyses(c, o).select("hot_cluster_id", F.col("analysis.id").alias("analysis_id"))
+
+
+@query
+def task_list(spark, sf_dir):
+    """A page of orders as tasks, newest first."""
+    o = D.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("requested_at"), F.col("o_orderstatus").alias("status"))
+    return V.newest(o, "requested_at", page=2, size=50, status="F").select("id", "status")
+
+
+@query
+def review_list(spark, sf_dir):
+    """A page of orders as review tasks, with their decisions, some of which are gone."""
+    o = D.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("cluster_match_decision_id"), F.col("o_orderdate").alias("created_at"), F.lit("OPEN").alias("status"))
+    d = D.read(spark, sf_dir, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("hot_item_id"))
+    return V.reviews(o, d, "OPEN", page=1, size=200).select("id", F.col("match.hot_item_id").alias("hot_item_id"))
+
+
+@query
+def scheduled_run(spark, sf_dir):
+    """Counts of the sources that due_sources tells about."""
+    return V.scheduled_counts(due_sources(spark, sf_dir))
 
 
 @query

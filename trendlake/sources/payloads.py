@@ -31,7 +31,17 @@ def requires_javascript(page: Column) -> Column:
 
 
 def _tag(x: Column, name: str) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(x, rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1), r"\s+", " ")), F.lit(""))
+    return F.nullif(_decoded(F.regexp_extract(x, rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1)), F.lit(""))
+
+
+def _decoded(x: Column) -> Column:
+    """XML text: references decoded, white space single."""
+    return clean_html(F.regexp_replace(F.regexp_replace(x, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), "<[^>]+>", ""))
+
+
+def _attribute(name: str) -> str:
+    """Pattern of an attribute's value in either kind of quotes, as one group."""
+    return rf"\b{name}\s*=\s*(?:\"|')([^\"'>]*)(?:\"|')"
 
 
 def arxiv(pages: DataFrame) -> DataFrame:
@@ -41,9 +51,9 @@ def arxiv(pages: DataFrame) -> DataFrame:
     url = _tag(e, "id")
     rows = rows.select(
         "id", F.regexp_extract(url, r"/abs/(.+)$", 1).alias("arxiv_id"), url.alias("url"), _tag(e, "title").alias("title"), _tag(e, "summary").alias("summary"),
-        F.transform(F.regexp_extract_all(e, F.lit(r"(?s)<author\b[^>]*>.*?<name>(.*?)</name>"), F.lit(1)), F.trim).alias("authors"),
-        F.regexp_extract_all(e, F.lit(r"<category\b[^>]*term=\"([^\"]*)\""), F.lit(1)).alias("categories"), F.try_to_timestamp(_tag(e, "published")).alias("published_at"),
-        F.nullif(F.regexp_extract(e, r"<link\b[^>]*title=\"pdf\"[^>]*href=\"([^\"]*)\"", 1), F.lit("")).alias("pdf_url"),
+        F.transform(F.regexp_extract_all(e, F.lit(r"(?s)<author\b[^>]*>.*?<name>(.*?)</name>"), F.lit(1)), lambda a: _decoded(a)).alias("authors"),
+        F.transform(F.regexp_extract_all(e, F.lit(r"<category\b[^>]*?" + _attribute("term")), F.lit(1)), lambda c: _decoded(c)).alias("categories"), F.try_to_timestamp(_tag(e, "published")).alias("published_at"),
+        F.nullif(_decoded(F.regexp_extract(F.regexp_extract(e, r"<link\b[^>]*title\s*=\s*[\"']pdf[\"'][^>]*>", 0), _attribute("href"), 1)), F.lit("")).alias("pdf_url"),
     )
     return rows.withColumn("error", F.when((F.col("arxiv_id") == "") | F.col("title").isNull() | F.col("published_at").isNull(), "missing field"))
 
@@ -53,7 +63,7 @@ _REPO = "array<struct<full_name:string,html_url:string,description:string,langua
 
 def github(pages: DataFrame) -> DataFrame:
     rows = pages.select("id", F.explode(F.from_json(F.get_json_object("payload", "$.items"), _REPO)).alias("r"))
-    return rows.select("id", "r.full_name", F.col("r.html_url").alias("url"), "r.description", "r.language", "r.stargazers_count", "r.forks_count", "r.watchers_count", "r.open_issues_count", F.filter(F.transform("r.topics", F.trim), lambda t: t != "").alias("topics"), F.try_to_timestamp("r.updated_at").alias("updated_at"), F.col("r.owner.login").alias("owner"))
+    return rows.select("id", "r.full_name", F.col("r.html_url").alias("url"), "r.description", "r.language", "r.stargazers_count", "r.forks_count", "r.watchers_count", "r.open_issues_count", F.filter(F.transform("r.topics", lambda t: F.trim(t)), lambda t: t != "").alias("topics"), F.try_to_timestamp("r.updated_at").alias("updated_at"), F.col("r.owner.login").alias("owner"))
 
 
 def hugging_face(pages: DataFrame) -> DataFrame:
@@ -127,40 +137,57 @@ def duckduckgo(pages: DataFrame, limit: int = 10) -> DataFrame:
     return _ranked(rows.select("id", "p", _text(F.regexp_extract("b", r"(?s)^<a\b[^>]*>(.*?)</a>", 1)).alias("title"), sanitized_url(url).alias("url"), _text(F.regexp_extract("b", r"(?s)class=\"[^\"]*result__snippet[^\"]*\"[^>]*>(.*?)</a>", 1)).alias("summary")), limit)
 
 
-#: By source: number settings with least and greatest value, and settings with a fixed set of values.
+#: By source, number settings with default, least and greatest value; settings with what they match (case apart where (?i) leads); and settings that must not be blank. Blank texts count as unset where a default stands for them.
 RULES = {
-    "ARXIV": ({"maxResults": (1, 100)}, {"sortBy": ("relevance", "lastUpdatedDate", "submittedDate")}),
-    "GITHUB": ({"perPage": (1, 100)}, {"sort": ("stars", "forks", "updated"), "order": ("asc", "desc")}),
-    "HUGGING_FACE": ({"limit": (1, 100)}, {"direction": ("asc", "desc")}),
-    "HACKER_NEWS": ({"limit": (1, 100)}, {}),
-    "HACKER_NEWS_SEARCH": ({"hitsPerPage": (1, 100)}, {}),
-    "WEIBO_HOT_SEARCH": ({"limit": (1, 100)}, {}),
-    "TWITTER": ({"minLikes": (0, 1_000_000), "limit": (1, 100)}, {}),
-    "BING_SEARCH": ({"limit": (1, 50)}, {}),
-    "DUCKDUCKGO_SEARCH": ({"limit": (1, 50)}, {}),
-    "SOGOU_SEARCH": ({"limit": (1, 50)}, {}),
+    "HACKER_NEWS": ({"fetchLimit": (100, 1, 100)}, {"feed": r"(?i)TOP"}, ()),
+    "ARXIV": ({"start": (0, 0, None), "maxResults": (20, 1, 100)}, {}, ("searchQuery",)),
+    "GITHUB": ({"perPage": (10, 1, 100), "page": (1, 1, None)}, {"sort": r"(?i)\s*(stars|forks|updated)?\s*", "order": r"(?i)\s*(asc|desc)?\s*"}, ("query",)),
+    "HUGGING_FACE": ({"limit": (20, 1, 100)}, {"sort": r"(?i)\s*(downloads|likes|createdAt|lastModified)?\s*", "direction": r"(?i)\s*(asc|desc)?\s*"}, ("search",)),
+    "SOGOU_SEARCH": ({}, {"cnt": "10|20|30|40|50", "mode": "0|1|2", "freshness": r"\s*([dmy]\d{0,2})?\s*"}, ("query",)),
+    "WEIBO_HOT_SEARCH": ({}, {}, ("query",)),
+    "HACKER_NEWS_SEARCH": ({"limit": (20, 1, 100), "freshnessHours": (24, 1, 720)}, {}, ("query",)),
+    "TWITTER": ({"limit": (20, 1, 100), "topDays": (7, 1, 30), "latestDays": (3, 1, 30), "minLikes": (10, 0, None), "minRetweets": (5, 0, None), "minViews": (500, 0, None), "minFollowers": (100, 0, None)}, {}, ("query",)),
+    "BING_SEARCH": ({"limit": (10, 1, 20), "freshnessDays": (7, 1, 30)}, {"market": r"\s*[a-z]{2}-[A-Z]{2}\s*", "safeSearch": r"\s*(off|moderate|strict)\s*"}, ("query",)),
+    "DUCKDUCKGO_SEARCH": ({"limit": (10, 1, 20), "freshnessDays": (7, 1, 30)}, {}, ("query",)),
 }
+#: Fixed value: results of a code search that pages reach.
+REACH = 1000
 
 
 def config_errors(sources: DataFrame) -> DataFrame:
-    """sources (source_code, source_type, config_payload JSON, crawl_interval_minutes) with the list of settings that are wrong."""
+    """sources (source_code, source_type, config_payload JSON, crawl_interval_minutes) with the list of settings that are wrong, by name. An unset number has its default, and one that is no number counts as 0 unless it is written as one."""
     j = lambda k: F.get_json_object("config_payload", f"$.{k}")
+
+    def number(k: str, default: int) -> Column:
+        return F.when(j(k).isNull(), default).otherwise(F.coalesce(F.floor(j(k).try_cast("double")), F.lit(default))).cast("long")
+
     found = [F.when(F.col("crawl_interval_minutes") <= 0, "crawlIntervalMinutes"), F.when(F.try_parse_json("config_payload").isNull(), "config")]
-    for s, (numbers, words) in RULES.items():
+    for s, (numbers, words, needed) in RULES.items():
         here = F.col("source_type") == s
-        for k, (low, high) in numbers.items():
-            v = F.try_to_number(j(k), F.lit("S9999999"))
-            found.append(F.when(here & j(k).isNotNull() & (v.isNull() | ~v.between(low, high)), k))
-        for k, allowed in words.items():
-            found.append(F.when(here & j(k).isNotNull() & ~j(k).isin(*allowed), k))
+        for k, (default, low, high) in numbers.items():
+            v = number(k, default)
+            found.append(F.when(here & ((v < low) | (v > high if high is not None else F.lit(False))), k))
+        for k, pattern in words.items():
+            found.append(F.when(here & j(k).isNotNull() & ~j(k).rlike(rf"^(?:{pattern})$" if not pattern.startswith("(?i)") else rf"(?i)^(?:{pattern[4:]})$"), k))
+        for k in needed:
+            found.append(F.when(here & (F.coalesce(F.trim(j(k)), F.lit("")) == ""), k))
+    keywords = F.from_json(j("keywords"), "array<string>")
+    found.append(F.when((F.col("source_type") == "HACKER_NEWS") & ~F.coalesce(F.size(keywords) > 0, F.lit(False)), "keywords"))
+    far = (number("page", 1) - 1) * number("perPage", 10) >= REACH
+    found.append(F.when((F.col("source_type") == "GITHUB") & far, "reach"))
     found.append(F.when(~F.col("source_type").isin(*RULES), "sourceType"))
     return sources.select("source_code", F.array_join(F.array_compact(F.array(*found)), ",").alias("errors"))
 
 
 def annotations(lines: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new cases, bad lines) of JSON lines (line_number, value): blank lines are skipped, of equal case codes the first counts, known ones are left out."""
-    rows = lines.where(F.trim("value") != "").select("line_number", "value", F.get_json_object("value", "$.case_code").alias("case_code"), F.try_parse_json("value").isNotNull().alias("json"))
-    bad = rows.where(~F.col("json") | F.col("case_code").isNull()).select("line_number", F.when(~F.col("json"), "not JSON").otherwise("no case_code").alias("reason"))
-    w = Window.partitionBy("case_code").orderBy("line_number")
-    good = rows.where(F.col("json") & F.col("case_code").isNotNull()).withColumn("turn", F.row_number().over(w)).where("turn = 1").join(existing.select("case_code"), "case_code", "left_anti")
-    return good.select("case_code", F.col("value").alias("payload")), bad
+    """(new cases (dataset, case_code, case_type, payload), bad lines) of JSON lines (line_number, value): blank lines are skipped; of equal codes in a dataset the first counts; known ones are left out; a line needs a code, and a type that is known (see evaluation.CASE_TYPES)."""
+    from ..operators.evaluation import CASE_TYPES
+
+    j = lambda k: F.nullif(F.trim(F.get_json_object("value", f"$.{k}")), F.lit(""))
+    rows = lines.where(F.trim("value") != "").select("line_number", "value", F.coalesce(j("dataset"), F.lit("")).alias("dataset"), j("case_code").alias("case_code"), j("case_type").alias("case_type"), F.try_parse_json("value").isNotNull().alias("json"))
+    rows = rows.withColumn("reason", F.when(~F.col("json"), "not JSON").when(F.col("case_code").isNull(), "no case_code").when(F.col("case_type").isNotNull() & ~F.col("case_type").isin(*CASE_TYPES), "unknown case_type"))
+    keys = ["dataset", "case_code"]
+    w = Window.partitionBy(*keys).orderBy("line_number")
+    known = existing if "dataset" in existing.columns else existing.withColumn("dataset", F.lit(""))
+    good = rows.where("reason is null").withColumn("turn", F.row_number().over(w)).where("turn = 1").join(known.select(*keys), keys, "left_anti")
+    return good.select("dataset", "case_code", "case_type", F.col("value").alias("payload")), rows.where("reason is not null").select("line_number", "reason")
