@@ -371,13 +371,48 @@ def test_stream_upsert_and_windows(spark, tmp_path):
     S2.upsert_stream(read(), out, str(tmp_path / "ck")).awaitTermination()
     spark.createDataFrame([(3, "A", "x", "new", T0 + HOUR)], kind).coalesce(1).write.mode("append").parquet(src)
     S2.upsert_stream(read(), out, str(tmp_path / "ck")).awaitTermination()
-    rows = {r.external_id: r for r in spark.read.parquet(f"{out}/v=1").collect()}
+    for fold in (False, True, True):
+        if fold:
+            S2.compact(spark, out)
+        rows = {r.external_id: r for r in S2.current(spark, out).collect()}
+        assert len(rows) == 2 and rows["x"].title == "new" and rows["x"].first_seen_at == T0
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["c=1"]
     assert rows["x"].title == "new" and rows["x"].first_seen_at == T0 and rows["x"].last_seen_at == T0 + HOUR and rows["y"].title == "y"
 
 
-def test_connector(spark, tmp_path):
-    from trendlake.sources.connector import PayloadSource
+def test_stream_windows_and_look_back(spark, tmp_path):
+    from trendlake.streaming import ingest as S2
+
+    up = [(1, 1, 0, (80.0, 70.0, 60.0, 0.0, None), None, "GITHUB"), (2, 1, -24, (30.0, 20.0, 10.0, 0.0, None), None, "GITHUB"), (3, 2, -200, (1.0, 0.0, 0.0, 0.0, None), None, "GITHUB")]
+    df = snapshots(spark, [up[1], up[2]]).coalesce(1)
+    src = str(tmp_path / "in")
+    df.write.parquet(src)
+    go = lambda: S2.trend_stream(spark.readStream.schema(df.schema).parquet(src), str(tmp_path / "h"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    go()
+    snapshots(spark, [up[0]]).coalesce(1).write.mode("append").parquet(src)
+    go()
+    got = {r.window: r for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()}
+    assert {r.hot_item_id for r in got.values()} == {1} and (got["24h"].attention_delta, got["24h"].confidence) == (50.0, "HIGH") and got["1h"].confidence == "UNKNOWN"
+
+    def run(stream, name):
+        stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    # the same id twice counts once; the window of the latest snapshot isn't final yet
+    snapshots(spark, [up[2]]).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    assert sorted(r.id for r in run(S2.deduplicated_snapshots(stream), "once").collect()) == [1, 2, 3]
+    final = run(S2.activity(stream.where("id <> 3"), late="1 hour"), "active").collect()
+    assert [(r.start, r.n, r.attention) for r in final] == [(dt.datetime(2024, 1, 9), 1, 30.0)]
 
-    (tmp_path / "a.json").write_text("{}")
-    spark.dataSource.register(PayloadSource)
-    assert spark.read.format("payloads").option("files", str(tmp_path / "a.json")).load().first().payload == "{}"
+
+def test_connector(spark, tmp_path):
+    from trendlake.sources import connector as K
+
+    (tmp_path / "a;b.json").write_text("{}\n")
+    (tmp_path / "c.json").write_text("x")
+    got = K.payloads(spark, str(tmp_path)).collect()
+    assert sorted(r.payload for r in got) == ["x", "{}\n"] and len({r.id for r in got}) == 2
+    assert K.bearer(" t ") == {"Authorization": "Bearer t"} and K.bearer("") == {}
+    assert [K.wait_seconds(s, h, a, 100.0) for s, h, a in ((200, {}, 1), (503, {}, 3), (429, {"Retry-After": "7"}, 1), (403, {"X-RateLimit-Remaining": "0", "X-RateLimit-Reset": "105"}, 1), (404, {}, 1), (403, {}, 1))] == [None, 1.0, 7.0, 5.0, None, None]
+    assert len(K.tc3_signature("s", "svc", "2024-01-01", "x")) == 64

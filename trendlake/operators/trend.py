@@ -19,14 +19,18 @@ def latest_snapshots(snapshots: DataFrame, n: int = 1) -> DataFrame:
     return snapshots.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n)
 
 
-def nearest(probes: DataFrame, history: DataFrame, keys: list[str], at: str, target: str, deviation: str) -> DataFrame:
-    """The rows of probes with `h`, the row of history of the same item whose time is nearest to `target`, at most `deviation` seconds off, the earlier of equally near ones; null where there is none.
+def nearest(probes: DataFrame, history: DataFrame, keys: list[str], at: str, target: str, deviation: str, deviations: tuple[int, ...]) -> DataFrame:
+    """The rows of probes with `h`, the row of history of the same item whose time is nearest to `target`, at most `deviation` seconds off (one of `deviations`), the earlier of equally near ones; null where there is none.
 
-    The join is on the item; its range predicate is checked on each match, and the choice is an aggregate, so a long history is reduced before it is shuffled.
+    Time is cut into stretches twice as long as a deviation, of which a probe needs two at most: the join is on item, deviation and stretch, so a probe meets what is near it alone, and an item with a long history is many keys. The choice is an aggregate.
     """
-    h = history.select(F.col("hot_item_id").alias("h_item"), F.struct("id", "observed_at", "signal", "raw_metrics").alias("h"))
-    off = F.abs(F.unix_micros("h.observed_at") - F.unix_micros(target))
-    near = probes.join(h, (F.col("hot_item_id") == F.col("h_item")) & (F.col("h.observed_at") >= F.col(target) - F.make_dt_interval(secs=F.col(deviation))) & (F.col("h.observed_at") <= F.col(target) + F.make_dt_interval(secs=F.col(deviation))))
+    stretch = lambda t, d: F.floor(t / (d.cast("long") * 2_000_000))
+    h = history.select(F.col("hot_item_id").alias("h_item"), F.struct("id", "observed_at", "signal", "raw_metrics").alias("h"), F.explode(F.array(*map(F.lit, sorted(set(deviations))))).alias("h_dev"))
+    h = h.withColumn("h_stretch", stretch(F.unix_micros("h.observed_at"), F.col("h_dev")))
+    goal, most = F.unix_micros(target), F.col(deviation).cast("long") * 1_000_000
+    p = probes.where(F.col(target).isNotNull()).withColumn("stretch", F.explode(F.array_distinct(F.array(stretch(goal - most, F.col(deviation)), stretch(goal + most, F.col(deviation))))))
+    off = F.abs(F.unix_micros("h.observed_at") - goal)
+    near = p.join(h, (F.col("hot_item_id") == F.col("h_item")) & (F.col(deviation) == F.col("h_dev")) & (F.col("stretch") == F.col("h_stretch"))).where(off <= most)
     best = near.groupBy(*keys).agg(F.min_by("h", F.struct(off, F.col("h.observed_at"), F.col("h.id"))).alias(at))
     return probes.join(best, keys, "left")
 
@@ -84,8 +88,9 @@ def trends(snapshots: DataFrame, windows: tuple = WINDOWS) -> DataFrame:
     cur = latest_snapshots(snapshots).select("hot_item_id", "source_type", F.struct("id", "observed_at", "signal", "raw_metrics").alias("cur"), F.explode(table).alias("w"))
     cur = cur.select("hot_item_id", "source_type", "cur", "w.*").withColumn("target", F.col("cur.observed_at") - F.make_dt_interval(secs=F.col("target_s")))
     keys = ["hot_item_id", "code"]
-    one = nearest(cur, snapshots, keys, "hist", "target", "most_s").withColumn("target2", F.col("hist.observed_at") - F.make_dt_interval(secs=F.col("target_s")))
-    two = nearest(one, snapshots, keys, "prev", "target2", "most_s")
+    deviations = tuple(w[2] for w in windows)
+    one = nearest(cur, snapshots, keys, "hist", "target", "most_s", deviations).withColumn("target2", F.col("hist.observed_at") - F.make_dt_interval(secs=F.col("target_s")))
+    two = nearest(one, snapshots, keys, "prev", "target2", "most_s", deviations)
     now, then, before = F.col("cur.signal"), F.col("hist.signal"), F.col("prev.signal")
     deltas, rank = _deltas(now, then), _rank(now, then)
     known = F.col("hist").isNotNull()

@@ -130,8 +130,12 @@ def _event_members(spark, sf_dir):
     return last.select(F.pmod("hot_item_id", F.lit(40)).alias("hot_cluster_id"), "hot_item_id", D.role(F.col("source_type")).alias("role"), F.concat(F.lit("https://x.example/"), F.pmod("hot_item_id", F.lit(3)).cast("string")).alias("url"), F.col("signal.rank").alias("rank"), "signal", F.col("observed_at").alias("published_at"))
 
 
-def _cluster_trends(spark, sf_dir):
-    return R.cluster_trends(_event_members(spark, sf_dir), R.trends(D.snapshots(spark, sf_dir)))
+def _cluster_trends(spark, sf_dir, windows=R.WINDOWS):
+    return R.cluster_trends(_event_members(spark, sf_dir), R.trends(D.snapshots(spark, sf_dir), windows), windows)
+
+
+#: What scores take.
+DAY = tuple(w for w in R.WINDOWS if w[0] == "24h")
 
 
 @query
@@ -150,7 +154,7 @@ def cluster_raw_deltas(spark, sf_dir):
 def score_v2(spark, sf_dir):
     members = _event_members(spark, sf_dir)
     clusters = members.groupBy("hot_cluster_id").agg(F.min("published_at").alias("first_seen_at"))
-    day = _cluster_trends(spark, sf_dir).where("window = '24h'")
+    day = _cluster_trends(spark, sf_dir, DAY)
     now = F.lit("2024-01-31 00:00:00").cast("timestamp")
     r = S.v2_scores(clusters, members, day, now)
     return r.select("hot_cluster_id", "total_score", *(F.round(f"c_{k}", 6).alias(f"c_{k.lower()}") for k in ("momentum", "adoption", "freshness", "relevance", "authority", "discussion", "evidenceDiversity")))
@@ -399,7 +403,7 @@ def ingest_counts(spark, sf_dir):
 def score_versions(spark, sf_dir):
     members = _event_members(spark, sf_dir)
     clusters = members.groupBy("hot_cluster_id").agg(F.min("published_at").alias("first_seen_at"))
-    two = S.v2_scores(clusters, members, _cluster_trends(spark, sf_dir).where("window = '24h'"), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    two = S.v2_scores(clusters, members, _cluster_trends(spark, sf_dir, DAY), F.lit("2024-01-31 00:00:00").cast("timestamp"))
     return B.both_versions(_v1(_active(spark, sf_dir)[3]), two)
 
 

@@ -1,53 +1,39 @@
-"""A connector that hands out stored payloads, in place of the sources' interfaces."""
+"""Stored payloads, in place of the sources' interfaces, and what requests to these would carry."""
 
 from __future__ import annotations
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import hashlib
+import hmac
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.files = [f for f in options.get("files", "").split(";") if f]
-        self.attempts = int(options.get("attempts", "3"))
-        self.wait = float(options.get("wait_seconds", "0.25"))
 
-    def partitions(self):
-        return [InputPartition((i, f)) for i, f in enumerate(self.files)]
+def payloads(spark: SparkSession, *paths: str) -> DataFrame:
+    """(id, name, payload) of stored payloads, a row a file: files, folders or patterns in any store that Spark reads. Failed reads are retried as tasks are. id: a hash of the file's name."""
+    rows = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("payload"))
+    return rows.select(F.xxhash64("name").alias("id"), "name", "payload")
 
-    def read(self, partition):
-        import time
 
-        i, name = partition.value
-        for attempt in range(1, self.attempts + 1):
-            try:
-                with open(name, encoding="utf-8") as f:
-                    yield i, name, f.read()
-                return
-            except OSError:
-                if attempt == self.attempts:
-                    raise
-                time.sleep(self.wait * attempt)
+def bearer(token: str) -> dict[str, str]:
+    """The header of a request with a token; none without one."""
+    return {"Authorization": f"Bearer {token.strip()}"} if token and token.strip() else {}
 
 
-class PayloadSource(DataSource):
-    """spark.dataSource.register(PayloadSource); spark.read.format("payloads").option("files", "a;b").load(): (id, name, payload), a partition each file, read again after a failure, `attempts` times."""
-
-    @classmethod
-    def name(cls):
-        return "payloads"
-
-    def schema(self):
-        return "id int, name string, payload string"
-
-    def reader(self, schema):
-        return _Reader(self.options)
+def wait_seconds(status: int, headers: dict[str, str], attempt: int, now: float = 0.0, first: float = 0.25, most: float = 60.0) -> float | None:
+    """How long to wait before a request is tried again: what a limited source asks for, else longer each time; None where trying again won't help."""
+    if status not in (403, 408, 425, 429) and status < 500:
+        return None
+    h = {k.lower(): v for k, v in headers.items()}
+    if "retry-after" in h and h["retry-after"].strip().isdigit():
+        return min(most, float(h["retry-after"]))
+    if h.get("x-ratelimit-remaining") == "0" and h.get("x-ratelimit-reset", "").isdigit():
+        return min(most, max(0.0, float(h["x-ratelimit-reset"]) - now))
+    return None if status == 403 else min(most, first * 2 ** (attempt - 1))
 
 
 def tc3_signature(secret: str, service: str, day: str, to_sign: str) -> str:
     """The TC3-HMAC-SHA256 signature of a text: keys derived from day and service, in hexadecimal."""
-    import hashlib
-    import hmac
-
     key = ("TC3" + secret).encode()
     for part in (day, service, "tc3_request"):
         key = hmac.new(key, part.encode(), hashlib.sha256).digest()

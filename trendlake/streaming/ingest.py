@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import trend
 from ..operators.ingest import upsert
 
 
@@ -19,17 +20,52 @@ def activity(stream: DataFrame, length: str = "24 hours", late: str = "84 hours"
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str):
-    """Keeps a table of items (first seen, last seen, latest content) under path up to date with a stream of normalized items. A batch writes a new version beside the old one, named by its number, so a batch that runs twice gives the same table."""
+    """Keeps a table of items (first seen, last seen, latest content) under path up to date with a stream of normalized items. A batch writes its own items alone, to a folder named by its number, so it costs what it holds, and one that runs twice gives the same table; current() reads the table, compact() folds its batches."""
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
+        upsert(batch).write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folders(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(folders that make up the table, folders that a later fold holds too)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
+    done = lambda n: root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    at = [(n[0], int(n[2:])) for n in names if n[:2] in ("v=", "c=") and done(n)]
+    last = max((k for kind, k in at if kind == "c"), default=-1)
+    live = [f"{kind}={k}" for kind, k in at if (kind == "c" and k == last) or (kind == "v" and k > last)]
+    return live, [f"{kind}={k}" for kind, k in at if f"{kind}={k}" not in live]
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upsert_stream() keeps: one row a (source_type, external_id)."""
+    live, _ = _folders(spark, path)
+    rows = spark.read.parquet(*(f"{path}/{n}" for n in live))
+    first = rows.groupBy("source_type", "external_id").agg(F.min("first_seen_at").alias("first_seen_at"))
+    return upsert(rows.drop("first_seen_at", "last_seen_at")).drop("first_seen_at").join(first, ["source_type", "external_id"])
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Folds all batches so far into one folder and deletes what it holds. Not while a batch is written or the table is read."""
+    live, _ = _folders(spark, path)
+    last = max(int(n[2:]) for n in live)
+    if live != [f"c={last}"]:
+        current(spark, path).write.mode("overwrite").parquet(f"{path}/c={last}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for n in _folders(spark, path)[1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"), True)
+
+
+def trend_stream(stream: DataFrame, history: str, path: str, checkpoint: str):
+    """Looks back from each item of a stream of snapshots: a batch appends its snapshots to the table `history`, and writes the trends of its items, over all that the table has of them, to a folder named by its number. Late snapshots count as soon as they are there; a batch that runs twice counts its snapshots once, as ids are distinct."""
+
+    def look(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            old = spark.read.parquet(f"{path}/v={number - 1}").drop("last_seen_at").withColumnRenamed("first_seen_at", "since")
-            rows = old.unionByName(rows.withColumn("since", F.col("fetched_at")))
-        else:
-            rows = rows.withColumn("since", F.col("fetched_at"))
-        first = rows.groupBy("source_type", "external_id").agg(F.min("since").alias("first_seen_at"))
-        upsert(rows.drop("since")).drop("first_seen_at").join(first, ["source_type", "external_id"]).write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{history}/v={number}")
+        rows = spark.read.parquet(history).drop("v").join(batch.select("hot_item_id").distinct(), "hot_item_id", "left_semi").dropDuplicates(["id"])
+        trend.trends(rows).write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return stream.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
