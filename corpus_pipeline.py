@@ -19,11 +19,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored_rows(docs.select(*COLUMNS), model, "toxicity").where(F.col("toxicity") < TOXIC).select(*COLUMNS)
 
 
+#: Keys of rows without a doc_id start here, above all ids.
+NO_ID = 1 << 62
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.75 or more, the one with the smallest id. doc_id is a key: of rows that repeat one, one stays. Rows without an id stay."""
-    groups, docs = ngram_jaccard.jaccard_components(docs), docs.select(*COLUMNS)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    """Of documents linked by a Jaccard similarity of 0.75 or more, the one with the smallest id; documents without an id count by a hash of their text, after all others. doc_id is a key: of rows that repeat one with other texts, the one whose text has the smallest SHA-256 stays."""
+    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    groups = ngram_jaccard.jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text"))
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    one = keyed.join(first, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.sha2(F.col("text").cast("binary"), 256).alias("sha"), *COLUMNS)).alias("r"))
+    return one.select(*(f"r.{c}" for c in COLUMNS))
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each one written to the shared folder before the next reads it."""
+    """All stages, each one written to the shared folder before the next reads it; what the next has read is deleted."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.keep(docs)
+            if k:
+                scratch.drop(before)
     return docs
