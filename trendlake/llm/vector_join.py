@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, partitions
 
 #: Rows of a block, two of which a task compares; vectors of a label that choose its pivots; vectors tried for each pivot; most pivots, rings of a cell by distance, and tasks that a label's vectors are dealt to.
-TILE, SAMPLE, TRIED, PIVOTS, RINGS, SALTS = 1024, 1024, 24, 32, 8, 64
+TILE, SAMPLE, TRIED, PIVOTS, RINGS, SALTS = 2048, 1024, 24, 32, 8, 64
 #: A label of fewer vectors is one cell. What moving a vector costs, in comparisons; copies a vector that boundaries may make, by the sample; and the part of a cell's comparisons that a pivot has to save.
 LEAST_ROWS, COPY, COPIES, SAVES = 32, 64, 2.0, 0.02
 
