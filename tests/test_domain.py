@@ -242,6 +242,45 @@ def test_source_configurations(spark):
     assert got == {f"{k}": e for k, (_, _, e) in enumerate(wrong)} | {f"ok{k}": "" for k in range(len(right))}
 
 
+def test_verifiers(spark):
+    scores = spark.createDataFrame([(1, 50.0, {"momentum": 5.0})], "hot_cluster_id long, total_score double, components map<string,double>")
+    cases = spark.createDataFrame([("a", 1, 10.0, 60.0, "momentum", 5.0), ("b", 1, 10.0, 60.0, "momentum", 6.0), ("c", 1, None, None, "none", 1.0), ("d", 2, None, None, None, None), ("e", 1, 51.0, None, None, None)], "case_code string, hot_cluster_id long, min_score double, max_score double, component string, min_component double")
+    assert {r.case_code: r.status for r in E.verify_scores(cases, scores).collect()} == {"a": "PASSED", "b": "FAILED", "c": "FAILED", "d": "ERROR", "e": "FAILED"}
+    alerts = spark.createDataFrame([(7, 1), (7, 1)], "rule_id long, hot_cluster_id long")
+    cases = spark.createDataFrame([("a", 7, 1, True), ("b", 7, 2, True), ("c", 7, 2, False), ("d", 0, 2, False), ("e", 7, 2, None)], "case_code string, rule_id long, hot_cluster_id long, present boolean")
+    assert {r.case_code: r.status for r in E.verify_alerts(cases, alerts).collect()} == {"a": "PASSED", "b": "FAILED", "c": "PASSED", "d": "ERROR", "e": "ERROR"}
+    analyses = spark.createDataFrame([(1, 1, T0, "SUCCEEDED", '{"x":"old"}'), (2, 1, T0 + HOUR, "SUCCEEDED", '{"x":"y","z":[],"n":null}'), (3, 1, T0 + 2 * HOUR, "FAILED", "{}")], "id long, hot_cluster_id long, created_at timestamp, status string, result string")
+    told = V.latest_analyses(spark.createDataFrame([(1,), (2,)], "hot_cluster_id long"), analyses)
+    cases = spark.createDataFrame([("a", 1, ["x"]), ("b", 1, ["x", "z"]), ("c", 1, ["n"]), ("d", 2, ["x"]), ("e", 1, [])], "case_code string, hot_cluster_id long, fields array<string>")
+    got = E.verify_analyses(cases, told)
+    assert {r.case_code: r.status for r in got.collect()} == {"a": "PASSED", "b": "FAILED", "c": "FAILED", "d": "ERROR", "e": "ERROR"}
+    assert [r.case_code for r in E.failures(got, 3).collect()] == ["b", "c", "d"]
+
+
+def test_batches_and_reports(spark, tmp_path):
+    from trendlake.plans import batch as B
+    from trendlake.sources import sinks
+
+    raw = spark.createDataFrame([(1, "GITHUB", "1", '{"fullName":"o/r","url":"https://github.com/o/r","topics":["a","b"]}', T0), (2, "GITHUB", "2", "{", T0), (3, "GITHUB", "3", "{}", T0)], "id long, source_type string, external_id string, raw_payload string, fetched_at timestamp")
+    out = B.run(raw, F.lit(T0))
+    c = out["counts"].first()
+    assert (c.fetched, c.matched, c.persisted, c.failed, c.filtered, c.status) == (3, 1, 1, 1, 1, "PARTIAL_FAILED")
+    assert out["dead"].first().error_message == "no JSON: {" and out["scores"].first().keyword_score == 4.0 and out["raw"].count() == 3
+    assert sinks.gates({"precision": 0.9, "recall": 0.7, "false_merge": float("nan"), "ndcg_v1": 0.5, "ndcg_v2": 0.5}) == {"precision": "PASS", "recall": "FAIL", "false_merge": "UNKNOWN", "ndcg_v2_not_below_v1": "PASS", "major_miss_v2_not_above_v1": "UNKNOWN"}
+    sinks.write_report(spark, {"precision": 0.95}, str(tmp_path / "r"))
+    assert '"precision": "PASS"' in spark.read.text(str(tmp_path / "r/report.json")).first().value
+    rows = spark.createDataFrame([(1, 3, "NEW")], "id long, version long, status string")
+    assert B.set_status(rows, "id", 1, 3, "status", "ACKED").first().version == 4
+    for bad in ((1, 3, "status", "NEW"), (1, 2, "status", "ACKED")):
+        with pytest.raises(ValueError):
+            B.set_status(rows, "id", *bad)
+    M.check_rollout(True, 50, ("L1",), 0.9)
+    for bad in ((True, 101, ("L1",), 0.9), (True, 5, (), 0.9), (False, 5, ("L4",), 0.9)):
+        with pytest.raises(ValueError):
+            M.check_rollout(*bad)
+    assert M.scoring_stage(S.V1, True) == "V1_WITH_V2_SHADOW"
+
+
 def test_query_filters():
     assert V.query_filters({}) == {"page": 1, "size": 20, "sort": "SCORE_DESC", "source": None, "since": None, "until": None, "needle": "", "least": 0}
     got = V.query_filters({"page": ["2.7", "9"], "size": "-3", "sort": "LATEST", "sourceType": "GITHUB", "from": " ", "q": " a ", "minScore": "x"})

@@ -68,8 +68,10 @@ def timeline(members: DataFrame, n: int = 5) -> DataFrame:
     return members.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def page_summary(rows: DataFrame, needle: str | None, least: float | None, now: Column) -> DataFrame:
-    """Mean and greatest score, and number seen in the last day, of the rows that hold a text and reach a score."""
+def page_summary(rows: DataFrame, needle: str | None, least: float | None, now: Column, source: str | None = None) -> DataFrame:
+    """Mean and greatest score, and number seen in the last day, of the rows that hold a text, reach a score and have a source (of their `sources`, joined by commas)."""
+    if source:
+        rows = rows.where(F.array_contains(F.split("sources", ","), source))
     if needle:
         rows = rows.where(F.lower("title").contains(needle.lower()))
     if least is not None:

@@ -9,7 +9,7 @@ from ..functions.numbers import linear_signal, log_signal, rank_signal
 
 
 def signal(source: Column, metrics: Column) -> Column:
-    """(attention, discussion, adoption, authority, relevance, rank) of a source's metrics, a map of numbers; missing ones count as 0."""
+    """(attention, discussion, adoption, authority, relevance, rank) of a source's metrics, a map of numbers; missing ones count as 0. Null without a source; an unknown one is an error."""
 
     def m(name: str) -> Column:
         return F.coalesce(F.try_element_at(metrics, F.lit(name)).cast("double"), F.lit(0.0))
@@ -37,7 +37,9 @@ def signal(source: Column, metrics: Column) -> Column:
         .when(source.isin("HACKER_NEWS", "HACKER_NEWS_SEARCH"), of(log_signal(m("points"), 500), log_signal(m("commentsCount"), 200)))
         .when(source == "TWITTER", of(log_signal(m("viewCount") + m("likeCount"), 100000), log_signal(m("replyCount") + m("quoteCount"), 10000), log_signal(m("likeCount") + 3 * m("retweetCount"), 25000)))
         .when(source == "WEIBO_HOT_SEARCH", of(log_signal(m("points"), 1_000_000), weibo))
-        .otherwise(search)
+        .when(source.isin("BING_SEARCH", "DUCKDUCKGO_SEARCH", "SOGOU_SEARCH"), search)
+        .when(source.isNull(), None)
+        .otherwise(F.raise_error(F.concat(F.lit("no signals of source "), source)))
     )
 
 

@@ -132,13 +132,14 @@ def without_repeated_urls(members: DataFrame) -> DataFrame:
     return one.unionByName(members.where(~F.coalesce(same, F.lit(False))))
 
 
-def cluster_trends(members: DataFrame, trends: DataFrame, windows: tuple = WINDOWS) -> DataFrame:
-    """For each cluster and window, what its contributing items' trends sum to, and its state. members: active ones (hot_cluster_id, hot_item_id, role, url, rank)."""
+def cluster_trends(members: DataFrame, trends: DataFrame, windows: tuple = WINDOWS, clusters: DataFrame | None = None) -> DataFrame:
+    """For each cluster and window, what its contributing items' trends sum to, and its state. members: active ones (hot_cluster_id, hot_item_id, role, url, rank). A cluster of `clusters` without any has the state UNKNOWN."""
     rows = without_repeated_urls(members).join(trends, "hot_item_id", "left")
     rows = rows.withColumn("confidence", F.coalesce("confidence", F.lit("UNKNOWN")))
     ok = ~F.col("confidence").isin("UNKNOWN", "DATA_ANOMALY")
     codes = F.array(*(F.lit(w[0]) for w in windows))
-    every = members.select("hot_cluster_id").distinct().withColumn("window", F.explode(codes))
+    own = members.select("hot_cluster_id").distinct().withColumn("any", F.lit(True))
+    every = (own if clusters is None else clusters.select("hot_cluster_id").distinct().join(own, "hot_cluster_id", "left")).withColumn("window", F.explode(codes))
     level = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("confidence"))
     some = rows.where(ok).groupBy("hot_cluster_id", "window").agg(
         F.count("*").alias("contributing"),
@@ -149,13 +150,13 @@ def cluster_trends(members: DataFrame, trends: DataFrame, windows: tuple = WINDO
         *(F.sum(F.coalesce(f"{d}_delta", F.lit(0.0))).alias(f"{d}_delta") for d in DIMENSIONS),
     )
     total = reduce(lambda a, b: a + b, (F.col(f"{d}_delta") for d in DIMENSIONS))
-    state = F.when(F.col("contributing").isNull(), "NEW").when(total > 5, F.when(F.col("acceleration") < 0, "PEAKING").otherwise("RISING")).when(total < -5, "COOLING").otherwise("STABLE")
-    return every.join(some, ["hot_cluster_id", "window"], "left").withColumn("state", state).withColumn("confidence", F.coalesce("confidence", F.lit("UNKNOWN")))
+    state = F.when(F.col("any").isNull(), "UNKNOWN").when(F.col("contributing").isNull(), "NEW").when(total > 5, F.when(F.col("acceleration") < 0, "PEAKING").otherwise("RISING")).when(total < -5, "COOLING").otherwise("STABLE")
+    return every.join(some, ["hot_cluster_id", "window"], "left").withColumn("state", state).withColumn("confidence", F.coalesce("confidence", F.lit("UNKNOWN"))).drop("any")
 
 
 def cluster_raw_deltas(members: DataFrame, trends: DataFrame) -> DataFrame:
     """By cluster, window and raw metric: sums, mean growth, any anomaly; previous and current of the last member."""
     rows = without_repeated_urls(members).join(trends.where(~F.col("confidence").isin("UNKNOWN", "DATA_ANOMALY")), "hot_item_id").select("hot_cluster_id", "window", "hot_item_id", F.explode("raw").alias("r"))
     return rows.groupBy("hot_cluster_id", "window", F.col("r.metric").alias("metric")).agg(
-        F.sum("r.delta").alias("delta"), F.avg("r.growth").alias("growth"), F.max_by("r.previous", "hot_item_id").alias("previous"), F.max_by("r.current", "hot_item_id").alias("current"), F.bool_or("r.anomaly").alias("anomaly")
+        F.sum("r.delta").alias("delta"), F.avg("r.growth").alias("growth"), F.max_by("r.previous", "hot_item_id").alias("previous"), F.max_by("r.current", "hot_item_id").alias("current"), F.bool_or("r.anomaly").alias("anomaly"), F.min("r.kind").alias("semantics"),
     )

@@ -14,13 +14,16 @@ from ..operators import signals as G
 
 
 def run(raw: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """raw: see normalize(). items (one a source and id, with signals), membership, scores, and counts of the batch, all lazily from one table of raw records. A record that no normalizer takes is counted as filtered."""
-    normal = I.normalize(raw)
+    """raw: see normalize(). items (one a source and id, with signals), membership, scores, the raw records as they are kept (with a hash), dead letters, and counts of the batch with its status, all lazily from one table of raw records. A record that is no JSON has failed; one that no normalizer takes is filtered."""
+    kept = I.with_payload_hash(raw)
+    fine, dead = I.split_errors(raw, F.when(F.try_parse_json("raw_payload").isNull(), F.concat(F.lit("no JSON: "), F.coalesce("raw_payload", F.lit("")))), "NORMALIZE")
+    normal = I.normalize(fine)
     items = G.signals(I.upsert(normal)).withColumnRenamed("id", "hot_item_id")
     membership = C.v1_assign(items)
     members = membership.join(items, "hot_item_id")
-    counts = raw.agg(F.count("*").alias("fetched")).crossJoin(normal.agg(F.count("*").alias("matched"))).crossJoin(items.agg(F.count("*").alias("persisted")))
-    return {"items": items, "membership": membership, "scores": S.v1_scores(members, now), "counts": counts.withColumn("filtered", F.col("fetched") - F.col("matched"))}
+    counts = raw.agg(F.count("*").alias("fetched")).crossJoin(normal.agg(F.count("*").alias("matched"))).crossJoin(items.agg(F.count("*").alias("persisted"))).crossJoin(dead.agg(F.count("*").alias("failed")))
+    counts = counts.withColumn("filtered", F.col("fetched") - F.col("matched") - F.col("failed")).withColumn("status", task_status(F.col("failed"), F.col("persisted")))
+    return {"raw": kept, "items": items, "membership": membership, "scores": S.v1_scores(members, now), "dead": dead, "counts": counts}
 
 
 def both_versions(v1: DataFrame, v2: DataFrame) -> DataFrame:
@@ -39,8 +42,10 @@ def report_day(today: dt.date, offset: int, existing: set[dt.date], refresh: boo
     return None if day in existing and not refresh else day
 
 
-def set_status(rows: DataFrame, key: str, value: int, version: int, column: str, status) -> DataFrame:
-    """rows with one's status set and version raised, if it still has the version that the caller saw; else ValueError."""
+def set_status(rows: DataFrame, key: str, value: int, version: int, column: str, status, allowed: tuple = ("ACKED", "DISMISSED")) -> DataFrame:
+    """rows with one's status set to an allowed one and version raised, if it still has the version that the caller saw; else ValueError."""
+    if status not in allowed:
+        raise ValueError(f"the status must be one of {', '.join(map(str, allowed))}")
     hit = (F.col(key) == value) & (F.col("version") == version)
     if rows.where(hit).isEmpty():
         raise ValueError("gone, or changed by another")

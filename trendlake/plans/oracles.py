@@ -331,7 +331,7 @@ m AS (
 ORACLES["ingest_batch"] = f"""{BATCH},
 g AS (SELECT cl, max(p) AS p, max(c) AS c, count(*) AS n, max(len(string_split(x.tags, ','))) AS tags FROM m JOIN x ON x.id = m.hot_item_id GROUP BY cl)
 SELECT cl AS hot_cluster_id, round(ln(1 + least(500.0, p)) / ln(501.0) * 35 + ln(1 + least(200.0, c)) / ln(201.0) * 20 + 30.0 + least(10.0, 2.0 * tags) + least(5.0, 2.5 * (n - 1)), 4) AS total_score FROM g"""
-ORACLES["ingest_counts"] = f"{BATCH} SELECT (SELECT count(*) FROM items) AS fetched, count(*) AS matched, count(*) AS persisted, (SELECT count(*) FROM items) - count(*) AS filtered FROM m"
+ORACLES["ingest_counts"] = f"{BATCH} SELECT (SELECT count(*) FROM items) AS fetched, count(*) AS matched, count(*) AS persisted, CAST(0 AS BIGINT) AS failed, (SELECT count(*) FROM items) - count(*) AS filtered, 'SUCCEEDED' AS status FROM m"
 ORACLES["score_versions"] = f"""SELECT hot_cluster_id, total_score, 'hn-score-v1' AS scoring_version FROM ({ORACLES["score_v1_all"]}) UNION ALL SELECT hot_cluster_id, total_score, 'cross-source-score-v2' FROM ({ORACLES["score_v2"]})"""
 ORACLES["tweet_top"] = """
 WITH t AS (SELECT o_orderkey AS tweet_id, o_orderkey % 97 AS l, o_orderkey % 31 AS r, CAST(floor(o_totalprice / 10) AS BIGINT) AS v, o_custkey % 500 AS f, o_orderkey % 4 = 0 AS ok FROM orders)

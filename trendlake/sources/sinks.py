@@ -31,6 +31,33 @@ def report_markdown(metrics: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
+#: What quality on labelled data should reach.
+GATES = {"precision": (0.90, 1), "recall": (0.75, 1), "false_merge": (0.05, -1)}
+
+
+def gates(metrics: dict) -> dict[str, str]:
+    """PASS, FAIL or UNKNOWN for each gate: precision and recall at least, false merges at most, and the second version's NDCG not below and misses of major events not above the first's."""
+
+    def told(ok, *values):
+        return "UNKNOWN" if any(v is None or v != v for v in values) else "PASS" if ok(*values) else "FAIL"
+
+    out = {k: told(lambda v, b=bound, s=sign: (v - b) * s >= 0, metrics.get(k)) for k, (bound, sign) in GATES.items()}
+    out["ndcg_v2_not_below_v1"] = told(lambda a, b: b >= a, metrics.get("ndcg_v1"), metrics.get("ndcg_v2"))
+    out["major_miss_v2_not_above_v1"] = told(lambda a, b: b <= a, metrics.get("major_miss_v1"), metrics.get("major_miss_v2"))
+    return out
+
+
+def write_report(spark, metrics: dict, path: str) -> None:
+    """Folders report.json and report.md under path: metrics and gates, by Spark, so in any store."""
+    import json
+
+    found = gates(metrics)
+    text = report_markdown(metrics) + "\n" + "\n".join(f"* {k}: {v}" for k, v in found.items()) + "\n"
+    body = json.dumps({"metrics": {k: None if v != v else v for k, v in metrics.items()}, "gates": found})
+    for name, content in (("report.json", body), ("report.md", text)):
+        spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, computed once and cut from its lineage: a checkpoint in the folder that spark.checkpoint.dir names. Only a local session without one gets a temporary folder."""
     sc = df.sparkSession.sparkContext
