@@ -281,6 +281,30 @@ def test_batches_and_reports(spark, tmp_path):
     assert M.scoring_stage(S.V1, True) == "V1_WITH_V2_SHADOW"
 
 
+def test_parsers(spark):
+    import json
+
+    page = lambda x: spark.createDataFrame([(1, x if isinstance(x, str) else json.dumps(x))], "id int, payload string")
+    r = P.github(page({"items": [{"full_name": "o/r", "html_url": "u", "stargazers_count": 5, "topics": [" a ", ""], "updated_at": "2024-01-01T00:00:00Z", "owner": {"login": "o"}}]})).first()
+    assert (r.full_name, r.stargazers_count, r.topics, r.owner, r.updated_at) == ("o/r", 5, ["a"], "o", dt.datetime(2024, 1, 1))
+    r = P.hugging_face(page([{"id": "org/m", "downloads": 3, "tags": list("abcdefgh"), "pipeline_tag": "p"}])).first()
+    assert (r.model_id, r.author, r.summary) == ("org/m", "org", "Pipeline: p | Tags: a, b, c, d, e, f")
+    top = spark.createDataFrame([(0, 7), (1, 8)], "place int, item_id long")
+    stories = spark.createDataFrame([(json.dumps({"id": 7, "title": "t", "score": 4}),), (json.dumps({"id": 8, "title": "u"}),), (json.dumps({"id": 9}),)], "payload string")
+    assert [(r.item_id, r.url) for r in P.news_stories(stories, top, 1).collect()] == [(7, "https://news.ycombinator.com/item?id=7")]
+    hits = {"hits": [{"objectID": "1", "title": "a", "created_at_i": 10**10}, {"objectID": " ", "created_at_i": 10**10}, {"objectID": "2", "created_at_i": 5}]}
+    assert [r.objectID for r in P.news_search(page(hits), F.lit(T0)).collect()] == ["1"]
+    found = {"tweets": [{"id": "1", "text": "x", "likeCount": 2, "author": {"followers": 9}}, {"id_str": "1", "full_text": "again"}, {"id": "2", "text": "RT @a", "favorite_count": 3}, {"id": "3", "text": "y", "isReply": True, "quoteCount": 4, "replyCount": 6}]}
+    got = {r.tweet_id: r for r in P.tweets(page(found)).collect()}
+    assert set(got) == {"1", "2", "3"} and (got["1"].text, got["1"].like_count, got["1"].followers, got["3"].quote_count, got["3"].reply_count) == ("x", 2, 9, 4, 6)
+    assert [r.tweet_id for r in P.tweets(page(found), True).collect()] == ["1"]
+    pages = {"Response": {"Pages": [json.dumps({"title": "a", "url": "u", "score": 12.5, "date": "2024/01/02 03:04:05"}), "{", json.dumps({"title": "b"})]}}
+    assert [(r["rank"], r.title, r.score) for r in P.sogou(page(pages)).orderBy("rank").collect()] == [(1, "a", 12.5), (3, "b", None)]
+    nested = '<ol><li class="b_algo"><h2><a href="https://a.example/">A</a></h2><ul><li>x</li></ul><p>after the list</p></li><li class="b_algo"><h2><a href="https://b.example/">B</a></h2></li></ol>'
+    assert [(r.title, r.summary) for r in P.bing(page(nested)).orderBy("rank").collect()] == [("A", "after the list"), ("B", None)]
+    assert spark.range(1).select(I.tweet_query(F.lit("ai"), F.lit(T0), 5).alias("q")).first().q == "ai -filter:retweets -filter:replies since:2024-01-10 min_faves:5"
+
+
 def test_query_filters():
     assert V.query_filters({}) == {"page": 1, "size": 20, "sort": "SCORE_DESC", "source": None, "since": None, "until": None, "needle": "", "least": 0}
     got = V.query_filters({"page": ["2.7", "9"], "size": "-3", "sort": "LATEST", "sourceType": "GITHUB", "from": " ", "q": " a ", "minScore": "x"})

@@ -96,11 +96,13 @@ def weibo(pages: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(F.trim("t.word"), F.lit("")) != "").select("id", (F.col("p") + 1).alias("rank"), "t.*")
 
 
-def tweets(pages: DataFrame) -> DataFrame:
-    """Tweets of result pages (id, place of the page), each once, the first one; names differ by interface version."""
-    kind = "array<struct<id:string,id_str:string,text:string,full_text:string,likeCount:bigint,favorite_count:bigint,retweetCount:bigint,retweet_count:bigint,viewCount:bigint,createdAt:string,created_at:string,author:struct<userName:string,followers:bigint,isBlueVerified:boolean>>>"
+def tweets(pages: DataFrame, only_original: bool = False) -> DataFrame:
+    """Tweets of result pages (id, place of the page), each once, the first one; names differ by interface version. Pages of several searches (top, latest) may follow each other by id. only_original: no replies and retweets."""
+    kind = "array<struct<id:string,id_str:string,text:string,full_text:string,likeCount:bigint,favorite_count:bigint,retweetCount:bigint,retweet_count:bigint,viewCount:bigint,replyCount:bigint,reply_count:bigint,quoteCount:bigint,quote_count:bigint,bookmarkCount:bigint,isReply:boolean,in_reply_to_status_id_str:string,createdAt:string,created_at:string,author:struct<userName:string,followers:bigint,isBlueVerified:boolean>>>"
     rows = pages.select("id", F.posexplode(F.from_json(F.get_json_object("payload", "$.tweets"), kind)).alias("p", "t"))
-    rows = rows.select("id", "p", F.coalesce("t.id", "t.id_str").alias("tweet_id"), F.coalesce("t.text", "t.full_text").alias("text"), F.coalesce("t.likeCount", "t.favorite_count", F.lit(0)).alias("like_count"), F.coalesce("t.retweetCount", "t.retweet_count", F.lit(0)).alias("retweet_count"), F.coalesce("t.viewCount", F.lit(0)).alias("view_count"), F.coalesce("t.author.followers", F.lit(0)).alias("followers"), F.coalesce("t.author.isBlueVerified", F.lit(False)).alias("verified"))
+    rows = rows.select("id", "p", F.coalesce("t.id", "t.id_str").alias("tweet_id"), F.coalesce("t.text", "t.full_text").alias("text"), F.coalesce("t.likeCount", "t.favorite_count", F.lit(0)).alias("like_count"), F.coalesce("t.retweetCount", "t.retweet_count", F.lit(0)).alias("retweet_count"), F.coalesce("t.viewCount", F.lit(0)).alias("view_count"), F.coalesce("t.replyCount", "t.reply_count", F.lit(0)).alias("reply_count"), F.coalesce("t.quoteCount", "t.quote_count", F.lit(0)).alias("quote_count"), F.coalesce("t.bookmarkCount", F.lit(0)).alias("bookmark_count"), F.coalesce("t.isReply", F.col("t.in_reply_to_status_id_str").isNotNull()).alias("is_reply"), F.coalesce("t.author.followers", F.lit(0)).alias("followers"), F.coalesce("t.author.isBlueVerified", F.lit(False)).alias("verified"))
+    if only_original:
+        rows = rows.where(~F.col("is_reply") & ~F.coalesce(F.col("text").startswith("RT @"), F.lit(False)))
     w = Window.partitionBy("tweet_id").orderBy("id", "p")
     return rows.where("tweet_id is not null").withColumn("turn", F.row_number().over(w)).where("turn = 1").drop("turn", "p")
 
@@ -110,7 +112,7 @@ def sogou(pages: DataFrame) -> DataFrame:
     rows = pages.select("id", F.posexplode(F.from_json(F.get_json_object("payload", "$.Response.Pages"), "array<string>")).alias("p", "s"))
     j = lambda k: F.get_json_object("s", f"$.{k}")
     at = F.coalesce(F.try_to_timestamp(j("date"), F.lit("yyyy/MM/dd HH:mm:ss")), F.try_to_timestamp(j("date")))
-    return rows.where(F.try_parse_json("s").isNotNull() & j("title").isNotNull()).select("id", (F.col("p") + 1).alias("rank"), j("title").alias("title"), j("url").alias("url"), j("passage").alias("summary"), j("site").alias("site"), F.try_to_number(j("score"), F.lit("9.999999")).cast("double").alias("score"), at.alias("published_at"))
+    return rows.where(F.try_parse_json("s").isNotNull() & j("title").isNotNull()).select("id", (F.col("p") + 1).alias("rank"), j("title").alias("title"), j("url").alias("url"), j("passage").alias("summary"), j("site").alias("site"), j("score").try_cast("double").alias("score"), at.alias("published_at"))
 
 
 def _ranked(rows: DataFrame, limit: int) -> DataFrame:
@@ -124,7 +126,7 @@ def _text(x: Column) -> Column:
 
 
 def bing(pages: DataFrame, limit: int = 10) -> DataFrame:
-    rows = pages.select("id", F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?s)<li\b[^>]*class=\"[^\"]*\bb_algo\b[^\"]*\"[^>]*>(.*?)</li>"), F.lit(1))).alias("p", "b"))
+    rows = pages.select("id", F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?s)<li\b[^>]*class=\"[^\"]*\bb_algo\b[^\"]*\"[^>]*>(.*?)(?=<li\b[^>]*class=\"[^\"]*\bb_algo\b|</ol>\s*(?:<|\z)|\z)"), F.lit(1))).alias("p", "b"))
     link = r"(?s)<h2\b[^>]*>\s*<a\b[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
     return _ranked(rows.select("id", "p", _text(F.regexp_extract("b", link, 2)).alias("title"), sanitized_url(F.replace(F.regexp_extract("b", link, 1), F.lit("&amp;"), F.lit("&"))).alias("url"), _text(F.regexp_extract("b", r"(?s)<p\b[^>]*>(.*?)</p>", 1)).alias("summary"), _text(F.regexp_extract("b", r"(?s)<cite\b[^>]*>(.*?)</cite>", 1)).alias("cite")), limit)
 
