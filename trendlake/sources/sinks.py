@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +62,13 @@ def write_report(spark, metrics: dict, path: str) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage: a checkpoint in the folder that spark.checkpoint.dir names. Only a local session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        set_to = sc.getConf().get("spark.checkpoint.dir", None)
-        if not set_to and not (sc.master == "local" or sc.master.startswith("local[")):
+    """df, computed once and cut from its lineage: a table in the folder that spark.checkpoint.dir names. Only a local session without one gets a temporary folder."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="trendlake-"))
-    return df.checkpoint()
+        root = tempfile.mkdtemp(prefix="trendlake-")
+    path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
