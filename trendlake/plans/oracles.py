@@ -290,13 +290,15 @@ f AS (
     list_filter([{_LIST("PRODUCT")}], lambda x: x IS NOT NULL) AS products, list_filter([{_LIST("ORG")}], lambda x: x IS NOT NULL) AS orgs, list_distinct(list_filter(regexp_split_to_array(normalized_title, ' '), lambda x: x <> '')) AS title_words,
     list_distinct(list_filter(regexp_split_to_array(lower(title || ' ' || summary), '[^a-z0-9]+'), lambda w: len(w) >= 3 AND w NOT IN ({_STOP}))) AS keywords FROM h),
 g AS (SELECT *, list_concat(products, orgs) AS entities FROM f),
+words AS (SELECT id, unnest(keywords) AS k FROM g),
+kw AS (SELECT DISTINCT a.id AS x, b.id AS y FROM words a JOIN words b ON a.k = b.k AND a.id <> b.id),
 act AS (SELECT g.*, m.hot_cluster_id AS c FROM g JOIN members m ON m.hot_item_id = g.id),
 pr AS (
   SELECT a.id AS x, b.id AS y, b.c, b.t AS bt, abs(epoch_us(a.t) - epoch_us(b.t)) / 3600000000.0 AS hours, a.etype = b.etype AS same_type, a.etype = 'UNKNOWN' OR b.etype = 'UNKNOWN' AS unknown, a.url = b.url AS same_url, a.arxiv = b.arxiv AS same_arxiv,
-    list_has_any(a.products, b.products) AND CASE WHEN len(a.orgs) > 0 AND len(b.orgs) > 0 THEN list_has_any(a.orgs, b.orgs) ELSE a.publisher = b.publisher END AS same_event, list_has_any(a.keywords, b.keywords) AS worded,
+    list_has_any(a.products, b.products) AND CASE WHEN len(a.orgs) > 0 AND len(b.orgs) > 0 THEN list_has_any(a.orgs, b.orgs) ELSE a.publisher = b.publisher END AS same_event, w.x IS NOT NULL AS worded,
     list_has_any(a.entities, b.entities) AS shared, len(a.entities) > 0 AS named, a.kind = b.kind AND a.kind IN (1, 2) AND a.url = b.url AS same_repo,
     a.kind = b.kind AND a.kind IN (3, 4) AND regexp_extract(a.url, '[0-9]+$') = regexp_extract(b.url, '[0-9]+$') AS same_post
-  FROM g a JOIN act b ON a.id <> b.id AND b.t >= a.t - INTERVAL 72 HOUR),
+  FROM g a JOIN act b ON a.id <> b.id AND b.t >= a.t - INTERVAL 72 HOUR LEFT JOIN kw w ON w.x = a.id AND w.y = b.id),
 sg AS (SELECT *, row_number() OVER (PARTITION BY x, same_type ORDER BY bt DESC, y DESC) AS nth FROM pr),
 cand AS (
   SELECT *, CASE WHEN same_url THEN 0 WHEN coalesce(same_arxiv, false) OR same_repo OR same_post THEN 1 WHEN shared THEN 2 WHEN worded THEN 3 WHEN same_type AND NOT unknown AND named AND nth <= 50 THEN 4 END AS p,
