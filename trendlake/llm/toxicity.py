@@ -276,7 +276,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     bad = {r["w"].encode(): float(r["z"]) for r in first if r["z"] >= min(top, max(SURE, 0.15 * top))}
     good = {r["w"].encode(): float(r["good"]) for r in clean}
     extra: dict[bytes, float] = {}
-    start, model = list(bad), fit(bad, good, {})
+    # common words may pass for toxic by chance: those that clean sentences hold often don't stay
+    rare = {r["w"].encode() for r in first if 4 * r["good"] <= r["bad"]}
+    start, model = [w for w in bad if w in rare], fit(bad, good, {})
     for _ in range(ROUNDS):
         got = rows.mapInArrow(lambda it, m=model: _sentences(it, m), "toxic int, place int, w string, score double").collect()
         clear = {r["w"].encode() for r in got if not r["toxic"] and r["w"]}
