@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import html_crf, langid, mixing, ngram_jaccard, ogg, pii, sentence_spans, sentencepiece_trie, toxicity, vector_join
+from . import divergence, fill_in_middle, html_crf, langid, mixing, ngram_jaccard, ogg, pii, sentence_spans, sentencepiece_trie, toxicity, vector_join, winnowing
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -82,3 +82,27 @@ def op2_pii_surrogates(spark, sf_dir):
 @query
 def op4_html_block_crf(spark, sf_dir):
     return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_winnowing_decontamination(spark, sf_dir):
+    return winnowing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_winnowing_decontamination"] = winnowing.ORACLE
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_fill_in_middle"] = fill_in_middle.ORACLE
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = divergence.ORACLE
