@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SOURCES
 from ..functions.numbers import bucket
-
-#: Keywords of rules that are broadcast at once, about.
-RULES = 5_000
-
+from .keyword_search import holding
 
 def check_page(page: int, size: int, most: int = 100) -> None:
     if page < 1 or not 1 <= size <= most:
@@ -82,15 +77,15 @@ def page_summary(rows: DataFrame, needle: str | None, least: float | None, now:
 def alerts(clusters: DataFrame, members: DataFrame, scores: DataFrame, rules: DataFrame, existing: DataFrame, now: Column) -> DataFrame:
     """Matches of active clusters and enabled rules: some keyword in the cluster's title or summary or an item's title, summary or URL, a source in common if the rule names any, and the least score. `created` is false where the suppression key is there already.
 
-    Each text, of a cluster or a member, is held against the rules' distinct keywords on its own, in blocks of about RULES keywords, each broadcast; what is then gathered is the distinct keywords that a cluster holds, and its sources, never its texts. Rules meet clusters by keyword.
+    Texts of clusters and members meet the rules' distinct keywords by grams (keyword_search.holding), each on its own; what is then gathered is the distinct keywords that a cluster holds, and its sources, never its texts. Rules meet clusters by keyword.
     """
     rules = rules.where("enabled")
     words = rules.select(F.explode("keywords").alias("k")).where("k is not null").select(F.lower("k").alias("k")).distinct()
-    blocks = max(1, -(-words.count() // RULES))
-    block = F.pmod(F.xxhash64("k"), F.lit(blocks))
     active = clusters.where("status = 'ACTIVE'")
-    texts = active.select("hot_cluster_id", F.lower(F.concat_ws("\n", "title", "summary")).alias("said")).unionByName(members.join(active.select("hot_cluster_id"), "hot_cluster_id", "left_semi").select("hot_cluster_id", F.lower(F.concat_ws("\n", "title", "summary", "source_url")).alias("said")))
-    held = reduce(DataFrame.unionByName, (texts.join(F.broadcast(words.where(block == b)), F.col("said").contains(F.col("k"))).select("hot_cluster_id", "k") for b in range(blocks))).distinct()
+    said = lambda *parts: F.lower(F.concat_ws("\n", *parts)).alias("said")
+    mine = members.join(active.select("hot_cluster_id"), "hot_cluster_id", "left_semi")
+    texts = active.select("hot_cluster_id", said("title", "summary")).unionByName(mine.select("hot_cluster_id", said("title", "summary", "source_url"))).withColumn("item", F.xxhash64("said"))
+    held = holding(texts, ["hot_cluster_id", "item"], "said", words).select("hot_cluster_id", "k").distinct()
     asked = rules.select("rule_id", F.col("min_score"), "source_types", "suppress_window_hours", F.posexplode("keywords").alias("place", "keyword"))
     hits = held.join(asked.withColumn("k", F.lower("keyword")), "k").groupBy("hot_cluster_id", "rule_id").agg(F.array_sort(F.collect_list(F.struct("place", "keyword"))).alias("hits"), F.first("min_score").alias("min_score"), F.first("source_types").alias("source_types"), F.first("suppress_window_hours").alias("suppress_window_hours"))
     sources = members.groupBy("hot_cluster_id").agg(F.collect_set("source_type").alias("sources"))

@@ -251,7 +251,7 @@ u AS (
   UNION SELECT a.hot_item_id, b.hot_item_id, 'TITLE_OVERLAP' FROM spot a JOIN spot b ON b.hot_item_id > a.hot_item_id AND len(a.title) >= 8 AND len(b.title) >= 8 AND (contains(lower(a.title), lower(substring(b.title, 1, 8))) OR contains(lower(b.title), lower(substring(a.title, 1, 8)))))
 SELECT reason, count(*) AS pairs, CAST(sum(a + b) AS BIGINT) AS ids FROM u GROUP BY reason"""
 ORACLES["cluster_samples"] = f"""{_W},
-s AS (SELECT o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS v, arg_max(o_totalprice, o_orderdate) AS total FROM orders GROUP BY 1, 2)
+s AS (SELECT o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS v, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS total FROM orders GROUP BY 1, 2)
 SELECT i.hot_item_id, m.hot_cluster_id AS cluster_id, a.total AS score_v1, b.total AS score_v2 FROM items i LEFT JOIN members m USING (hot_item_id) LEFT JOIN s a ON a.c = m.hot_cluster_id AND a.v = 1 LEFT JOIN s b ON b.c = m.hot_cluster_id AND b.v = 2"""
 ORACLES["pair_lines"] = f"""{_W}
 SELECT 'SAME_CLUSTER' AS reason, a.hot_item_id AS hot_item_id_a, b.hot_item_id AS hot_item_id_b, 'SAME_CLUSTER-' || a.hot_item_id || '-' || b.hot_item_id AS pair_key, b.title AS title_b FROM members a JOIN members b ON a.hot_cluster_id = b.hot_cluster_id AND a.hot_item_id < b.hot_item_id"""
@@ -281,7 +281,7 @@ ORACLES["traffic"] = """SELECT o_orderkey, CAST(o_orderkey % 100 AS BIGINT) AS b
 
 _LIST = lambda kind: ", ".join("CASE WHEN " + " OR ".join(f"contains(flat, ' {a} ')" for a in dict.fromkeys(map(_FLAT, (*names, value)))) + f" THEN '{value}' END" for k, value, names in ENTITIES if k == kind)
 _J = lambda c: f"CASE WHEN len(list_distinct(list_concat(a.{c}, b.{c}))) = 0 THEN 0.0 ELSE (len(a.{c}) + len(b.{c}) - len(list_distinct(list_concat(a.{c}, b.{c})))) / len(list_distinct(list_concat(a.{c}, b.{c})))::DOUBLE END"
-#: Every item against every active one, brute force.
+#: Every item against every earlier active one of 72 hours, brute force.
 MATCHES = rf"""{_W}, {_SAID},
 f AS (
   SELECT hot_item_id AS id, published_at AS t, CASE WHEN hot_item_id % 6 = 5 THEN 'https://example.com/p/' || (hot_item_id % 100) || '?a=1&b=2' ELSE source_url END AS url, hot_item_id % 6 AS kind, {_EVENT} AS etype,
@@ -298,7 +298,7 @@ pr AS (
     list_has_any(a.products, b.products) AND CASE WHEN len(a.orgs) > 0 AND len(b.orgs) > 0 THEN list_has_any(a.orgs, b.orgs) ELSE a.publisher = b.publisher END AS same_event, w.x IS NOT NULL AS worded,
     list_has_any(a.entities, b.entities) AS shared, len(a.entities) > 0 AS named, a.kind = b.kind AND a.kind IN (1, 2) AND a.url = b.url AS same_repo,
     a.kind = b.kind AND a.kind IN (3, 4) AND regexp_extract(a.url, '[0-9]+$') = regexp_extract(b.url, '[0-9]+$') AS same_post
-  FROM g a JOIN act b ON a.id <> b.id AND b.t >= a.t - INTERVAL 72 HOUR LEFT JOIN kw w ON w.x = a.id AND w.y = b.id),
+  FROM g a JOIN act b ON (b.t < a.t OR (b.t = a.t AND b.id < a.id)) AND b.t >= a.t - INTERVAL 72 HOUR LEFT JOIN kw w ON w.x = a.id AND w.y = b.id),
 sg AS (SELECT *, row_number() OVER (PARTITION BY x, same_type ORDER BY bt DESC, y DESC) AS nth FROM pr),
 cand AS (
   SELECT *, CASE WHEN same_url THEN 0 WHEN coalesce(same_arxiv, false) OR same_repo OR same_post THEN 1 WHEN shared THEN 2 WHEN worded THEN 3 WHEN same_type AND NOT unknown AND named AND nth <= 50 THEN 4 END AS p,
@@ -345,7 +345,7 @@ ORACLES["activity_windows"] = f"WITH {SNAPSHOTS} SELECT CAST(floor(epoch(observe
 _R = MATCHES.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 yes AS (SELECT x AS hot_item_id, y AS other_id, score FROM said WHERE decision = 'ACCEPTED')"""
 ORACLES["clusters_v2"] = f"""{_R},
-p AS (SELECT hot_item_id, arg_max(other_id, (score, -other_id)) AS o FROM yes WHERE other_id < hot_item_id GROUP BY 1),
+p AS (SELECT hot_item_id, arg_max(other_id, (score, -other_id)) AS o FROM yes GROUP BY 1),
 c AS (SELECT hot_item_id, o FROM p UNION ALL SELECT c.hot_item_id, p.o FROM c JOIN p ON c.o = p.hot_item_id)
 SELECT i.hot_item_id, coalesce(min(c.o), i.hot_item_id) AS hot_cluster_id FROM items i LEFT JOIN c USING (hot_item_id) GROUP BY i.hot_item_id"""
 ORACLES["clusters_merged"] = f"""{_R},

@@ -63,7 +63,7 @@ def url_functions(spark, sf_dir):
 def text_features(spark, sf_dir):
     t, s = F.col("title"), F.col("summary")
     title = T.normalized_title(t)
-    return D.items(spark, sf_dir).select("hot_item_id", title.alias("normalized_title"), F.array_join(F.array_sort(T.keywords(t, s)), " ").alias("keywords"), T.event_type(title, s).alias("event_type"), F.array_join(F.array_sort(F.transform(T.entities(t, s), lambda e: e["value"])), ",").alias("entities"), F.sha2(T.clean(t).cast("binary"), 256).alias("title_hash"))
+    return D.spread(D.items(spark, sf_dir)).select("hot_item_id", title.alias("normalized_title"), F.array_join(F.array_sort(T.keywords(t, s)), " ").alias("keywords"), T.event_type(title, s).alias("event_type"), F.array_join(F.array_sort(F.transform(T.entities(t, s), lambda e: e["value"])), ",").alias("entities"), F.sha2(T.clean(t).cast("binary"), 256).alias("title_hash"))
 
 
 @query
@@ -74,7 +74,7 @@ def external_id_extraction(spark, sf_dir):
 
 def _raw(spark, sf_dir):
     """A raw record for each document, in its source's form."""
-    items = D.items(spark, sf_dir)
+    items = D.spread(D.items(spark, sf_dir))
     p, c = F.col("points"), F.col("comments_count")
     payload = F.to_json(
         F.struct(
@@ -188,12 +188,13 @@ def primary_items(spark, sf_dir):
 
 def _features(spark, sf_dir):
     """Features of all items, stored once."""
-    return sinks.stored(M.features(D.items(spark, sf_dir)))
+    return sinks.stored(M.features(D.spread(D.items(spark, sf_dir))))
 
 
 def _decisions(spark, sf_dir, **how):
     feats = _features(spark, sf_dir)
-    return M.with_missing(M.decide(M.candidates(feats, D.memberships(D.items(spark, sf_dir)), **how), feats), feats)
+    ids = feats.select("hot_item_id", F.col("event_time").alias("published_at"))
+    return M.with_missing(sinks.stored(M.decide(M.candidates(feats, D.memberships(ids), **how), feats)), feats)
 
 
 @query

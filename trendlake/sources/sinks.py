@@ -72,3 +72,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, where nothing reads it any more; leaves all other files alone."""
+    for df in tables:
+        spark = df.sparkSession
+        for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if at.rsplit("/", 1)[-1].startswith("stored-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

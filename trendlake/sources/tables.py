@@ -22,6 +22,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores where it is smaller than what their scans take at once: a file with one group of rows is read by one task, whatever its rows cost afterwards. Larger tables stay as they are read."""
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * split and len(df.inputFiles()) < cores
+    return df.repartition(cores) if small else df
+
+
 def role(source: Column) -> Column:
     """Role of a source; PRIMARY where there is none."""
     out = None
