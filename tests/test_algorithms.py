@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trendlake.operators import components, keyword_search, ordering
+from trendlake.operators import components, evaluation, keyword_search, ordering
 from trendlake.sources import sinks
 
 RND = random.Random(4)
@@ -73,3 +73,22 @@ def test_keyword_search(spark):
     assert sorted(map(tuple, got.collect())) == sorted((i, w) for i, t in texts if t is not None for w in words if w in t)
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
     assert keyword_search.holding(df, ["id"], "said", spark.createDataFrame([], "k string")).count() == 0
+
+
+@pytest.mark.parametrize("dealt", [1, 7, 1 << 16])
+def test_pairs_are_dealt_evenly(spark, dealt):
+    """A key with a third of all rows and one with two; null keys; every pair once, in ranges of the same size."""
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 40}" if i % 7 else None, i % 5) for i in range(200)] + [(1000, "two", 1), (999, "two", 1), (998, "one", 1)]
+    df = spark.createDataFrame(rows, "hot_item_id long, d string, c long")
+    got = evaluation.group_pairs(df, "d", ["c"], sinks.stored, dealt)
+    want = sorted((a, ca, b, cb) for a, da, ca in rows for b, db, cb in rows if a < b and da == db is not None)
+    assert sorted(map(tuple, got.select("hot_item_id_a", "c_a", "hot_item_id_b", "c_b").collect())) == want
+
+
+def test_places_of_great_numbers(spark):
+    """The rule that turns a pair's number into places, where a double's root is rounded."""
+    b = 2**31 + 12345
+    xs = [b * (b - 1) // 2 - 1, b * (b - 1) // 2, b * (b - 1) // 2 + 1]
+    df = spark.createDataFrame([(x,) for x in xs], "x long").withColumn("b", F.floor((1 + F.sqrt(1 + 8.0 * F.col("x"))) / 2).cast("long"))
+    got = df.selectExpr("case when b * (b - 1) div 2 > x then b - 1 when (b + 1) * b div 2 <= x then b + 1 else b end as b").collect()
+    assert [r.b for r in got] == [b - 1, b, b]
