@@ -64,12 +64,12 @@ def matched_keywords(text: Column, keywords: Column) -> Column:
     return T.bound(F.lower(text), lambda t: F.filter(given, lambda k: t.contains(F.lower(k))))
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """raw (id, source_type, external_id, raw_payload JSON, fetched_at, and for news posts keywords array<string>, as their source is configured) to items; records without a required field are dropped, as are news posts that are no stories, are dead or deleted, or hold none of the keywords."""
+def normalize(raw: DataFrame, carried: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+    """`carried` columns of raw are kept; with `every` all records are, with a column ok. raw (id, source_type, external_id, raw_payload JSON, fetched_at, and for news posts keywords array<string>, as their source is configured) to items; records without a required field are dropped, as are news posts that are no stories, are dead or deleted, or hold none of the keywords."""
     if "keywords" not in raw.columns:
         raw = raw.withColumn("keywords", F.lit(None).cast("array<string>"))
     raw = raw.withColumn("p", F.from_json("raw_payload", ", ".join([*(f"{c} string" for c in (*_TEXTS, *_NUMBERS)), *(f"{c} array<string>" for c in _LISTS)])))
-    raw = raw.select("id", "source_type", "external_id", "fetched_at", "keywords", *(F.col(f"p.{c}").alias(c) for c in (*_TEXTS, *_LISTS)), *(F.coalesce(F.col(f"p.{c}").try_cast("long"), F.lit(0).cast("long")).alias(c) for c in _NUMBERS))
+    raw = raw.select("id", "source_type", "external_id", "fetched_at", "keywords", *carried, *(F.col(f"p.{c}").alias(c) for c in (*_TEXTS, *_LISTS)), *(F.coalesce(F.col(f"p.{c}").try_cast("long"), F.lit(0).cast("long")).alias(c) for c in _NUMBERS))
     counted = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long")
     # an address that the source doesn't give follows from the record
     url = F.when(F.col("source_type") == "TWITTER", F.concat(F.lit("https://twitter.com/i/web/status/"), F.trim("tweetId"))).when(F.col("source_type") == "WEIBO_HOT_SEARCH", F.concat(F.lit("https://s.weibo.com/weibo?q="), F.url_encode(T.clean(F.col("word"))))).otherwise(F.col("url"))
@@ -103,8 +103,9 @@ def normalize(raw: DataFrame) -> DataFrame:
         add("content_hash", s, F.sha2(F.concat_ws("\n", *parts).cast("binary"), 256))
         pairs = [x for m in metrics for x in (F.lit(m), n(m).cast("double"))]
         add("metrics", s, F.map_concat(F.create_map(F.lit("points"), cases["points"].cast("double"), F.lit("commentsCount"), cases["comments_count"].cast("double")), F.create_map(*pairs)) if pairs and s not in ("HACKER_NEWS",) else F.create_map(F.lit("points"), cases["points"].cast("double"), F.lit("commentsCount"), cases["comments_count"].cast("double")))
-    rows = raw.select("id", "source_type", "external_id", *(v.alias(k) for k, v in cases.items()), T.canonical_url(j("url")).alias("source_url"), F.when(F.col("source_type") == "GITHUB", F.nullif(T.clean(j("language")), F.lit(""))).alias("language"), F.try_to_timestamp(j("publishedAt")).alias("published_at"), "fetched_at")
-    return rows.where(F.coalesce("ok", F.lit(False))).drop("ok")
+    rows = raw.select("id", "source_type", "external_id", *carried, *(v.alias(k) for k, v in cases.items()), T.canonical_url(j("url")).alias("source_url"), F.when(F.col("source_type") == "GITHUB", F.nullif(T.clean(j("language")), F.lit(""))).alias("language"), F.try_to_timestamp(j("publishedAt")).alias("published_at"), "fetched_at")
+    rows = rows.withColumn("ok", F.coalesce("ok", F.lit(False)))
+    return rows if every else rows.where("ok").drop("ok")
 
 
 def with_payload_hash(raw: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import SOURCES
 from ..functions.numbers import bucket
 from .keyword_search import holding
+from .ordering import Stored, ranks
 
 def check_page(page: int, size: int, most: int = 100) -> None:
     if page < 1 or not 1 <= size <= most:
@@ -51,10 +52,12 @@ def ordered_sources(active: DataFrame) -> DataFrame:
     return first.groupBy("hot_cluster_id").agg(F.sum("n").alias("item_count"), F.array_join(F.transform(order, lambda s: s["source_type"]), ",").alias("sources"))
 
 
-def evidence(membership: DataFrame, items: DataFrame) -> DataFrame:
-    """Active members with their items, the primary first, then by time of assignment: a place within the cluster."""
-    w = Window.partitionBy("hot_cluster_id").orderBy((~F.col("is_primary")), "assigned_at", "hot_item_id")
-    return membership.where("removed_at is null").join(items, "hot_item_id").withColumn("place", F.row_number().over(w))
+def evidence(membership: DataFrame, items: DataFrame, stored: Stored | None = None) -> DataFrame:
+    """Active members with their items, the primary first, then by time of assignment: a place within the cluster. Places are dealt out by ranges, before the items' texts come in, so a cluster of any size is sorted by many tasks."""
+    from ..sources import sinks
+
+    active = membership.where("removed_at is null").withColumn("other", ~F.col("is_primary"))
+    return ranks(active, ["hot_cluster_id"], ["other", "assigned_at", "hot_item_id"], stored or sinks.stored, "place").drop("other").join(items, "hot_item_id")
 
 
 def timeline(members: DataFrame, n: int = 5) -> DataFrame:
@@ -117,16 +120,29 @@ def daily_reports(clusters: DataFrame, membership: DataFrame, items: DataFrame,
     return counts.join(told, "report_date").select("report_date", "cluster_count", F.array_join(F.transform("t", lambda s: s["hot_cluster_id"].cast("string")), ",").alias("top_cluster_ids"), F.concat(F.lit("Daily Report for "), day).alias("title"), summary.alias("summary"))
 
 
+#: Ids that one digest of an analysis' input covers.
+BLOCK = 1024
+
+
+def input_hashes(members: DataFrame) -> DataFrame:
+    """(hot_cluster_id, input_hash): SHA-256 of the digests, joined by commas and in order, of the distinct member ids (in order, joined by commas) of each BLOCK neighbouring numbers. A block's ids, at most BLOCK of them, are all that is ever gathered of a cluster, besides digests."""
+    blocks = members.groupBy("hot_cluster_id", F.expr(f"hot_item_id div {BLOCK}").alias("block")).agg(F.sort_array(F.collect_set("hot_item_id")).alias("ids"))
+    text = lambda a: F.array_join(a, ",").cast("binary")
+    blocks = blocks.select("hot_cluster_id", F.struct("block", F.sha2(text(F.col("ids").cast("array<string>")), 256).alias("sha")).alias("b"))
+    return blocks.groupBy("hot_cluster_id").agg(F.sha2(text(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["sha"])), 256).alias("input_hash"))
+
+
 def analyses(members: DataFrame) -> DataFrame:
     """A deterministic analysis of each cluster from its evidence: confidence, signals, risks, and a hash of the input."""
-    rows = members.groupBy("hot_cluster_id").agg(F.count("*").alias("n"), F.count_distinct("source_type").alias("sources"), F.max_by("source_type", F.struct("published_at", "hot_item_id")).alias("latest"), F.array_sort(F.collect_set("hot_item_id")).alias("ids"))
+    rows = members.groupBy("hot_cluster_id").agg(F.count("*").alias("n"), F.count_distinct("source_type").alias("sources"), F.max_by("source_type", F.struct("published_at", "hot_item_id")).alias("latest"))
+    rows = rows.join(input_hashes(members), "hot_cluster_id")
     confidence = F.when((F.col("sources") >= 2) & (F.col("n") >= 2), "HIGH").when(F.col("n") >= 2, "MEDIUM").otherwise("LOW")
     one, few = F.when(F.col("sources") <= 1, "This signal still depends on a single source family."), F.when(F.col("n") < 3, "Evidence density is still light, so the narrative may shift after the next crawl.")
     risks = F.array_compact(F.array(one, few))
     risks = F.when(F.size(risks) > 0, risks).otherwise(F.array(F.lit("Cross-source clustering should still be spot-checked against raw evidence.")))
     return rows.select(
         "hot_cluster_id", confidence.alias("confidence"), F.concat(F.lit("The cluster currently aggregates "), F.col("n").cast("string"), F.lit(" evidence item(s).")).alias("first_signal"),
-        F.concat(F.lit("Latest evidence came from "), "latest", F.lit(".")).alias("last_signal"), F.array_join(risks, " ").alias("risks"), F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary"), 256).alias("input_hash"),
+        F.concat(F.lit("Latest evidence came from "), "latest", F.lit(".")).alias("last_signal"), F.array_join(risks, " ").alias("risks"), "input_hash",
     )
 
 

@@ -13,17 +13,26 @@ from ..operators import scoring as S
 from ..operators import signals as G
 
 
-def run(raw: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """raw: see normalize(). items (one a source and id, with signals), membership, scores, the raw records as they are kept (with a hash), dead letters, and counts of the batch with its status, all lazily from one table of raw records. A record that is no JSON has failed; one that no normalizer takes is filtered."""
-    kept = I.with_payload_hash(raw)
-    fine, dead = I.split_errors(raw, F.when(F.try_parse_json("raw_payload").isNull(), F.concat(F.lit("no JSON: "), F.coalesce("raw_payload", F.lit("")))), "NORMALIZE")
-    normal = I.normalize(fine)
-    items = G.signals(I.upsert(normal)).withColumnRenamed("id", "hot_item_id")
+def run(raw: DataFrame, now: Column, stored=None) -> dict[str, DataFrame]:
+    """raw: see normalize(). items (one a source and id, with signals), membership, scores, the raw records as they are kept (with a hash), dead letters, and counts of the batch with its status. A record that is no JSON has failed; one that no normalizer takes is filtered.
+
+    Raw records are read and parsed once: stored(df) keeps each with what became of it, and counts read that column alone. (Counters in passing, as Dataset.observe has them, count a task's rows again when an executor is lost.)
+    """
+    from ..sources import sinks
+
+    stored = stored or sinks.stored
+    error = F.when(F.try_parse_json("raw_payload").isNull(), F.substring(F.concat(F.lit("no JSON: "), F.coalesce("raw_payload", F.lit(""))), 1, 1000))
+    parsed = stored(I.normalize(raw.withColumn("error_message", error), ("error_message",), every=True))
+    fine = parsed.where("error_message is null")
+    dead = parsed.where("error_message is not null").select("id", "source_type", "external_id", "fetched_at", "error_message", F.lit("NORMALIZE").alias("stage"))
+    items = stored(G.signals(I.upsert(fine.where("ok").drop("ok", "error_message"))).withColumnRenamed("id", "hot_item_id"))
     membership = C.v1_assign(items)
     members = membership.join(items, "hot_item_id")
-    counts = raw.agg(F.count("*").alias("fetched")).crossJoin(normal.agg(F.count("*").alias("matched"))).crossJoin(items.agg(F.count("*").alias("persisted"))).crossJoin(dead.agg(F.count("*").alias("failed")))
+    failed = F.col("error_message").isNotNull()
+    counts = parsed.agg(F.count("*").alias("fetched"), F.count_if(~failed & F.col("ok")).alias("matched"), F.count_if(failed).alias("failed")).crossJoin(items.agg(F.count("*").alias("persisted")))
     counts = counts.withColumn("filtered", F.col("fetched") - F.col("matched") - F.col("failed")).withColumn("status", task_status(F.col("failed"), F.col("persisted")))
-    return {"raw": kept, "items": items, "membership": membership, "scores": S.v1_scores(members, now), "dead": dead, "counts": counts}
+    counts = counts.select("fetched", "matched", "persisted", "failed", "filtered", "status")
+    return {"raw": I.with_payload_hash(raw), "items": items, "membership": membership, "scores": S.v1_scores(members, now), "dead": dead, "counts": counts}
 
 
 def both_versions(v1: DataFrame, v2: DataFrame) -> DataFrame:

@@ -218,9 +218,11 @@ SELECT CAST(r.d AS VARCHAR) AS report_date, any_value(n.cluster_count) AS cluste
 FROM r JOIN n USING (d) JOIN cov USING (d) WHERE r.place <= 10 GROUP BY r.d"""
 ORACLES["page_summary"] = f"""{_W}, {V1} SELECT round(avg(total_score), 2) AS mean_score, max(total_score) AS max_score, count(*) FILTER (epoch(last_seen_at) >= epoch(TIMESTAMP '2024-03-15 00:00:00') - 86400) AS fresh, count(*) AS n FROM clusters JOIN scores USING (hot_cluster_id) WHERE contains(lower(title), 'the') AND total_score >= 5"""
 ORACLES["cluster_analysis"] = f"""{_W},
-a AS (SELECT hot_cluster_id, count(*) AS n, count(DISTINCT source_type) AS s, arg_max(source_type, (published_at, hot_item_id)) AS latest, string_agg(CAST(hot_item_id AS VARCHAR), ',' ORDER BY hot_item_id) AS ids FROM members GROUP BY 1)
+a AS (SELECT hot_cluster_id, count(*) AS n, count(DISTINCT source_type) AS s, arg_max(source_type, (published_at, hot_item_id)) AS latest FROM members GROUP BY 1),
+b AS (SELECT hot_cluster_id, hot_item_id // 1024 AS block, sha256(string_agg(CAST(hot_item_id AS VARCHAR), ',' ORDER BY hot_item_id)) AS sha FROM members GROUP BY 1, 2),
+i AS (SELECT hot_cluster_id, sha256(string_agg(sha, ',' ORDER BY block)) AS input_hash FROM b GROUP BY 1)
 SELECT hot_cluster_id, CASE WHEN s >= 2 AND n >= 2 THEN 'HIGH' WHEN n >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, 'The cluster currently aggregates ' || n || ' evidence item(s).' AS first_signal, 'Latest evidence came from ' || latest || '.' AS last_signal,
-  CASE WHEN s > 1 AND n >= 3 THEN 'Cross-source clustering should still be spot-checked against raw evidence.' ELSE concat_ws(' ', CASE WHEN s <= 1 THEN 'This signal still depends on a single source family.' END, CASE WHEN n < 3 THEN 'Evidence density is still light, so the narrative may shift after the next crawl.' END) END AS risks, sha256(ids) AS input_hash FROM a"""
+  CASE WHEN s > 1 AND n >= 3 THEN 'Cross-source clustering should still be spot-checked against raw evidence.' ELSE concat_ws(' ', CASE WHEN s <= 1 THEN 'This signal still depends on a single source family.' END, CASE WHEN n < 3 THEN 'Evidence density is still light, so the narrative may shift after the next crawl.' END) END AS risks, input_hash FROM a JOIN i USING (hot_cluster_id)"""
 ORACLES["due_sources"] = """
 WITH l AS (SELECT o_custkey AS source_id, max(o_orderdate) AS last, bool_or(o_orderkey % 50 = 0) AS busy FROM orders GROUP BY 1),
 d AS (SELECT c_custkey AS source_id, (c_custkey % 7) * 36000 AS every, CASE WHEN c_custkey % 9 = 0 OR c_custkey % 7 = 0 THEN 'DISABLED' WHEN l.busy THEN 'IN_FLIGHT' WHEN epoch(l.last) + (c_custkey % 7) * 36000 > epoch(TIMESTAMP '1998-08-01 00:00:00') THEN 'NOT_YET_DUE' ELSE 'RUN' END AS decision FROM customer LEFT JOIN l ON l.source_id = c_custkey)
