@@ -11,6 +11,7 @@ from ..operators import clusters as C
 from ..operators import ingest as I
 from ..operators import scoring as S
 from ..operators import signals as G
+from ..sources.versioned import Table
 
 
 def run(raw: DataFrame, now: Column, stored=None) -> dict[str, DataFrame]:
@@ -59,3 +60,15 @@ def set_status(rows: DataFrame, key: str, value: int, version: int, column: str,
     if rows.where(hit).isEmpty():
         raise ValueError("gone, or changed by another")
     return rows.withColumn(column, F.when(hit, F.lit(status)).otherwise(F.col(column))).withColumn("version", F.when(hit, F.col("version") + 1).otherwise(F.col("version")))
+
+
+def commit_status(table: Table, key: str, value: int, version: int, column: str, status, allowed: tuple = ("ACKED", "DISMISSED")) -> None:
+    """set_status() of a stored table, as one commit: of two callers that saw the same version of a row the second gets ValueError, whichever rows others change meanwhile."""
+
+    def changed(seen):
+        rows = table.read(seen)
+        if rows is None:
+            raise ValueError("gone, or changed by another")
+        return [(table.write(set_status(rows, key, value, version, column, status, allowed)), 0)], [n for n, _ in seen.runs], {}
+
+    table.change(changed)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .versioned import Table
+
 
 def write_daily(reports: DataFrame, path: str) -> None:
     """Replaces the days that are in reports, and no other."""
@@ -19,11 +21,18 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Appends the rows whose keys path does not have, and returns them."""
-    spark = rows.sparkSession
-    new = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti").dropDuplicates(keys)
-    new.write.mode("append").parquet(path)
-    return new
+    """Appends the rows whose keys the versioned table under path does not have, one for each key, and returns them. Where another writer commits first, what it added is looked up again, so that no key comes twice."""
+    table = Table(rows.sparkSession, path)
+    wrote = []
+
+    def new(seen):
+        there = table.read(seen)
+        some = rows if there is None else rows.join(there.select(*keys), keys, "left_anti")
+        wrote.append(table.write(some.dropDuplicates(keys)))
+        return [(wrote[-1], 0)], [], {}
+
+    table.change(new)
+    return table.read(runs=wrote[-1:])
 
 
 def report_markdown(metrics: dict) -> str:
