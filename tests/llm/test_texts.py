@@ -209,10 +209,12 @@ def test_languages(spark):
     filters = langid.train(df)
     assert filters.languages == sorted(stems)
     more = [(1000 + i, " ".join(r.choice(stems[k].split()) for _ in range(20)), k) for i in range(60) for k in [r.choice(list(stems))]]
-    odd = [(1, None, None), (2, "", None), (3, "12 34 !", None), (4, "lorem " * 20000, None), (5, "q", None)]
+    odd = [(1, None, None), (2, "", None), (3, "12 34 !", None), (4, "lorem " * 20000, None), (5, "q", None), (6, "½² Ⅷ ①", None), (7, "½ é", None)]
     got = {x.doc_id: (x.lang_pred, x.score) for x in langid.predict(spark.createDataFrame(more + odd, "doc_id long, text string, lang string"), filters).collect()}
     assert all(got[i][0] == k for i, _, k in more)
-    assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] == "aa" and got[5][0] in stems
+    assert [got[i] for i in (1, 2, 3, 6)] == [("und", 0.0)] * 4 and got[4][0] == "aa" and got[5][0] in stems and got[7][0] in stems
+    clashing = spark.createDataFrame([(1, more[0][1], None, 2, "x", 3.0)], "doc_id long, text string, lang string, n int, lang_pred string, score double")
+    assert [r.lang_pred for r in langid.predict(clashing, filters).collect()] == [more[0][2]]
     empty = langid.train(df.where("false"))
     assert langid.predict(df, empty).select("lang_pred").distinct().first()[0] == "und"
     assert langid.predict(df.where("false"), filters).count() == 0

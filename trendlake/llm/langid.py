@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,7 +15,6 @@ SIZES = (3, 4)
 SLOTS, HASHES = 1 << 18, 3
 #: Documents a language that training reads (about, chosen by hash), share of them that must hold an n-gram, and n-grams a language at most.
 PER_LANGUAGE, SHARE, GRAMS = 2_000, 0.02, 20_000
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -139,7 +136,7 @@ def _predict(batches, filters: Filters):
                 best, all_hits = hits.argmax(1), hits.sum(1)
                 score = np.where(all_hits > 0, hits.max(1) / np.maximum(all_hits, 1e-9), 1 / len(filters.languages))
                 for i, t in enumerate(texts[done : done + n]):
-                    if t is not None and _LETTER.search(t):
+                    if t is not None and any(map(str.isalpha, t)):
                         lang[i] = filters.languages[best[i]]
                     else:
                         score[i] = 0.0
