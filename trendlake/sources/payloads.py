@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BLOCKED, EMPTY_RESULT
-from ..functions.text import clean_html, sanitized_url
+from ..functions import html as H
+from ..functions import text as T
+from ..functions.text import sanitized_url
 
 
 def _any(text: Column, parts) -> Column:
@@ -30,32 +32,25 @@ def requires_javascript(page: Column) -> Column:
     return low.contains("<noscript") & low.contains("javascript")
 
 
-def _tag(x: Column, name: str) -> Column:
-    return F.nullif(_decoded(F.regexp_extract(x, rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1)), F.lit(""))
-
-
-def _decoded(x: Column) -> Column:
-    """XML text: references decoded, white space single."""
-    return clean_html(F.regexp_replace(F.regexp_replace(x, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), "<[^>]+>", ""))
-
-
-def _attribute(name: str) -> str:
-    """Pattern of an attribute's value in either kind of quotes, as one group."""
-    return rf"\b{name}\s*=\s*(?:\"|')([^\"'>]*)(?:\"|')"
+#: What is read of an Atom feed; names with another prefix than the feed's own are other elements.
+_FEED = "entry array<struct<id:string,title:string,summary:string,published:string,author:array<struct<name:string>>,category:array<struct<_term:string>>,link:array<struct<_href:string,_title:string>>>>, broken string"
 
 
 def arxiv(pages: DataFrame) -> DataFrame:
-    """Entries of an Atom feed, with `error` where a required field is missing."""
-    e = F.col("entry")
-    rows = pages.select("id", F.explode(F.regexp_extract_all("payload", F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), F.lit(1))).alias("entry"))
-    url = _tag(e, "id")
+    """Entries of an Atom feed, with `error` where a required field is missing; a page that is no XML is one row with an error."""
+    feed = pages.select("id", F.from_xml("payload", _FEED, {"columnNameOfCorruptRecord": "broken"}).alias("f"))
+    rows = feed.select("id", F.col("f.broken").isNotNull().alias("broken"), F.explode_outer(F.when(F.col("f.broken").isNull(), F.coalesce("f.entry", F.array().cast(feed.schema["f"].dataType["entry"].dataType))).otherwise(F.array(F.lit(None).cast(feed.schema["f"].dataType["entry"].dataType.elementType)))).alias("e"))
+    rows = rows.where("broken or e is not null")
+    said = lambda c: F.nullif(T.clean(F.regexp_replace(c, r"</?[A-Za-z][^>]*>", "")), F.lit(""))
+    some = lambda a, value: F.coalesce(F.filter(F.transform(a, value), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    url = said(F.col("e.id"))
     rows = rows.select(
-        "id", F.regexp_extract(url, r"/abs/(.+)$", 1).alias("arxiv_id"), url.alias("url"), _tag(e, "title").alias("title"), _tag(e, "summary").alias("summary"),
-        F.transform(F.regexp_extract_all(e, F.lit(r"(?s)<author\b[^>]*>.*?<name>(.*?)</name>"), F.lit(1)), lambda a: _decoded(a)).alias("authors"),
-        F.transform(F.regexp_extract_all(e, F.lit(r"<category\b[^>]*?" + _attribute("term")), F.lit(1)), lambda c: _decoded(c)).alias("categories"), F.try_to_timestamp(_tag(e, "published")).alias("published_at"),
-        F.nullif(_decoded(F.regexp_extract(F.regexp_extract(e, r"<link\b[^>]*title\s*=\s*[\"']pdf[\"'][^>]*>", 0), _attribute("href"), 1)), F.lit("")).alias("pdf_url"),
+        "id", "broken", F.coalesce(F.regexp_extract(url, r"/abs/(.+)$", 1), F.lit("")).alias("arxiv_id"), url.alias("url"), said(F.col("e.title")).alias("title"), said(F.col("e.summary")).alias("summary"),
+        some("e.author", lambda x: said(x["name"])).alias("authors"), some("e.category", lambda x: F.nullif(F.trim(x["_term"]), F.lit(""))).alias("categories"), F.try_to_timestamp(said(F.col("e.published"))).alias("published_at"),
+        F.get(F.filter("e.link", lambda x: (x["_title"] == "pdf") & (F.trim(x["_href"]) != "")), F.lit(0))["_href"].alias("pdf_url"),
     )
-    return rows.withColumn("error", F.when((F.col("arxiv_id") == "") | F.col("title").isNull() | F.col("published_at").isNull(), "missing field"))
+    missing = (F.col("arxiv_id") == "") | F.col("title").isNull() | F.col("published_at").isNull()
+    return rows.withColumn("error", F.when(F.col("broken"), "no XML").when(missing, "missing field")).drop("broken")
 
 
 _REPO = "array<struct<full_name:string,html_url:string,description:string,language:string,stargazers_count:bigint,forks_count:bigint,watchers_count:bigint,open_issues_count:bigint,topics:array<string>,created_at:string,updated_at:string,owner:struct<login:string>>>"
@@ -121,22 +116,31 @@ def _ranked(rows: DataFrame, limit: int) -> DataFrame:
     return rows.where("title is not null and url is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("p")
 
 
-def _text(x: Column) -> Column:
-    return F.nullif(clean_html(x), F.lit(""))
+def _link(html: Column) -> tuple[Column, Column]:
+    """(text, address) of the first link."""
+    return H.text_of(H.content(html, H.opening("a"))), H.attribute(F.regexp_extract(html, f"(?is){H.opening('a')}.*", 0), "href")
 
 
 def bing(pages: DataFrame, limit: int = 10) -> DataFrame:
-    rows = pages.select("id", F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?s)<li\b[^>]*class=\"[^\"]*\bb_algo\b[^\"]*\"[^>]*>(.*?)(?=<li\b[^>]*class=\"[^\"]*\bb_algo\b|</ol>\s*(?:<|\z)|\z)"), F.lit(1))).alias("p", "b"))
-    link = r"(?s)<h2\b[^>]*>\s*<a\b[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
-    return _ranked(rows.select("id", "p", _text(F.regexp_extract("b", link, 2)).alias("title"), sanitized_url(F.replace(F.regexp_extract("b", link, 1), F.lit("&amp;"), F.lit("&"))).alias("url"), _text(F.regexp_extract("b", r"(?s)<p\b[^>]*>(.*?)</p>", 1)).alias("summary"), _text(F.regexp_extract("b", r"(?s)<cite\b[^>]*>(.*?)</cite>", 1)).alias("cite")), limit)
+    """Results of a page: list elements of class b_algo, each to its own end, whatever it holds."""
+    rows = pages.select("id", F.posexplode(H.contents(H.visible(F.col("payload")), H.opening("li", "b_algo"))).alias("p", "b"))
+    rows = rows.withColumns({"head": H.content(F.col("b"), H.opening("h2")), "caption": H.content(F.col("b"), H.opening(css_class="b_caption"))})
+    title, url = _link(F.col("head"))
+    # results without a caption have their paragraph and address beside the title
+    part = lambda tag: H.text_of(F.coalesce(H.content(F.col("caption"), H.opening(tag)), F.when(F.col("caption").isNull(), H.content(F.col("b"), H.opening(tag)))))
+    return _ranked(rows.select("id", "p", title.alias("title"), sanitized_url(url).alias("url"), part("p").alias("summary"), part("cite").alias("cite")), limit)
 
 
 def duckduckgo(pages: DataFrame, limit: int = 10) -> DataFrame:
-    rows = pages.select("id", F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?s)(<a\b[^>]*class=\"[^\"]*\bresult__a\b[^\"]*\".*?)(?=<a\b[^>]*class=\"[^\"]*\bresult__a\b|\z)"), F.lit(1))).alias("p", "b"))
-    href = F.replace(F.regexp_extract("b", r"href=\"([^\"]*)\"", 1), F.lit("&amp;"), F.lit("&"))
-    to = F.regexp_extract(href, r"[?&]uddg=([^&]*)", 1)
-    url = F.when(to != "", F.try_url_decode(to)).otherwise(href)
-    return _ranked(rows.select("id", "p", _text(F.regexp_extract("b", r"(?s)^<a\b[^>]*>(.*?)</a>", 1)).alias("title"), sanitized_url(url).alias("url"), _text(F.regexp_extract("b", r"(?s)class=\"[^\"]*result__snippet[^\"]*\"[^>]*>(.*?)</a>", 1)).alias("summary")), limit)
+    """Results of a page: elements of class result, each to its own end; pages without any have links of class result__a alone, each with what follows to the next."""
+    page, start = H.visible(F.col("payload")), H.opening("a", "result__a")
+    tails = F.filter(F.split(page, f"(?is)(?={start})"), lambda p: p.rlike(f"(?is)^{start}"))
+    found = H.contents(page, H.opening(css_class="result"))
+    rows = pages.select("id", F.posexplode(F.when(F.size(found) > 0, found).otherwise(tails)).alias("p", "b"))
+    title, href = _link(F.coalesce(H.content(F.col("b"), H.opening(css_class="result__title")), F.col("b")))
+    to = F.regexp_extract(href, r"uddg=([^&]*)", 1)
+    url = F.when(to != "", F.coalesce(F.try_url_decode(to), href)).otherwise(href)
+    return _ranked(rows.select("id", "p", title.alias("title"), sanitized_url(url).alias("url"), H.text_of(H.content(F.col("b"), H.opening(css_class="result__snippet"))).alias("summary")), limit)
 
 
 #: By source, number settings with default, least and greatest value; settings with what they match (case apart where (?i) leads); and settings that must not be blank. Blank texts count as unset where a default stands for them.
