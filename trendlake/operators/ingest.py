@@ -17,14 +17,14 @@ _N = {
     "BING_SEARCH": ("WEB_PAGE", "title", ("title", "url"), "place", "0", ("lower:title", "url"), ("rank",)),
     "DUCKDUCKGO_SEARCH": ("WEB_PAGE", "title", ("title", "url"), "place", "0", ("lower:title", "url"), ("rank",)),
     "SOGOU_SEARCH": ("SEARCH_RESULT", "title", ("title", "url"), "place", "0", ("lower:title", "url"), ("rank", "score")),
-    "WEIBO_HOT_SEARCH": ("TREND", "word", ("word",), "num", "0", ("lower:word", "url"), ("rank",)),
+    "WEIBO_HOT_SEARCH": ("TREND", "word", ("word",), "num", "0", ("lower:word", "url"), ("rank", "rawHot")),
     "TWITTER": ("POST", "text", ("tweetId", "text"), "tweet", "replies", ("lower:tweetId",), ("likeCount", "retweetCount", "replyCount", "quoteCount", "viewCount")),
 }
 
 
-_TEXTS = ("title", "url", "type", "dead", "deleted", "arxivId", "objectId", "tweetId", "text", "word", "fullName", "modelId", "publishedAt", "summary", "description", "language", "updatedAt", "ownerLogin", "author", "authorName", "authorUsername", "by", "storyText", "snippet", "passage", "content", "note", "category", "query", "market", "region", "site", "pipelineTag")
+_TEXTS = ("title", "url", "type", "dead", "deleted", "arxivId", "objectId", "tweetId", "text", "word", "fullName", "modelId", "publishedAt", "summary", "description", "language", "updatedAt", "ownerLogin", "author", "authorName", "authorUsername", "by", "storyText", "snippet", "passage", "content", "note", "category", "query", "market", "region", "site", "pipelineTag", "pdfUrl", "libraryName", "lastModified", "private")
 _LISTS = ("categories", "authors", "topics", "tags")
-_NUMBERS = ("score", "descendants", "points", "numComments", "stargazersCount", "forksCount", "watchersCount", "openIssuesCount", "downloads", "likes", "num", "rank", "totalCount", "likeCount", "retweetCount", "viewCount", "replyCount", "quoteCount")
+_NUMBERS = ("score", "descendants", "points", "numComments", "stargazersCount", "forksCount", "watchersCount", "openIssuesCount", "downloads", "likes", "num", "rank", "totalCount", "likeCount", "retweetCount", "viewCount", "replyCount", "quoteCount", "rawHot")
 
 
 def _told(source: str, j, n) -> tuple[Column, Column, Column]:
@@ -58,6 +58,20 @@ def _told(source: str, j, n) -> tuple[Column, Column, Column]:
     return tags, summary, author
 
 
+def _text_metrics(source: str, j) -> Column:
+    """A map of what a source tells besides numbers: clean texts, blank ones left out."""
+    clean = lambda c: F.coalesce(T.clean(j(c)), F.lit(""))
+    pdf = T.canonical_url(F.regexp_replace(j("pdfUrl"), r"http://(?:www\.)?arxiv\.org/", "https://arxiv.org/"))
+    host = F.coalesce(T.host_of(j("url")), F.lit(""))
+    named = {
+        "ARXIV": {"pdfUrl": F.coalesce(pdf, F.lit(""))}, "HUGGING_FACE": {**{c: clean(c) for c in ("pipelineTag", "libraryName", "lastModified")}, "private": F.when(j("private") == "true", "true").otherwise("false")},
+        "BING_SEARCH": {"sourceHost": host, "market": clean("market")}, "DUCKDUCKGO_SEARCH": {"sourceHost": host, "region": clean("region")}, "SOGOU_SEARCH": {"site": clean("site")}, "WEIBO_HOT_SEARCH": {"category": clean("category")},
+    }.get(source, {})
+    if not named:
+        return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.map_filter(F.create_map(*(x for k, v in named.items() for x in (F.lit(k), v))), lambda k, v: F.trim(v) != "")
+
+
 def matched_keywords(text: Column, keywords: Column) -> Column:
     """Those of a source's keywords that a text holds, whatever their case; empty for none."""
     given = F.filter(F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: F.coalesce(k != "", F.lit(False)))
@@ -69,7 +83,7 @@ def normalize(raw: DataFrame, carried: tuple[str, ...] = (), every: bool = False
     if "keywords" not in raw.columns:
         raw = raw.withColumn("keywords", F.lit(None).cast("array<string>"))
     raw = raw.withColumn("p", F.from_json("raw_payload", ", ".join([*(f"{c} string" for c in (*_TEXTS, *_NUMBERS)), *(f"{c} array<string>" for c in _LISTS)])))
-    raw = raw.select("id", "source_type", "external_id", "fetched_at", "keywords", *carried, *(F.col(f"p.{c}").alias(c) for c in (*_TEXTS, *_LISTS)), *(F.coalesce(F.col(f"p.{c}").try_cast("long"), F.lit(0).cast("long")).alias(c) for c in _NUMBERS))
+    raw = raw.select("id", "source_type", "external_id", "fetched_at", "keywords", *carried, *(F.col(f"p.{c}").alias(c) for c in (*_TEXTS, *_LISTS)), *(F.coalesce(F.col(f"p.{c}").try_cast("long"), F.lit(0).cast("long")).alias(c) for c in _NUMBERS), F.coalesce(F.col("p.score").try_cast("double"), F.lit(0.0)).alias("exact_score"))
     counted = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long")
     # an address that the source doesn't give follows from the record
     url = F.when(F.col("source_type") == "TWITTER", F.concat(F.lit("https://twitter.com/i/web/status/"), F.trim("tweetId"))).when(F.col("source_type") == "WEIBO_HOT_SEARCH", F.concat(F.lit("https://s.weibo.com/weibo?q="), F.url_encode(T.clean(F.col("word"))))).otherwise(F.col("url"))
@@ -101,7 +115,8 @@ def normalize(raw: DataFrame, carried: tuple[str, ...] = (), every: bool = False
         add("comments_count", s, value.get(comments) if comments in value else n(comments))
         parts = [F.lower(T.clean(j(h[6:]))) if h.startswith("lower:") else F.coalesce(T.canonical_url(j(h)) if h == "url" else j(h), F.lit("")) for h in hashed]
         add("content_hash", s, F.sha2(F.concat_ws("\n", *parts).cast("binary"), 256))
-        pairs = [x for m in metrics for x in (F.lit(m), n(m).cast("double"))]
+        pairs = [x for m in metrics for x in (F.lit(m), n("exact_score" if m == "score" else m).cast("double"))]
+        add("text_metrics", s, _text_metrics(s, j))
         add("metrics", s, F.map_concat(F.create_map(F.lit("points"), cases["points"].cast("double"), F.lit("commentsCount"), cases["comments_count"].cast("double")), F.create_map(*pairs)) if pairs and s not in ("HACKER_NEWS",) else F.create_map(F.lit("points"), cases["points"].cast("double"), F.lit("commentsCount"), cases["comments_count"].cast("double")))
     rows = raw.select("id", "source_type", "external_id", *carried, *(v.alias(k) for k, v in cases.items()), T.canonical_url(j("url")).alias("source_url"), F.when(F.col("source_type") == "GITHUB", F.nullif(T.clean(j("language")), F.lit(""))).alias("language"), F.try_to_timestamp(j("publishedAt")).alias("published_at"), "fetched_at")
     rows = rows.withColumn("ok", F.coalesce("ok", F.lit(False)))

@@ -105,15 +105,20 @@ def alert_counts(found: DataFrame, clusters: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("matched"), F.count_if("created").alias("created"), F.count_if(~F.col("created")).alias("suppressed")).crossJoin(scanned)
 
 
-def daily_reports(clusters: DataFrame, membership: DataFrame, items: DataFrame, scores: DataFrame, n: int = 10) -> DataFrame:
-    """For each UTC day, the active clusters last seen on it: number, ids of the n with the best scores, title and summary."""
+def daily_top(clusters: DataFrame, scores: DataFrame, n: int = 10) -> DataFrame:
+    """Active clusters with report_date, the UTC day that they were last seen on, and place: the n with the best scores of each day. No task keeps more than n of its own."""
     rows = clusters.where("status = 'ACTIVE'").withColumn("report_date", F.to_date("last_seen_at")).join(scores.select("hot_cluster_id", "total_score"), "hot_cluster_id", "left")
     w = Window.partitionBy("report_date").orderBy(F.coalesce("total_score", F.lit(0.0)).desc(), F.desc("last_seen_at"), F.desc("hot_cluster_id"))
-    top = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def daily_reports(clusters: DataFrame, membership: DataFrame, items: DataFrame, scores: DataFrame, n: int = 10) -> DataFrame:
+    """For each UTC day, the active clusters last seen on it: number, ids of the n with the best scores, title and summary."""
+    top = daily_top(clusters, scores, n)
     active = membership.where("removed_at is null").join(items.select("hot_item_id", "source_type"), "hot_item_id")
     sources = ordered_sources(active.join(top.select("hot_cluster_id"), "hot_cluster_id"))
     told = top.join(sources, "hot_cluster_id", "left").groupBy("report_date").agg(F.array_sort(F.collect_list(F.struct("place", "hot_cluster_id", "title", F.coalesce("sources", F.lit("")).alias("sources")))).alias("t"))
-    counts = rows.groupBy("report_date").agg(F.count("*").alias("cluster_count"))
+    counts = clusters.where("status = 'ACTIVE'").groupBy(F.to_date("last_seen_at").alias("report_date")).agg(F.count("*").alias("cluster_count"))
     day = F.col("report_date").cast("string")
     covered = F.array_join(F.array_distinct(F.filter(F.flatten(F.transform("t", lambda s: F.split(s["sources"], ","))), lambda x: x != "")), ", ")
     summary = F.concat(F.lit("Tracked "), F.col("cluster_count").cast("string"), F.lit(" active clusters on "), day, F.lit(". Top cluster: "), F.col("t")[0]["title"], F.lit(". Sources covered: "), covered, F.lit("."))

@@ -42,6 +42,18 @@ def both_versions(v1: DataFrame, v2: DataFrame) -> DataFrame:
     return v1.select(*keep).unionByName(v2.select(*keep))
 
 
+def scored(v1: DataFrame, second, stored=None) -> tuple[DataFrame, str | None]:
+    """(scores of both versions, None), or those of the first alone and what went wrong where the second, second(), fails: a shadow never stops the score that ranks. Either is computed here, once."""
+    from ..sources import sinks
+
+    stored = stored or sinks.stored
+    first = stored(v1)
+    try:
+        return both_versions(first, stored(second())), None
+    except Exception as e:  # whatever the shadow does
+        return first.select("hot_cluster_id", "total_score", "scoring_version"), f"{type(e).__name__}: {e}"[:1000]
+
+
 def task_status(failed: Column, persisted: Column) -> Column:
     return F.when(failed == 0, "SUCCEEDED").when(persisted > 0, "PARTIAL_FAILED").otherwise("FAILED")
 

@@ -307,7 +307,7 @@ cand AS (
     row_number() OVER (PARTITION BY x ORDER BY CASE WHEN same_url THEN 0 WHEN coalesce(same_arxiv, false) OR same_repo OR same_post THEN 1 WHEN shared THEN 2 WHEN worded THEN 3 WHEN same_type AND NOT unknown AND named AND nth <= 50 THEN 4 ELSE 9 END, bt DESC, y DESC) AS place FROM sg),
 near AS (SELECT cand.*, {_J("title_words")} AS jt, {_J("entities")} AS je, {_J("keywords")} AS jk FROM cand JOIN g a ON a.id = x JOIN g b ON b.id = y WHERE p IS NOT NULL AND (place <= 50 OR p <= 2)),
 judged AS (
-  SELECT x, y, c, p, place, CASE WHEN same_url OR coalesce(same_arxiv, false) OR same_repo THEN 'L1' WHEN same_event AND (same_type OR unknown) AND hours <= 48 THEN 'L2' ELSE 'L3' END AS layer,
+  SELECT x, y, c, p, place, jt, je, jk, same_type, unknown, same_url, coalesce(same_arxiv, false) AS same_arxiv, same_repo, hours, CASE WHEN same_url OR coalesce(same_arxiv, false) OR same_repo THEN 'L1' WHEN same_event AND (same_type OR unknown) AND hours <= 48 THEN 'L2' ELSE 'L3' END AS layer,
     CASE WHEN same_url THEN 0.97 WHEN coalesce(same_arxiv, false) OR same_repo THEN 0.98 WHEN same_event AND (same_type OR unknown) AND hours <= 48 THEN 0.85
       ELSE round(round(jt * 0.30 + je * 0.35 + jk * 0.15 + CASE WHEN same_type THEN 1.0 WHEN unknown THEN 0.5 ELSE 0.0 END * 0.15 + CASE WHEN floor(hours * 60) <= 1440 THEN 1.0 WHEN floor(hours * 60) >= 4320 THEN 0.0 ELSE 1 - (floor(hours * 60) - 1440) / 2880.0 END * 0.05, 12), 6) END AS score
   FROM near),
@@ -354,3 +354,37 @@ ORACLES["clusters_merged"] = f"""{_R},
 e AS (SELECT hot_item_id AS a, other_id AS b FROM yes UNION SELECT other_id, hot_item_id FROM yes),
 c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
 SELECT i.hot_item_id, least(i.hot_item_id, coalesce(min(c.b), i.hot_item_id)) AS hot_cluster_id FROM items i LEFT JOIN c ON c.a = i.hot_item_id GROUP BY i.hot_item_id"""
+
+ORACLES["item_text_metrics"] = rf"""{_W}, {_TAGGED}
+SELECT id, array_to_string(list_sort(list_filter(CASE source_type WHEN 'ARXIV' THEN ['pdfUrl=https://arxiv.org/pdf/' || id]
+    WHEN 'HUGGING_FACE' THEN ['libraryName=transformers', 'pipelineTag=text-generation', CASE WHEN id % 4 = 2 THEN 'lastModified=2024-01-02' END, 'private=' || CASE WHEN id % 3 = 0 THEN 'true' ELSE 'false' END]
+    WHEN 'BING_SEARCH' THEN ['market=en-US', 'sourceHost=' || host] WHEN 'DUCKDUCKGO_SEARCH' THEN ['region=us-en', 'sourceHost=' || host] WHEN 'SOGOU_SEARCH' THEN ['site=site' || (id % 3)]
+    WHEN 'WEIBO_HOT_SEARCH' THEN [CASE WHEN id % 2 = 0 THEN 'category=Tech' END] ELSE [] END, lambda v: v IS NOT NULL)), ';') AS text_metrics,
+  CASE WHEN source_type = 'WEIBO_HOT_SEARCH' THEN CAST(points * 2 AS DOUBLE) END AS raw_hot FROM (SELECT x.*, nt.host, nt.points FROM x JOIN nt ON nt.hot_item_id = x.id)"""
+_CLEAN = lambda c: rf"trim(regexp_replace(coalesce({c}, ''), '[ \t\n\x0b\f\r]+', ' ', 'g'))"
+_ANALYSED = rf"""
+said AS (SELECT ev.*, {_CLEAN("i.title")} AS t, {_CLEAN("i.summary")} AS s, i.published_at AS said_at FROM ev JOIN items i USING (hot_item_id)),
+texts AS (SELECT hot_cluster_id, arg_min(s, place) FILTER (s <> '') AS first_summary, arg_min(t, place) AS first_title, arg_max(source_type, (said_at, -place)) AS latest, string_agg(CAST(hot_item_id AS VARCHAR), ',' ORDER BY place) FILTER (place <= 3) AS refs, count(DISTINCT source_type) AS k FROM said GROUP BY 1),
+an AS (
+  SELECT c.hot_cluster_id, {_CLEAN("c.title")} AS headline, coalesce(nullif({_CLEAN("c.summary")}, ''), first_summary, nullif(coalesce(first_title, 'No evidence summary available.'), ''), 'No analysis summary available.') AS brief,
+    'This cluster turns scattered signals into an event-level view across ' || CASE WHEN k > 1 THEN 'multiple source types' ELSE 'a focused source channel' END || ' (' || replace(sources, ',', ', ') || '). The latest evidence is still recent.' AS why,
+    'The cluster currently aggregates ' || item_count || ' evidence item(s).|Source coverage includes ' || replace(sources, ',', ', ') || '.|The cluster remains active with score ' || regexp_replace(regexp_replace(CAST(CAST(total_score AS DECIMAL(24, 6)) AS VARCHAR), '0+$', ''), '\.$', '') || '.|Latest evidence came from ' || latest || '.' AS signals,
+    refs, concat_ws('|', CASE WHEN k <= 1 THEN 'This signal still depends on a single source family.' END, CASE WHEN item_count < 3 THEN 'Evidence density is still light, so the narrative may shift after the next crawl.' END, CASE WHEN k > 1 AND item_count >= 3 THEN 'Cross-source clustering should still be spot-checked against raw evidence.' END) AS risks,
+    CASE WHEN k >= 2 AND item_count >= 2 THEN 'HIGH' WHEN item_count >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
+  FROM told c JOIN texts USING (hot_cluster_id) JOIN srcs USING (hot_cluster_id) JOIN cnt USING (hot_cluster_id) JOIN scores USING (hot_cluster_id))"""
+ORACLES["analysis_results"] = rf"""{_W}, {V1}, {_PLACED}, told AS (SELECT hot_cluster_id, CASE WHEN hot_cluster_id % 6 = 0 THEN ' ' ELSE title END AS title, CASE WHEN hot_cluster_id % 2 = 0 THEN summary END AS summary FROM clusters), {_ANALYSED}
+SELECT hot_cluster_id, CASE WHEN headline = '' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, CASE WHEN headline = '' THEN 'ANALYSIS_GENERATION_FAILED' END AS failure_code, CASE WHEN headline = '' THEN 'Structured analysis field headline is required.' END AS failure_message,
+  CASE WHEN headline <> '' THEN headline END AS headline, CASE WHEN headline <> '' THEN sha256(brief) END AS brief_hash, CASE WHEN headline <> '' THEN why END AS why, CASE WHEN headline <> '' THEN signals END AS signals, CASE WHEN headline <> '' THEN refs END AS refs, CASE WHEN headline <> '' THEN risks END AS risks, CASE WHEN headline <> '' THEN confidence END AS confidence FROM an"""
+ORACLES["cluster_details"] = f"""{_W}, {V1}, {_PLACED}
+SELECT c.hot_cluster_id, coalesce(item_count, 0) AS item_count, coalesce(sources, '') AS sources, total_score, x.ids AS item_ids, x.title AS first_title FROM clusters c LEFT JOIN cnt USING (hot_cluster_id) LEFT JOIN srcs USING (hot_cluster_id) LEFT JOIN scores USING (hot_cluster_id)
+LEFT JOIN (SELECT hot_cluster_id, string_agg(CAST(hot_item_id AS VARCHAR), ',' ORDER BY place) AS ids, arg_min(i.title, place) AS title FROM ev JOIN items i USING (hot_item_id) GROUP BY 1) x USING (hot_cluster_id)"""
+ORACLES["report_contents"] = f"""{_W}, {V1}, {_PLACED}, told AS (SELECT * FROM clusters), {_ANALYSED},
+r AS (SELECT c.hot_cluster_id, CAST(c.last_seen_at AS DATE) AS d, s.total_score, row_number() OVER (PARTITION BY CAST(c.last_seen_at AS DATE) ORDER BY coalesce(s.total_score, 0) DESC, c.last_seen_at DESC, c.hot_cluster_id DESC) AS place FROM clusters c LEFT JOIN scores s USING (hot_cluster_id) WHERE status = 'ACTIVE')
+SELECT CAST(d AS VARCHAR) AS report_date, CAST(place AS INT) AS place, hot_cluster_id, sources, item_count, total_score, confidence, headline FROM r LEFT JOIN srcs USING (hot_cluster_id) LEFT JOIN cnt USING (hot_cluster_id) LEFT JOIN an USING (hot_cluster_id) WHERE place <= 10"""
+ORACLES["match_explanations"] = f"""{MATCHES},
+j AS (SELECT t.hot_item_id, t.other_id, t.decision, g.url, g.arxiv, g.kind, d.* FROM top t JOIN judged d ON d.x = t.hot_item_id AND d.y = t.other_id JOIN g ON g.id = t.hot_item_id WHERE n = 1 AND t.other_id IS NOT NULL)
+SELECT hot_item_id, other_id, CASE WHEN same_url THEN 'CANONICAL_URL' WHEN same_arxiv THEN 'ARXIV_ID' WHEN layer = 'L1' THEN CASE kind WHEN 1 THEN 'GITHUB_REPO' ELSE 'HF_MODEL_ID' END WHEN layer = 'L2' THEN 'ENTITY_TIME' ELSE 'SIMILARITY' END AS method,
+  CASE WHEN same_url THEN 'canonical URL match: ' || url WHEN same_arxiv THEN 'arxiv id match: ' || arxiv WHEN layer = 'L1' THEN CASE kind WHEN 1 THEN 'github' ELSE 'hf_model' END || ' id match: ' || regexp_extract(url, '([^/]+/[^/]+)$', 1) WHEN layer = 'L2' THEN 'shared product + organization + compatible event type + time window'
+    ELSE 'L3 similarity ' || CASE decision WHEN 'ACCEPTED' THEN 'above accept threshold' WHEN 'REJECTED' THEN 'below reject threshold' ELSE 'in review zone' END END AS said,
+  CASE WHEN layer = 'L3' THEN round(jt, 6) END AS "titleSimilarity", CASE WHEN layer = 'L3' THEN round(je, 6) END AS "entityOverlap", CASE WHEN layer = 'L3' THEN round(jk, 6) END AS "keywordOverlap", CASE WHEN layer = 'L3' THEN CASE WHEN same_type THEN 1.0 WHEN unknown THEN 0.5 ELSE 0.0 END::DOUBLE END AS "actionConsistency",
+  CASE WHEN layer = 'L3' THEN round(CASE WHEN floor(hours * 60) <= 1440 THEN 1.0 WHEN floor(hours * 60) >= 4320 THEN 0.0 ELSE 1 - (floor(hours * 60) - 1440) / 2880.0 END::DOUBLE, 6) END AS "timeProximity" FROM j"""

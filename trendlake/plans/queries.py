@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import clusters as C
+from ..operators import details as L
 from ..operators import evaluation as E
 from ..operators import ingest as I
 from ..operators import matching as M
@@ -83,6 +84,7 @@ def _raw(spark, sf_dir):
             p.alias("watchersCount"), c.alias("openIssuesCount"), p.alias("downloads"), c.alias("likes"), p.alias("num"), (c % 20 + 1).alias("rank"), F.lit(20).alias("totalCount"), p.alias("likeCount"), c.alias("retweetCount"), (p * 10).alias("viewCount"), c.alias("replyCount"), F.lit(1).alias("quoteCount"), F.array(F.col("author"), F.lit("B. Two"), F.lit("C. Three")).alias("authors"), F.array(F.lit("cs.AI"), F.col("author")).alias("categories"),
             F.col("summary"), F.col("summary").alias("description"), F.col("summary").alias("storyText"), F.col("summary").alias("snippet"), F.col("summary").alias("passage"), F.array(F.lit("Tools"), F.lit(" tools "), F.col("author")).alias("topics"), F.lit("Python").alias("language"), F.array(F.lit("nlp"), F.col("author")).alias("tags"),
             F.lit("text-generation").alias("pipelineTag"), F.lit("AI agent OR ai").alias("query"), F.lit("en-US").alias("market"), F.lit("us-en").alias("region"), F.concat(F.lit("site"), F.pmod("hot_item_id", F.lit(3)).cast("string")).alias("site"), F.when(F.pmod("hot_item_id", F.lit(2)) == 0, "Tech").otherwise("").alias("category"), F.col("author").alias("by"), F.col("author").alias("ownerLogin"), F.lit(" ").alias("authorName"), F.col("author").alias("authorUsername"),
+            F.concat(F.lit("http://arxiv.org/pdf/"), "external_id").alias("pdfUrl"), F.lit(" transformers ").alias("libraryName"), F.when(F.pmod("hot_item_id", F.lit(4)) == 2, "2024-01-02").alias("lastModified"), (F.pmod("hot_item_id", F.lit(3)) == 0).alias("private"), (p * 2).alias("rawHot"),
         )
     )
     return items.select(F.col("hot_item_id").alias("id"), "source_type", "external_id", payload.alias("raw_payload"), F.col("published_at").alias("fetched_at"), F.array(F.lit("GPT"), F.lit(" THE "), F.lit(" de ")).alias("keywords"))
@@ -498,3 +500,55 @@ def clusters_v2(spark, sf_dir):
 @query
 def clusters_merged(spark, sf_dir):
     return C.merge_accepted(_decisions(spark, sf_dir, most=None, signals=M.ACCEPTING), D.items(spark, sf_dir), sinks.stored)
+
+
+@query
+def item_text_metrics(spark, sf_dir):
+    """What normalizers keep of sources besides numbers."""
+    said = F.array_sort(F.transform(F.map_entries("text_metrics"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return I.normalize(_raw(spark, sf_dir)).select("id", F.array_join(said, ";").alias("text_metrics"), F.col("metrics")["rawHot"].alias("raw_hot"))
+
+
+def _placed(spark, sf_dir):
+    items, membership, clusters, members = _active(spark, sf_dir)
+    return clusters, sinks.stored(V.evidence(membership, items)), _v1(members)
+
+
+@query
+def analysis_results(spark, sf_dir):
+    """Analyses of all clusters with all their fields; those whose title is blank have failed."""
+    clusters, placed, scores = _placed(spark, sf_dir)
+    blank = clusters.withColumn("title", F.when(F.pmod("hot_cluster_id", F.lit(6)) == 0, " ").otherwise(F.col("title"))).withColumn("summary", F.when(F.pmod("hot_cluster_id", F.lit(2)) == 0, F.col("summary")))
+    r = L.analysis_results(blank, placed, scores)
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    ids = F.array_join(F.transform("result.evidence_refs", lambda x: x["hotItemId"].cast("string")), ",")
+    return r.select("hot_cluster_id", "status", "failure_code", "failure_message", "result.headline", sha("result.brief").alias("brief_hash"), F.col("result.why_it_matters").alias("why"), F.array_join("result.key_signals", "|").alias("signals"), ids.alias("refs"), F.array_join("result.risks", "|").alias("risks"), "result.confidence")
+
+
+@query
+def cluster_details(spark, sf_dir):
+    """All clusters with their items, nested."""
+    r = L.details(*_placed(spark, sf_dir))
+    ids = F.array_join(F.transform("items", lambda x: x["hotItemId"].cast("string")), ",")
+    return r.select("hot_cluster_id", F.col("item_count").cast("long").alias("item_count"), F.array_join("sources", ",").alias("sources"), "total_score", ids.alias("item_ids"), F.col("items")[0]["title"].alias("first_title"))
+
+
+@query
+def report_contents(spark, sf_dir):
+    """The clusters of each daily report, read back from its content."""
+    clusters, placed, scores = _placed(spark, sf_dir)
+    top = V.daily_top(clusters, scores).select("report_date", "place", "hot_cluster_id", "title", "summary", "first_seen_at", "last_seen_at")
+    made = L.analysis_results(clusters.join(top.select("hot_cluster_id"), "hot_cluster_id", "left_semi"), placed, scores)
+    kind = "array<struct<hotClusterId:bigint,title:string,sourceTypes:array<string>,itemCount:bigint,score:double,analysis:struct<headline:string,confidence:string>>>"
+    rows = L.report_contents(top, placed, scores, made).select("report_date", F.posexplode(F.from_json("content", kind)).alias("p", "c"))
+    return rows.select(F.col("report_date").cast("string").alias("report_date"), (F.col("p") + 1).alias("place"), F.col("c.hotClusterId").alias("hot_cluster_id"), F.array_join("c.sourceTypes", ",").alias("sources"), F.col("c.itemCount").alias("item_count"), F.col("c.score").alias("total_score"), F.col("c.analysis.confidence").alias("confidence"), F.col("c.analysis.headline").alias("headline"))
+
+
+@query
+def match_explanations(spark, sf_dir):
+    """Why each item's best candidate was taken or not: method, sentence and the parts of the score, read back from the reason."""
+    feats = _features(spark, sf_dir)
+    pairs = M.candidates(feats, D.memberships(feats.select("hot_item_id", F.col("event_time").alias("published_at"))))
+    r = M.best(sinks.stored(M.decide(pairs, feats).withColumn("reason", M.match_reason()).drop("shared", "components")))
+    said = lambda k: F.get_json_object("reason", f"$.{k}")
+    return r.select("hot_item_id", "other_id", said("method").alias("method"), said("reason").alias("said"), *(said(f"components.{k}").cast("double").alias(k) for k in M.COMPONENTS))

@@ -68,6 +68,12 @@ def hugging_face(pages: DataFrame) -> DataFrame:
     return rows.select("id", model.alias("model_id"), F.when(model.contains("/"), F.substring_index(model, "/", 1)).alias("author"), "m.downloads", "m.likes", "m.pipeline_tag", "m.tags", F.concat_ws(" | ", F.concat(F.lit("Pipeline: "), "m.pipeline_tag"), F.concat(F.lit("Tags: "), F.array_join(F.slice("m.tags", 1, 6), ", "))).alias("summary"))
 
 
+def sort_direction(direction: Column) -> Column:
+    """What a model search's request says for asc (1), desc or nothing (-1); null for what it does not take."""
+    d = F.lower(F.trim(F.coalesce(direction, F.lit(""))))
+    return F.when(d == "asc", 1).when(d.isin("", "desc"), -1)
+
+
 def news_stories(stories: DataFrame, top: DataFrame, limit: int) -> DataFrame:
     """Stories (payload JSON) whose ids are among the first `limit` of top (place, item_id); a story without URL points to its discussion."""
     j = lambda p: F.get_json_object("payload", f"$.{p}")
