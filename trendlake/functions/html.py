@@ -32,11 +32,12 @@ def visible(page: Column) -> Column:
 
 def content(html: Column, start: str) -> Column:
     """What is in the first element whose start tag matches, null where there is none. Tags of the element's name that follow are counted up and down: it ends where the count first is back at none, or with the text."""
-    name, rest = F.regexp_extract(html, f"(?is){start}", 1), F.regexp_extract(html, f"(?is){start}(.*)\\z", 2)
-    own = F.concat(F.lit("</?"), name, F.lit(r"\b"))
-    parts = F.split(rest, F.concat(F.lit("(?i)(?="), own, F.lit(")")))
-    # a tag that stands first is no boundary to split(): an empty part stands before it
-    parts = F.when(F.regexp_like(rest, F.concat(F.lit("(?i)^"), own)), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
+
+    def cut(m: Column) -> Column:
+        own = F.concat(F.lit("</?"), m["name"], F.lit(r"\b"))
+        parts = F.split(m["rest"], F.concat(F.lit("(?i)(?="), own, F.lit(")")))
+        # a tag that stands first is no boundary to split(): an empty part stands before it
+        return F.when(F.regexp_like(m["rest"], F.concat(F.lit("(?i)^"), own)), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
 
     def inner(parts: Column) -> Column:
         step = F.transform(parts, lambda p, i: F.when(i == 0, 1).when(p.startswith("</"), -1).otherwise(1))
@@ -44,7 +45,12 @@ def content(html: Column, start: str) -> Column:
         ended = F.aggregate(step, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("over")), _count)
         return F.array_join(F.slice(parts, F.lit(1), ended["n"]), "")
 
-    return F.when(html.rlike(f"(?is){start}"), bound(parts, inner))
+    def found(h: Column) -> Column:
+        m = F.struct(F.regexp_extract(h, f"(?is){start}", 1).alias("name"), F.regexp_extract(h, f"(?is){start}(.*)\\z", 2).alias("rest"))
+        return F.when(h.rlike(f"(?is){start}"), bound(m, lambda m: bound(cut(m), inner)))
+
+    # each step is bound to a name, so that none is computed again where the next one reads it twice
+    return bound(html, found)
 
 
 def _count(state: Column, step: Column) -> Column:
@@ -70,14 +76,17 @@ def decoded(text: Column) -> Column:
     table = F.create_map(*(F.lit(x) for k, v in (NAMED | {"amp": "&"}).items() for x in (k, v)))
 
     def one(token: Column) -> Column:
+        return F.when(token.startswith("&") & (F.length(token) > 1), bound(token, reference)).otherwise(token)
+
+    def reference(token: Column) -> Column:
         body = F.regexp_extract(token, r"^&#?(.*);$", 1)
         code = F.when(F.lower(body).startswith("x"), F.conv(F.substring(body, 2, 8), 16, 10)).otherwise(body).try_cast("int")
         good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         char = F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        return F.when(token.rlike(r"^&#"), F.coalesce(char, token)).when(token.startswith("&") & (F.length(token) > 1), F.coalesce(F.try_element_at(table, body), token)).otherwise(token)
+        return F.when(token.rlike(r"^&#"), F.coalesce(char, token)).otherwise(F.coalesce(F.try_element_at(table, body), token))
 
-    tokens = F.regexp_extract_all(text, F.lit(rf"{_REFERENCE}|[^&]+|&"), F.lit(0))
-    return F.when(text.contains("&"), F.array_join(F.transform(tokens, one), "")).otherwise(text)
+    tokens = lambda t: F.regexp_extract_all(t, F.lit(rf"{_REFERENCE}|[^&]+|&"), F.lit(0))
+    return bound(text, lambda t: F.when(t.contains("&"), F.array_join(F.transform(tokens(t), one), "")).otherwise(t))
 
 
 def text_of(html: Column) -> Column:

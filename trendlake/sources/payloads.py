@@ -124,7 +124,7 @@ def _ranked(rows: DataFrame, limit: int) -> DataFrame:
 
 def _link(html: Column) -> tuple[Column, Column]:
     """(text, address) of the first link."""
-    return H.text_of(H.content(html, H.opening("a"))), H.attribute(F.regexp_extract(html, f"(?is){H.opening('a')}.*", 0), "href")
+    return H.text_of(H.content(html, H.opening("a"))), H.attribute(F.regexp_extract(html, f"(?is){H.opening('a')}", 0), "href")
 
 
 def bing(pages: DataFrame, limit: int = 10) -> DataFrame:
@@ -141,8 +141,8 @@ def duckduckgo(pages: DataFrame, limit: int = 10) -> DataFrame:
     """Results of a page: elements of class result, each to its own end; pages without any have links of class result__a alone, each with what follows to the next."""
     page, start = H.visible(F.col("payload")), H.opening("a", "result__a")
     tails = F.filter(F.split(page, f"(?is)(?={start})"), lambda p: p.rlike(f"(?is)^{start}"))
-    found = H.contents(page, H.opening(css_class="result"))
-    rows = pages.select("id", F.posexplode(F.when(F.size(found) > 0, found).otherwise(tails)).alias("p", "b"))
+    found = T.bound(H.contents(page, H.opening(css_class="result")), lambda found: F.when(F.size(found) > 0, found).otherwise(tails))
+    rows = pages.select("id", F.posexplode(found).alias("p", "b"))
     title, href = _link(F.coalesce(H.content(F.col("b"), H.opening(css_class="result__title")), F.col("b")))
     to = F.regexp_extract(href, r"uddg=([^&]*)", 1)
     url = F.when(to != "", F.coalesce(F.try_url_decode(to), href)).otherwise(href)

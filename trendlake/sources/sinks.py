@@ -70,17 +70,22 @@ def write_report(spark, metrics: dict, path: str) -> None:
         spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage: a table in the folder that spark.checkpoint.dir names. Only a local session without one gets a temporary folder."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
+def root(spark) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    set_to = sc.getConf().get("spark.checkpoint.dir", None)
+    if not set_to:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="trendlake-")
-    path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
+        set_to = tempfile.mkdtemp(prefix="trendlake-")
+    return set_to.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and cut from its lineage: a table in the folder of root()."""
+    path = f"{root(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(*tables: DataFrame) -> None:

@@ -80,8 +80,11 @@ def clusters(items: DataFrame) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots_of(read(spark, sf_dir, "events"))
+
+
+def snapshots_of(e: DataFrame) -> DataFrame:
     """A signal snapshot for each event: its type tells the source, its value the signal in the source's dimension, k the raw metric."""
-    e = read(spark, sf_dir, "events")
     t = F.col("event_type")
     source = F.when(t == "view", "BING_SEARCH").when(t == "click", "HACKER_NEWS").when(t == "purchase", "GITHUB").when(t == "signup", "HUGGING_FACE").otherwise("TWITTER")
     v = F.least(F.abs("value"), F.lit(100.0))
