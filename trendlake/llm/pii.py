@@ -22,7 +22,14 @@ LADIES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señ
 #: Words that end a street's name.
 STREETS = ("Street", "Road", "Avenue", "Lane", "Drive", "Boulevard", "Court", "Square")
 
-_NAME = r"\p{Lu}[\p{L}'’\-]+"
+#: Surnames that are words of the calendar, and mean it where they stand alone.
+CALENDAR = "January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday Januar Februar März Mai Juni Juli Mars Avril".split()
+
+#: An apostrophe is part of a name (O'Brien), unless it leads a possessive s.
+_POSSESSIVE = r"['’][sS](?!\p{L})"
+_NAME = rf"\p{{Lu}}(?:[\p{{L}}\-]+|(?=['’]\p{{L}}{{2}}))(?:(?!{_POSSESSIVE})['’]\p{{L}}[\p{{L}}\-]*)*"
+#: A surname alone ends where no further part of a name follows.
+_END = rf"(?![\p{{L}}\-])(?!(?!{_POSSESSIVE})['’]\p{{L}})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 #: What counts as personal data or a secret, the first that fits at a place.
@@ -243,15 +250,24 @@ def surrogates(docs: DataFrame, key: str | None = None) -> DataFrame:
     # a surname that stands alone is the same person's
     alone = F.when(F.col("k") == "name", F.struct(_surname(F.col("e")).alias("e"), F.struct(_surname(F.col("new")).alias("new"), F.col("k").alias("k")).alias("v")))
     by_text = told.groupBy("uid").agg(F.collect_list(F.struct("e", F.struct("new", "k").alias("v"))).alias("m"), F.collect_set(alone).alias("bare"))
-    bare = F.filter("bare", lambda b: ~F.exists("m", lambda x: x["e"] == b["e"]))
+    said = lambda e, new, k: F.struct(e.alias("e"), F.struct(new.alias("new"), k.alias("k")).alias("v"))
+    # a person's name in capitals, or in small letters where it was found in capitals, is that person's too
+    spelled = lambda b: F.array_compact(F.array(b, said(F.upper(b["e"]), F.upper(b["v"]["new"]), b["v"]["k"]), F.when(b["e"] == F.upper(b["e"]), said(F.initcap(F.lower(b["e"])), F.initcap(F.lower(b["v"]["new"])), b["v"]["k"]))))
+    months = [x for w in CALENDAR for x in (w, w.upper())]
+    bare = F.array_sort(F.filter(F.flatten(F.transform("bare", spelled)), lambda b: ~F.exists("m", lambda x: x["e"] == b["e"]) & ~b["e"].isin(*months)))
     # two spellings of a surname may differ in gender: the first one counts
-    by_text = by_text.select("uid", F.map_from_entries(F.concat("m", F.filter(F.array_sort(bare), lambda b, i: ~F.exists(F.slice(F.array_sort(bare), F.lit(1), i), lambda x: x["e"] == b["e"])))).alias("m"), F.array_join(F.array_sort(F.array_distinct(F.transform("bare", lambda b: b["e"]))), "|").alias("bare"))
+    by_text = by_text.withColumn("bare", bare).withColumn("bare", F.filter("bare", lambda b, i: (i == 0) | (b["e"] != F.get("bare", i - 1)["e"])))
+    by_text = by_text.select("uid", F.map_from_entries(F.concat("m", "bare")).alias("m"), F.transform("bare", lambda b: b["e"]).alias("bare"))
     text = F.col("row.text")
-    pattern = F.when(F.col("bare") == "", F.lit(PATTERN)).otherwise(F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), "bare", F.lit(r")(?![\p{L}'\u2019\-])")))
+    # a word that the text has in small letters is one where it stands alone
+    common = lambda w: F.regexp_like(text, F.concat(F.lit(r"(?<!\p{L})"), F.lower(w), F.lit(r"(?!\p{L})")))
+    alone = F.array_join(F.filter("bare", lambda w: ~common(w)), "|")
+    rows = own.join(by_text, "uid", "left").withColumn("alone", F.coalesce(alone, F.lit("")))
+    pattern = F.when(F.col("alone") == "", F.lit(PATTERN)).otherwise(F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), "alone", F.lit(f"){_END}")))
     parts = F.split(F.regexp_replace(text, pattern, F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
     twice = F.zip_with(F.split(text, pattern, -1), F.concat(F.regexp_extract_all(text, pattern, F.lit(0)), F.array(F.lit(None).cast("string"))), lambda g, e: F.array(g, e))
     parts = F.when(text.contains(_MARK), F.filter(F.flatten(twice), lambda x: x.isNotNull())).otherwise(parts)
-    rows = own.join(by_text, "uid", "left").withColumn("parts", F.when(F.col("m").isNotNull(), parts))
+    rows = rows.withColumn("parts", F.when(F.col("m").isNotNull(), parts))
     put = F.transform("parts", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.coalesce(F.element_at(F.col("m"), x)["new"], x)))
     kinds = F.transform(F.filter("parts", lambda x, i: i % 2 == 1), lambda e: F.element_at(F.col("m"), e)["k"])
     rows = rows.select("row", F.coalesce(F.array_join(put, ""), text).alias("text"), F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"))
