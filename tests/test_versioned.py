@@ -116,3 +116,28 @@ def test_look_back_reads_few_days_and_late_rows_count(spark, tmp_path):
     days = [F.lit((T0 - S.LOOK_BACK).date())]
     plan = Table(spark, h).read().where(F.col("day") >= days[0])
     assert plan.select("id").distinct().count() == 2 and "PartitionFilters: [isnotnull(day" in plan._jdf.queryExecution().toString()
+
+
+def test_reports_replace_their_days_alone(spark, tmp_path, monkeypatch):
+    """Another writer's day, committed in between, stays."""
+    path = str(tmp_path / "t")
+    day = lambda d, t: spark.createDataFrame([(d, t)], "report_date string, title string")
+    sinks.upsert_reports(day("a", "1").union(day("b", "1")), path)
+    real, other = Table.commit, []
+
+    def slow(self, seen, *args):
+        if not other:
+            other.append(1)
+            sinks.upsert_reports(day("c", "2"), path)
+        return real(self, seen, *args)
+
+    monkeypatch.setattr(Table, "commit", slow)
+    sinks.upsert_reports(day("b", "3"), path)
+    assert sorted(map(tuple, Table(spark, path).read().collect())) == [("a", "1"), ("b", "3"), ("c", "2")]
+
+
+def test_requests_keep_their_distance(spark):
+    from trendlake.sources.connector import spaced
+
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), (None, 4)], "s string, i int")
+    assert sorted((r.s or "", r.i, r.not_before) for r in spaced(df, "s", ["i"], 3).collect()) == [("", 4, 0.0), ("a", 1, 0.0), ("a", 3, 3.0), ("b", 2, 0.0)]

@@ -230,3 +230,45 @@ def suppressed_alerts(spark, sf_dir):
 
 ORACLES["suppressed_alerts"] = f"""WITH first AS ({OTHERS["alert_matching"]}), n AS (SELECT rule_id, count(*) AS matched FROM first GROUP BY 1)
 SELECT 1 AS hours, rule_id, matched, CAST(0 AS BIGINT) AS created FROM n UNION ALL SELECT 24, rule_id, matched, matched FROM n"""
+
+
+@query
+def sample_lines(spark, sf_dir):
+    """Items as lines of an export, read back: cluster, both scores with a component each, and a metric."""
+    items = D.items(spark, sf_dir).withColumn("metrics", F.create_map(F.lit("points"), F.col("points").cast("double"))).drop("summary")
+    parts = F.create_map(F.lit("half"), F.col("total_score").cast("double") / 2)
+    rows = E.samples(items, D.memberships(items), _scores(spark, sf_dir).withColumn("components", parts), (S.V1, S.V2))
+    j = lambda k: F.get_json_object("line", f"$.{k}")
+    return E.sample_lines(rows).select("hot_item_id", j("clusterId").cast("long").alias("cluster_id"), j("sourceType").alias("source_type"), j("metrics.points").cast("double").alias("points"), F.round(j("scoreV1.total").cast("double"), 4).alias("score_v1"), F.round(j("scoreV2.components.half").cast("double"), 4).alias("half_v2"))
+
+
+ORACLES["sample_lines"] = f"""{_W},
+s AS (SELECT o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS v, CAST(arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS DOUBLE) AS total FROM orders GROUP BY 1, 2)
+SELECT i.hot_item_id, m.hot_cluster_id AS cluster_id, i.source_type, CAST(i.points AS DOUBLE) AS points, round(a.total, 4) AS score_v1, round(b.total / 2, 4) AS half_v2 FROM items i LEFT JOIN members m USING (hot_item_id) LEFT JOIN s a ON a.c = m.hot_cluster_id AND a.v = 1 LEFT JOIN s b ON b.c = m.hot_cluster_id AND b.v = 2"""
+
+
+@query
+def spaced_requests(spark, sf_dir):
+    """Orders as requests to their customers' sources, three seconds apart each."""
+    from ..sources.connector import spaced
+
+    o = D.read(spark, sf_dir, "orders").select(F.pmod("o_custkey", F.lit(11)).alias("source"), "o_orderkey")
+    return spaced(o, "source", ["o_orderkey"], 3.0)
+
+
+ORACLES["spaced_requests"] = "SELECT o_custkey % 11 AS source, o_orderkey, 3.0::DOUBLE * (row_number() OVER (PARTITION BY o_custkey % 11 ORDER BY o_orderkey) - 1) AS not_before FROM orders"
+
+
+@query
+def report_upsert(spark, sf_dir):
+    """Reports of all days, then some days' again: one a day stays."""
+    from .queries import daily_reports
+
+    path = f"{_folder(spark)}/table"
+    rows = sinks.stored(daily_reports(spark, sf_dir).select("report_date", "title", "cluster_count"))
+    sinks.upsert_reports(rows, path)
+    sinks.upsert_reports(rows.where("day(report_date) % 2 = 0").withColumn("title", F.concat(F.lit("Again: "), "title")), path)
+    return Table(spark, path).read()
+
+
+ORACLES["report_upsert"] = f"SELECT report_date, CASE WHEN day(CAST(report_date AS DATE)) % 2 = 0 THEN 'Again: ' ELSE '' END || title AS title, cluster_count FROM ({OTHERS['daily_reports']})"

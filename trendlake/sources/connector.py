@@ -32,6 +32,14 @@ def wait_seconds(status: int, headers: dict[str, str], attempt: int, now: float
     return None if status == 403 else min(most, first * 2 ** (attempt - 1))
 
 
+def spaced(requests: DataFrame, source: str, order: list, seconds: float, stored=None) -> DataFrame:
+    """requests with not_before, in seconds from the start: those of one source follow each other, in order, after `seconds` at least. A source with most requests is numbered by many tasks."""
+    from ..operators.ordering import ranks
+    from .sinks import stored as kept
+
+    return ranks(requests, [source], order, stored or kept, "_turn").withColumn("not_before", (F.col("_turn") - 1) * F.lit(float(seconds))).drop("_turn")
+
+
 def tc3_signature(secret: str, service: str, day: str, to_sign: str) -> str:
     """The TC3-HMAC-SHA256 signature of a text: keys derived from day and service, in hexadecimal."""
     key = ("TC3" + secret).encode()

@@ -16,6 +16,18 @@ def write_daily(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report_date").parquet(path)
 
 
+def upsert_reports(reports: DataFrame, path: str, key: str = "report_date") -> None:
+    """Puts reports in a versioned table, in place of those of the same days: one commit, so readers see the day before or after it, and of two writers neither loses the other's days."""
+    table = Table(reports.sparkSession, path)
+
+    def put(seen):
+        there = table.read(seen)
+        rows = reports if there is None else there.join(reports.select(key).distinct(), key, "left_anti").unionByName(reports)
+        return [(table.write(rows), 0)], [n for n, _ in seen.runs], {}
+
+    table.change(put)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
