@@ -82,3 +82,25 @@ def test_text_metrics_and_directions(spark):
     assert got[1].text_metrics == {"pdfUrl": "https://arxiv.org/pdf/1"} and got[2].text_metrics == {"private": "true"} and got[3].text_metrics == {} and got[4].text_metrics == {"site": "x y"} and got[4].metrics["score"] == 12.5
     d = spark.createDataFrame([(" Asc",), ("desc",), ("",), (None,), ("up",)], "d string")
     assert [r.x for r in d.select(P.sort_direction(F.col("d")).alias("x")).collect()] == [1, -1, -1, -1, None]
+
+
+def test_the_cap_loses_no_accepted_pair(spark):
+    """On the smallest tables: what is accepted within 72 hours with 50 candidates an item, and with all."""
+    import os
+
+    import pytest
+
+    from trendlake.sources import tables as D
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    feats = sinks.stored(M.features(D.items(spark, sf)))
+    at = D.memberships(feats.select("hot_item_id", F.col("event_time").alias("published_at")))
+
+    def accepted(**how):
+        rows = M.decide(M.candidates(feats, at, **how), feats).where("decision = 'ACCEPTED'")
+        return {(r.hot_item_id, r.other_id) for r in rows.select("hot_item_id", "other_id").collect()}
+
+    few, every = accepted(), accepted(most=None)
+    assert few == every and len(every) > 500 and all(b < a for a, b in every)

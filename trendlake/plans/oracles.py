@@ -255,8 +255,8 @@ SELECT reason, count(*) AS pairs, CAST(sum(a + b) AS BIGINT) AS ids FROM u GROUP
 ORACLES["cluster_samples"] = f"""{_W},
 s AS (SELECT o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS v, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS total FROM orders GROUP BY 1, 2)
 SELECT i.hot_item_id, m.hot_cluster_id AS cluster_id, a.total AS score_v1, b.total AS score_v2 FROM items i LEFT JOIN members m USING (hot_item_id) LEFT JOIN s a ON a.c = m.hot_cluster_id AND a.v = 1 LEFT JOIN s b ON b.c = m.hot_cluster_id AND b.v = 2"""
-ORACLES["pair_lines"] = f"""{_W}
-SELECT 'SAME_CLUSTER' AS reason, a.hot_item_id AS hot_item_id_a, b.hot_item_id AS hot_item_id_b, 'SAME_CLUSTER-' || a.hot_item_id || '-' || b.hot_item_id AS pair_key, b.title AS title_b FROM members a JOIN members b ON a.hot_cluster_id = b.hot_cluster_id AND a.hot_item_id < b.hot_item_id"""
+ORACLES["pair_lines"] = f"""{ORACLES["label_pairs"].rsplit("SELECT reason, count", 1)[0]}
+SELECT reason, u.a AS hot_item_id_a, u.b AS hot_item_id_b, reason || '-' || u.a || '-' || u.b AS pair_key, y.title AS title_b, x.source_url AS url_a FROM u JOIN items x ON x.hot_item_id = u.a JOIN items y ON y.hot_item_id = u.b"""
 ORACLES["config_validation"] = """
 WITH c AS (SELECT c_custkey AS i, c_custkey % 10 AS s, c_custkey % 40 AS k FROM customer)
 SELECT i AS source_code, concat_ws(',', CASE WHEN i % 13 = 0 THEN 'crawlIntervalMinutes' END,

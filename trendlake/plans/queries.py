@@ -341,11 +341,12 @@ def cluster_samples(spark, sf_dir):
 
 @query
 def pair_lines(spark, sf_dir):
-    """Same-cluster pairs as lines to fill in."""
-    items = D.items(spark, sf_dir).withColumn("source_url", F.col("hot_item_id").cast("string"))
-    at = D.memberships(items)
-    rows = E.labelled_lines(E.export_pairs(at, items, F.lit(None).cast("string")).where(F.col("reason") == E.REASONS[0]), items)
-    return rows.select("reason", "hot_item_id_a", "hot_item_id_b", F.get_json_object("line", "$.pairKey").alias("pair_key"), F.get_json_object("line", "$.itemB.title").alias("title_b"))
+    """All candidate pairs as lines to fill in, read back."""
+    items = D.items(spark, sf_dir)
+    narrow = items.select("hot_item_id", "source_type", "external_id", "title", "source_url")
+    rows = E.labelled_lines(E.export_pairs(D.memberships(items), sinks.stored(narrow), _domain()), narrow)
+    j = lambda k: F.get_json_object("line", f"$.{k}")
+    return rows.select("reason", "hot_item_id_a", "hot_item_id_b", j("pairKey").alias("pair_key"), j("itemB.title").alias("title_b"), j("itemA.sourceUrl").alias("url_a"))
 
 
 @query

@@ -127,26 +127,45 @@ def _link(html: Column) -> tuple[Column, Column]:
     return H.text_of(H.content(html, H.opening("a"))), H.attribute(F.regexp_extract(html, f"(?is){H.opening('a')}", 0), "href")
 
 
+def _results(pages: DataFrame, blocks: Column, one, limit: int) -> DataFrame:
+    """Rows of results, ranked: one(block) is a struct of their columns. Each block is taken apart once: what reads the structs, filters included, stays behind the explosion."""
+    rows = pages.select("id", F.posexplode_outer(F.transform(blocks, one)).alias("p", "r")).where("p is not null")
+    return _ranked(rows.select("id", "p", "r.*"), limit)
+
+
 def bing(pages: DataFrame, limit: int = 10) -> DataFrame:
     """Results of a page: list elements of class b_algo, each to its own end, whatever it holds."""
-    rows = pages.select("id", F.posexplode(H.contents(H.visible(F.col("payload")), H.opening("li", "b_algo"))).alias("p", "b"))
-    rows = rows.withColumns({"head": H.content(F.col("b"), H.opening("h2")), "caption": H.content(F.col("b"), H.opening(css_class="b_caption"))})
-    title, url = _link(F.col("head"))
-    # results without a caption have their paragraph and address beside the title
-    part = lambda tag: H.text_of(F.coalesce(H.content(F.col("caption"), H.opening(tag)), F.when(F.col("caption").isNull(), H.content(F.col("b"), H.opening(tag)))))
-    return _ranked(rows.select("id", "p", title.alias("title"), sanitized_url(url).alias("url"), part("p").alias("summary"), part("cite").alias("cite")), limit)
+
+    def one(block: Column) -> Column:
+        parts = F.struct(block.alias("b"), H.content(block, H.opening("h2")).alias("head"), H.content(block, H.opening(css_class="b_caption")).alias("caption"))
+        return T.bound(parts, read)
+
+    def read(m: Column) -> Column:
+        title, url = _link(m["head"])
+        # results without a caption have their paragraph and address beside the title
+        part = lambda tag: H.text_of(H.content(F.coalesce(m["caption"], m["b"]), H.opening(tag)))
+        return F.struct(title.alias("title"), T.bound(url, sanitized_url).alias("url"), part("p").alias("summary"), part("cite").alias("cite"))
+
+    return _results(pages, H.contents(H.visible(F.col("payload")), H.opening("li", "b_algo")), one, limit)
 
 
 def duckduckgo(pages: DataFrame, limit: int = 10) -> DataFrame:
     """Results of a page: elements of class result, each to its own end; pages without any have links of class result__a alone, each with what follows to the next."""
-    page, start = H.visible(F.col("payload")), H.opening("a", "result__a")
-    tails = F.filter(F.split(page, f"(?is)(?={start})"), lambda p: p.rlike(f"(?is)^{start}"))
-    found = T.bound(H.contents(page, H.opening(css_class="result")), lambda found: F.when(F.size(found) > 0, found).otherwise(tails))
-    rows = pages.select("id", F.posexplode(found).alias("p", "b"))
-    title, href = _link(F.coalesce(H.content(F.col("b"), H.opening(css_class="result__title")), F.col("b")))
-    to = F.regexp_extract(href, r"uddg=([^&]*)", 1)
-    url = F.when(to != "", F.coalesce(F.try_url_decode(to), href)).otherwise(href)
-    return _ranked(rows.select("id", "p", title.alias("title"), sanitized_url(url).alias("url"), H.text_of(H.content(F.col("b"), H.opening(css_class="result__snippet"))).alias("summary")), limit)
+    start = H.opening("a", "result__a")
+
+    def blocks(page: Column) -> Column:
+        tails = F.filter(F.split(page, f"(?is)(?={start})"), lambda p: p.rlike(f"(?is)^{start}"))
+        return T.bound(H.contents(page, H.opening(css_class="result")), lambda found: F.when(F.size(found) > 0, found).otherwise(tails))
+
+    def one(block: Column) -> Column:
+        return T.bound(F.struct(block.alias("b"), F.coalesce(H.content(block, H.opening(css_class="result__title")), block).alias("head")), read)
+
+    def read(m: Column) -> Column:
+        title, href = _link(m["head"])
+        address = T.bound(href, lambda h: F.when(h.contains("uddg="), F.coalesce(F.try_url_decode(F.regexp_extract(h, r"uddg=([^&]*)", 1)), h)).otherwise(h))
+        return F.struct(title.alias("title"), T.bound(address, sanitized_url).alias("url"), H.text_of(H.content(m["b"], H.opening(css_class="result__snippet"))).alias("summary"))
+
+    return _results(pages, T.bound(H.visible(F.col("payload")), blocks), one, limit)
 
 
 #: By source, number settings with default, least and greatest value; settings with what they match (case apart where (?i) leads); and settings that must not be blank. Blank texts count as unset where a default stands for them.

@@ -38,6 +38,7 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
     wrote = []
 
     def new(seen):
+        table.discard(*wrote[-1:])  # of a try that came too late
         there = table.read(seen)
         some = rows if there is None else rows.join(there.select(*keys), keys, "left_anti")
         wrote.append(table.write(some.dropDuplicates(keys)))
