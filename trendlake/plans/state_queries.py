@@ -272,3 +272,39 @@ def report_upsert(spark, sf_dir):
 
 
 ORACLES["report_upsert"] = f"SELECT report_date, CASE WHEN day(CAST(report_date AS DATE)) % 2 = 0 THEN 'Again: ' ELSE '' END || title AS title, cluster_count FROM ({OTHERS['daily_reports']})"
+
+
+@query
+def latest_page(spark, sf_dir):
+    """The first page of clusters last seen within some days, newest first, and how many pages there are."""
+    items, membership, clusters, members = _active(spark, sf_dir)
+    since, until = (F.lit(d).cast("timestamp") for d in ("2024-01-01 12:00:00", "2024-01-05 12:30:00"))
+    r = V.cluster_page(clusters, membership, items, _v1(members), sort="LATEST", size=10, since=since, until=until)
+    n = clusters.where((F.col("status") == "ACTIVE") & F.col("last_seen_at").between(since, until)).agg(V.total_pages(F.count("*"), 10).cast("long").alias("pages"))
+    return r.select("hot_cluster_id", "total_score", "item_count", "sources").crossJoin(n)
+
+
+ORACLES["latest_page"] = f"""{OTHERS["cluster_page"].split("SELECT c.hot_cluster_id, s.total_score", 1)[0]},
+c AS (SELECT * FROM clusters WHERE status = 'ACTIVE' AND last_seen_at BETWEEN TIMESTAMP '2024-01-01 12:00:00' AND TIMESTAMP '2024-01-05 12:30:00')
+SELECT c.hot_cluster_id, s.total_score, cnt.item_count, srcs.sources, (SELECT CAST(ceil(count(*) / 10.0) AS BIGINT) FROM c) AS pages FROM c LEFT JOIN scores s USING (hot_cluster_id) LEFT JOIN srcs USING (hot_cluster_id) LEFT JOIN cnt USING (hot_cluster_id) ORDER BY c.last_seen_at DESC, c.hot_cluster_id DESC LIMIT 10"""
+
+
+@query
+def named_pairs(spark, sf_dir):
+    """Labelled pairs that name their items by source and external id, placed by their last accepted decision where there is one."""
+    items, l = D.items(spark, sf_dir), D.read(spark, sf_dir, "labels")
+    i, none = F.col("doc_id"), F.lit(None).cast("long")
+    source = lambda x: F.element_at(F.array(*map(F.lit, D.SOURCES)), (F.pmod(x, F.lit(10)) + 1).cast("int"))
+    kinds = F.element_at(F.array(*map(F.lit, ("MUST_MERGE", "MUST_NOT_MERGE", "REVIEW_IF_AMBIGUOUS"))), (F.pmod(i, F.lit(3)) + 1).cast("int"))
+    cases = l.select(i, F.lit("OTHER").alias("category"), kinds.alias("expectation"), none.alias("item_a"), none.alias("item_b"), source(i).alias("source_a"), i.cast("string").alias("external_a"), source(i + 1).alias("source_b"), (i + 1).cast("string").alias("external_b"))
+    h = F.col("hot_item_id")
+    decided = items.select("hot_item_id", F.when(F.pmod(h, F.lit(4)) < 2, "ACCEPTED").otherwise("REJECTED").alias("decision"), F.floor(h / 6).alias("hot_cluster_id"), F.col("published_at").alias("decided_at"), h.alias("id"))
+    m = E.pair_metrics(E.placed_pairs(cases, items, D.memberships(items), decided))
+    return m.select("category", "tp", "fp", "tn", "fn", "review", "missing", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("review_rate", 6).alias("review_rate"))
+
+
+ORACLES["named_pairs"] = f"""{_W},
+spot AS (SELECT i.hot_item_id, CASE WHEN i.hot_item_id % 4 < 2 THEN i.hot_item_id // 6 ELSE m.hot_cluster_id END AS c FROM items i LEFT JOIN members m USING (hot_item_id)),
+p AS (SELECT doc_id % 3 AS k, a.c AS ca, b.c AS cb FROM labels LEFT JOIN spot a ON a.hot_item_id = doc_id LEFT JOIN spot b ON b.hot_item_id = doc_id + 1),
+g AS (SELECT count(*) FILTER (k = 0 AND ca = cb) AS tp, count(*) FILTER (k = 1 AND ca = cb) AS fp, count(*) FILTER (k = 1 AND ca <> cb) AS tn, count(*) FILTER (k = 0 AND ca <> cb) AS fn, count(*) FILTER (k = 2) AS review, count(*) FILTER (ca IS NULL OR cb IS NULL) AS missing, count(*) AS n FROM p)
+SELECT category, tp, fp, tn, fn, review, missing, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall, round(review / n::DOUBLE, 6) AS review_rate FROM g, (VALUES ('OTHER'), (NULL)) c(category)"""
