@@ -227,7 +227,8 @@ def _rules(spark):
 
 
 def _alerts(spark, sf_dir):
-    _, _, clusters, members = _active(spark, sf_dir)
+    items = D.spread(D.items(spark, sf_dir))
+    clusters, members = D.clusters(items), D.memberships(items).where("removed_at is null").join(items, "hot_item_id")
     none = spark.createDataFrame([], "suppression_key string")
     return V.alerts(clusters, members, _v1(members), _rules(spark), none, D.now()), clusters
 
