@@ -38,3 +38,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_lines_with_equal_numbers_and_dates(spark, tmp_path):
+    """Of an order's equal lines the first in the table counts, as in SQL."""
+    con, path = duckdb.connect(), tmp_path / "lineitem.parquet"
+    con.sql(f"copy (select i // 4 as l_orderkey, 100 - (i * 7) % 50 as l_suppkey, 1 as l_linenumber, 'N' as l_returnflag, timestamp '2024-01-01' as l_shipdate from range(400) t(i) order by i) to '{path}' (format parquet)")
+    con.sql(f"create view lineitem as select * from '{path}'")
+    got = catalog.QUERIES["accepted_places"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.ORACLES["accepted_places"]).fetchall())
