@@ -118,6 +118,15 @@ def test_look_back_reads_few_days_and_late_rows_count(spark, tmp_path):
     assert plan.select("id").distinct().count() == 2 and "PartitionFilters: [isnotnull(day" in plan._jdf.queryExecution().toString()
 
 
+def test_first_batch_has_trends_of_all_items(spark, tmp_path):
+    """Items last seen long before others of the same batch have trends as well."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([snapshot(1, 1, T0 - 324 * HOUR, 1), snapshot(2, 1, T0 - 300 * HOUR, 5), snapshot(3, 2, T0, 50)], SNAPSHOT).coalesce(1).write.parquet(src)
+    S.trend_stream(spark.readStream.schema(SNAPSHOT).parquet(src), str(tmp_path / "h"), out, str(tmp_path / "c")).awaitTermination()
+    got = {(r.hot_item_id, r.window): r.attention_delta for r in spark.read.parquet(out).collect()}
+    assert len(got) == 8 and got[1, "24h"] == 4.0 and got[2, "24h"] is None
+
+
 def test_reports_replace_their_days_alone(spark, tmp_path, monkeypatch):
     """Another writer's day, committed in between, stays."""
     path = str(tmp_path / "t")

@@ -70,7 +70,7 @@ LOOK_BACK = dt.timedelta(seconds=2 * max(w[1] for w in WINDOWS) + max(w[2] for w
 def trend_stream(stream: DataFrame, history: str, path: str, checkpoint: str, late: dt.timedelta = dt.timedelta(hours=84)):
     """Looks back from each item of a stream of snapshots: a batch adds its snapshots to the versioned table `history`, by day, and writes the trends of its items to a folder named by its number.
 
-    A batch reads of the history the days from LOOK_BACK before its earliest snapshot (or, of older ones, before `late` before the latest of all) and no others, however long the history is. Snapshots that come late, by `late` at most, count as soon as they are there: their items are looked at again as of their latest snapshot. Those that are later still are kept, and have no trends of their own. A batch that runs twice is added once, and ids are distinct.
+    A batch reads of the history the days from LOOK_BACK before its earliest snapshot (or, of older ones, before `late` before the latest of the batches before) and no others, however long the history is. Snapshots that come late, by `late` at most behind those of batches before, count as soon as they are there: their items are looked at again as of their latest snapshot. Those that are later still are kept, and have no trends of their own. A batch that runs twice is added once, and ids are distinct.
     """
 
     def look(batch: DataFrame, number: int) -> None:
@@ -82,7 +82,8 @@ def trend_stream(stream: DataFrame, history: str, path: str, checkpoint: str, la
         ever = table.version().notes.get("latest")
         latest = max(span["last"], dt.datetime.fromisoformat(ever)) if ever else span["last"]
         add_batch(table, "snapshots", number, batch.withColumn("day", day), lambda rows: rows.dropDuplicates(["id"]), "day", {"latest": latest.isoformat()})
-        since = max(span["first"], latest - late)
+        # late is what comes so long after others that came before: a first batch, whatever its span, has no late ones
+        since = max(span["first"], dt.datetime.fromisoformat(ever) - late) if ever else span["first"]
         asked = batch.where(F.col("observed_at") >= F.lit(since)).select("hot_item_id").distinct()
         rows = table.read().where(F.col("day") >= F.lit((since - LOOK_BACK).date())).drop("day")
         rows = rows.join(asked, "hot_item_id", "left_semi").dropDuplicates(["id"])
