@@ -1,5 +1,6 @@
 """Orders, components and other distributed steps against plain Python."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -92,3 +93,34 @@ def test_places_of_great_numbers(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x long").withColumn("b", F.floor((1 + F.sqrt(1 + 8.0 * F.col("x"))) / 2).cast("long"))
     got = df.selectExpr("case when b * (b - 1) div 2 > x then b - 1 when (b + 1) * b div 2 <= x then b + 1 else b end as b").collect()
     assert [r.b for r in got] == [b - 1, b, b]
+
+
+def test_pairs_are_not_shuffled_with_sets(spark):
+    """Every pair of 60 items of 400 keywords each is compared; their hashes make up 200 kB, those of both sides of all pairs 11 MB."""
+    from trendlake.operators import matching as M
+
+    r = random.Random(3)
+    words = {i: {f"w{x}" for x in r.sample(range(40_000), 300)} | {f"w{x}" for x in range(i, i + 100)} for i in range(60)}
+    rows = [(i, "x.example", None, None, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), {}, [], sorted(w), "UNKNOWN") for i, w in words.items()]
+    feats = spark.createDataFrame(rows, "hot_item_id long, publisher_domain string, canonical_url string, normalized_title string, event_time timestamp, external_ids map<string,string>, entities array<struct<type:string,value:string>>, keywords array<string>, event_type string")
+    pairs = spark.createDataFrame([(i, j) for i in words for j in range(i)], "hot_item_id long, other_id long")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    sizes = lambda: (lambda s: {s.apply(k).stageId(): s.apply(k).shuffleWriteBytes() for k in range(s.size())})(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))
+    before = max(sizes(), default=-1)
+    got = {(x.hot_item_id, x.other_id): x.components.keywordOverlap for x in M.decide(pairs, feats).collect()}
+    assert len(got) == 1770 and all(abs(v - len(words[i] & words[j]) / len(words[i] | words[j])) < 1e-9 + 5e-7 for (i, j), v in got.items())
+    assert sum(n for s, n in sizes().items() if s > before) < 2_000_000
+
+
+def test_sets_are_compared_in_parts():
+    """The same counts, whatever is held at once; empty sets share nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    from trendlake.operators.matching import _shared
+
+    sets = [[], [1, 2, 3], [3, 9], [2, 3, 9, -4], [], [-4]]
+    pairs = [(i, j) for i in range(6) for j in range(6)]
+    a, b = (np.array(x) for x in zip(*pairs))
+    for cells, most in ((1 << 24, 1 << 20), (1, 1), (8, 3), (12, 100)):
+        assert _shared(pa.array(sets, pa.list_(pa.int64())), a, b, cells, most).tolist() == [len(set(sets[i]) & set(sets[j])) for i, j in pairs]
