@@ -124,3 +124,15 @@ def test_sets_are_compared_in_parts():
     a, b = (np.array(x) for x in zip(*pairs))
     for cells, most in ((1 << 24, 1 << 20), (1, 1), (8, 3), (12, 100)):
         assert _shared(pa.array(sets, pa.list_(pa.int64())), a, b, cells, most).tolist() == [len(set(sets[i]) & set(sets[j])) for i, j in pairs]
+
+
+def test_few_and_many_keywords_find_the_same(spark, monkeypatch):
+    """Few keywords need no shuffle; both ways find the same."""
+    texts = spark.createDataFrame([(1, "the license"), (2, ""), (3, None), (4, "undo it"), (5, "th")], "id long, said string")
+    words = spark.createDataFrame([("the",), ("und",), ("",), ("zzzz",), ("i",)], "k string")
+    few = keyword_search.holding(texts, ["id"], "said", words)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(keyword_search, "FEW", 0)
+    many = keyword_search.holding(texts, ["id"], "said", words)
+    want = sorted((i, k) for i, t in ((1, "the license"), (2, ""), (4, "undo it"), (5, "th")) for k in ("the", "und", "", "zzzz", "i") if k in t)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want

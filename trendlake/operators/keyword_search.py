@@ -13,6 +13,8 @@ GRAM = 3
 BUCKET_BITS = 17
 #: Share of the texts on which the rarest gram of a keyword is guessed. It decides what a keyword costs, never what it finds.
 SAMPLE = 0.01
+#: So few keywords are held against every text directly: grams cost more than that.
+FEW = 32
 _BUCKET, _BIT = f"cast(g & {(1 << BUCKET_BITS) - 1} as int)", f"cast(shiftright(g, {BUCKET_BITS}) & 63 as int)"
 
 
@@ -32,8 +34,11 @@ def _grams(text: Column, lengths: list[int]) -> Column:
 def holding(texts: DataFrame, ids: list[str], text: str, words: DataFrame) -> DataFrame:
     """(ids, k): which rows of `texts`, whose `ids` are unique, hold which keywords (column k of `words`, distinct, not null) as a substring; the empty one is in every text, null texts hold none.
 
-    Each keyword is found by one of its grams, the rarest in a sample, and each text gives its distinct grams; those that are not in a mask of the keywords' end in the task that made them. What meets by a gram is held against the whole text, once. So a text is read once, whatever the number of keywords, and no text meets all keywords.
+    Up to FEW keywords are held against every text, in one pass without a shuffle. Of more, each keyword is found by one of its grams, the rarest in a sample, and each text gives its distinct grams; those that are not in a mask of the keywords' end in the task that made them. What meets by a gram is held against the whole text, once. So a text is read once, whatever the number of keywords, and no text meets all keywords.
     """
+    few = [r["k"] for r in words.limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        return texts.select(*ids, F.explode(F.array_compact(F.array(*(F.when(F.col(text).contains(F.lit(k)), F.lit(k)) for k in few)).cast("array<string>"))).alias("k"))
     q = F.least(F.char_length("k"), F.lit(GRAM))
     lengths = sorted(r["q"] for r in words.select(q.alias("q")).distinct().collect())  # four values at most
     if not lengths:
