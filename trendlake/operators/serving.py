@@ -77,8 +77,8 @@ def page_summary(rows: DataFrame, needle: str | None, least: float | None, now:
     return rows.agg(F.round(F.avg("total_score"), 2).alias("mean_score"), F.max("total_score").alias("max_score"), F.count_if(F.unix_seconds("last_seen_at") >= F.unix_seconds(now) - 86400).alias("fresh"), F.count("*").alias("n"))
 
 
-def alerts(clusters: DataFrame, members: DataFrame, scores: DataFrame, rules: DataFrame, existing: DataFrame, now: Column) -> DataFrame:
-    """Matches of active clusters and enabled rules: some keyword in the cluster's title or summary or an item's title, summary or URL, a source in common if the rule names any, and the least score. `created` is false where the suppression key is there already.
+def alert_matches(clusters: DataFrame, members: DataFrame, scores: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule_id, hot_cluster_id, matched, suppress_window_hours): matches of active clusters and enabled rules: some keyword in the cluster's title or summary or an item's title, summary or URL, a source in common if the rule names any, and the least score. No instant is part of it: runs at several can share it.
 
     Texts of clusters and members meet the rules' distinct keywords by grams (keyword_search.holding), each on its own; what is then gathered is the distinct keywords that a cluster holds, and its sources, never its texts. Rules meet clusters by keyword.
     """
@@ -94,8 +94,18 @@ def alerts(clusters: DataFrame, members: DataFrame, scores: DataFrame, rules: Da
     sources = members.groupBy("hot_cluster_id").agg(F.collect_set("source_type").alias("sources"))
     rows = hits.join(sources, "hot_cluster_id", "left").join(scores.select("hot_cluster_id", "total_score"), "hot_cluster_id", "left")
     rows = rows.where(((F.coalesce(F.size("source_types"), F.lit(0)) <= 0) | F.coalesce(F.arrays_overlap("source_types", "sources"), F.lit(False))) & (F.coalesce("total_score", F.lit(0.0)) >= F.coalesce("min_score", F.lit(0.0))))
+    return rows.select("rule_id", "hot_cluster_id", F.array_join(F.transform("hits", lambda h: h["keyword"]), ",").alias("matched"), "suppress_window_hours")
+
+
+def alerts(clusters: DataFrame, members: DataFrame, scores: DataFrame, rules: DataFrame, existing: DataFrame, now: Column) -> DataFrame:
+    """alert_matches() as alerts of one run."""
+    return alerts_of(alert_matches(clusters, members, scores, rules), existing, now)
+
+
+def alerts_of(matches: DataFrame, existing: DataFrame, now: Column) -> DataFrame:
+    """Matches as alerts of a run at `now`, each with its suppression key. `created` is false where the key is there already."""
     key = F.sha2(F.concat_ws(":", "rule_id", "hot_cluster_id", bucket(now, F.col("suppress_window_hours") * 3600)).cast("binary"), 256)
-    rows = rows.select("rule_id", "hot_cluster_id", F.array_join(F.transform("hits", lambda h: h["keyword"]), ",").alias("matched"), key.alias("suppression_key")).dropDuplicates(["suppression_key"])
+    rows = matches.select("rule_id", "hot_cluster_id", "matched", key.alias("suppression_key")).dropDuplicates(["suppression_key"])
     known = existing.select("suppression_key", F.lit(True).alias("known")).distinct()
     return rows.join(known, "suppression_key", "left").withColumn("created", F.col("known").isNull()).drop("known")
 
