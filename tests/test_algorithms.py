@@ -136,3 +136,15 @@ def test_few_and_many_keywords_find_the_same(spark, monkeypatch):
     many = keyword_search.holding(texts, ["id"], "said", words)
     want = sorted((i, k) for i, t in ((1, "the license"), (2, ""), (4, "undo it"), (5, "th")) for k in ("the", "und", "", "zzzz", "i") if k in t)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want
+
+
+def test_matching_anew_makes_features_of_its_look_back_alone(spark):
+    from trendlake.operators import clusters
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    rows = [(1, day(1)), (2, day(9)), (3, day(10)), (4, day(20))]
+    feats = spark.createDataFrame([(i, "x.example", "https://x.example/a", "a title", t, {}, [], ["word"], "UNKNOWN") for i, t in rows], "hot_item_id long, publisher_domain string, canonical_url string, normalized_title string, event_time timestamp, external_ids map<string,string>, entities array<struct<type:string,value:string>>, keywords array<string>, event_type string")
+    feats = feats.withColumn("keywords", F.when(F.col("hot_item_id").isin(1, 4), F.raise_error(F.lit("made"))).otherwise(F.col("keywords")))
+    at = spark.createDataFrame([(i, i, None) for i, _ in rows], "hot_item_id long, hot_cluster_id long, removed_at timestamp")
+    got = clusters.recluster_anew(feats, at, 3, [3], "look again")[0].collect()
+    assert [(r.hot_item_id, r.other_id, r.signal, r.decision) for r in got] == [(3, 2, "CANONICAL_URL", "ACCEPTED")]
