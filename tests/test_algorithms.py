@@ -138,6 +138,20 @@ def test_few_and_many_keywords_find_the_same(spark, monkeypatch):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want
 
 
+def test_members_of_one_url_are_reduced_before_they_are_shuffled(spark):
+    from trendlake.operators import trend
+
+    rows = [(i % 2, i, "DISCOVERY", f"u{i % 3}", None if i % 5 else 50 - i // 2) for i in range(60)] + [(0, 100, "PRIMARY", "u0", None), (0, 101, "DISCOVERY", " ", None)]
+    got = trend.without_repeated_urls(spark.createDataFrame(rows, "hot_cluster_id long, hot_item_id long, role string, url string, rank int"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min_by" in plan
+    best = {}
+    for r in rows[:60]:
+        k = (r[0], r[3])
+        best[k] = min(best.get(k, r), r, key=lambda x: (x[4] is None, x[4] or 0, x[1]))
+    assert {r.hot_item_id for r in got.collect()} == {r[1] for r in best.values()} | {100, 101}
+
+
 def test_matching_anew_makes_features_of_its_look_back_alone(spark):
     from trendlake.operators import clusters
 

@@ -125,10 +125,10 @@ def growth_24h(snapshots: DataFrame) -> DataFrame:
 
 
 def without_repeated_urls(members: DataFrame) -> DataFrame:
-    """Members with role, url, rank: of discovery items of a cluster with one canonical URL, the one with the lowest rank (none last), then id; all others pass."""
-    w = Window.partitionBy("hot_cluster_id", "url").orderBy(F.asc_nulls_last("rank"), "hot_item_id")
+    """Members with role, url, rank: of discovery items of a cluster with one canonical URL, the one with the lowest rank (none last), then id; all others pass. Each task keeps one row of a cluster and URL before any are shuffled, so many members of one cost no task more."""
     same = (F.col("role") == "DISCOVERY") & (F.trim("url") != "")
-    one = members.where(same).withColumn("turn", F.row_number().over(w)).where("turn = 1").drop("turn")
+    order = F.struct(F.col("rank").isNull().alias("none"), "rank", "hot_item_id")
+    one = members.where(same).groupBy("hot_cluster_id", "url").agg(F.min_by(F.struct(*members.columns), order).alias("m")).select("m.*")
     return one.unionByName(members.where(~F.coalesce(same, F.lit(False))))
 
 
