@@ -1,9 +1,15 @@
 """Links of accepted pairs against all pairs, made one by one."""
 
+import os
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from trendlake import catalog
+from trendlake.operators import clusters as C
+from trendlake.operators import links as K
 from trendlake.operators import matching as M
 from trendlake.sources import sinks
 
@@ -24,6 +30,52 @@ def made(n, seed):
     return rows
 
 
+def closure(n, edges):
+    top = list(range(n))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        top[b] = a
+    return {i: find(i) for i in range(n)}
+
+
+@pytest.mark.parametrize("seed, dealt", [(1, 1024), (2, 4)])
+def test_links_of_items_far_apart(spark, monkeypatch, seed, dealt):
+    """Later items by any time, and ended memberships: the same clusters as of all pairs."""
+    monkeypatch.setattr(K, "DEALT", dealt)
+    rows = made(150, seed)
+    items = spark.createDataFrame([(i, "RSS", t, s, u, None, str(i), m) for i, t, s, u, m, _ in rows], "hot_item_id long, source_type string, title string, summary string, source_url string, author string, external_id string, m long")
+    feats = sinks.stored(M.features(items.withColumn("published_at", F.timestamp_micros(F.col("m") * 60_000_000))))
+    membership = spark.createDataFrame([(i, i, None if on else 1) for i, *_, on in rows], "hot_cluster_id long, hot_item_id long, removed_at int")
+    pairs = spark.createDataFrame([(x, y) for x in range(150) for y in range(150) if x < y], "hot_item_id long, other_id long")
+    accepted = [(r.hot_item_id, r.other_id) for r in M.decide(pairs, feats).where("decision = 'ACCEPTED'").collect()]
+    at, on = {r[0]: r[4] for r in rows}, {r[0]: r[5] for r in rows}
+    candidate = lambda x, y: None not in (at[x], at[y]) and on[y] and at[y] >= at[x] - 72 * 60
+    good = [(x, y) for x, y in accepted if candidate(x, y) or candidate(y, x)]
+    want = closure(150, good)
+    got = {r.hot_item_id: r.hot_cluster_id for r in C.merge_linked(K.accepted_links(feats, membership), items, sinks.stored).collect()}
+    assert got == want
+    # some of them by pairs of the third layer alone that are further apart than the look-back
+    assert closure(150, [(x, y) for x, y in good if abs(at[x] - at[y]) <= 72 * 60]) != want
+
+
+def test_merged_clusters_of_items_days_apart(spark, tmp_path):
+    """The query on documents with times of weeks, as in SQL."""
+    r, path = random.Random(5), str(tmp_path / "documents.parquet")
+    texts = [" ".join(r.choices(SAID, k=2)) + ". " + " ".join(r.choices(SAID, k=30)) for _ in range(12)]
+    ids = sorted(r.sample(range(9000), 160))
+    spark.createDataFrame([(i, r.choice(texts) + " more" * (i % 3 == 0), "en", f"src{i % 3}", 100 + i) for i in ids], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{path}/*.parquet'")
+    got = catalog.QUERIES["clusters_merged"](spark, os.path.dirname(path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.ORACLES["clusters_merged"]).fetchall())
+
+
 def test_decisions_of_a_least_score(spark):
     """Those that all decisions hold, with the same scores."""
     rows = made(80, 3)
