@@ -64,6 +64,32 @@ def test_links_of_items_far_apart(spark, monkeypatch, seed, dealt):
     assert closure(150, [(x, y) for x, y in good if abs(at[x] - at[y]) <= 72 * 60]) != want
 
 
+def test_links_of_a_family(spark, monkeypatch):
+    """Texts under one title, of whose pairs many are accepted: the same clusters as of all pairs, by few rows."""
+    monkeypatch.setattr(K, "FAMILY", 32, raising=False)
+    r, n, most = random.Random(4), 120, []
+    rows = [(i, "OpenAI launches GPT-5: alpha beta", " ".join(f"word{k}" for k in r.sample(range(400), r.choice((3, 60, 60, 90)))), i * 12 * 60 + r.randrange(720) if i % 9 else None, r.random() < 0.4) for i in range(n)]
+    items = spark.createDataFrame([(i, "RSS", t, s, f"https://site.example/{i}", None, str(i), m) for i, t, s, m, _ in rows], "hot_item_id long, source_type string, title string, summary string, source_url string, author string, external_id string, m long")
+    feats = sinks.stored(M.features(items.withColumn("published_at", F.timestamp_micros(F.col("m") * 60_000_000))))
+    membership = spark.createDataFrame([(i, i, None if on else 1) for i, *_, on in rows], "hot_cluster_id long, hot_item_id long, removed_at int")
+    pairs = spark.createDataFrame([(x, y) for x in range(n) for y in range(n) if x < y], "hot_item_id long, other_id long")
+    accepted = [(x.hot_item_id, x.other_id) for x in M.decide(pairs, feats).where("decision = 'ACCEPTED'").collect()]
+    at, on = {x[0]: x[3] for x in rows}, {x[0]: x[4] for x in rows}
+    candidate = lambda x, y: None not in (at[x], at[y]) and on[y] and at[y] >= at[x] - 72 * 60
+    want = closure(n, [(x, y) for x, y in accepted if candidate(x, y) or candidate(y, x)])
+    assert 1000 < len(accepted) < n * (n - 1) / 2 and len(set(want.values())) > 10
+
+    def counted(df):
+        out = sinks.stored(df)
+        most.append(out.count())
+        return out
+
+    got = C.merge_linked(K.accepted_links(feats, membership, counted), items, sinks.stored)
+    assert {x.hot_item_id: x.hot_cluster_id for x in got.collect()} == want
+    # neither all pairs nor all accepted ones
+    assert max(most) < 1000
+
+
 def test_merged_clusters_of_items_days_apart(spark, tmp_path):
     """The query on documents with times of weeks, as in SQL."""
     r, path = random.Random(5), str(tmp_path / "documents.parquet")
