@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,16 @@ def test_vectors_in_many_cells_and_blocks(spark, monkeypatch, size, tile):
     assert blocks.count() == len(members) and (tile > 600 or pairs.count() < blocks.select("cell", "ring", "sub").distinct().count() ** 2 / 2)
 
 
+def test_plan_of_a_sample_in_any_order():
+    """Rows come from a shuffle in any order: the same pivots, radii and rings."""
+    g = np.random.default_rng(4)
+    x = np.repeat(g.normal(size=(60, 8)), 10, 0) + g.normal(size=(600, 8)) * 0.08
+    u = [v.tobytes() for v in x / np.linalg.norm(x, axis=1)[:, None]]
+    plan = lambda order: vector_join._planned(pa.table({"label": [1] * 600, "width": [64] * 600, "u": pa.array([u[i] for i in order], pa.binary()), "n": [600] * 600}), 0.2).to_pydict()
+    want = plan(range(600))
+    assert len(want["cell"]) > 4 and all(plan(g.permutation(600)) == want for _ in range(5))
+
+
 def test_mixing(spark):
     texts = [(i, " ".join(["w"] * (i % 37)), "en", None if i % 5 == 4 else "s%d" % (i % 5 if i % 11 else 9), 0) for i in range(300)] + [(300, None, "en", "s9", 0), (None, "a b", "en", "s0", 0)]
     df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").withColumn("mix", F.lit(1)).withColumn("size", F.lit("x"))

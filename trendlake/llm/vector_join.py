@@ -83,7 +83,8 @@ def _homes(x: np.ndarray, p: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray,
 
 
 def _planned(t: pa.Table, r: float) -> pa.Table:
-    """The plan of one label, by its sample: a row for each pivot."""
+    """The plan of one label, by its sample: a row for each pivot. The sample is sorted, as rows come from a shuffle in any order and pivots are tried by place."""
+    t = t.sort_by("u")
     x = _matrix(t.column("u").to_pylist())
     p, radii, rings = _plan(x, t.column("n")[0].as_py(), r)
     k = len(p)
