@@ -6,6 +6,8 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from trendlake import constants
+from trendlake.functions import text as T
 from trendlake.operators import matching as M
 from trendlake.sources import sinks
 
@@ -56,3 +58,20 @@ def test_no_value_is_shuffled(spark):
     got = M.matched(feats, own, stored=lambda df: kept.append(sinks.stored(df)) or kept[-1])
     plan = got._jdf.queryExecution().toString()
     assert got.count() > 0 and "Generate explode(keywords" not in plan and all("v" not in df.columns for df in kept)
+
+
+def test_names_and_event_types_in_odd_texts(spark):
+    """Names at either end, side by side, within other words and across titles and summaries; types by substrings; against plain Python. Neither searches a text once for each of them."""
+    rnd, bits = random.Random(3), ["gpt", "5", "GPT-5", " ", "-", "hf", "Hugging", "Face", "open", "AI", "Llama", "3.1", "metaverse", "meta", "Claude", "code", "\n", ".", "é", "stable", "leak", " cve", "fee", "apache 2.0", "apache 2x0", "buys "]
+    said = lambda n: "".join(rnd.choice(bits) + rnd.choice(["", " "]) for _ in range(rnd.randrange(n)))
+    rows = [(i, None if i % 17 == 0 else said(9), None if i % 13 == 0 else said(12)) for i in range(3000)]
+    rows += [(3000, "", ""), (3001, "GPT", "5"), (3002, "x", "apache 2x0")]
+    t, s = F.col("title"), F.col("summary")
+    df = spark.createDataFrame(rows, "id long, title string, summary string").select("id", "title", "summary", T.entities(t, s).alias("names"), T.event_type(t, s).alias("kind"))
+    for r in df.collect():
+        text = f" {T._plain(' '.join(x for x in (r.title, r.summary) if x is not None))} "
+        assert sorted(e["value"] for e in r.names) == sorted(v for _, v, names in constants.ENTITIES if any(f" {T._plain(a)} " in text for a in (*names, v))), r
+        low = "".join(" " + x.strip(" ") for x in (r.title or "", r.summary or "") if x.strip(" ")).lower()
+        assert r.kind == next((k for k, parts in constants.EVENT_TYPES if any(p in low for p in parts)), "UNKNOWN"), r
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "vulnerab" not in plan
